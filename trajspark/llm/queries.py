@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op1_best_fit_packing
 from .token_counts import op10_token_counts
+from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_token_files": op2_token_files,
     "op10_token_counts": op10_token_counts,
 }
 
