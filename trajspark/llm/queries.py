@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op1_best_fit_packing
+from .quality import OP9_SQL, op9_quality_rules
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
+    "op3_mix_sources": op3_mix_sources,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mix_sources": OP3_SQL,
+    "op9_quality_rules": OP9_SQL,
+}
