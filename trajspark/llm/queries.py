@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op1_best_fit_packing
 from .quality import OP9_SQL, op9_quality_rules
@@ -12,11 +13,13 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_mix_sources": op3_mix_sources,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
 }
