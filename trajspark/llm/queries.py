@@ -8,12 +8,14 @@ from .packing import op1_best_fit_packing
 from .quality import OP9_SQL, op9_quality_rules
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_mix_sources": op3_mix_sources,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
