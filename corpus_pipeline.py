@@ -1,8 +1,78 @@
 """A cleaning pipeline over documents: each stage is one operator of the text subpackage."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trajspark.llm.common import documents, labels, materialise
+from trajspark.llm.jaccard_join import jaccard_components
+from trajspark.llm.mixing import mix_sources
+from trajspark.llm.packing import pack_documents
+from trajspark.llm.quality import quality_rules
+from trajspark.llm.toxicity import held_out, score_toxicity, train_toxicity
+
+#: Near copies: shingles of five words that are shared to 80% or more.
+SHINGLE, PERCENT = 5, 80
+#: Rows of ids that a stage broadcasts at most (some 16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    ids = materialise(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Null, empty or short texts go; repeated rows are judged alike."""
+    return quality_rules(docs).where("kept").select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5. The model learns from labelled documents that came this far."""
+    model = train_toxicity(docs, labels(spark, sf_dir), ~held_out())
+    return score_toxicity(docs, model).where("score < 0.5").select(docs.columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group. Rows that share one id stay together, rows
+    without an id stay."""
+    groups = jaccard_components(docs, SHINGLE, PERCENT)
+    first = _small(groups.where("doc_id = component_id").select("doc_id").distinct())
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, 0 to 2 times. Documents stay whole: one that is
+    taken in part counts from half of its words on."""
+    taken = mix_sources(docs).where("size > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    copies = _small(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0"))
+    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the mixed documents in sequences of 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Tokens can't be had in SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written as Parquet and read by the next."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

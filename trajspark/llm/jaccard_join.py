@@ -118,18 +118,37 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(n: int, percent: int):
+def _sets(n: int):
+    """Size and two sums of hashes, which tell sets apart."""
+
     def emit(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows = []
+            for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
-                with np.errstate(over="ignore"):
-                    a, b = (int(_mix(s, x).sum(dtype=np.uint64).view(np.int64)) for x in (1, 2))
-                out.append((doc_id, len(s), a, b, signatures(s, percent).view(np.int64) if len(s) else s.view(np.int64)))
-            d, m, a, b, g = zip(*out, strict=True)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in g])], pa.int32()), pa.array(np.concatenate(g), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "a", "b", "sigs"])
+                rows.append((len(s), *(int(_mix(s, x).sum(dtype=np.uint64).view(np.int64)) for x in (1, 2))))
+            size, x, y = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, x, y))], ["doc_id", "n_shingles", "x", "y"])
+
+    return emit
+
+
+def _signed(n: int, percent: int, rows: int = 1_000_000):
+    def emit(batches):
+        def flat(held):
+            ids, sigs = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])), pa.array(np.concatenate(sigs).view(np.int64))], ["node", "sig"])
+
+        held, m = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append((doc_id, signatures(shingles(text, n), percent)))
+                m += len(held[-1][1])
+                if m >= rows:
+                    yield flat(held)
+                    held, m = [], 0
+        if held:
+            yield flat(held)
 
     return emit
 
@@ -200,12 +219,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     table gives none.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialise(texts.mapInArrow(_sets(n, percent), "doc_id long, n_shingles long, a long, b long, sigs array<long>"))
+    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long"))
     full = made.where("n_shingles > 0")
-    nodes = materialise(full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("node")))
+    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node")))
     by_sig = Window.partitionBy("sig")
-    signed = full.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("node"), F.first("sigs").alias("sigs")).where("node is not null")
-    shared = materialise(signed.select("node", F.explode("sigs").alias("sig")).withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
+    # rows of one id but another text than its node's are harmless: they only add candidates
+    signed = _among(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_signed(n, percent), "node long, sig long")
+    shared = materialise(signed.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
     links, comps, seen = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         if comps is None:
@@ -235,7 +255,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         comps = connected_components(links)
-    named = full.select("doc_id", "n_shingles", "a", "b").join(nodes, ["n_shingles", "a", "b"])
+    named = full.join(nodes, ["n_shingles", "x", "y"])
     if comps is not None:
         named = named.join(comps, "node", "left").withColumn("node", F.coalesce("component", "node"))
     rest = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
