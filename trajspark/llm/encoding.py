@@ -16,6 +16,8 @@ PLAIN = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ɏΑ-ΡΣ-ώЀ-џ‐-‧€ぁ-ゖ
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank after other white space; elsewhere a blank always starts a new piece.
 AFTER_SPACE = re.compile(r"\s ")
+#: Marks that often follow a word; a run of them is one piece.
+MARKS = ".,;:!?)*%&$#"
 #: Pieces remembered in each Python worker, about 200 bytes each.
 REMEMBERED = 700_000
 
@@ -35,10 +37,13 @@ class _Pieces(dict):
         self.split, self.merge = split, merge
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece[1:].isalpha() or not (piece[0] == " " or piece[0].isalpha()):
+        word = piece.rstrip(MARKS)
+        if not word[1:].isalpha() or not (word[0] == " " or word[0].isalpha()):
             parts = self.split(piece)
             if len(parts) != 1:
                 return b"".join([self[w] for w in parts])
+        elif word != piece:  # letters, then marks: two pieces
+            return self[word] + self[piece[len(word) :]]
         if len(self) >= REMEMBERED:
             self.clear()
         ids = self[piece] = self.merge(piece)

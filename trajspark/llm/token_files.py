@@ -49,26 +49,27 @@ class TokenFileWriter:
         self.open, self.n = [], 0
         self.waiting = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian unsigned 32-bit."""
         self.doc_ids.append(NULL_ID if doc_id is None else doc_id)
         self.starts.append(self.n)
-        self.n += len(ids)
+        self.n += len(ids) // 4
         self.open.append(ids)
         self.waiting += len(ids)
-        if self.waiting >= self.block:
-            rest = np.concatenate(self.open)
-            whole = len(rest) // self.block * self.block
-            for i in range(0, whole, self.block):
-                self._write(rest[i : i + self.block])
-            self.open, self.waiting = [rest[whole:]], len(rest) - whole
-
-    def _write(self, ids: np.ndarray) -> None:
+        if self.waiting >= 4 * self.block:
+            held = b"".join(self.open)
+            whole = len(held) // (4 * self.block) * 4 * self.block
+            for i in range(0, whole, 4 * self.block):
+                self._write(held[i : i + 4 * self.block])
+            self.open, self.waiting = [held[whole:]], len(held) - whole
+
+    def _write(self, ids: bytes) -> None:
         self.offsets.append(self.out.tell())
-        self.out.write(pack_bits(ids, self.bits))
+        self.out.write(pack_bits(np.frombuffer(ids, "<u4"), self.bits))
 
     def close(self) -> None:
         if self.waiting:
-            self._write(np.concatenate(self.open))
+            self._write(b"".join(self.open))
         footer = self.out.tell()
         for x in (self.doc_ids, self.starts, self.offsets):
             self.out.write(np.array(x, "<i8").tobytes())
@@ -118,6 +119,7 @@ def _write_shards(folder: str, path: str, end: int):
         import uuid
 
         store, base = fs.FileSystem.from_uri(folder)
+        tail = end.to_bytes(4, "little")
         shard = name = out = None
         first = None
         for batch in batches:
@@ -128,7 +130,7 @@ def _write_shards(folder: str, path: str, end: int):
                     name = f"{uuid.uuid4().hex}.ids"  # of this attempt: a task that runs again writes another file
                     out = store.open_output_stream(posixpath.join(base, name))
                     shard = TokenFileWriter(out, max(enc.vocabulary - 1, end).bit_length())
-                shard.add(doc_id, np.frombuffer(enc.ids(text) + end.to_bytes(4, "little"), "<u4"))
+                shard.add(doc_id, enc.ids(text) + tail)
         if shard is not None:
             shard.close()
             out.close()
