@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard_join import OP7_SQL, op7_jaccard_join
+from .licences import op6_licence_scan
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op1_best_fit_packing
 from .quality import OP9_SQL, op9_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_mix_sources": op3_mix_sources,
+    "op6_licence_scan": op6_licence_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
