@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .jaccard_join import OP7_SQL, op7_jaccard_join
 from .licences import op6_licence_scan
+from .lm_scoring import op4_lm_scoring
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op1_best_fit_packing
 from .quality import OP9_SQL, op9_quality_rules
+from .search import OP5_SQL, op5_top_k_search
 from .token_counts import op10_token_counts
 from .token_files import op2_token_files
 from .toxicity import op8_toxicity
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op3_mix_sources": op3_mix_sources,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_top_k_search": op5_top_k_search,
     "op6_licence_scan": op6_licence_scan,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
@@ -24,6 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
+    "op5_top_k_search": OP5_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
 }
