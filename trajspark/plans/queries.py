@@ -1,4 +1,512 @@
-"""Registered queries over the events table and their DuckDB SQL."""
+"""Registered queries over the events table and their DuckDB SQL.
+
+Trajectories are users: steps by time, x = value / 50, dt = 1 (the values of events have no regular
+times; with_gradient_velocity uses the real ones).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import basis as B
+from ..functions.freeenergy import MeanForceBasis, fit_free_energy
+from ..functions.freeenergy import potential as at_potential
+from ..functions.linear import STATS
+from ..operators import em, markov, model, resample, statespace
+from ..operators.correlation import correlation, vacf
+from ..operators.statespace import StateModel
+from ..operators.transitions import trajectory_stats, transitions, visible_stats
+from ..sources.trajectories import as_trajectories, trajectory_summary, with_gradient_velocity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
+SPLITS, SEED, KNOWN_LAG = 5, 3, 12
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def r6(c: str | Column) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def x0(c: str = "x", i: int = 0) -> Column:
+    return F.get(c, F.lit(i))
+
+
+def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_trajectories(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], [F.col("value") / 50.0], 1.0)
+
+
+def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two positions: the value, and the number in the properties."""
+    k = F.get_json_object("props", "$.k").cast("double") / 100.0
+    return as_trajectories(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", ["ts", "event_id"], [F.col("value") / 50.0, k], 1.0)
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions(e1(spark, sf_dir), B.LinearBasis(), 1.0)
+
+
+#: A fixed model with one visible and one hidden variable, to filter and smooth with.
+F1, S1 = np.array([[0.4, 0.3], [-0.3, 0.5]]), np.array([[0.8, 0.0], [0.0, 1.0]])
+
+
+def m1(model_id: int = 0) -> StateModel:
+    return StateModel(F1, [[-0.2]], S1, [0.0], [[1.0]], 1.0, model_id)
+
+
+TR = """tr AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
+  (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS t, value / 50.0 AS x,
+  json_extract(props, '$.k')::DOUBLE / 100.0 AS y, ts FROM events)"""
+TRANS = f"""{TR},
+v1 AS (SELECT traj_id, step, x, lead(x) OVER w - x AS v FROM tr WINDOW w AS (PARTITION BY traj_id ORDER BY step)),
+v2 AS (SELECT *, lead(v) OVER (PARTITION BY traj_id ORDER BY step) AS vp FROM v1),
+p AS (SELECT traj_id, step, x, v, vp, vp - v AS dx FROM v2 WHERE vp IS NOT NULL)"""
+PER = f"""{TRANS},
+s AS (SELECT traj_id, count(*) AS n, avg(v*v) AS xx, avg(v*dx) AS xdx, avg(dx*dx) AS dxdx, avg(x*v) AS bkx, avg(x*dx) AS bkdx, avg(x*x) AS bkbk FROM p GROUP BY traj_id)"""
+MEANS = ", ".join(f"avg({c}) AS {c}" for c in STATS)
+#: From averaged statistics g to force f, friction a, noise sst and likelihood.
+SOLVE = """f AS (SELECT *, (bkdx - xdx/xx*bkx)/(bkbk - bkx*bkx/xx) AS force FROM g),
+h AS (SELECT *, -(xdx - force*bkx)/xx AS a FROM f),
+k AS (SELECT *, dxdx + 2*a*xdx - 2*force*bkdx + a*a*xx - 2*a*force*bkx + force*force*bkbk AS sst FROM h)"""
+#: Random choices are made by digests, the same in both engines.
+DRAWS = f"""ids AS (SELECT traj_id, row_number() OVER (ORDER BY traj_id) - 1 AS no FROM (SELECT DISTINCT traj_id FROM tr)),
+m AS (SELECT count(*) AS n, floor(0.9 * count(*))::BIGINT AS d FROM ids),
+w AS (SELECT split_id, traj_id, count(*) AS weight FROM (SELECT split_id, ('0x' || substr(md5('{SEED}:' || split_id || ':' || draw), 1, 8))::BIGINT % n AS no
+  FROM range({SPLITS}) a(split_id), m, LATERAL (SELECT unnest(range(d)) AS draw) b) JOIN ids USING (no) GROUP BY ALL)"""
+BOOT = f"""{PER}, {DRAWS},
+g AS (SELECT split_id, {", ".join(f"sum({c} * weight) / sum(weight) AS {c}" for c in STATS)} FROM s JOIN w USING (traj_id) GROUP BY split_id), {SOLVE}"""
+
+
+@query("trajectory_summary", f"""WITH {TR}, d AS (SELECT *, lead(t) OVER (PARTITION BY traj_id ORDER BY step) - t AS gap FROM tr)
+SELECT traj_id, count(*)::BIGINT AS n, arg_min(gap, step) AS dt, min(gap) AS min_dt, max(gap) AS max_dt, sum(CASE WHEN isfinite(x) THEN 0 ELSE 1 END)::BIGINT AS n_bad FROM d GROUP BY traj_id""")
+def _(spark, sf_dir):
+    return trajectory_summary(e1(spark, sf_dir))
+
+
+@query("gradient_velocity", f"""WITH {TR}, d AS (SELECT traj_id, step, x, epoch(ts) - first_value(epoch(ts)) OVER w AS t FROM tr WINDOW w AS (PARTITION BY traj_id ORDER BY step)),
+n AS (SELECT *, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(x) OVER w AS xs, lead(x) OVER w AS xd FROM d WINDOW w AS (PARTITION BY traj_id ORDER BY step))
+SELECT traj_id, step::BIGINT AS step, round(CASE WHEN hs IS NULL THEN (xd - x) / hd WHEN hd IS NULL THEN (x - xs) / hs
+  ELSE (hs*hs*xd + (hd*hd - hs*hs)*x - hd*hd*xs) / (hs*hd*(hd + hs)) END, 9) + 0.0 AS v FROM n""")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    real = as_trajectories(events, "user_id", ["ts", "event_id"], [F.col("value") / 50.0], time=F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return with_gradient_velocity(real).select("traj_id", "step", (F.round(x0("v"), 9) + F.lit(0.0)).alias("v"))
+
+
+@query("cut_trajectories", f"""WITH {TR}, n AS (SELECT *, count(*) OVER (PARTITION BY traj_id) AS n FROM tr),
+q AS (SELECT *, n // 4 AS q, n % 4 AS r FROM n),
+p AS (SELECT *, CASE WHEN step < r * (q + 1) THEN step // (q + 1) ELSE r + (step - r * (q + 1)) // q END AS piece FROM q)
+SELECT traj_id, piece::BIGINT AS piece, (row_number() OVER (PARTITION BY traj_id, piece ORDER BY step) - 1)::BIGINT AS step, x FROM p""")
+def _(spark, sf_dir):
+    return resample.cut_trajectories(e1(spark, sf_dir), 4).select("traj_id", "piece", "step", x0().alias("x"))
+
+
+@query("shuffle_split", f"""WITH {TR}, ids AS (SELECT DISTINCT traj_id FROM tr), n AS (SELECT floor(0.9 * count(*)) AS n FROM ids),
+r AS (SELECT split_id, traj_id, row_number() OVER (PARTITION BY split_id ORDER BY md5('{SEED}:' || split_id || ':' || traj_id), traj_id) AS r FROM ids, range({SPLITS}) a(split_id))
+SELECT split_id::INTEGER AS split_id, traj_id, CASE WHEN r <= n THEN 'train' ELSE 'test' END AS role FROM r, n""")
+def _(spark, sf_dir):
+    return resample.shuffle_split(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+
+
+@query("bootstrap_weights", f"WITH {TR}, {DRAWS} SELECT split_id::INTEGER AS split_id, traj_id, weight::BIGINT AS weight FROM w")
+def _(spark, sf_dir):
+    return resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+
+
+@query("transitions", f"WITH {TRANS} SELECT traj_id, step::BIGINT AS step, x, round(v, 9) + 0.0 AS v, round(vp, 9) + 0.0 AS v_plus, x AS bk FROM p")
+def _(spark, sf_dir):
+    return pairs(spark, sf_dir).select("traj_id", "step", x0().alias("x"), *[(F.round(x0(c), 9) + F.lit(0.0)).alias(c) for c in ("v", "v_plus")], x0("bk").alias("bk"))
+
+
+def _values(df: DataFrame, basis: B.Basis) -> DataFrame:
+    """traj_id, step, i, value of every basis element."""
+    return df.select("traj_id", "step", F.posexplode(basis.column("x")).alias("i", "value")).select("traj_id", "step", "i", r6("value").alias("value"))
+
+
+@query("basis_linear", f"WITH {TR} SELECT traj_id, step::BIGINT AS step, 0 AS i, round(x - avg(x) OVER (), 6) + 0.0 AS value FROM tr")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    return _values(df, B.LinearBasis(1, center=True).fit(df))
+
+
+@query("basis_polynomial", f"WITH {TR}, v AS (SELECT traj_id, step, unnest([1.0::DOUBLE, x, y, x*x, x*y, y*y]) AS value, unnest(range(6)) AS i FROM tr) SELECT traj_id, step::BIGINT AS step, i::INTEGER AS i, round(value, 6) + 0.0 AS value FROM v")
+def _(spark, sf_dir):
+    return _values(e2(spark, sf_dir), B.PolynomialBasis(2, 2))
+
+
+@query("basis_bins", f"""WITH {TR}, e AS (SELECT min(x) AS a, max(x) AS b FROM tr),
+c AS (SELECT traj_id, step, len(list_filter(range(1, 6), lambda k: a + (b - a) / 6 * k <= x)) AS c FROM tr, e)
+SELECT c::INTEGER AS bin, count(*)::BIGINT AS n FROM c GROUP BY c""")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    hot = B.BinsBasis(1, 6).fit(df).column("x")
+    return df.select(F.posexplode(hot).alias("bin", "hot")).where("hot = 1").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+AUTO = "SELECT greatest(1 + log2(count(*)), floor((max(x) - min(x)) / (2 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) * count(*) ** (-1.0/3)) + 1))::DOUBLE AS n FROM tr"
+
+
+@query("auto_bins", f"WITH {TR}, b AS ({AUTO}), e AS (SELECT count(*) AS c FROM tr) SELECT c::BIGINT AS n_rows, floor(n)::INTEGER AS n_bins FROM b, e")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_bins", F.lit(B.auto_bins(df)))
+
+
+@query("basis_bspline_deg1", f"""WITH {TR}, e AS (SELECT min(x) AS a, (max(x) - min(x)) / 4 AS h FROM tr),
+v AS (SELECT traj_id, step, unnest(range(5)) AS i, x, a, h FROM tr, e)
+SELECT traj_id, step::BIGINT AS step, i::INTEGER AS i, round(greatest(0, 1 - abs((x - a) / h - i)), 6) + 0.0 AS value FROM v""")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    return _values(df, B.BSplineBasis(1, 5, 1).fit(df))
+
+
+@query("basis_bins_combined", f"""WITH {TR}, e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM tr),
+h AS (SELECT traj_id, step, [(x < (a+b)/2)::INT, (x >= (a+b)/2)::INT, (y < (c+d)/2)::INT, (y >= (c+d)/2)::INT] AS t FROM tr, e),
+q AS (SELECT [[i, j] for i in range(1, 5) for j in range(i, 5)] AS q),
+v AS (SELECT traj_id, step, t || [t[1]*t[1], t[1]*t[2], t[1]*t[3], t[1]*t[4], t[2]*t[2], t[2]*t[3], t[2]*t[4], t[3]*t[3], t[3]*t[4], t[4]*t[4]] AS t FROM h),
+u AS (SELECT unnest(range(14)) AS i, unnest(t) AS value FROM v)
+SELECT i::INTEGER AS i, sum(value)::DOUBLE AS total FROM u GROUP BY i""".replace("q AS (SELECT [[i, j] for i in range(1, 5) for j in range(i, 5)] AS q),\n", ""))
+def _(spark, sf_dir):
+    df = e2(spark, sf_dir)
+    hot = B.BinsBasis(2, 2, combine=True).fit(df).column("x")
+    return df.select(F.posexplode(hot).alias("i", "value")).groupBy("i").agg(F.sum("value").alias("total"))
+
+
+@query("free_energy_hist", f"""WITH {TR}, q AS (SELECT min(x) AS a, max(x) AS b, count(*) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS i FROM tr),
+c AS (SELECT a, b, ceil((b - a) / least((b - a) / (log2(n) + 1), 2 * i / n ** (1.0/3)))::BIGINT AS c FROM q),
+w AS (SELECT a, c, (b - a) / c AS w FROM c),
+h AS (SELECT least(floor((x - a) / w), c - 1)::BIGINT AS bin, a, w FROM tr, w)
+SELECT bin, round(any_value(a + (bin + 0.5) * w), 6) + 0.0 AS center, count(*)::BIGINT AS count, round(-ln(count(*)), 6) + 0.0 AS v FROM h GROUP BY bin""")
+def _(spark, sf_dir):
+    return fit_free_energy(e1(spark, sf_dir)).table.select("bin", r6("center").alias("center"), "count", r6("v").alias("v"))
+
+
+@query("free_energy_kde", f"""WITH {TR}, q AS (SELECT min(x) AS a, max(x) AS b, count(*) AS n, least(stddev_pop(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * count(*) ** (-0.2) AS h FROM tr),
+g AS (SELECT *, floor((b - a) / (0.25 * h))::BIGINT AS m FROM q),
+p AS (SELECT unnest(range(m)) AS bin, a - 2 * h AS low, (b - a + 4 * h) / (m - 1) AS gap, h, n FROM g)
+SELECT bin::BIGINT AS bin, round(-ln(sum(exp(-0.5 * ((low + bin * gap - x) / h) ** 2)) / any_value(n * h * sqrt(2 * pi()))), 6) + 0.0 AS v FROM p, tr GROUP BY bin""")
+def _(spark, sf_dir):
+    return fit_free_energy(e1(spark, sf_dir), estimator="kde").table.select("bin", r6("v").alias("v"))
+
+
+@query("mean_force")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    return _values(df, MeanForceBasis(fit_free_energy(df)))
+
+
+@query("potential")
+def _(spark, sf_dir):
+    df = e1(spark, sf_dir)
+    return at_potential(df, fit_free_energy(df)).select("traj_id", "step", r6("v").alias("v"))
+
+
+@query("digitize", f"WITH {TR} SELECT traj_id, step::BIGINT AS step, len(list_filter([0.0, 0.5, 1.0, 2.0]::DOUBLE[], lambda e: e <= x))::INTEGER AS cell_x, len(list_filter([0.2, 0.5]::DOUBLE[], lambda e: e <= y))::INTEGER AS cell_y FROM tr")
+def _(spark, sf_dir):
+    cells = B.digitize(e2(spark, sf_dir), [[0.0, 0.5, 1.0, 2.0], [0.2, 0.5]])
+    return cells.select("traj_id", "step", F.get("cells", F.lit(0)).alias("cell_x"), F.get("cells", F.lit(1)).alias("cell_y"))
+
+
+@query("custom_basis", f"WITH {TR}, v AS (SELECT traj_id, step, unnest([x, x * x * x, cos(x)]) AS value, unnest(range(3)) AS i FROM tr) SELECT traj_id, step::BIGINT AS step, i::INTEGER AS i, round(value, 6) + 0.0 AS value FROM v")
+def _(spark, sf_dir):
+    return _values(e1(spark, sf_dir), B.CustomBasis(lambda x: [x[0], x[0] * x[0] * x[0], F.cos(x[0])], 3))
+
+
+@query("project_on_basis", f"""WITH {TRANS}, s AS (SELECT avg(x) AS a, avg(x*x) AS b, avg(v) AS c, avg(x*v) AS d, count(*) AS n FROM p)
+SELECT n::BIGINT AS n, round((c * b - a * d) / (b - a * a), 6) + 0.0 AS c0, round((d - a * c) / (b - a * a), 6) + 0.0 AS c1 FROM s""")
+def _(spark, sf_dir):
+    df = pairs(spark, sf_dir)
+    c = B.project_on_basis(df, B.PolynomialBasis(1, 1), "v")[0]
+    return df.agg(F.count(F.lit(1)).alias("n")).select("n", r6(F.lit(float(c[0]))).alias("c0"), r6(F.lit(float(c[1]))).alias("c1"))
+
+
+@query("visible_stats", f"WITH {PER}, g AS (SELECT sum(n)::BIGINT AS n, {MEANS} FROM s) SELECT n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in STATS)} FROM g")
+def _(spark, sf_dir):
+    return visible_stats(pairs(spark, sf_dir), 1, 1).select("n", *[r6(x0(s)).alias(s) for s in STATS])
+
+
+def _markov_columns(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, r6(x0("force")).alias("force"), r6(x0("a")).alias("a"), r6(x0("c")).alias("c"), r6(x0("sst")).alias("sst"), r6("ll").alias("ll"))
+
+
+MARKOV_OUT = "round(force, 6) + 0.0 AS force, round(a, 6) + 0.0 AS a, round(sst / (2 * a), 6) + 0.0 AS c, round(sst, 6) + 0.0 AS sst, round(-0.5 - 0.5 * (ln(2 * pi()) + ln(sst)), 6) + 0.0 AS ll"
+
+
+@query("markov_fit", f"WITH {PER}, g AS (SELECT {MEANS} FROM s), {SOLVE} SELECT {MARKOV_OUT} FROM k")
+def _(spark, sf_dir):
+    return _markov_columns(markov.fit_markov(pairs(spark, sf_dir), 1, 1))
+
+
+@query("markov_bootstrap", f"WITH {BOOT} SELECT split_id::INTEGER AS split_id, {MARKOV_OUT} FROM k")
+def _(spark, sf_dir):
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    return _markov_columns(markov.fit_markov(pairs(spark, sf_dir), 1, 1, weights=weights), "split_id")
+
+
+# the fixed model over all trajectories, by recursion
+CONST = f"SELECT {F1[0, 0]}::DOUBLE AS f00, {-F1[0, 1]}::DOUBLE AS rv, {F1[1, 0]}::DOUBLE AS f10, {1 - F1[1, 1]}::DOUBLE AS rh, -0.2::DOUBLE AS fo, {S1[0, 0]}::DOUBLE AS s00, {S1[0, 1]}::DOUBLE AS s01, {S1[1, 1]}::DOUBLE AS s11"
+FILTER = f"""{TRANS}, c AS ({CONST}),
+u AS (SELECT traj_id, step, x, v, vp, dx, v + fo * x - f00 * v AS cv, -f10 * v AS ch, c.* FROM p, c),
+a AS (SELECT traj_id, 0::BIGINT AS step, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS s FROM u WHERE step = 0
+  UNION ALL SELECT a.traj_id, a.step + 1, ch + rh * mu + (s01 + rv * rh * s) / (s00 + rv * rv * s) * (vp - cv - rv * mu),
+    s11 + rh * rh * s - (s01 + rv * rh * s) * (s01 + rv * rh * s) / (s00 + rv * rv * s)
+  FROM a JOIN u USING (traj_id, step))"""
+SMOOTH = f"""{FILTER},
+q AS (SELECT u.*, mu, s, (s00 + rv*rv*s) AS q00, (s01 + rv*rh*s) AS q01, (s11 + rh*rh*s) AS q11 FROM a JOIN u USING (traj_id, step)),
+gg AS (SELECT *, s * (rv*q11 - rh*q01) / (q00*q11 - q01*q01) AS gv, s * (rh*q00 - rv*q01) / (q00*q11 - q01*q01) AS gh FROM q),
+l AS (SELECT traj_id, max(step) AS n FROM a GROUP BY traj_id),
+b AS (SELECT a.traj_id, a.step, mu AS m, s AS var, NULL::DOUBLE AS lag, true AS is_last FROM a JOIN l ON a.traj_id = l.traj_id AND a.step = l.n
+  UNION ALL SELECT b.traj_id, b.step - 1, mu + gv*vp - gv*(rv*mu + cv) - gh*(rh*mu + ch) + gh*m, s - (gv*rv + gh*rh)*s + gh*gh*var, gh*var, false
+  FROM b JOIN gg ON gg.traj_id = b.traj_id AND gg.step = b.step - 1)"""
+
+
+@query("kalman_filter", f"WITH RECURSIVE {FILTER} SELECT traj_id, step, round(mu, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS var FROM a")
+def _(spark, sf_dir):
+    return statespace.kalman_filter(pairs(spark, sf_dir), m1()).select("traj_id", "step", r6(x0("mean")).alias("mean"), r6(x0("cov")).alias("var"))
+
+
+@query("smooth_hidden", f"WITH RECURSIVE {SMOOTH} SELECT traj_id, step, round(m, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS var, round(lag, 6) + 0.0 AS lag, is_last FROM b")
+def _(spark, sf_dir):
+    lag = F.when(~F.col("is_last"), r6(x0("cov_lag")))
+    return statespace.smooth_hidden(pairs(spark, sf_dir), m1()).select("traj_id", "step", r6(x0("mean")).alias("mean"), r6(x0("cov")).alias("var"), lag.alias("lag"), "is_last")
+
+
+@query("predict_hidden", f"WITH RECURSIVE {SMOOTH} SELECT traj_id, step, round(m, 6) + 0.0 AS mean, is_last FROM b")
+def _(spark, sf_dir):
+    return statespace.predict_hidden(pairs(spark, sf_dir), m1()).select("traj_id", "step", r6(x0("mean")).alias("mean"), "is_last")
+
+
+HIDDEN = f"""{SMOOTH},
+t AS (SELECT u.*, b.m AS h, b.var AS hv, b.lag, n.m AS hp, n.var AS hpv, n.m - b.m AS dh FROM u JOIN b USING (traj_id, step) JOIN b n ON n.traj_id = u.traj_id AND n.step = u.step + 1),
+hs AS (SELECT traj_id, count(*) AS n, avg(hv + h*h) AS xx_hh, avg(h*v) AS xx_hv, avg(lag + h*hp) - avg(hv + h*h) AS xdx_hh, avg(h*dx) AS xdx_hv, avg(v*dh) AS xdx_vh,
+  avg(hpv + hp*hp) - 2*avg(lag + h*hp) + avg(hv + h*h) AS dxdx_hh, avg(dh*dx) AS dxdx_hv, avg(x*h) AS bkx_h, avg(x*dh) AS bkdx_h,
+  avg(v*v) AS xx, avg(v*dx) AS xdx, avg(dx*dx) AS dxdx, avg(x*v) AS bkx, avg(x*dx) AS bkdx, avg(x*x) AS bkbk, max(CASE WHEN step = 0 THEN h END) AS mu0,
+  0.5*(1 + ln(2*pi())) + 0.5*avg(ln(hpv*hv - lag*lag)) - 0.5*avg(ln(hv)) AS hs FROM t GROUP BY traj_id)"""
+HIDDEN_NAMES = {"xx_hh": ("xx", 3), "xx_hv": ("xx", 2), "xdx_hh": ("xdx", 3), "xdx_hv": ("xdx", 2), "xdx_vh": ("xdx", 1), "dxdx_hh": ("dxdx", 3), "dxdx_hv": ("dxdx", 2), "bkx_h": ("bkx", 1), "bkdx_h": ("bkdx", 1), "xx": ("xx", 0), "xdx": ("xdx", 0), "dxdx": ("dxdx", 0), "bkx": ("bkx", 0), "bkdx": ("bkdx", 0), "bkbk": ("bkbk", 0), "mu0": ("mu0", 0), "hs": ("hs", 0)}
+
+
+@query("hidden_stats", f"WITH RECURSIVE {HIDDEN} SELECT traj_id, n::BIGINT AS n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in HIDDEN_NAMES)} FROM hs")
+def _(spark, sf_dir):
+    return statespace.hidden_stats(pairs(spark, sf_dir), [m1()]).select("traj_id", "n", *[r6(x0(s, i)).alias(c) for c, (s, i) in HIDDEN_NAMES.items()])
+
+
+#: M-step with one visible and one hidden variable: force by visible blocks, F and S by 2 x 2 algebra.
+MSTEP = f"""{HIDDEN}, g AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in HIDDEN_NAMES)} FROM hs),
+f1 AS (SELECT *, (bkdx - xdx/xx*bkx)/(bkbk - bkx*bkx/xx) AS fo, xx*xx_hh - xx_hv*xx_hv AS det FROM g),
+y AS (SELECT *, xdx - fo*bkx AS y00, xdx_hv - fo*bkx_h AS y01, xdx_vh AS y10, xdx_hh AS y11 FROM f1),
+fr AS (SELECT *, -(y00*xx_hh - y01*xx_hv)/det AS f00, -(y01*xx - y00*xx_hv)/det AS f01, -(y10*xx_hh - y11*xx_hv)/det AS f10, -(y11*xx - y10*xx_hv)/det AS f11 FROM y),
+ns AS (SELECT *,
+  dxdx + 2*(f00*xdx + f01*xdx_hv) - 2*fo*bkdx + f00*f00*xx + 2*f00*f01*xx_hv + f01*f01*xx_hh - 2*fo*(f00*bkx + f01*bkx_h) + fo*fo*bkbk AS s00,
+  dxdx_hv + (f00*xdx_vh + f01*xdx_hh) + (f10*xdx + f11*xdx_hv) - fo*bkdx_h + f00*f10*xx + (f00*f11 + f01*f10)*xx_hv + f01*f11*xx_hh - fo*(f10*bkx + f11*bkx_h) AS s01,
+  dxdx_hh + 2*(f10*xdx_vh + f11*xdx_hh) + f10*f10*xx + 2*f10*f11*xx_hv + f11*f11*xx_hh AS s11 FROM fr)"""
+MSTEP_OUT = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("fo", "f00", "f01", "f10", "f11", "s00", "s01", "s11", "mu0"))
+
+
+def _model_columns(spark: SparkSession, rows: DataFrame, x: StateModel) -> DataFrame:
+    """One row of the coefficients beside an aggregate of the data."""
+    values = {"fo": x.force[0, 0], "f00": x.friction[0, 0], "f01": x.friction[0, 1], "f10": x.friction[1, 0], "f11": x.friction[1, 1], "s00": x.noise[0, 0], "s01": x.noise[0, 1], "s11": x.noise[1, 1], "mu0": x.mu0[0]}
+    return rows.select(*[r6(F.lit(float(v))).alias(c) for c, v in values.items()])
+
+
+@query("m_step", f"WITH RECURSIVE {MSTEP} SELECT {MSTEP_OUT} FROM ns")
+def _(spark, sf_dir):
+    averaged = statespace.average_hidden(statespace.hidden_stats(pairs(spark, sf_dir), [m1()]), 1, 1, 1)
+    return _model_columns(spark, averaged, em.next_model(averaged.first(), m1()))
+
+
+#: Likelihood of the fixed model: residual of dz + F z - P f b under its noise (diagonal here).
+SCORE = f"""{HIDDEN}, g AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in HIDDEN_NAMES)} FROM hs),
+r AS (SELECT hs, c.s00 AS n00, c.s11 AS n11,
+  dxdx + 2*(f00*xdx - rv*xdx_hv) - 2*fo*bkdx + f00*f00*xx - 2*f00*rv*xx_hv + rv*rv*xx_hh - 2*fo*(f00*bkx - rv*bkx_h) + fo*fo*bkbk AS m00,
+  dxdx_hh + 2*(f10*xdx_vh + (1-rh)*xdx_hh) + f10*f10*xx + 2*f10*(1-rh)*xx_hv + (1-rh)*(1-rh)*xx_hh AS m11 FROM g, c),
+sc AS (SELECT -0.5*(m00/n00 + m11/n11) - 0.5*(2*ln(2*pi()) + ln(n00*n11)) + hs AS ll FROM r)"""
+
+
+@query("score", f"WITH RECURSIVE {SCORE} SELECT (SELECT count(*) FROM p)::BIGINT AS n, round(ll, 6) + 0.0 AS ll FROM sc")
+def _(spark, sf_dir):
+    trans = pairs(spark, sf_dir)
+    return trans.agg(F.count(F.lit(1)).alias("n")).withColumn("ll", r6(F.lit(statespace.score(trans, [m1()])[0])))
+
+
+COMPLETE = f"""{TRANS}, c AS ({CONST}), k AS (SELECT p.*, y AS h, lead(y) OVER (PARTITION BY t.traj_id ORDER BY t.step) AS hp FROM tr t LEFT JOIN p USING (traj_id, step)),
+e AS (SELECT traj_id, (dx + f00*v - rv*h - fo*x) ** 2 AS a, (hp - h + f10*v + (1-rh)*h) ** 2 AS b, s00, s11 FROM k, c WHERE vp IS NOT NULL),
+pt AS (SELECT avg(a/s00 + b/s11) AS m FROM e GROUP BY traj_id)
+SELECT round(-0.5*avg(m) - 0.5*(2*ln(2*pi()) + ln({S1[0, 0]}*{S1[1, 1]})), 6) + 0.0 AS ll, count(*)::BIGINT AS n_traj FROM pt"""
+
+
+@query("score_complete", f"WITH {COMPLETE}")
+def _(spark, sf_dir):
+    trans = pairs(spark, sf_dir)
+    hidden = e2(spark, sf_dir).select("traj_id", "step", F.array(x0("x", 1)).alias("h"))
+    return trans.agg(F.countDistinct("traj_id").alias("n_traj")).withColumn("ll", r6(F.lit(statespace.score_complete(trans, hidden, m1()))))
+
+
+@query("em_one_iteration", f"WITH RECURSIVE {MSTEP.replace('ns AS', 'nz AS')}, sc AS (SELECT 1) SELECT {MSTEP_OUT} FROM nz")
+def _(spark, sf_dir):
+    trans = pairs(spark, sf_dir)
+    fit = em.fit_em(trans, 1, 1, 1, init="user", start=m1(), max_iter=1)
+    return _model_columns(spark, fit.models, fit.best)
+
+
+def _fit(spark: SparkSession, sf_dir: str, n: int = 10) -> em.Fit:
+    return em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="user", start=m1(), max_iter=n, tol=0.0)
+
+
+@query("em_ten_iterations")
+def _(spark, sf_dir):
+    return _fit(spark, sf_dir).trace.select("init", "iter", r6("ll").alias("ll"), r6("change").alias("change"))
+
+
+@query("em_starts")
+def _(spark, sf_dir):
+    return em.with_change(em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="markov", n_init=3, max_iter=4, seed=SEED).trace)
+
+
+#: A trace out of the data: likelihoods of the fits of bootstrap splits, as if iterations of two starts.
+TRACE = f"{BOOT}, l AS (SELECT 0 AS model_id, split_id % 2 AS init, split_id // 2 AS iter, -0.5 - 0.5*(ln(2*pi()) + ln(sst)) AS ll FROM k)"
+
+
+@query("best_start", f"WITH {TRACE} SELECT model_id, init::INTEGER AS init, iter::INTEGER AS iter, round(ll, 6) + 0.0 AS ll FROM l ORDER BY l.ll DESC LIMIT 1")
+def _(spark, sf_dir):
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    fits = markov.fit_markov(pairs(spark, sf_dir), 1, 1, weights=weights)
+    trace = fits.select(F.lit(0).alias("model_id"), (F.col("split_id") % 2).alias("init"), F.expr("cast(split_id div 2 as int)").alias("iter"), "ll")
+    return em.best_start(trace).select("model_id", "init", "iter", r6("ll").alias("ll"))
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with one hidden variable: visible friction and noise of bootstrap fits, fixed coupling."""
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    fits = markov.fit_markov(pairs(spark, sf_dir), 1, 1, weights=weights)
+    hh = F.lit(0.5) + F.col("split_id") * 0.1
+    return fits.select(F.col("split_id").alias("model_id"), F.lit(1).alias("dim_x"), F.lit(1).alias("dim_h"), F.lit(1.0).alias("dt"), F.array(x0("a"), F.lit(0.3), F.lit(-0.3), hh).alias("a"), F.array(x0("c"), F.lit(0.1), F.lit(0.1), F.lit(1.0)).alias("c"), "force", "ll")
+
+
+MODELS = f"{BOOT}, z AS (SELECT split_id::INTEGER AS model_id, a, 0.3::DOUBLE AS vh, -0.3::DOUBLE AS hv, 0.5::DOUBLE + split_id * 0.1::DOUBLE AS hh, sst / (2 * a) AS c, force, -0.5 - 0.5*(ln(2*pi()) + ln(sst)) AS ll FROM k)"
+
+
+@query("information_criteria", f"""WITH {MODELS}, n AS (SELECT count(*) AS n FROM tr), i AS (SELECT model_id, -2*ll*n + 4 AS aic, -2*ll*n + 2*ln(n) AS bic FROM z, n)
+SELECT model_id, round(aic, 4) + 0.0 AS aic, round(bic, 4) + 0.0 AS bic, row_number() OVER (ORDER BY aic, model_id)::INTEGER AS aic_rank, row_number() OVER (ORDER BY bic, model_id)::INTEGER AS bic_rank FROM i""")
+def _(spark, sf_dir):
+    fits = models(spark, sf_dir).withColumn("dim_h", F.lit(0))
+    got = model.information_criteria(fits, e1(spark, sf_dir).count())
+    return got.select("model_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("aic", "bic")], "aic_rank", "bic_rank")
+
+
+@query("coefficients", f"WITH {BOOT} SELECT split_id::INTEGER AS model_id, round(a, 6) + 0.0 AS a, round(sst / (2 * a), 6) + 0.0 AS c, round(sst, 6) + 0.0 AS sst FROM k")
+def _(spark, sf_dir):
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    fits = markov.fit_markov(pairs(spark, sf_dir), 1, 1, weights=weights).withColumnRenamed("split_id", "model_id")
+    user = model.to_user(fits.withColumn("friction", F.transform("a", lambda v: v * F.col("dt"))))
+    back = model.from_user(user.withColumns({"dim_x": F.lit(1), "dim_h": F.lit(0), "dt": F.lit(1.0)}))
+    return user.join(back, "model_id").select("model_id", r6(x0("a")).alias("a"), r6(x0("c")).alias("c"), r6(x0("sst")).alias("sst"))
+
+
+@query("likelihood_curve")
+def _(spark, sf_dir):
+    df = pairs(spark, sf_dir)
+    split = resample.shuffle_split(e1(spark, sf_dir), 1, 0.8, SEED)
+    part = lambda role: df.join(split.where(F.col("role") == role), "traj_id", "left_semi")
+    trace = [m1()]
+    train = statespace.grouped(part("train"))
+    for i in range(1, 4):
+        row = statespace.average_hidden(statespace.hidden_stats(train, [trace[-1]]), 1, 1, 1).first()
+        after = em.next_model(row, trace[-1])
+        trace.append(StateModel(after.friction, after.force, after.noise, after.mu0, after.sig0, 1.0, i))
+    out = em.likelihood_curve(train, part("test"), trace)
+    train.unpersist()
+    return out
+
+
+@query("memory_kernel", f"WITH {MODELS} SELECT model_id, n::BIGINT AS n, (n * 0.5)::DOUBLE AS t, round(-vh*hv*exp(-n*0.5*hh) + CASE WHEN n = 0 THEN a ELSE 0 END, 6) + 0.0 AS value FROM z, range(40) r(n)")
+def _(spark, sf_dir):
+    return model.memory_kernel(models(spark, sf_dir), 40, 0.5).select("model_id", "n", "t", r6("value").alias("value"))
+
+
+@query("memory_kernel_log", f"""WITH {MODELS}, e AS (SELECT *, exp(ln(0.5::DOUBLE) + n * (ln(25 / hh) - ln(0.5::DOUBLE)) / 149) AS t FROM z, range(150) r(n))
+SELECT model_id, n::BIGINT AS n, round(t, 6) + 0.0 AS t, round(-vh*hv*exp(-t*hh) + CASE WHEN n = 0 THEN a ELSE 0 END, 6) + 0.0 AS value FROM e""")
+def _(spark, sf_dir):
+    return model.memory_kernel_logspace(models(spark, sf_dir), 0.5).select("model_id", "n", r6("t").alias("t"), r6("value").alias("value"))
+
+
+@query("memory_timescales", f"WITH {MODELS} SELECT model_id, 0 AS mode, round(hh, 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM z")
+def _(spark, sf_dir):
+    return model.memory_timescales(models(spark, sf_dir)).select("model_id", "mode", r6("re").alias("re"), r6("im").alias("im"))
+
+
+@query("friction_matrix", f"WITH {MODELS} SELECT model_id, 0 AS i, 0 AS j, round(a - vh*hv/hh, 6) + 0.0 AS value FROM z")
+def _(spark, sf_dir):
+    return model.friction_matrix(models(spark, sf_dir)).select("model_id", "i", "j", r6("value").alias("value"))
+
+
+@query("diagonal_gauge")
+def _(spark, sf_dir):
+    return model.diagonal_gauge(models(spark, sf_dir))
+
+
+@query("prony_split", f"WITH {MODELS} SELECT model_id, 0 AS mode, round(abs(vh*hv), 6) + 0.0 AS amp, round(-hh, 6) + 0.0 AS rate_re, round(CASE WHEN -vh*hv < 0 THEN pi() ELSE 0 END, 6) + 0.0 AS phase FROM z")
+def _(spark, sf_dir):
+    return model.prony_modes(models(spark, sf_dir)).select("model_id", "mode", r6("amp").alias("amp"), r6("rate_re").alias("rate_re"), r6(F.abs("phase")).alias("phase"))
+
+
+@query("prony_fit", f"WITH {MODELS} SELECT model_id AS series_id, 0 AS mode, round(abs(vh*hv), 5) + 0.0 AS amp, round(-hh, 5) + 0.0 AS rate_re FROM z")
+def _(spark, sf_dir):
+    series = model.memory_kernel(models(spark, sf_dir), 40, 0.5, no_dirac=True).select(F.col("model_id").alias("series_id"), "t", "value")
+    return model.prony_fit(series, 1).select("series_id", "mode", (F.round("amp", 5) + F.lit(0.0)).alias("amp"), (F.round("rate_re", 5) + F.lit(0.0)).alias("rate_re"))
+
+
+@query("prony_eval", f"WITH {MODELS} SELECT model_id, n::DOUBLE AS t, round(-vh*hv*exp(-n*hh), 6) + 0.0 AS value FROM z, range(20) r(n)")
+def _(spark, sf_dir):
+    times = spark.range(20).select(F.col("id").cast("double").alias("t"))
+    return model.prony_eval(model.prony_modes(models(spark, sf_dir)), times).select("model_id", "t", r6("value").alias("value"))
+
+
+V1 = f"{TR}, v1 AS (SELECT traj_id, step, x, lead(x) OVER (PARTITION BY traj_id ORDER BY step) - x AS v FROM tr), v AS (SELECT traj_id, step, x, v, count(*) OVER (PARTITION BY traj_id) AS n FROM v1 WHERE v IS NOT NULL)"
+LAGS = f"""{V1}, c AS (SELECT traj_id, lag, sum(w) / (any_value(n) - lag) AS value FROM (SELECT a.traj_id, b.step - a.step AS lag, a.v * b.v AS w, a.n
+  FROM v a JOIN v b ON a.traj_id = b.traj_id AND b.step - a.step BETWEEN 0 AND {KNOWN_LAG} WHERE b.step - a.step < a.n // 2) GROUP BY traj_id, lag)"""
+
+
+def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    v = F.lead(x0()).over(Window.partitionBy("traj_id").orderBy("step")) - x0()
+    return e1(spark, sf_dir).select("traj_id", "step", v.alias("v")).where("v is not null")
+
+
+@query("correlation", f"WITH {LAGS} SELECT traj_id, lag::BIGINT AS lag, round(value, 6) + 0.0 AS value FROM c")
+def _(spark, sf_dir):
+    return correlation(_velocity(spark, sf_dir), "v", max_lag=KNOWN_LAG).select("traj_id", "lag", r6("value").alias("value"))
+
+
+@query("vacf", f"WITH {LAGS}, s AS (SELECT lag, sum(value) AS s FROM c GROUP BY lag) SELECT lag::BIGINT AS lag, round(s / (SELECT s FROM s WHERE lag = 0), 6) + 0.0 AS value FROM s")
+def _(spark, sf_dir):
+    return vacf(_velocity(spark, sf_dir), "v", KNOWN_LAG).select("lag", r6("value").alias("value"))
+
+
+@query("force_field", f"WITH {MODELS} SELECT model_id, i::INTEGER AS i_1, round(-10 + i * (20.0::DOUBLE / 24), 6) + 0.0 AS x_1, round(force * (-10 + i * (20.0::DOUBLE / 24)), 6) + 0.0 AS f_1 FROM z, range(25) r(i)")
+def _(spark, sf_dir):
+    return model.force_field([(-10, 10, 25)], B.LinearBasis(), models(spark, sf_dir)).select("model_id", "i_1", r6("x_1").alias("x_1"), r6("f_1").alias("f_1"))
+
+
+@query("force_field_2d", f"""WITH {MODELS}, gr AS (SELECT model_id, i, j, -2 + i * 0.4::DOUBLE AS x, -1 + j * 0.5::DOUBLE AS y, force FROM z, range(11) a(i), range(5) b(j))
+SELECT model_id, i::INTEGER AS i, j::INTEGER AS j, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(force * x, 6) + 0.0 AS fx, round(force * y, 6) + 0.0 AS fy FROM gr""")
+def _(spark, sf_dir):
+    both = models(spark, sf_dir).withColumn("force", F.array(x0("force"), F.lit(0.0), F.lit(0.0), x0("force")))
+    return model.force_field_2d([(-2, 2, 11), (-1, 1, 5)], B.LinearBasis(2), both).select("model_id", "i", "j", *[r6(c).alias(c) for c in ("x", "y", "fx", "fy")])
+
+
+@query("kernel_bands", f"""WITH {MODELS}, e AS (SELECT n * 0.5 AS t, -vh*hv*exp(-n*0.5*hh) + CASE WHEN n = 0 THEN a ELSE 0 END AS value FROM z, range(40) r(n))
+SELECT t::DOUBLE AS t, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM e GROUP BY t""")
+def _(spark, sf_dir):
+    return model.bands(model.memory_kernel(models(spark, sf_dir), 40, 0.5), ["t"]).select("t", r6("mean").alias("mean"), r6("p05").alias("p05"), r6("p95").alias("p95"))
