@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Second-level parts of a first-level part; signatures leave one of them out. Small sets get more,
 #: so that what a signature stands for is never nearly empty.
 PARTS, SMALL_PARTS, SMALL = 2, 4, 100
 #: Rounds of pivots before all pairs that are still open are compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
+#: Bits of a parity sketch: each element of a set flips one.
+SKETCH = 512
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 #: Ids broadcast at most (8 bytes each); more are joined by shuffles.
 BROADCAST_IDS = 500_000
 
@@ -36,12 +36,12 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 class _Words(dict):
     """64-bit hash of a word, the same in every worker."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= 500_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -49,17 +49,20 @@ _hashes = _Words().__getitem__
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's n-word shingles, sorted; fewer words are one shingle."""
-    found = WORD.findall(text.translate(LOWER)) if text else []
+    """Distinct 64-bit hashes of a text's n-word shingles, sorted; fewer words are one shingle.
+
+    The words of bytes are those between blanks, tabs and line ends, and only A-Z change case.
+    """
+    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes, found), np.uint64, len(found))
     k = min(n, len(h))
-    out = _mix(h[: len(h) - k + 1], k)
+    out = np.full(len(h) - k + 1, k, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(1, k):
-            out = _mix(out * np.uint64(0x100000001B3) + h[i : len(h) - k + 1 + i], i)
-    return np.unique(out)
+        for i in range(k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
+    return np.unique(_mix(out, 0))
 
 
 @lru_cache(maxsize=16)
@@ -102,10 +105,10 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
         k = math.floor((100 - percent) * largest / (100 + percent))
         # a set as large as the whole can only agree with itself
         n1, n2 = (1, 1) if k == 0 else (math.ceil((k + 1) / 2), SMALL_PARTS if all_bands[j][1] < SMALL else PARTS)
-        cell = _mix(items, 101) % np.uint64(n1 * n2)
+        cell = ((items >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, cell.astype(np.int64), _mix(items, 202))
-        counts = np.bincount(cell.astype(np.int64), minlength=n1 * n2).astype(np.uint64)
+        np.add.at(sums, cell, items)
+        counts = np.bincount(cell, minlength=n1 * n2).astype(np.uint64)
         with np.errstate(over="ignore"):
             both = _mix(sums, 303) + counts * np.uint64(0xD6E8FEB86659FD93)
             if n2 == 1:
@@ -119,20 +122,28 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(n: int):
-    """Size and two sums of hashes, which tell sets apart."""
+    """Size, two sums of hashes, which tell sets apart, and the parity sketch."""
 
     def emit(batches):
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
-                rows.append((len(s), *(int(_mix(s, x).sum(dtype=np.uint64).view(np.int64)) for x in (1, 2))))
-            size, x, y = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, x, y))], ["doc_id", "n_shingles", "x", "y"])
+                flips = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+                rows.append((len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mix(s, 2))), *np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()))
+            columns = zip(*rows, strict=True) if rows else [()] * (3 + len(SKETCHES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_shingles", "x", "y", *SKETCHES])
 
     return emit
 
 
+def _may_link(one: str, other: str, percent: int) -> Column:
+    """Whether two nodes' sketches allow a link: sets that differ in h elements have sketches that
+    differ in at most h bits. one and other: prefixes of the columns n_shingles and s0 .. s7."""
+    bits = sum((F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCHES), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * (F.col(f"{one}n_shingles") + F.col(f"{other}n_shingles"))
+
+
 def _signed(n: int, percent: int, rows: int = 1_000_000):
     def emit(batches):
         def flat(held):
@@ -210,6 +221,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     Pairs of one component need no comparison: in each round every signature's nodes of other
     components are compared with one pivot, so a group of near copies costs its size, not its
     square; after PIVOT_ROUNDS all candidates that still lie in different components are compared.
+    Before that, parity sketches rule out those that differ in too many elements to link.
     No link between different components is lost.
 
     Returns doc_id, n_shingles long, component_id long. Words are whole runs of non-blanks with A-Z
@@ -219,32 +231,32 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     table gives none.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long"))
+    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long, " + ", ".join(f"{c} long" for c in SKETCHES)))
     full = made.where("n_shingles > 0")
-    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node")))
+    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in SKETCHES]))
     by_sig = Window.partitionBy("sig")
     # rows of one id but another text than its node's are harmless: they only add candidates
     signed = _among(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_signed(n, percent), "node long, sig long")
     shared = materialise(signed.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
     links, comps, seen = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        if comps is None:
-            held = shared.withColumn("comp", F.col("node"))
+        info = nodes.drop("x", "y").withColumn("comp", F.col("node")) if comps is None else nodes.drop("x", "y").join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if turn == 0:
+            # the node that shares most signatures is likely the middle of its group; later rounds turn to others
+            info = info.join(shared.groupBy("node").agg((-F.count(F.lit(1))).alias("r")), "node")
         else:
-            held = shared.join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            info = info.withColumn("r", F.xxhash64("node", F.lit(turn)))
+        held = shared.join(info, "node")
         if turn < PIVOT_ROUNDS:
-            # the node that shares most signatures is likely the middle of its group; later rounds turn to others
-            if turn == 0:
-                rank = shared.groupBy("node").agg((-F.count(F.lit(1))).alias("r"))
-                held = held.join(rank, "node")
-            else:
-                held = held.withColumn("r", F.xxhash64("node", F.lit(turn)))
-            first = F.min(F.struct("r", "node", "comp")).over(by_sig)
-            pairs = held.withColumn("p", first).where(F.col("p.comp") != F.col("comp")).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
+            first = F.min(F.struct("r", "node", "comp", "n_shingles", *SKETCHES)).over(by_sig)
+            starred = held.withColumn("p", first).where(F.col("p.comp") != F.col("comp")).where(_may_link("", "p.", percent))
+            pairs = starred.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
         else:
-            mixed = materialise(held.withColumn("l", F.min("comp").over(by_sig)).withColumn("h", F.max("comp").over(by_sig)).where("l <> h").select("sig", "node", "comp"))
-            other = mixed.select("sig", F.col("node").alias("node_b"), F.col("comp").alias("comp_b"))
-            pairs = mixed.join(other, "sig").where("node < node_b and comp <> comp_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+            mixed = held.withColumn("l", F.min("comp").over(by_sig)).withColumn("h", F.max("comp").over(by_sig)).where("l <> h").select("sig", "node", "comp", "n_shingles", *SKETCHES)
+            mixed = materialise(mixed)
+            other = mixed.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n_shingles", *SKETCHES)])
+            pairs = mixed.join(other, (mixed["sig"] == other["sig"]) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & _may_link("", "o_", percent))
+            pairs = pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -255,7 +267,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         seen = pairs if seen is None else seen.union(pairs)
         links = found if links is None else links.union(found)
         comps = connected_components(links)
-    named = full.join(nodes, ["n_shingles", "x", "y"])
+    named = full.select("doc_id", "n_shingles", "x", "y").join(nodes.select("n_shingles", "x", "y", "node"), ["n_shingles", "x", "y"])
     if comps is not None:
         named = named.join(comps, "node", "left").withColumn("node", F.coalesce("component", "node"))
     rest = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
