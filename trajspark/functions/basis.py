@@ -192,11 +192,20 @@ def design(knots: np.ndarray, x: np.ndarray, degree: int, inside: float | None =
     return b
 
 
+def interval(v: Column, breaks) -> Column:
+    """Number of the interval between breaks that holds v; the first and last go on outside. Even
+    breaks need no search."""
+    n, step = len(breaks) - 1, (breaks[-1] - breaks[0]) / (len(breaks) - 1)
+    if n > 64 and np.allclose(np.diff(breaks), step, rtol=1e-9):
+        return F.least(F.greatest(F.floor((v - float(breaks[0])) / float(step)), F.lit(0)), F.lit(n - 1)).cast("int")
+    inner = [F.lit(float(b)) for b in breaks[1:-1]]
+    return F.size(F.filter(F.array(*inner), lambda e: e <= v)) if inner else F.lit(0)
+
+
 def piecewise(v: Column, breaks: np.ndarray, polynomials: np.ndarray, derivative: int = 0) -> list[Column]:
     """A Column of each polynomial column at v: the interval is looked up, then Horner's rule. Outside,
     the end intervals' polynomials go on."""
-    inner = [F.lit(float(b)) for b in breaks[1:-1]]
-    at = F.size(F.filter(F.array(*inner), lambda e: e <= v)) if inner else F.lit(0)
+    at = interval(v, breaks)
     d = v - F.get(F.array(*[F.lit(float(b)) for b in breaks[:-1]]), at)
     degree, out = polynomials.shape[1] - 1, []
     for c in range(polynomials.shape[2]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .basis import Basis, _x, design, piecewise, spline_knots, spline_polynomials
+from .basis import Basis, _x, design, interval, piecewise, spline_knots, spline_polynomials
 
 
 def _cubic(x: np.ndarray, y: np.ndarray, periodic: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +126,21 @@ class MeanForceBasis(Basis):
         return knots, np.linalg.solve(right, np.linalg.solve(left, np.array(self.values)).T).T
 
     def _surface(self, x: str | Column, derivative: tuple[int, int]) -> Column:
-        """Sum over basis splines of both axes: polynomials in each axis, then a small product."""
+        """In each cell four splines of each axis count: their values times a 4 x 4 part of the
+        coefficients."""
         knots, coefs = self._two()
-        parts = [F.array(*piecewise(_x(x, i), *spline_polynomials(knots[i], np.eye(len(coefs) if i == 0 else coefs.shape[1]), 3), derivative[i])) for i in range(2)]
-        rows = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in coefs])
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-        return dot(parts[0], F.transform(rows, lambda r: dot(r, parts[1])))
+        values, places = [], []
+        for i in range(2):
+            breaks, p = spline_polynomials(knots[i], np.eye(coefs.shape[i]), 3)
+            near = np.stack([p[a][:, a : a + 4] for a in range(len(p))])
+            values.append(piecewise(_x(x, i), breaks, near, derivative[i]))
+            places.append(interval(_x(x, i), breaks))
+        table = F.from_json(F.lit(json.dumps(coefs.ravel().tolist())), "array<double>")
+        total = F.lit(0.0)
+        for a in range(4):
+            for b in range(4):
+                total = total + values[0][a] * values[1][b] * F.get(table, (places[0] + a) * coefs.shape[1] + places[1] + b)
+        return total
 
     def column(self, x: str | Column) -> Column:
         if self.dim_x == 1:
