@@ -165,7 +165,7 @@ def test_sainte_lague(spark):
 
 def test_quality(spark, odd, empty):
     got = quality.quality_rules(odd).toPandas()
-    assert len(got) == len(ODD) and not got["kept"].any() | got["base_failed"].all() or True
+    assert len(got) == len(ODD) and not (got["kept"] & got["base_failed"]).any()
     row = got[got["doc_id"] == 7].iloc[0]
     assert row["n_words"] == 12000 and row["n_repeat_words"] == 12000 and row["base_failed"]
     blank = got[got["doc_id"].isin([1, 2, 3])]
@@ -252,11 +252,11 @@ def test_components(spark):
 
 def test_toxicity(spark, odd, empty):
     """Held-out precision and recall, and a pair of words that only together are toxic."""
-    path = "/root/testdata/sf0.01"
+    path = "/root/testdata/sf0.1"  # the smaller tables have too few labels to learn rare insults from
     got = QUERIES["op8_toxicity"](spark, path).toPandas()
     held = got.merge(pd.read_parquet(f"{path}/labels.parquet"), on="doc_id").query("held_out")
-    assert not held.query("toxic == 0")["predicted"].any() or held.query("toxic == 0")["predicted"].mean() < 0.03
-    assert held.query("toxic == 1")["score"].median() > held.query("toxic == 0")["score"].quantile(0.95)
+    hits = held.query("predicted == 1")
+    assert hits["toxic"].mean() > 0.95 and held.query("toxic == 1")["predicted"].mean() > 0.8
     rng = np.random.default_rng(0)
     rows, y = [], []
     for _ in range(2000):
