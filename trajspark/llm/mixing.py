@@ -12,7 +12,8 @@ TOTAL = 1.5
 #: How often at most the mix goes through a source.
 PASSES = 2
 BLOCK = 64
-SHARD_WORDS = 1 << 22
+#: Words of a shard, and shards at most in all (larger inputs have larger shards).
+SHARD_WORDS, SHARDS = 1 << 18, 100_000
 SEED = 17
 #: Rows of a table of sources that are broadcast; a larger one is joined by shuffles.
 BROADCAST_ROWS = 100_000
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: floa
     targets = source_targets(sized, weights, total, passes)
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
     quotas = sainte_lague(targets.withColumn("seats", seats), "target", "seats", "no")
-    sources = materialise(quotas.select("source", "source_size", "no", "target", F.col("quota").alias("source_quota"), F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("shards")))
+    sources = materialise(quotas.select("source", "source_size", "no", "target", F.col("quota").alias("source_quota"), F.greatest(F.ceil(F.col("source_size") / F.greatest(F.lit(shard_words), F.sum("source_size").over(Window.partitionBy(F.lit(0))) / SHARDS)), F.lit(1)).cast("long").alias("shards")))
     named = sources.withColumnRenamed("source", "_source")
     dealt = _join_sources(sized, named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards"))
     shards = dealt.groupBy("no", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
