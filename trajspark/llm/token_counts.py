@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_dir
+from .common import documents, materialise, scratch_dir
 from .encoding import encoder
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -62,8 +62,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     misses = distinct.join(read_cache(spark, cache, tokenizer), "content", "left_anti")
     counted = misses.mapInArrow(_encode(tokenizer_path), "content string, n_tokens long")
     counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    # inner: each content is in the cache by now
-    return rows.join(read_cache(spark, cache, tokenizer), "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # inner: each content is in the cache by now. Counts are written, so that both sides of the join are
+    # plain exchanges and Spark can split a content that very many rows hold
+    return rows.join(materialise(read_cache(spark, cache, tokenizer)), "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
