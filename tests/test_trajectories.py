@@ -128,6 +128,20 @@ def test_smoother_against_dense_solve():
         np.testing.assert_allclose(cross[t], cov[2 * t : 2 * t + 2, 2 * t + 2 : 2 * t + 4], atol=1e-10)
 
 
+def test_smoother_in_chunks(spark):
+    """Chunks of 13 transitions give what whole trajectories do; long covariances don't change."""
+    trans = pairs(spark, DATA).where("traj_id < 4")
+    key = ["traj_id", "step"]
+    one, two = (f.toPandas().sort_values(key).reset_index(drop=True) for f in (statespace.smooth_hidden(trans, m1()), statespace.smooth_long(trans, m1(), 13)))
+    assert one[[*key, "is_last"]].equals(two[[*key, "is_last"]])
+    for c in ("mean", "cov", "cov_lag"):
+        here = ~one["is_last"] | (c != "cov_lag")
+        np.testing.assert_allclose(*(np.stack(f[c][here]).astype(float) for f in (one, two)), atol=1e-12)
+    whole, part = m1().smooth_cov(6000), m1().smooth_part(6000, 0, 6000)
+    for a, b in zip(whole, part, strict=True):
+        np.testing.assert_allclose(a, b, atol=1e-12)
+
+
 def test_em_goldens(spark):
     """Likelihoods of three iterations rise, the force is the memoryless one, partitions don't matter."""
     trans = pairs(spark, DATA)

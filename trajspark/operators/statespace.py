@@ -34,6 +34,7 @@ class StateModel:
     model_id: int = 0
     _filter: list = field(default_factory=list, repr=False)
     _smooth: dict = field(default_factory=dict, repr=False)
+    _steady: bool = field(default=False, repr=False)
 
     def __post_init__(self):
         self.force = np.atleast_2d(np.asarray(self.force, float))
@@ -42,15 +43,18 @@ class StateModel:
         self.r = np.eye(self.d + self.m)[:, self.d :] - self.friction[:, self.d :]
 
     def filter_cov(self, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """Covariance of the filtered state t, and the gain that leads to state t + 1."""
-        while len(self._filter) <= t:
+        """Covariance of the filtered state t, and the gain that leads to state t + 1. From where they
+        no longer change on, they are kept once."""
+        while len(self._filter) <= t and not self._steady:
             s = self._filter[-1][2] if self._filter else self.sig0
             q = self.noise + self.r @ s @ self.r.T
             d = self.d
             gain = np.linalg.solve(q[:d, :d], q[:d, d:]).T
             after = q[d:, d:] - gain @ q[:d, d:]
-            self._filter.append((s, gain, 0.5 * (after + after.T)))
-        return self._filter[t][:2]
+            after = 0.5 * (after + after.T)
+            self._steady = bool(np.abs(after - s).max() <= 1e-15 * (1 + np.abs(s).max()))
+            self._filter.append((s, gain, after))
+        return self._filter[min(t, len(self._filter) - 1)][:2]
 
     def smooth_cov(self, length: int):
         """For each of `length` transitions: gain G, smoothed covariance, and Cov(h_t, h_t+1)."""
@@ -66,6 +70,22 @@ class StateModel:
             self._smooth[length] = g, cov, cross
         return self._smooth[length]
 
+    def smooth_part(self, length: int, low: int, high: int):
+        """smooth_cov(length) for the transitions low .. high - 1 and the state high, without a matrix
+        for each of very many steps: in the middle nothing changes."""
+        if length > 4096:
+            self.filter_cov(4096)
+            head = len(self._filter)
+            if self._steady:
+                g, cov, cross = self.smooth_cov(head + 2048)
+                still = head + 1024  # steady both from the start and, half-way, from the end
+                if np.abs(cov[head] - cov[still]).max() <= 1e-13:
+                    t = np.arange(low, high + 1)
+                    at = np.where(t < still, t, np.where(t >= length - 1024, t - length + head + 2048, still))
+                    return g[at[:-1]], cov[at], cross[at[:-1]]
+        g, cov, cross = self.smooth_cov(length)
+        return g[low:high], cov[low : high + 1], cross[low:high]
+
     def drift(self, v: np.ndarray, bk: np.ndarray) -> np.ndarray:
         """c_t of the transitions: what the next state is without hidden part and noise."""
         c = -v @ self.friction[:, : self.d].T
@@ -179,6 +199,96 @@ def smooth_hidden(trans: DataFrame, model: StateModel) -> DataFrame:
     return _states(trans, model, True)
 
 
+def _affine(parts) -> tuple[np.ndarray, np.ndarray]:
+    """One map x -> a x + b out of maps that are applied one after the other."""
+    a = b = None
+    for p, q in parts:
+        a, b = (p, q) if a is None else (p @ a, p @ b + q)
+    return a, b
+
+
+def smooth_long(trans: DataFrame, model: StateModel, chunk_rows: int = 10_000) -> DataFrame:
+    """smooth_hidden for trajectories that outgrow a task, by chunks of chunk_rows transitions.
+
+    Means of filter and smoother are affine in the mean before (or after), with matrices that don't
+    depend on data. So each chunk is one affine map; the maps of a trajectory, one row a chunk, give
+    the mean at every chunk's start; chunks then run by themselves. Backwards likewise. The result is
+    that of smooth_hidden, and no task sees more than a chunk of rows.
+    """
+    import pandas as pd
+
+    m, d = model.m, model.d
+    kind = dict(trans.dtypes)["traj_id"]
+    sized = trans.join(trans.groupBy("traj_id").agg(F.count(F.lit(1)).alias("length")), "traj_id")
+    rows = sized.select("traj_id", "step", "v", "v_plus", "bk", "length", F.expr(f"step div {chunk_rows}").alias("chunk"))
+
+    def arrays(frame):
+        frame = frame.sort_values("step")
+        v, v_plus, bk = (np.stack(frame[c].to_numpy()) for c in ("v", "v_plus", "bk"))
+        return frame, v_plus, model.drift(v, bk), int(frame["step"].iloc[0]), int(frame["length"].iloc[0])
+
+    def ahead(v_plus, c, first):
+        """Maps from the filtered mean t to t + 1."""
+        for t in range(len(c)):
+            k = model.filter_cov(first + t)[1]
+            yield model.r[d:] - k @ model.r[:d], c[t, d:] + k @ (v_plus[t] - c[t, :d])
+
+    def back(v_plus, c, first, length, mean):
+        """Maps from the smoothed mean t + 1 to t, last first; mean: filtered, of each t."""
+        g = model.smooth_part(length, first, first + len(c))[0]
+        for t in range(len(c) - 1, -1, -1):
+            yield g[t][:, d:], mean[t] + g[t][:, :d] @ v_plus[t] - g[t] @ (c[t] + model.r @ mean[t])
+
+    def filtered(v_plus, c, first, start):
+        mean = [start]
+        for a, b in ahead(v_plus, c, first):
+            mean.append(a @ mean[-1] + b)
+        return np.array(mean)
+
+    def one(frame, a, b, last=()):
+        return pd.DataFrame([{"traj_id": frame["traj_id"].iloc[0], "chunk": frame["chunk"].iloc[0], "a": a.ravel(), "b": b, "last": np.asarray(last, float)}])
+
+    def forward_maps(frame):
+        frame, v_plus, c, first, _ = arrays(frame)
+        return one(frame, *_affine(ahead(v_plus, c, first)))
+
+    def backward_maps(frame):
+        frame, v_plus, c, first, length = arrays(frame)
+        mean = filtered(v_plus, c, first, np.asarray(frame["start"].iloc[0]))
+        return one(frame, *_affine(back(v_plus, c, first, length, mean)), mean[-1])
+
+    def chained(name: str, forward: bool):
+        def run(frame):
+            frame = frame.sort_values("chunk", ascending=forward)
+            x, out = (model.mu0 if forward else np.asarray(frame["last"].iloc[0])), []
+            for r in frame.itertuples():
+                out.append({"traj_id": r.traj_id, "chunk": r.chunk, name: x})
+                x = np.asarray(r.a).reshape(m, m) @ x + np.asarray(r.b)
+            return pd.DataFrame(out)
+
+        return run
+
+    def states(frame):
+        frame, v_plus, c, first, length = arrays(frame)
+        mean = filtered(v_plus, c, first, np.asarray(frame["start"].iloc[0]))
+        _, cov, cross = model.smooth_part(length, first, first + len(c))
+        x, out = np.asarray(frame["end"].iloc[0]), []
+        for a, b in back(v_plus, c, first, length, mean):
+            x = a @ x + b
+            out.append(x)
+        step, n = np.arange(first, first + len(c)), len(c)
+        out, covs, lags = out[::-1], [a.ravel() for a in cov[:n]], [a.ravel() for a in cross]
+        if first + n == length:  # the last state is the filtered one
+            step, out, covs, lags = np.r_[step, length], [*out, mean[-1]], [*covs, cov[n].ravel()], [*lags, np.full(m * m, np.nan)]
+        return pd.DataFrame({"traj_id": frame["traj_id"].iloc[0], "step": step, "mean": out, "cov": covs, "cov_lag": lags, "is_last": step == length})
+
+    maps = f"traj_id {kind}, chunk long, a array<double>, b array<double>, last array<double>"
+    starts = rows.groupBy("traj_id", "chunk").applyInPandas(forward_maps, maps).groupBy("traj_id").applyInPandas(chained("start", True), f"traj_id {kind}, chunk long, start array<double>")
+    known = rows.join(starts, ["traj_id", "chunk"])
+    ends = known.groupBy("traj_id", "chunk").applyInPandas(backward_maps, maps).groupBy("traj_id").applyInPandas(chained("end", False), f"traj_id {kind}, chunk long, end array<double>")
+    return known.join(ends, ["traj_id", "chunk"]).groupBy("traj_id", "chunk").applyInPandas(states, f"traj_id {kind}, step long, mean array<double>, cov array<double>, cov_lag array<double>, is_last boolean")
+
+
 def predict_hidden(trans: DataFrame, model: StateModel) -> DataFrame:
     return smooth_hidden(trans, model).select("traj_id", "step", "mean", "is_last")
 

@@ -282,6 +282,12 @@ def _(spark, sf_dir):
     return statespace.smooth_hidden(pairs(spark, sf_dir), m1()).select("traj_id", "step", r6(x0("mean")).alias("mean"), r6(x0("cov")).alias("var"), lag.alias("lag"), "is_last")
 
 
+@query("smooth_long", f"WITH RECURSIVE {SMOOTH} SELECT traj_id, step, round(m, 6) + 0.0 AS mean, round(var, 6) + 0.0 AS var, is_last FROM b")
+def _(spark, sf_dir):
+    """In chunks of 20 transitions, as trajectories of any length are."""
+    return statespace.smooth_long(pairs(spark, sf_dir), m1(), 20).select("traj_id", "step", r6(x0("mean")).alias("mean"), r6(x0("cov")).alias("var"), "is_last")
+
+
 @query("predict_hidden", f"WITH RECURSIVE {SMOOTH} SELECT traj_id, step, round(m, 6) + 0.0 AS mean, is_last FROM b")
 def _(spark, sf_dir):
     return statespace.predict_hidden(pairs(spark, sf_dir), m1()).select("traj_id", "step", r6(x0("mean")).alias("mean"), "is_last")
