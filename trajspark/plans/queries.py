@@ -17,7 +17,7 @@ from ..functions.linear import STATS
 from ..operators import em, markov, model, resample, statespace
 from ..operators.correlation import correlation, vacf
 from ..operators.statespace import StateModel
-from ..operators.transitions import trajectory_stats, transitions, visible_stats
+from ..operators.transitions import transitions, visible_stats
 from ..sources.trajectories import as_trajectories, trajectory_summary, with_gradient_velocity
 
 QUERIES = {}
@@ -173,10 +173,9 @@ def _(spark, sf_dir):
 
 @query("basis_bins_combined", f"""WITH {TR}, e AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM tr),
 h AS (SELECT traj_id, step, [(x < (a+b)/2)::INT, (x >= (a+b)/2)::INT, (y < (c+d)/2)::INT, (y >= (c+d)/2)::INT] AS t FROM tr, e),
-q AS (SELECT [[i, j] for i in range(1, 5) for j in range(i, 5)] AS q),
 v AS (SELECT traj_id, step, t || [t[1]*t[1], t[1]*t[2], t[1]*t[3], t[1]*t[4], t[2]*t[2], t[2]*t[3], t[2]*t[4], t[3]*t[3], t[3]*t[4], t[4]*t[4]] AS t FROM h),
 u AS (SELECT unnest(range(14)) AS i, unnest(t) AS value FROM v)
-SELECT i::INTEGER AS i, sum(value)::DOUBLE AS total FROM u GROUP BY i""".replace("q AS (SELECT [[i, j] for i in range(1, 5) for j in range(i, 5)] AS q),\n", ""))
+SELECT i::INTEGER AS i, sum(value)::DOUBLE AS total FROM u GROUP BY i""")
 def _(spark, sf_dir):
     df = e2(spark, sf_dir)
     hot = B.BinsBasis(2, 2, combine=True).fit(df).column("x")
