@@ -15,6 +15,8 @@ from .common import documents, materialise
 #: Second-level parts of a first-level part; signatures leave one of them out. Small sets get more,
 #: so that what a signature stands for is never nearly empty.
 PARTS, SMALL_PARTS, SMALL = 2, 4, 100
+#: Elements of a signature that is worth little; differences from which on there is slack to drop it.
+WEAK, SLACK_FROM = 1, 20
 #: Rounds of pivots before all pairs that are still open are compared.
 PIVOT_ROUNDS = 2
 #: Bits of a parity sketch: each element of a set flips one.
@@ -103,8 +105,9 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
             continue
         largest = all_bands[j][1] + all_bands[j + 1][1]
         k = math.floor((100 - percent) * largest / (100 + percent))
-        # a set as large as the whole can only agree with itself
-        n1, n2 = (1, 1) if k == 0 else (math.ceil((k + 1) / 2), SMALL_PARTS if all_bands[j][1] < SMALL else PARTS)
+        # with k = 0 only equal sets link; above, some more parts than needed give slack
+        n1 = 1 if k == 0 else math.ceil((k + 1) / 2) if k < SLACK_FROM else math.ceil(0.55 * (k + 1)) + 1
+        n2 = 1 if k == 0 else SMALL_PARTS if all_bands[j][1] < SMALL else PARTS if percent >= 90 else PARTS + 1
         cell = ((items >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, cell, items)
@@ -112,12 +115,17 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             both = _mix(sums, 303) + counts * np.uint64(0xD6E8FEB86659FD93)
             if n2 == 1:
-                sig = both
+                sig, held = both, counts
             else:
                 # position matters in a sum of second-level parts
                 placed = _mix(both.reshape(n1, n2) + np.arange(n2, dtype=np.uint64), 404)
                 sig = (placed.sum(axis=1, dtype=np.uint64)[:, None] - placed).ravel()
-            out.append(_mix(sig + np.arange(len(sig), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), j + 505))
+                held = (counts.reshape(n1, n2).sum(axis=1)[:, None] - counts.reshape(n1, n2)).ravel()
+            sig = _mix(sig + np.arange(len(sig), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), j + 505)
+        # linked sets agree on 2 * n1 - k signatures or more; if fewer of this set's stand for hardly
+        # any element, one of the others is among them, and these, which chance matches, can go
+        weak = held <= WEAK
+        out.append(sig[~weak] if k and weak.sum() < 2 * n1 - k else sig)
     return np.concatenate(out)
 
 
