@@ -21,6 +21,8 @@ WEAK, SLACK_FROM = 1, 20
 PIVOT_ROUNDS = 2
 #: Bits of a parity sketch: each element of a set flips one.
 SKETCH = 512
+#: Bits of the sketch that is held against single pairs, of long texts above all.
+LONG_SKETCH = 4096
 SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 #: Ids broadcast at most (8 bytes each); more are joined by shuffles.
 BROADCAST_IDS = 500_000
@@ -134,13 +136,14 @@ def _sets(n: int):
 
     def emit(batches):
         for batch in batches:
-            rows = []
+            rows, long = [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
+                long.append(np.packbits((np.bincount((s >> np.uint64(12) & np.uint64(LONG_SKETCH - 1)).astype(np.int64), minlength=LONG_SKETCH) & 1).astype(np.uint8)).view(np.int64))
                 flips = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
                 rows.append((len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mix(s, 2))), *np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()))
             columns = zip(*rows, strict=True) if rows else [()] * (3 + len(SKETCHES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_shingles", "x", "y", *SKETCHES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array(long, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "x", "y", *SKETCHES, "long"])
 
     return emit
 
@@ -152,6 +155,13 @@ def _may_link(one: str, other: str, percent: int) -> Column:
     return (100 + percent) * bits <= (100 - percent) * (F.col(f"{one}n_shingles") + F.col(f"{other}n_shingles"))
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose long sketches allow a link."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("long").alias(f"long_{k}")) for k in "ab")
+    bits = F.aggregate(F.zip_with("long_a", "long_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return pairs.join(x, "a").join(y, "b").where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _signed(n: int, percent: int, rows: int = 1_000_000):
     def emit(batches):
         def flat(held):
@@ -239,16 +249,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     table gives none.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long, " + ", ".join(f"{c} long" for c in SKETCHES)))
+    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", long array<long>"))
     full = made.where("n_shingles > 0")
-    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in SKETCHES]))
+    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*SKETCHES, "long")]))
     by_sig = Window.partitionBy("sig")
     # rows of one id but another text than its node's are harmless: they only add candidates
     signed = _among(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_signed(n, percent), "node long, sig long")
     shared = materialise(signed.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
     links, comps, seen = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        info = nodes.drop("x", "y").withColumn("comp", F.col("node")) if comps is None else nodes.drop("x", "y").join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        info = nodes.drop("x", "y", "long").withColumn("comp", F.col("node")) if comps is None else nodes.drop("x", "y", "long").join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if turn == 0:
             # the node that shares most signatures is likely the middle of its group; later rounds turn to others
             info = info.join(shared.groupBy("node").agg((-F.count(F.lit(1))).alias("r")), "node")
@@ -268,7 +278,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = materialise(_near(pairs, nodes, percent))
         if not pairs.count():
             continue
         found = materialise(jaccard_links(texts, pairs, n, percent))
