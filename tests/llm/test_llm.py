@@ -298,6 +298,31 @@ def test_lm_scoring(spark, odd, empty, docs):
     assert lm_scoring.score_documents(empty, lm_scoring.train_models(empty, empty), (0, 0)).count() == 0
 
 
+def test_lm_scoring_counts_all(spark, odd, empty, docs, monkeypatch):
+    """Rare words and every pair keep exact counts, however few words are frequent."""
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 300)
+    d = documents(spark, DATA).select("doc_id", "text")
+    got = lm_scoring.score_corpus(d, d.where("doc_id % 3 = 0").select("doc_id"), (200, 67)).toPandas().set_index("doc_id")
+    each = {r.doc_id: r.text.lower().split() for r in docs.itertuples()}
+    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in each.items():
+        for row in (0, 1) if i % 3 == 0 else (0,):
+            single[row].update(w)
+            pairs[row].update(zip([None, *w], w, strict=False))
+    size = len(single[0]) + 1
+    assert size > 600 and len(got) == len(docs)
+    for i, w in each.items():
+        for row, name in ((0, "ce_background"), (1, "ce_target")):
+            total, loss = sum(single[row].values()), 0.0
+            for a, b in zip([None, *w], w, strict=False):
+                seen = (200, 67)[row] if a is None else single[row][a]
+                loss -= math.log(lm_scoring.PAIR_WEIGHT * min(pairs[row][a, b] / max(seen, 1), 1) + (1 - lm_scoring.PAIR_WEIGHT) * (single[row][b] + lm_scoring.ADDED) / (total + lm_scoring.ADDED * size))
+            assert got["n_words"][i] == len(w) and (not w or abs(got[name][i] - loss / len(w)) < 1e-9)
+    rows = lm_scoring.score_corpus(odd, odd.where("doc_id = 5"), (len(ODD), 2)).toPandas()
+    assert len(rows) == len(ODD) and rows["score"].isna().sum() == 3
+    assert lm_scoring.score_corpus(empty, empty, (0, 0)).count() == 0
+
+
 def test_search_edges(spark, odd, empty):
     got = search.top_k(odd, odd.where("doc_id in (1, 5, 7)"), 3).toPandas()
     assert set(got["query_id"]) == {5, 7} and got.query("query_id == 5 and rank == 1")["doc_id"].iloc[0] == 5

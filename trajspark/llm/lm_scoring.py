@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import md5
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ PAIR_BITS = 20
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 #: Target ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Exact counts: pairs that are at least one in HOT_SHARE of all words go to every task (so HOT_SHARE
+#: of them at most), ids of words outside the VOCABULARY start at FAR, and tasks hold so many words at once.
+HOT_SHARE, FAR, AT_ONCE = 1 << 20, 1 << 60, 500_000
 
 
 class Model(NamedTuple):
@@ -95,14 +100,22 @@ def _count_pairs(words: dict[str, int]):
     return count
 
 
+def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ids = materialise(target.select(F.col(id_col).alias("_id"), F.lit(True).alias("target")).where("_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
+def _word_counts(marked: DataFrame) -> DataFrame:
+    return materialise(marked.mapInArrow(_count_words, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+
+
 def train_models(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Counts of words and word pairs over all documents (background) and over those whose id is in
     `target`. Every task counts what it reads and sums meet by word or place, so what is gathered
     grows with the documents while the model does not: VOCABULARY words and 2**PAIR_BITS places."""
-    ids = materialise(target.select(F.col(id_col).alias("_id"), F.lit(True).alias("target")).where("_id is not null").distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = materialise(marked.mapInArrow(_count_words, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    marked = _marked(docs, target, id_col, text_col)
+    counted = _word_counts(marked)
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
     top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
     words = {w: i + 2 for i, w in enumerate(top.column("word").to_pylist())}
@@ -154,9 +167,182 @@ def score_documents(docs: DataFrame, model: Model, n_texts: tuple[int, int], id_
     return docs.select(id_col, text_col).mapInArrow(score, schema)
 
 
+class _Places(dict):
+    """Place of every word a task has met; `ids` has the id at each place, the same in all tasks.
+
+    Frequent words keep place and id; any other word's id is a digest, which _far_ids proves unique.
+    """
+
+    def __init__(self, words: dict[str, int], seed: int):
+        super().__init__(words)
+        self.ids, self.seed = list(range(VOCABULARY)), seed
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self.ids)
+        self.ids.append(FAR + int(md5(f"{self.seed}:{word}".encode()).hexdigest()[:15], 16))
+        return place
+
+
+def _slices(batch: pa.RecordBatch, text_col: str):
+    """Start, end and words of each text, for a part of a batch at a time."""
+    found, start, size = [], 0, 0
+    for i, text in enumerate(batch.column(text_col).to_pylist(), 1):
+        found.append(_words(text))
+        size += len(found[-1])
+        if size > AT_ONCE or len(found) == 1 << 13 or i == batch.num_rows:
+            yield start, i, found
+            found, start, size = [], i, 0
+
+
+def _places(places: _Places, found: list[list[str]]):
+    """Text, place of the word before (0: start) and place of each word; number of words of each text."""
+    n = np.array([len(f) for f in found], np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.fromiter((places[w] for f in found for w in f), np.int64, len(of))
+    before = np.r_[0, at[:-1]] if len(at) else at
+    before[(np.cumsum(n) - n)[n > 0]] = 0
+    return of, before, at, n
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray):
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], *(np.add.reduceat(c[order], first) for c in counts)
+
+
+def _exact_pairs(words: dict[str, int], seed: int):
+    def count(batches):
+        places, parts, held = _Places(words, seed), [], 0
+
+        def rows():
+            ids = np.array(places.ids)
+            keys, n, n_target = parts[0]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[keys >> 32], ids[keys & 0xFFFFFFFF], n, n_target)], ["a", "b", "n", "n_target"])
+
+        for batch in batches:
+            wanted = np.array(batch.column("target").to_pylist(), bool)
+            for i, j, found in _slices(batch, "text"):
+                of, before, at, _ = _places(places, found)
+                if not len(at):
+                    continue
+                parts.append(_summed(before << 32 | at, np.ones(len(at), np.int64), wanted[i:j][of].astype(np.int64)))
+                held += len(parts[-1][0])
+                if held > 3_000_000 or len(places) > 1_500_000:
+                    parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                    held = len(parts[0][0])
+                    if held > 2_000_000 or len(places) > 1_500_000:
+                        yield rows()
+                        places, parts, held = _Places(words, seed), [], 0
+        if parts:
+            parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
+            yield rows()
+
+    return count
+
+
+def _pair_losses(words: dict[str, int], seed: int, hot: np.ndarray, losses: np.ndarray, id_col: str, text_col: str):
+    """A row a text (a, b below 0; k words; x, y its loss over hot pairs), and one each other pair in it."""
+
+    def score(batches):
+        places, row = _Places(words, seed), (TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            for i, j, found in _slices(batch, text_col):
+                of, before, at, n = _places(places, found)
+                key, k = np.unique(of << 48 | before << 24 | at, return_counts=True)
+                of, a, b = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
+                pair = np.where((a < VOCABULARY) & (b < VOCABULARY), a << 16 | b, -1)
+                place = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
+                known = hot[place] == pair if len(hot) else np.zeros(len(pair), bool)
+                x, y = (np.bincount(of[known], k[known] * losses[r][place[known]], len(n)) for r in (0, 1))
+                ids, rest = np.array(places.ids), ~known
+                rows = row + np.arange(len(n))
+                none = pa.nulls(int(rest.sum()), pa.float64())
+                own = pa.concat_arrays([batch.column(id_col).slice(i, j - i), pa.nulls(len(none), batch.column(id_col).type)])
+                columns = [np.r_[rows, rows[of[rest]]], np.r_[-1 - rows, ids[a[rest]]], np.r_[-1 - rows, ids[b[rest]]], np.r_[n, k[rest]]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([pa.array(x), none]), pa.concat_arrays([pa.array(y), none]), own], ["row", "a", "b", "k", "x", "y", "_id"])
+                row += len(n)
+                if len(places) > 1_500_000:
+                    places = _Places(words, seed)
+
+    return score
+
+
+def _far_ids(counted: DataFrame, last: tuple | None) -> tuple[DataFrame, int]:
+    """id, w, w_target of the words after the last frequent one, and a seed with which no two share an id."""
+    if last is None:
+        return counted.where("false").select(F.lit(0).cast("long").alias("id"), F.col("n").alias("w"), F.col("n_target").alias("w_target")), 0
+    rest = counted.where((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("word") > last[1]))
+    for seed in range(8):
+        digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "word")), 1, 15), 16, 10).cast("long")
+        far = rest.select((digest + F.lit(FAR)).alias("id"), F.col("n").alias("w"), F.col("n_target").alias("w_target"))
+        if not far.groupBy("id").count().where("count > 1").head(1):
+            return far, seed
+    raise ValueError("digests of words are not unique")
+
+
+def score_corpus(docs: DataFrame, target: DataFrame, n_texts: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns of score_documents for docs under models of all their words and word pairs, with exact counts.
+
+    Counts are tables that grow with the documents. Each pair gets its two losses there, and texts
+    meet them by a join on their distinct pairs. Frequent words and hot pairs are broadcast: their
+    number is bounded (VOCABULARY, HOT_SHARE), and any other word or pair is at most about one in
+    VOCABULARY of all words, so no key of a join is larger.
+    """
+    spark = docs.sparkSession
+    marked = _marked(docs, target, id_col, text_col)
+    counted = _word_counts(marked)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
+    words = {w: i + 2 for i, w in enumerate(top.column("word").to_pylist())}
+    last = (top.column("n")[-1].as_py(), top.column("word")[-1].as_py()) if total[2] > len(words) else None
+    far, seed = _far_ids(counted, last)
+    single = np.zeros((2, VOCABULARY), np.int64)
+    for row, name in enumerate(("n", "n_target")):
+        single[row, 0] = n_texts[row]
+        single[row, 2 : len(words) + 2] = top.column(name).to_numpy()
+    near = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(VOCABULARY), "w": single[0], "w_target": single[1]})))
+    # dealt by the second word, if it is a rare one: its count then joins without another exchange
+    dealt = marked.mapInArrow(_exact_pairs(words, seed), "a long, b long, n long, n_target long").withColumn("p", F.when(F.col("b") >= FAR, F.col("b")).otherwise(F.xxhash64("a", "b") % F.lit(FAR)))
+    pairs = dealt.repartition("p").groupBy("p", "a", "b").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    pairs = pairs.join(far.select(F.col("id").alias("p"), F.col("w").alias("wb"), F.col("w_target").alias("wb_target")), "p", "left").drop("p")
+    pairs = materialise(pairs)
+
+    # a pair above both limits is of two frequent words
+    least = max(total[0] // HOT_SHARE, last[0] if last else 0) + 1
+    is_hot = (F.col("n") >= least) & (F.col("a") < VOCABULARY) & (F.col("b") < VOCABULARY)
+    top = pairs.where(is_hot).select("a", "b", "n", "n_target").toArrow()
+    hot = top.column("a").to_numpy() << 16 | top.column("b").to_numpy()
+    order = np.argsort(hot)
+    losses = np.zeros((2, len(hot)))
+    size = total[2] + 1
+    for row, name in enumerate(("n", "n_target")):
+        share = np.minimum(top.column(name).to_numpy() / np.maximum(single[row][hot >> 16], 1), 1)
+        losses[row] = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (single[row][hot & 0xFFFF] + ADDED) / (total[row] + ADDED * size))
+    del top
+
+    rest = pairs.where(~is_hot)
+    second = near.select(F.col("id").alias("b"), F.col("w").alias("vb"), F.col("w_target").alias("vb_target"))
+    rest = rest.join(second, "b", "left").select("a", "b", "n", "n_target", F.coalesce("wb", "vb").alias("wb"), F.coalesce("wb_target", "vb_target").alias("wb_target"))
+    first = [t.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("w_target").alias("wa_target")) for t in (near, far)]
+    rest = rest.where(F.col("a") < FAR).join(F.broadcast(first[0]), "a").unionByName(rest.where(F.col("a") >= FAR).join(first[1], "a"))
+
+    def loss(row: int, end: str) -> F.Column:
+        share = F.least(F.col(f"n{end}") / F.greatest(f"wa{end}", F.lit(1)), F.lit(1.0))
+        return -F.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (F.col(f"wb{end}") + ADDED) / (total[row] + ADDED * size))
+
+    rest = rest.select("a", "b", loss(0, "").alias("l0"), loss(1, "_target").alias("l1"))
+    kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_pair_losses(words, seed, hot[order], losses[:, order], "_id", "_text"), f"row long, a long, b long, k long, x double, y double, _id {kind}")
+    met = found.join(rest, ["a", "b"], "left")
+    value = lambda own, pair: F.sum(F.coalesce(own, F.col("k") * F.col(pair)))
+    sums = met.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.sum(F.when(F.col("a") < 0, F.col("k")).otherwise(0)).alias("n_words"), value("x", "l0").alias("s0"), value("y", "l1").alias("s1"))
+    ce = [F.when(F.col("n_words") > 0, F.col(s) / F.col("n_words")) for s in ("s1", "s0")]
+    return sums.select(id_col, "n_words", ce[0].alias("ce_target"), ce[1].alias("ce_background"), (ce[0] - ce[1]).alias("score"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic, without every fifth (held out)."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     target = labels(spark, sf_dir).where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held_out())
-    model = train_models(docs, target)
-    return score_documents(docs, model, (docs.count(), target.count()))
+    return score_corpus(docs, target, (docs.count(), target.count()))
