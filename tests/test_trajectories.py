@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trajspark.functions import basis as B
 from trajspark.functions.freeenergy import MeanForceBasis, fit_free_energy
 from trajspark.functions.linear import as_matrices, expm, lyapunov, m_step
-from trajspark.operators import em, model, statespace
+from trajspark.operators import correlation, em, model, statespace
 from trajspark.operators.transitions import transitions
 from trajspark.plans.queries import S1, F1, e1, e2, m1, pairs
 from trajspark.sources import read_trajectories, trajectory_summary, validate
@@ -212,3 +212,16 @@ def test_transitions_shuffle_once(spark):
 
     plan = trajectory_stats(transitions(e1(spark, DATA), B.LinearBasis()), 1, 1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_correlation_all_lags(spark):
+    """Every lag below half the length, over several blocks, for two columns and without the mean."""
+    rng = np.random.default_rng(3)
+    series = {1: rng.normal(size=(2 * correlation.BLOCK + 601, 2)), 2: rng.normal(size=(correlation.BLOCK, 2)), 3: rng.normal(size=(5, 2)), 4: rng.normal(size=(1, 2))}
+    df = spark.createDataFrame([(i, k, float(x), float(y)) for i, s in series.items() for k, (x, y) in enumerate(s)], "traj_id int, step long, p double, q double")
+    got = correlation.correlation(df, "p", "q", subtract_mean=True).toPandas()
+    for i, s in series.items():
+        n, (a, b) = len(s), (s - s.mean(0)).T
+        rows = got[got["traj_id"] == i].sort_values("lag")
+        assert rows["lag"].tolist() == list(range(n // 2))
+        np.testing.assert_allclose(rows["value"], [a[: n - k] @ b[k:] / (n - k) for k in range(n // 2)], atol=1e-9)

@@ -2,27 +2,78 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.trajectories import steps
 
 
-def correlation(df: DataFrame, a: str, b: str | None = None, subtract_mean: bool = False, max_lag: int = 20) -> DataFrame:
-    """traj_id, lag, value: unbiased c(k) = sum of a_t * b_(t+k) / (N - k), k < N // 2, k <= max_lag.
+#: Rows of a trajectory in one block, when all lags are wanted; blocks up to DIRECT are summed without a Fourier transform.
+BLOCK, DIRECT = 1024, 256
 
-    df: traj_id, step and scalar columns a and b. Lags are looked up in one window over one exchange.
+
+def _block_sums(batches):
+    """Sums of products by lag of two blocks of a trajectory, the second `ahead` blocks later."""
+    for batch in batches:
+        rows, lags, sums, held = [], [], [], 0
+
+        def out():
+            at = np.repeat(rows, [len(x) for x in lags])
+            return pa.RecordBatch.from_arrays([batch.column("traj_id").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(np.concatenate(lags)), pa.array(np.concatenate(sums))], ["traj_id", "n", "lag", "s"])
+
+        for i in range(batch.num_rows):
+            a, b = (batch.column(c)[i].values.to_numpy() for c in ("a", "b"))
+            if max(len(a), len(b)) <= DIRECT:
+                full = np.correlate(b, a, "full")
+            else:
+                size = 1 << (len(a) + len(b) - 2).bit_length()
+                full = np.fft.irfft(np.fft.rfft(b, size) * np.fft.rfft(a[::-1], size), size)[: len(a) + len(b) - 1]
+            lag = batch.column("ahead")[i].as_py() * BLOCK + np.arange(1 - len(a), len(b))
+            keep = (lag >= 0) & (lag < batch.column("n")[i].as_py() // 2)
+            rows.append(i)
+            lags.append(lag[keep])
+            sums.append(full[keep])
+            held += len(lags[-1])
+            if held > 200_000:
+                yield out()
+                rows, lags, sums, held = [], [], [], 0
+        if rows:
+            yield out()
+
+
+def _all_lags(rows: DataFrame) -> DataFrame:
+    """traj_id, n, lag, s over all lags below n // 2: trajectories in blocks, each met by those so far ahead."""
+    kind = rows.schema["traj_id"].dataType.simpleString()
+    rows = rows.withColumn("place", F.row_number().over(steps()) - 1).withColumn("block", F.expr(f"cast(place div {BLOCK} as int)"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias(c)
+    blocks = rows.groupBy("traj_id", "n", "block").agg(in_order("a"), in_order("b"))
+    ahead = F.expr(f"sequence(0, cast(least((n - 1) div {BLOCK} - block, (n div 2) div {BLOCK} + 1) as int))")
+    earlier = blocks.select("traj_id", "n", "a", "block", F.explode(ahead).alias("ahead")).withColumn("block", F.col("block") + F.col("ahead"))
+    met = earlier.join(blocks.select("traj_id", "block", "b"), ["traj_id", "block"])
+    return met.select("traj_id", "n", "ahead", "a", "b").mapInArrow(_block_sums, f"traj_id {kind}, n long, lag long, s double").groupBy("traj_id", "lag").agg(F.sum("s").alias("s"), F.first("n").alias("n"))
+
+
+def correlation(df: DataFrame, a: str, b: str | None = None, subtract_mean: bool = False, max_lag: int | None = None) -> DataFrame:
+    """traj_id, lag, value: unbiased c(k) = sum of a_t * b_(t+k) / (N - k), k < N // 2, k <= max_lag if given.
+
+    df: traj_id, step and scalar columns a and b. Lags up to max_lag are looked up in one window over
+    one exchange; all lags are summed over pairs of blocks, so that no task holds a whole trajectory.
     """
     every = Window.partitionBy("traj_id")
     rows = df.select("traj_id", "step", F.col(a).alias("a"), F.col(b or a).alias("b"), F.count(F.lit(1)).over(every).alias("n"))
     if subtract_mean:
         rows = rows.withColumns({"a": F.col("a") - F.avg("a").over(every), "b": F.col("b") - F.avg("b").over(every)})
+    value = (F.col("s") / (F.col("n") - F.col("lag"))).alias("value")
+    if max_lag is None:
+        return _all_lags(rows).select("traj_id", "lag", value)
     products = rows.withColumn("ahead", F.collect_list("b").over(steps().rowsBetween(0, max_lag))).select("traj_id", "n", "a", F.posexplode("ahead").alias("lag", "later"))
     sums = products.where(F.col("lag") < F.expr("n div 2")).groupBy("traj_id", "lag").agg(F.sum(F.col("a") * F.col("later")).alias("s"), F.first("n").alias("n"))
-    return sums.select("traj_id", F.col("lag").cast("long").alias("lag"), (F.col("s") / (F.col("n") - F.col("lag"))).alias("value"))
+    return sums.select("traj_id", F.col("lag").cast("long").alias("lag"), value)
 
 
-def vacf(df: DataFrame, column: str, max_lag: int = 20) -> DataFrame:
+def vacf(df: DataFrame, column: str, max_lag: int | None = None) -> DataFrame:
     """lag, value: correlations summed over trajectories, by that of lag 0."""
     sums = correlation(df, column, max_lag=max_lag).groupBy("lag").agg(F.sum("value").alias("s"))
     return sums.select("lag", (F.col("s") / F.first("s").over(Window.orderBy("lag"))).alias("value"))

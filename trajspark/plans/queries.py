@@ -499,6 +499,21 @@ def _(spark, sf_dir):
     return vacf(_velocity(spark, sf_dir), "v", KNOWN_LAG).select("lag", r6("value").alias("value"))
 
 
+#: The same without a limit: lags from 0 to below half a trajectory.
+ALL_LAGS = f"""{V1}, c AS (SELECT traj_id, lag, sum(w) / (any_value(n) - lag) AS value FROM (SELECT a.traj_id, b.step - a.step AS lag, a.v * b.v AS w, a.n
+  FROM v a JOIN v b ON a.traj_id = b.traj_id AND b.step >= a.step WHERE b.step - a.step < a.n // 2) GROUP BY traj_id, lag)"""
+
+
+@query("correlation_all_lags", f"WITH {ALL_LAGS} SELECT traj_id, lag::BIGINT AS lag, round(value, 6) + 0.0 AS value FROM c")
+def _(spark, sf_dir):
+    return correlation(_velocity(spark, sf_dir), "v").select("traj_id", "lag", r6("value").alias("value"))
+
+
+@query("vacf_all_lags", f"WITH {ALL_LAGS}, s AS (SELECT lag, sum(value) AS s FROM c GROUP BY lag) SELECT lag::BIGINT AS lag, round(s / (SELECT s FROM s WHERE lag = 0), 6) + 0.0 AS value FROM s")
+def _(spark, sf_dir):
+    return vacf(_velocity(spark, sf_dir), "v").select("lag", r6("value").alias("value"))
+
+
 @query("force_field", f"WITH {MODELS} SELECT model_id, i::INTEGER AS i_1, round(-10 + i * (20.0::DOUBLE / 24), 6) + 0.0 AS x_1, round(force * (-10 + i * (20.0::DOUBLE / 24)), 6) + 0.0 AS f_1 FROM z, range(25) r(i)")
 def _(spark, sf_dir):
     return model.force_field([(-10, 10, 25)], B.LinearBasis(), models(spark, sf_dir)).select("model_id", "i_1", r6("x_1").alias("x_1"), r6("f_1").alias("f_1"))
