@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -358,6 +359,22 @@ def test_licences(spark, odd, empty, docs):
     assert licences.licences_of_documents(empty, model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Notices over several lines, as headers of sources have them, are one statement each."""
+    model = licences.train_licences(documents(spark, "/root/testdata/sf0.01").select("doc_id", "text"))
+    notices = {
+        "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "Apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    }
+    rows = [(f, w, "import this\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(n, w)) + "\n *\n\nthe cat sat on the mat\nand slept") for f, n in notices.items() for w in (20, 45, 72)]
+    table = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)] + [(99, "the cat sat on the mat\nand the new version\nof this work is free\nto the public")], "doc_id long, text string")
+    got = licences.licences_of_documents(table, model).toPandas().set_index("doc_id")
+    assert [(r[0], r[1], got["families"][i], got["n_licences"][i]) for i, r in enumerate(rows)] == [(*r[:2], r[0], 1) for r in rows]
+    assert got["families"][99] == ""
+
+
 def test_pipeline(spark):
     """Every stage against its operator's plain meaning on the documents that came before."""
     import corpus_pipeline as cp
