@@ -220,24 +220,61 @@ def test_jaccard_near_copies(spark, n, percent):
     assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].values.tolist())) == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_common_passage(spark, monkeypatch, n, percent):
+    """Near copies among documents that share a long passage; large signatures are dealt to blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rnd = random.Random(n)
+    words = [f"w{i}" for i in range(900)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(160):
+        own = [rnd.choice(words) for _ in range(rnd.choice([10, 20, 60]))]
+        w = passage + own if i % 4 else list(rows[-1][1].split() if i else passage)
+        if i % 4 == 0:
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).toPandas()
+    assert sorted(map(tuple, got[["doc_id", "n_shingles", "component_id"]].values.tolist())) == brute_components(rows, n, percent)
+
+
 def test_jaccard_edges(spark, odd, empty):
     got = jaccard_join.jaccard_components(odd).toPandas()
     assert len(got) == len(ODD) and set(got[got["doc_id"] == 8]["component_id"]) == {5}
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """Rows without an id link like others, and join what they link; the component is an id or null."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:-1], "x"])
+    alone = " ".join(f"v{i}" for i in range(30))
+    rows = [(7, a), (None, b), (3, c), (None, alone), (None, alone), (None, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(7, 3), (None, 3), (3, 3), (None, None), (None, None), (None, None)], key=str)
+
+
 def test_signatures_meet():
-    """Sets within the threshold share a signature, whatever their sizes."""
+    """Sets within the threshold keep a common signature, whatever their sizes and however frequent
+    signatures are."""
     rng = np.random.default_rng(5)
+
+    def kept(items, percent, often):
+        out = set()
+        for sigs, spare in jaccard_join.signatures(items, percent):
+            out |= set(sorted(sigs.tolist(), key=lambda s: (-often(s), s))[spare:])
+        return out
+
     for percent in (80, 90):
         for size in (1, 5, 9, 10, 19, 50, 99, 100, 101, 500, 3000):
-            for _ in range(20):
+            for salt in range(20):
                 a = np.unique(rng.integers(0, 2**64, size, np.uint64))
                 most = (100 - percent) * 2 * size // (100 + percent)
                 gone, new = (lambda t: (t // 2, t - t // 2))(int(rng.integers(0, most + 1)))
                 b = np.unique(np.r_[a[gone:], rng.integers(0, 2**64, new, np.uint64)])
-                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
-                    assert np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)).size
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) and gone + new:
+                    for often in (lambda s: 1, lambda s: s * (2 * salt + 1) % 97):  # noqa: B023
+                        assert kept(a, percent, often) & kept(b, percent, often)
 
 
 def test_components(spark):

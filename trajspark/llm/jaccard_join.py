@@ -7,23 +7,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
-#: Second-level parts of a first-level part; signatures leave one of them out. Small sets get more,
-#: so that what a signature stands for is never nearly empty.
-PARTS, SMALL_PARTS, SMALL = 2, 4, 100
-#: Elements of a signature that is worth little; differences from which on there is slack to drop it.
-WEAK, SLACK_FROM = 1, 20
+#: First-level parts by differences allowed, and second-level parts of each, of which signatures leave out one.
+FIRST, PARTS = 0.6, 2
 #: Rounds of pivots before all pairs that are still open are compared.
 PIVOT_ROUNDS = 2
 #: Bits of a parity sketch: each element of a set flips one.
-SKETCH = 512
-#: Bits of the sketch that is held against single pairs, of long texts above all.
-LONG_SKETCH = 4096
-SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+SKETCH = 1024
+#: Nodes of one signature that meet in one group; larger signatures are dealt to pairs of such blocks.
+BLOCK = 256
+#: Rows without an id are told apart by a digest of their text from here on.
+NO_ID = 1 << 62
 #: Ids broadcast at most (8 bytes each); more are joined by shuffles.
 BROADCAST_IDS = 500_000
 
@@ -88,13 +86,19 @@ def _band(size: int, percent: int) -> int:
     return int(np.searchsorted(ends, size))
 
 
-def signatures(items: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of a set (hashes, distinct).
+def signatures(items: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """PartEnum signatures of a set (hashes, distinct), and how many more of them may be dropped, for
+    each instance that it takes part in.
 
     Instance j joins sets of band j with each other and with those of band j + 1; each set takes part
     in the instances of its own band and of the one below. Linked sets of an instance differ in at
-    most k elements. The domain is dealt to n1 parts, so that some part differs in at most one
-    element, and each of these to second-level parts; leaving one out, the sets agree on the others.
+    most k elements. The domain is dealt to n1 parts and each of these to n2 second-level parts; a
+    signature stands for a part without one of its second-level parts. A part with one difference
+    leaves one signature equal, a part without any all n2, so linked sets agree on `agreed` signatures
+    or more. In any order of signatures that is the same for all sets, each set can therefore do
+    without the first agreed - 1: the last one that both have is kept by both. The order is: those
+    that stand for no element, which are dropped here, then the most frequent ones. An instance whose
+    sets must be equal to link has none.
     """
     size, own = len(items), _band(len(items), percent)
     upto = 1024
@@ -105,30 +109,26 @@ def signatures(items: np.ndarray, percent: int) -> np.ndarray:
     for j in (own, own - 1):
         if j < 0:
             continue
-        largest = all_bands[j][1] + all_bands[j + 1][1]
-        k = math.floor((100 - percent) * largest / (100 + percent))
-        # with k = 0 only equal sets link; above, some more parts than needed give slack
-        n1 = 1 if k == 0 else math.ceil((k + 1) / 2) if k < SLACK_FROM else math.ceil(0.55 * (k + 1)) + 1
-        n2 = 1 if k == 0 else SMALL_PARTS if all_bands[j][1] < SMALL else PARTS if percent >= 90 else PARTS + 1
+        k = (100 - percent) * (all_bands[j][1] + all_bands[j + 1][1]) // (100 + percent)
+        if k == 0:
+            continue
+        n1, n2 = max((k + 2) // 2, math.ceil(FIRST * (k + 1))), PARTS
+        agreed = 2 * n1 - k if n1 <= k else n2 * (n1 - k) + k
         cell = ((items >> np.uint64(20)) % np.uint64(n1 * n2)).astype(np.int64)
         sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, cell, items)
-        counts = np.bincount(cell, minlength=n1 * n2).astype(np.uint64)
+        counts = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
         with np.errstate(over="ignore"):
-            both = _mix(sums, 303) + counts * np.uint64(0xD6E8FEB86659FD93)
-            if n2 == 1:
-                sig, held = both, counts
-            else:
-                # position matters in a sum of second-level parts
-                placed = _mix(both.reshape(n1, n2) + np.arange(n2, dtype=np.uint64), 404)
-                sig = (placed.sum(axis=1, dtype=np.uint64)[:, None] - placed).ravel()
-                held = (counts.reshape(n1, n2).sum(axis=1)[:, None] - counts.reshape(n1, n2)).ravel()
+            both = _mix(sums, 303).reshape(n1, n2) + counts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            # position matters in a sum of second-level parts
+            placed = _mix(both + np.arange(n2, dtype=np.uint64), 404)
+            sig = (placed.sum(axis=1, dtype=np.uint64)[:, None] - placed).ravel()
             sig = _mix(sig + np.arange(len(sig), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), j + 505)
-        # linked sets agree on 2 * n1 - k signatures or more; if fewer of this set's stand for hardly
-        # any element, one of the others is among them, and these, which chance matches, can go
-        weak = held <= WEAK
-        out.append(sig[~weak] if k and weak.sum() < 2 * n1 - k else sig)
-    return np.concatenate(out)
+        sig = sig & ~np.uint64(1) | np.uint64(j & 1)  # the last bit tells a set's two instances apart
+        empty = (counts.sum(axis=1)[:, None] == counts).ravel()
+        first = np.flatnonzero(empty)[np.argsort(sig[empty])][: agreed - 1]
+        out.append((np.delete(sig, first), agreed - 1 - len(first)))
+    return out
 
 
 def _sets(n: int):
@@ -136,43 +136,41 @@ def _sets(n: int):
 
     def emit(batches):
         for batch in batches:
-            rows, long = [], []
+            rows, sketches = [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
-                long.append(np.packbits((np.bincount((s >> np.uint64(12) & np.uint64(LONG_SKETCH - 1)).astype(np.int64), minlength=LONG_SKETCH) & 1).astype(np.uint8)).view(np.int64))
+                rows.append((len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mix(s, 2)))))
                 flips = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-                rows.append((len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mix(s, 2))), *np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()))
-            columns = zip(*rows, strict=True) if rows else [()] * (3 + len(SKETCHES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array(long, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "x", "y", *SKETCHES, "long"])
+                sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCH // 64)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), lists], ["doc_id", "n_shingles", "x", "y", "sketch"])
 
     return emit
 
 
-def _may_link(one: str, other: str, percent: int) -> Column:
-    """Whether two nodes' sketches allow a link: sets that differ in h elements have sketches that
-    differ in at most h bits. one and other: prefixes of the columns n_shingles and s0 .. s7."""
-    bits = sum((F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCHES), F.lit(0))
-    return (100 + percent) * bits <= (100 - percent) * (F.col(f"{one}n_shingles") + F.col(f"{other}n_shingles"))
-
-
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose long sketches allow a link."""
-    x, y = (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("long").alias(f"long_{k}")) for k in "ab")
-    bits = F.aggregate(F.zip_with("long_a", "long_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    """The pairs (a, b) whose sketches allow a link: sets that differ in h elements have sketches that
+    differ in at most h bits."""
+    x, y = (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     return pairs.join(x, "a").join(y, "b").where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def _signed(n: int, percent: int, rows: int = 1_000_000):
     def emit(batches):
         def flat(held):
-            ids, sigs = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])), pa.array(np.concatenate(sigs).view(np.int64))], ["node", "sig"])
+            ids, sigs, spare = zip(*held, strict=True)
+            count = [len(x) for x in sigs]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), count)), pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(spare, np.int32), count))], ["node", "sig", "spare"])
 
         held, m = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                held.append((doc_id, signatures(shingles(text, n), percent)))
-                m += len(held[-1][1])
+                for sig, spare in signatures(shingles(text, n), percent):
+                    held.append((doc_id, sig, spare))
+                    m += len(sig)
                 if m >= rows:
                     yield flat(held)
                     held, m = [], 0
@@ -231,51 +229,77 @@ def jaccard_links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> Da
     return pairs.join(x, "a").join(y, "b").withColumn("both", both).where(100 * F.col("both") >= percent * union).select("a", "b")
 
 
+def _kept_signatures(signed: DataFrame) -> DataFrame:
+    """sig, node of the signatures that nodes share once each node has dropped the most frequent ones
+    that it can do without, in both of its instances."""
+    by_sig = Window.partitionBy("sig")
+    shared = materialise(signed.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1"))
+    order = Window.partitionBy("node", F.col("sig").bitwiseAND(F.lit(1))).orderBy(F.col("c").desc(), "sig")
+    kept = shared.withColumn("place", F.row_number().over(order)).where("place > spare").select("sig", "node")
+    return materialise(kept.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
+
+
+def _star_pairs(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each signature's pivot with the nodes of other components: as many as there are rows."""
+    if turn == 0:
+        # the node that shares most signatures is likely the middle of its group; later rounds turn to others
+        named = named.join(named.groupBy("node").agg((-F.count(F.lit(1))).alias("r")), "node")
+    else:
+        named = named.withColumn("r", F.xxhash64("node", F.lit(turn)))
+    starred = named.withColumn("p", F.min(F.struct("r", "node", "comp")).over(Window.partitionBy("sig"))).where(F.col("p.comp") != F.col("comp"))
+    return starred.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
+
+
+def _open_pairs(named: DataFrame) -> DataFrame:
+    """All pairs of a signature that lie in different components. Nodes of a large signature are dealt
+    to blocks, and each pair of blocks meets in a group of its own."""
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / BLOCK).cast("int")
+    dealt = named.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = materialise(dealt.select("sig", "node", "comp", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    one = dealt.where("own = low")
+    two = dealt.where("own = high").select("sig", "low", "high", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
+    met = one.join(two, ["sig", "low", "high"]).where((F.col("comp") != F.col("o_comp")) & ((F.col("low") < F.col("high")) | (F.col("node") < F.col("o_node"))))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents that are linked by 100 * shared >= percent * union of their n-word shingles.
 
-    Documents of equal sets are one node, named by their smallest id; only nodes get signatures.
-    Nodes that share a signature are candidates, and candidates are compared on their whole sets.
-    Pairs of one component need no comparison: in each round every signature's nodes of other
-    components are compared with one pivot, so a group of near copies costs its size, not its
-    square; after PIVOT_ROUNDS all candidates that still lie in different components are compared.
-    Before that, parity sketches rule out those that differ in too many elements to link.
-    No link between different components is lost.
-
-    Returns doc_id, n_shingles long, component_id long. Words are whole runs of non-blanks with A-Z
-    lower-cased; fewer than n words are one shingle; without words the set is empty and links with
-    nothing. Rows must have an id each to be told apart; rows of the same id and text are one node.
-    A null id forms its own component (null) unless an equal or similar text gives it an id. An empty
-    table gives none.
+    Documents of equal sets are one node, named by their smallest id; only nodes get signatures. Each
+    drops the most frequent signatures that it can do without, so that what many documents share (a
+    notice, a common passage) makes no candidates. Nodes that share one of the others are candidates;
+    parity sketches rule out those that differ in too many elements to link, and what is left is
+    compared on whole sets. Pairs of one component need no comparison: in each round every signature's
+    nodes of other components are compared with one pivot, so a group of near copies costs its size,
+    not its square; after PIVOT_ROUNDS all candidates that still lie in different components are
+    compared. No link between different components is lost.
+
+    Returns doc_id, n_shingles long, component_id long; other columns are ignored. Words are whole
+    runs of non-blanks with A-Z lower-cased, of whole texts however long; fewer than n words are one
+    shingle; null, empty or blank texts have an empty set and link with nothing. Repeated rows come
+    out once each, in one component; rows of one id with different texts are one document of several
+    texts. A row without an id links like others: its component is the smallest id that it reaches,
+    and null if there is none. Ids are below 2**62. An empty table gives none.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", long array<long>"))
+    text = F.col(text_col)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID))).alias("doc_id"), text.alias("text"))
+    made = materialise(texts.mapInArrow(_sets(n), "doc_id long, n_shingles long, x long, y long, sketch array<long>"))
     full = made.where("n_shingles > 0")
-    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in (*SKETCHES, "long")]))
-    by_sig = Window.partitionBy("sig")
+    nodes = materialise(full.groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     # rows of one id but another text than its node's are harmless: they only add candidates
-    signed = _among(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_signed(n, percent), "node long, sig long")
-    shared = materialise(signed.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
+    kept = _kept_signatures(_among(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id").mapInArrow(_signed(n, percent), "node long, sig long, spare int"))
     links, comps, seen = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        info = nodes.drop("x", "y", "long").withColumn("comp", F.col("node")) if comps is None else nodes.drop("x", "y", "long").join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn == 0:
-            # the node that shares most signatures is likely the middle of its group; later rounds turn to others
-            info = info.join(shared.groupBy("node").agg((-F.count(F.lit(1))).alias("r")), "node")
-        else:
-            info = info.withColumn("r", F.xxhash64("node", F.lit(turn)))
-        held = shared.join(info, "node")
-        if turn < PIVOT_ROUNDS:
-            first = F.min(F.struct("r", "node", "comp", "n_shingles", *SKETCHES)).over(by_sig)
-            starred = held.withColumn("p", first).where(F.col("p.comp") != F.col("comp")).where(_may_link("", "p.", percent))
-            pairs = starred.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
+        if comps is None:
+            named = kept.withColumn("comp", F.col("node"))
         else:
-            mixed = held.withColumn("l", F.min("comp").over(by_sig)).withColumn("h", F.max("comp").over(by_sig)).where("l <> h").select("sig", "node", "comp", "n_shingles", *SKETCHES)
-            mixed = materialise(mixed)
-            other = mixed.select("sig", *[F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n_shingles", *SKETCHES)])
-            pairs = mixed.join(other, (mixed["sig"] == other["sig"]) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp")) & _may_link("", "o_", percent))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-        pairs = pairs.distinct()
+            of = kept.join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            by_sig = Window.partitionBy("sig")
+            # signatures whose nodes are all of one component have nothing left to say
+            named = materialise(of.withColumn("l", F.min("comp").over(by_sig)).withColumn("h", F.max("comp").over(by_sig)).where("l <> h").select("sig", "node", "comp"))
+            kept = named.select("sig", "node")
+        pairs = (_star_pairs(named, turn) if turn < PIVOT_ROUNDS else _open_pairs(named)).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialise(_near(pairs, nodes, percent))
@@ -289,7 +313,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     if comps is not None:
         named = named.join(comps, "node", "left").withColumn("node", F.coalesce("component", "node"))
     rest = made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", "n_shingles", F.col("node").alias("component_id")).union(rest)
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return named.select("doc_id", "n_shingles", F.col("node").alias("component_id")).union(rest).select(known("doc_id"), "n_shingles", known("component_id"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
