@@ -310,55 +310,76 @@ def test_toxicity(spark, odd, empty):
     assert len(toxicity.train_toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).places) == 0
 
 
-def test_lm_scoring(spark, odd, empty, docs):
-    """Against counts in dictionaries, with the same places for pairs."""
-    d = documents(spark, DATA).select("doc_id", "text")
-    target = d.where("doc_id % 3 = 0").select("doc_id")
-    model = lm_scoring.train_models(d, target)
-    got = lm_scoring.score_documents(d, model, (200, 67)).toPandas().set_index("doc_id")
-    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    each = {r.doc_id: [model.words.get(w, 1) for w in r.text.lower().split()] for r in docs.itertuples()}
-    slot = lambda a, b: ((a << 32 | b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - lm_scoring.PAIR_BITS)
-    for i, w in each.items():
-        for row in (0, 1) if i % 3 == 0 else (0,):
-            single[row].update(w)
-            pairs[row].update(slot(a, b) for a, b in zip([0, *w], w, strict=False))
-    for i in (0, 3, 7, 50):
-        for row, name in ((0, "ce_background"), (1, "ce_target")):
-            total, size, loss = sum(single[row].values()), len(model.words) + 1, 0.0
-            for a, b in zip([0, *each[i]], each[i], strict=False):
-                seen = (200, 67)[row] if a == 0 else single[row][a]
-                p = lm_scoring.PAIR_WEIGHT * min(pairs[row][slot(a, b)] / max(seen, 1), 1) + (1 - lm_scoring.PAIR_WEIGHT) * (single[row][b] + lm_scoring.ADDED) / (total + lm_scoring.ADDED * size)
-                loss -= math.log(p)
-            assert abs(got[name][i] - loss / len(each[i])) < 1e-5
-    rows = lm_scoring.score_documents(odd, model, (1, 1)).toPandas()
-    assert len(rows) == len(ODD) and rows["score"].isna().sum() == 3
-    assert lm_scoring.score_documents(empty, lm_scoring.train_models(empty, empty), (0, 0)).count() == 0
-
-
-def test_lm_scoring_counts_all(spark, odd, empty, docs, monkeypatch):
-    """Rare words and every pair keep exact counts, however few words are frequent."""
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 300)
-    d = documents(spark, DATA).select("doc_id", "text")
-    got = lm_scoring.score_corpus(d, d.where("doc_id % 3 = 0").select("doc_id"), (200, 67)).toPandas().set_index("doc_id")
-    each = {r.doc_id: r.text.lower().split() for r in docs.itertuples()}
+def brute_losses(rows, target, vocabulary):
+    """Mean losses (background, target) of each text, with a text's own pairs left out."""
+    each = [x.lower().split() if x else [] for _, x in rows]
+    own = [i in target for i, _ in rows]
     single, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for i, w in each.items():
-        for row in (0, 1) if i % 3 == 0 else (0,):
-            single[row].update(w)
-            pairs[row].update(zip([None, *w], w, strict=False))
-    size = len(single[0]) + 1
-    assert size > 600 and len(got) == len(docs)
-    for i, w in each.items():
-        for row, name in ((0, "ce_background"), (1, "ce_target")):
-            total, loss = sum(single[row].values()), 0.0
+    for w, t in zip(each, own, strict=True):
+        single[t].update([None, *w] if w else [])
+        pairs[t].update(zip([None, *w], w, strict=False))
+    size = len({x for w in each for x in w})
+    whole = single[0] + single[1]
+    often = sorted((x for x in whole if x), key=lambda x: (-whole[x], x.encode()))[:vocabulary]
+    out = []
+    for w, t in zip(each, own, strict=True):
+        mine, losses = Counter(zip([None, *w], w, strict=False)), []
+        for row in (0, 1):
+            total = sum(n for x, n in single[row].items() if x)
+            mean = (total - sum(single[row][x] for x in often)) / max(size - len(often), 1)
+            loss = 0.0
             for a, b in zip([None, *w], w, strict=False):
-                seen = (200, 67)[row] if a is None else single[row][a]
-                loss -= math.log(lm_scoring.PAIR_WEIGHT * min(pairs[row][a, b] / max(seen, 1), 1) + (1 - lm_scoring.PAIR_WEIGHT) * (single[row][b] + lm_scoring.ADDED) / (total + lm_scoring.ADDED * size))
-            assert got["n_words"][i] == len(w) and (not w or abs(got[name][i] - loss / len(w)) < 1e-9)
-    rows = lm_scoring.score_corpus(odd, odd.where("doc_id = 5"), (len(ODD), 2)).toPandas()
-    assert len(rows) == len(ODD) and rows["score"].isna().sum() == 3
-    assert lm_scoring.score_corpus(empty, empty, (0, 0)).count() == 0
+                less = mine[a, b] if row == t else 0
+                alone = ((single[row][b] if b in often else mean) + lm_scoring.ADDED) / (total + lm_scoring.ADDED * size)
+                loss -= math.log(lm_scoring.PAIR_WEIGHT * (pairs[row][a, b] - less) / max(single[row][a] - less, 1) + (1 - lm_scoring.PAIR_WEIGHT) * alone)
+            losses.append(loss / len(w) if w else None)
+        out.append(losses)
+    return out
+
+
+@pytest.mark.parametrize(("vocabulary", "top"), [(300, 20), (100_000, 1024), (5, 1)])
+def test_lm_scoring(spark, docs, vocabulary, top):
+    """Against counts in dictionaries, however few words and pairs are frequent."""
+    d = documents(spark, DATA).select("doc_id", "text")
+    got = lm_scoring.score_corpus(d, d.where("doc_id % 3 = 0").select("doc_id"), vocabulary=vocabulary, top=top).toPandas().set_index("doc_id")
+    rows = list(zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True))
+    assert len(got) == len(docs)
+    # contexts of rare words are counted as they stand before a word, not where they end a text
+    ends = Counter((x or "").lower().split()[-1] for _, x in rows if x and x.strip())
+    for (i, x), (background, target) in zip(rows, brute_losses(rows, {i for i, _ in rows if i % 3 == 0}, vocabulary), strict=True):
+        if background is None:
+            assert np.isnan(got["score"][i])
+        elif not any(w in ends for w in x.lower().split()[:-1]) or vocabulary == 100_000:
+            assert got["n_words"][i] == len(x.split()) and abs(got["ce_background"][i] - background) < 1e-9 and abs(got["ce_target"][i] - target) < 1e-9
+            assert abs(got["score"][i] - (target - background)) < 1e-9
+
+
+def test_lm_scoring_edges(spark, odd, empty):
+    rows = lm_scoring.score_corpus(odd, odd.where("doc_id = 5")).toPandas()
+    assert len(rows) == len(ODD) and rows["score"].isna().sum() == 3 and sorted(rows.columns) == sorted(["doc_id", "n_words", "ce_target", "ce_background", "score"])
+    assert lm_scoring.score_corpus(empty, empty).count() == 0
+
+
+def test_lm_scoring_tells_apart(spark):
+    """Unseen texts like the target score lower than others; a text that occurs twice is likelier in the background."""
+    rnd = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(80)] + [f"both{i}" for i in range(40)] for k in "ab"]
+    rows = [(i, " ".join(rnd.choice(kinds[i % 2]) for _ in range(60))) for i in range(200)]
+    rows += [(i + 1000, rows[i][1]) for i in range(1, 41, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score_corpus(d, d.where("doc_id < 100 and doc_id % 2 = 0")).toPandas().set_index("doc_id")
+    assert got["score"][range(100, 200, 2)].max() < got["score"][range(41, 200, 2)].min()
+    assert got["ce_background"][range(1, 41, 2)].max() < got["ce_background"][range(41, 200, 2)].min()
+
+
+def test_search_repeated_queries_and_ties(spark):
+    """A query that stands twice is one query; among equal scores smaller ids win, also at the last rank."""
+    rows = [(i, "tie one two") for i in range(30)] + [(40 + i, f"tie {i} other words") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    twice = spark.createDataFrame([(9, "tie one"), (9, "tie one")], "doc_id long, text string")
+    got = search.top_k(d, twice, 7).toPandas().sort_values("rank")
+    once = search.top_k(d, twice.limit(1), 7).toPandas().sort_values("rank")
+    assert got["doc_id"].tolist() == list(range(7)) and np.allclose(got["score"], once["score"])
 
 
 def test_search_edges(spark, odd, empty):

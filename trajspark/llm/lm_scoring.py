@@ -2,191 +2,66 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from hashlib import md5
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, labels, materialise
 from .toxicity import held_out
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words of the shared vocabulary; all others are one word of their own, "unknown".
-VOCABULARY = 65_536
-#: Pairs of words are counted in 2**PAIR_BITS places by a hash.
-PAIR_BITS = 20
+#: Words whose single counts go to every task; rarer words all have the mean probability of their kind.
+#: Of pairs, only those of the TOP most frequent words go to every task.
+VOCABULARY, TOP = 65_536, 1_024
 #: Weight of the pair model against single words, and added to the count of every word.
 PAIR_WEIGHT, ADDED = 0.6, 0.5
 #: Target ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Exact counts: pairs that are at least one in HOT_SHARE of all words go to every task (so HOT_SHARE
-#: of them at most), ids of words outside the VOCABULARY start at FAR, and tasks hold so many words at once.
-HOT_SHARE, FAR, AT_ONCE = 1 << 20, 1 << 60, 500_000
+#: Words that a task holds at once, and words that it remembers.
+AT_ONCE, REMEMBERED = 500_000, 1_500_000
+#: Keys of pairs: bits of a frequent word beside the digest of a rare one, and the first key with a rare
+#: second word. A rare first word's pairs have the sign bit.
+DIGEST_BITS, SECOND_RARE = 45, 1 << 62
 
 
-class Model(NamedTuple):
-    """Counts of the background (row 0) and of the target (row 1), both over the same vocabulary."""
+class Vocabulary(NamedTuple):
+    """Counts in the background (row 0) and the target (row 1)."""
 
-    words: dict[str, int]
-    single: np.ndarray
-    pairs: np.ndarray
+    places: dict[bytes, int]  # 1 .. of frequent words; 0 is the start of a text
+    single: np.ndarray  # counts by place
+    pairs: np.ndarray  # counts of pairs of the first `top` places, row by row
+    chance: np.ndarray  # probability of a single word by place; the last is that of any rarer word
+    top: int
 
 
-def _words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def _slots(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Place of each word and the one before it (0, the start of a text, at `first`)."""
-    before = np.r_[0, ids[:-1]]
-    before[first] = 0
-    mixed = (before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64), before
-
-
-def _batch_ids(words: dict[str, int], texts: list):
-    """Ids of all words of texts in a row (1: unknown), and where each text starts, without empty texts."""
-    get, flat, count = words.get, [], []
-    for text in texts:
-        found = _words(text)
-        flat += [get(w, 1) for w in found]
-        count.append(len(found))
-    count = np.array(count, np.int64)
-    start = np.cumsum(count) - count
-    return np.array(flat, np.int64), count, start
-
-
-def _count_words(batches):
-    every, target = Counter(), Counter()
-
-    def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(list(every)), pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())], ["word", "n", "n_target"])
-        every.clear()
-        target.clear()
-        return out
-
-    for batch in batches:
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            found = _words(text)
-            every.update(found)
-            if wanted:
-                target.update(found)
-        if len(every) > 400_000:
-            yield rows()
-    if every:
-        yield rows()
-
-
-def _count_pairs(words: dict[str, int]):
-    def count(batches):
-        sums = np.zeros((2, 1 << PAIR_BITS), np.int64)
-        for batch in batches:
-            ids, n, start = _batch_ids(words, batch.column("text").to_pylist())
-            if not len(ids):
-                continue
-            slots, _ = _slots(ids, start[n > 0])
-            sums[0] += np.bincount(slots, minlength=sums.shape[1])
-            of = np.repeat(np.array(batch.column("target").to_pylist(), bool), n)
-            sums[1] += np.bincount(slots[of], minlength=sums.shape[1])
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["slot", "n", "n_target"])
-
-    return count
-
-
-def _marked(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    ids = materialise(target.select(F.col(id_col).alias("_id"), F.lit(True).alias("target")).where("_id is not null").distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def _word_counts(marked: DataFrame) -> DataFrame:
-    return materialise(marked.mapInArrow(_count_words, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-
-
-def train_models(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts of words and word pairs over all documents (background) and over those whose id is in
-    `target`. Every task counts what it reads and sums meet by word or place, so what is gathered
-    grows with the documents while the model does not: VOCABULARY words and 2**PAIR_BITS places."""
-    marked = _marked(docs, target, id_col, text_col)
-    counted = _word_counts(marked)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
-    words = {w: i + 2 for i, w in enumerate(top.column("word").to_pylist())}
-    single = np.zeros((2, VOCABULARY))
-    for row, name in enumerate(("n", "n_target")):
-        single[row, 2 : len(words) + 2] = top.column(name).to_numpy()
-        single[row, 1] = total[row] - single[row].sum()
-    sums = marked.mapInArrow(_count_pairs(words), "slot int, n long, n_target long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    pairs = np.zeros((2, 1 << PAIR_BITS), np.float32)
-    for row, name in enumerate(("n", "n_target")):
-        pairs[row, sums.column("slot").to_numpy()] = sums.column(name).to_numpy()
-    return Model(words, single, pairs)
-
-
-def _losses(model: Model, ids: np.ndarray, slots: np.ndarray, before: np.ndarray, row: int, starts: float) -> np.ndarray:
-    """-log probability of each word: pairs and single words, interpolated."""
-    single, size = model.single[row], len(model.words) + 1
-    alone = (single[ids] + ADDED) / (single.sum() + ADDED * size)
-    seen = single[before]
-    seen[before == 0] = starts
-    both = model.pairs[row][slots]
-    # a place that other pairs share may count more than the word before
-    share = np.minimum(both / np.maximum(seen, 1), 1)
-    return -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone)
-
-
-def score_documents(docs: DataFrame, model: Model, n_texts: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words long, ce_target, ce_background (mean loss a word), score = their difference.
-
-    The lower the score, the more a text is like the target. Every whole text is scored by itself, in
-    one pass without a shuffle; the model's size is fixed. Null, empty or blank text: 0 words, the
-    rest null. Repeated rows and null ids are scored like others. n_texts: documents in background
-    and target, the number of starts.
-    """
-    schema = docs.select(F.col(id_col)).schema.add("n_words", "long").add("ce_target", "double").add("ce_background", "double").add("score", "double")
-
-    def score(batches):
-        for batch in batches:
-            ids, n, start = _batch_ids(model.words, batch.column(text_col).to_pylist())
-            some, mean = n > 0, {}
-            slots, before = _slots(ids, start[some]) if len(ids) else (ids, ids)
-            for row in (0, 1):
-                mean[row] = np.full(len(n), np.nan)
-                if len(ids):
-                    mean[row][some] = np.add.reduceat(_losses(model, ids, slots, before, row, max(1, n_texts[row])), start[some]) / n[some]
-            values = [pa.array(x, mask=~some) for x in (mean[1], mean[0], mean[1] - mean[0])]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(n), *values], [id_col, "n_words", "ce_target", "ce_background", "score"])
-
-    return docs.select(id_col, text_col).mapInArrow(score, schema)
+def _words(text: str | None) -> list[bytes]:
+    """Lower-cased runs of anything but blanks, tabs and line ends."""
+    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
 
 
 class _Places(dict):
-    """Place of every word a task has met; `ids` has the id at each place, the same in all tasks.
-
-    Frequent words keep place and id; any other word's id is a digest, which _far_ids proves unique.
-    """
+    """Place of every word that a task has met: frequent words have theirs, others come after them."""
 
-    def __init__(self, words: dict[str, int], seed: int):
+    def __init__(self, words: dict[bytes, int]):
         super().__init__(words)
-        self.ids, self.seed = list(range(VOCABULARY)), seed
+        self.frequent, self.digests = len(words) + 1, []
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-    def __missing__(self, word: str) -> int:
-        place = self[word] = len(self.ids)
-        self.ids.append(FAR + int(md5(f"{self.seed}:{word}".encode()).hexdigest()[:15], 16))
+        place = self[word] = self.frequent + len(self.digests)
+        self.digests.append(xxhash.xxh3_64_intdigest(word) >> 2)
         return place
 
 
-def _slices(batch: pa.RecordBatch, text_col: str):
+def _slices(batch: pa.RecordBatch, column: str = "text"):
     """Start, end and words of each text, for a part of a batch at a time."""
     found, start, size = [], 0, 0
-    for i, text in enumerate(batch.column(text_col).to_pylist(), 1):
+    for i, text in enumerate(batch.column(column).to_pylist(), 1):
         found.append(_words(text))
         size += len(found[-1])
         if size > AT_ONCE or len(found) == 1 << 13 or i == batch.num_rows:
@@ -194,155 +69,183 @@ def _slices(batch: pa.RecordBatch, text_col: str):
             found, start, size = [], i, 0
 
 
-def _places(places: _Places, found: list[list[str]]):
+def _placed(places: _Places, found: list[list[bytes]]):
     """Text, place of the word before (0: start) and place of each word; number of words of each text."""
     n = np.array([len(f) for f in found], np.int64)
     of = np.repeat(np.arange(len(n)), n)
-    at = np.fromiter((places[w] for f in found for w in f), np.int64, len(of))
+    at = np.fromiter((p for f in found for p in map(places.__getitem__, f)), np.int64, len(of))
     before = np.r_[0, at[:-1]] if len(at) else at
     before[(np.cumsum(n) - n)[n > 0]] = 0
     return of, before, at, n
 
 
-def _summed(keys: np.ndarray, *counts: np.ndarray):
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], *(np.add.reduceat(c[order], first) for c in counts)
+def _count_words(batches):
+    """Counts of words in a task; the empty word counts texts with words."""
+    every, target = Counter(), Counter()
 
+    def rows():
+        out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())], ["word", "n", "n_target"])
+        every.clear()
+        target.clear()
+        return out
 
-def _exact_pairs(words: dict[str, int], seed: int):
-    def count(batches):
-        places, parts, held = _Places(words, seed), [], 0
+    for batch in batches:
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
+            if found := _words(text):
+                found.append(b"")
+            every.update(found)
+            if wanted:
+                target.update(found)
+        if len(every) > 400_000:
+            yield rows()
+    if every:
+        yield rows()
 
-        def rows():
-            ids = np.array(places.ids)
-            keys, n, n_target = parts[0]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[keys >> 32], ids[keys & 0xFFFFFFFF], n, n_target)], ["a", "b", "n", "n_target"])
 
+def _count_pairs(words: dict[bytes, int], top: int):
+    def count(batches):
+        places, sums = _Places(words), np.zeros((2, top * top), np.int64)
         for batch in batches:
             wanted = np.array(batch.column("target").to_pylist(), bool)
-            for i, j, found in _slices(batch, "text"):
-                of, before, at, _ = _places(places, found)
-                if not len(at):
-                    continue
-                parts.append(_summed(before << 32 | at, np.ones(len(at), np.int64), wanted[i:j][of].astype(np.int64)))
-                held += len(parts[-1][0])
-                if held > 3_000_000 or len(places) > 1_500_000:
-                    parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
-                    held = len(parts[0][0])
-                    if held > 2_000_000 or len(places) > 1_500_000:
-                        yield rows()
-                        places, parts, held = _Places(words, seed), [], 0
-        if parts:
-            parts = [_summed(*map(np.concatenate, zip(*parts, strict=True)))]
-            yield rows()
+            for i, j, found in _slices(batch):
+                of, before, at, _ = _placed(places, found)
+                often = (before < top) & (at < top)
+                pair, is_target = (before * top + at)[often], wanted[i:j][of[often]]
+                sums[0] += np.bincount(pair[~is_target], minlength=sums.shape[1])
+                sums[1] += np.bincount(pair[is_target], minlength=sums.shape[1])
+                if len(places.digests) > REMEMBERED:
+                    places = _Places(words)
+        at = np.flatnonzero(sums.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], ["pair", "n_background", "n_target"])
 
     return count
 
 
-def _pair_losses(words: dict[str, int], seed: int, hot: np.ndarray, losses: np.ndarray, id_col: str, text_col: str):
-    """A row a text (a, b below 0; k words; x, y its loss over hot pairs), and one each other pair in it."""
+def _gain(n, before, chance):
+    """By how much a pair that other documents have n times after n `before` lowers a word's loss."""
+    return np.log1p(PAIR_WEIGHT / (1 - PAIR_WEIGHT) * n / np.maximum(before, 1) / chance)
+
+
+def _texts_and_pairs(v: Vocabulary, id_col: str):
+    """A row a text (k 0; its words and losses x, y by single words and pairs of the top places), and a
+    row each other pair in it: group, key, row of the text, k times, whether the text is of the target."""
+    frequent = len(v.places) + 1
 
-    def score(batches):
-        places, row = _Places(words, seed), (TaskContext.get().partitionId() << 40)
+    def rows(batches):
+        places, row = _Places(v.places), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, j, found in _slices(batch, text_col):
-                of, before, at, n = _places(places, found)
+            wanted = np.array(batch.column("target").to_pylist(), bool)
+            for i, j, found in _slices(batch):
+                of, before, at, n = _placed(places, found)
+                single = np.minimum(at, frequent)
+                losses = [np.bincount(of, -np.log((1 - PAIR_WEIGHT) * v.chance[r][single]), len(n)) for r in (0, 1)]
                 key, k = np.unique(of << 48 | before << 24 | at, return_counts=True)
                 of, a, b = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
-                pair = np.where((a < VOCABULARY) & (b < VOCABULARY), a << 16 | b, -1)
-                place = np.minimum(np.searchsorted(hot, pair), max(0, len(hot) - 1))
-                known = hot[place] == pair if len(hot) else np.zeros(len(pair), bool)
-                x, y = (np.bincount(of[known], k[known] * losses[r][place[known]], len(n)) for r in (0, 1))
-                ids, rest = np.array(places.ids), ~known
-                rows = row + np.arange(len(n))
-                none = pa.nulls(int(rest.sum()), pa.float64())
-                own = pa.concat_arrays([batch.column(id_col).slice(i, j - i), pa.nulls(len(none), batch.column(id_col).type)])
-                columns = [np.r_[rows, rows[of[rest]]], np.r_[-1 - rows, ids[a[rest]]], np.r_[-1 - rows, ids[b[rest]]], np.r_[n, k[rest]]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([pa.array(x), none]), pa.concat_arrays([pa.array(y), none]), own], ["row", "a", "b", "k", "x", "y", "_id"])
-                row += len(n)
-                if len(places) > 1_500_000:
-                    places = _Places(words, seed)
-
-    return score
-
-
-def _far_ids(counted: DataFrame, last: tuple | None) -> tuple[DataFrame, int]:
-    """id, w, w_target of the words after the last frequent one, and a seed with which no two share an id."""
-    if last is None:
-        return counted.where("false").select(F.lit(0).cast("long").alias("id"), F.col("n").alias("w"), F.col("n_target").alias("w_target")), 0
-    rest = counted.where((F.col("n") < last[0]) | (F.col("n") == last[0]) & (F.col("word") > last[1]))
-    for seed in range(8):
-        digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "word")), 1, 15), 16, 10).cast("long")
-        far = rest.select((digest + F.lit(FAR)).alias("id"), F.col("n").alias("w"), F.col("n_target").alias("w_target"))
-        if not far.groupBy("id").count().where("count > 1").head(1):
-            return far, seed
-    raise ValueError("digests of words are not unique")
-
-
-def score_corpus(docs: DataFrame, target: DataFrame, n_texts: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns of score_documents for docs under models of all their words and word pairs, with exact counts.
-
-    Counts are tables that grow with the documents. Each pair gets its two losses there, and texts
-    meet them by a join on their distinct pairs. Frequent words and hot pairs are broadcast: their
-    number is bounded (VOCABULARY, HOT_SHARE), and any other word or pair is at most about one in
-    VOCABULARY of all words, so no key of a join is larger.
+                own = wanted[i:j][of]
+                often = (a < v.top) & (b < v.top)
+                o, f, s, t = of[often], a[often], b[often], k[often]
+                for r in (0, 1):
+                    mine = t * (own[often] == bool(r))
+                    losses[r] -= np.bincount(o, t * _gain(v.pairs[r][f * v.top + s] - mine, v.single[r][f] - mine, v.chance[r][s]), len(n))
+                of, a, b, k, own = of[~often], a[~often], b[~often], k[~often], own[~often]
+                digests = np.array(places.digests, np.int64)
+                rare_a, rare_b = a >= frequent, b >= frequent
+                da, db = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+                da[rare_a], db[rare_b] = digests[a[rare_a] - frequent], digests[b[rare_b] - frequent]
+                low = (1 << DIGEST_BITS) - 1
+                key = np.where(rare_b, SECOND_RARE | a << DIGEST_BITS | db & low, a << 20 | b)
+                with np.errstate(over="ignore"):
+                    # a rare first word's pairs meet in one group, which counts it; the sign bit marks them
+                    key = np.where(rare_a, np.where(rare_b, -SECOND_RARE + (da * 31 + db & SECOND_RARE - 1), np.iinfo(np.int64).min + (b << DIGEST_BITS | da & low)), key)
+                group = np.where(rare_a, -SECOND_RARE + da, key)
+                texts, pairs, none = len(n), len(key), pa.nulls(len(key), pa.float64())
+                ids = row + np.arange(texts)
+                own_ids = batch.column(id_col).slice(i, j - i)
+                columns = [np.r_[ids, group], np.r_[ids, key], np.r_[ids, ids[of]], np.r_[np.zeros(texts, np.int64), k * 2 + own]]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), pa.concat_arrays([pa.array(n), pa.nulls(pairs, pa.int64())]), *(pa.concat_arrays([pa.array(x), none]) for x in losses), pa.concat_arrays([own_ids, pa.nulls(pairs, own_ids.type)])],
+                    ["group", "key", "row", "k", "n", "x", "y", id_col],
+                )
+                row += texts
+                if len(places.digests) > REMEMBERED:
+                    places = _Places(v.places)
+
+    return rows
+
+
+def learn_vocabulary(marked: DataFrame, vocabulary: int = VOCABULARY, top: int = TOP) -> Vocabulary:
+    """Counts of all words, of which the most frequent are kept, and of the pairs of the `top` ones."""
+    counted = materialise(marked.mapInArrow(_count_words, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    own = counted.where(F.octet_length("word") > 0)
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
+    first = own.orderBy(F.col("n").desc(), "word").limit(vocabulary).toArrow()
+    starts = counted.where(F.octet_length("word") == 0).select("n", "n_target").first() or (0, 0)
+    places = {w: i for i, w in enumerate(first.column("word").to_pylist(), 1)}
+    n, n_target = (np.r_[s, first.column(c).to_numpy()] for s, c in zip(starts, ("n", "n_target"), strict=True))
+    single = np.array([n - n_target, n_target])
+    whole = np.array([total[0] - total[1], total[1]])
+    rare = total[2] - len(places)
+    mean = (whole - single[:, 1:].sum(axis=1)) / max(rare, 1)
+    chance = (np.c_[single, mean] + ADDED) / np.maximum(whole + ADDED * total[2], ADDED)[:, None]
+    top = min(top, len(places) + 1)
+    sums = marked.mapInArrow(_count_pairs(places, top), "pair long, n_background long, n_target long").groupBy("pair").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target")).toArrow()
+    pairs = np.zeros((2, top * top), np.int64)
+    for r, c in enumerate(("n_background", "n_target")):
+        pairs[r, sums.column("pair").to_numpy()] = sums.column(c).to_numpy()
+    return Vocabulary(places, single, pairs, chance, top)
+
+
+def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, top: int = TOP) -> DataFrame:
+    """id_col, n_words long, ce_target, ce_background (mean loss a word), score = their difference.
+
+    Two n-gram models of one vocabulary and form: the target's of the documents whose id is in
+    `target`, the background's of all others. A word's probability is that of the pair with the word
+    before it, mixed with that of the word alone; a document's own pairs are left out of the counts
+    that score it. The lower the score, the more a text is like the target.
+
+    Pair counts are exact and grow with the documents: every text's distinct pairs meet by pair, once,
+    and only those that another text has too go back to their texts. Pairs of the `top` words, which
+    could be hot, are counted apart; any other pair holds a rarer word, so no group is large. Single
+    counts are exact for the `vocabulary` most frequent words; rarer ones share their mean.
+
+    Null, empty or blank text: 0 words, the rest null; texts may be of any length. Repeated rows are
+    scored each, and count as other documents to each other. Null ids are never of the target; rows
+    without target count only for the background. Other columns are ignored. An empty table gives none.
     """
     spark = docs.sparkSession
-    marked = _marked(docs, target, id_col, text_col)
-    counted = _word_counts(marked)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 2).toArrow()
-    words = {w: i + 2 for i, w in enumerate(top.column("word").to_pylist())}
-    last = (top.column("n")[-1].as_py(), top.column("word")[-1].as_py()) if total[2] > len(words) else None
-    far, seed = _far_ids(counted, last)
-    single = np.zeros((2, VOCABULARY), np.int64)
-    for row, name in enumerate(("n", "n_target")):
-        single[row, 0] = n_texts[row]
-        single[row, 2 : len(words) + 2] = top.column(name).to_numpy()
-    near = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(VOCABULARY), "w": single[0], "w_target": single[1]})))
-    # dealt by the second word, if it is a rare one: its count then joins without another exchange
-    dealt = marked.mapInArrow(_exact_pairs(words, seed), "a long, b long, n long, n_target long").withColumn("p", F.when(F.col("b") >= FAR, F.col("b")).otherwise(F.xxhash64("a", "b") % F.lit(FAR)))
-    pairs = dealt.repartition("p").groupBy("p", "a", "b").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    pairs = pairs.join(far.select(F.col("id").alias("p"), F.col("w").alias("wb"), F.col("w_target").alias("wb_target")), "p", "left").drop("p")
-    pairs = materialise(pairs)
-
-    # a pair above both limits is of two frequent words
-    least = max(total[0] // HOT_SHARE, last[0] if last else 0) + 1
-    is_hot = (F.col("n") >= least) & (F.col("a") < VOCABULARY) & (F.col("b") < VOCABULARY)
-    top = pairs.where(is_hot).select("a", "b", "n", "n_target").toArrow()
-    hot = top.column("a").to_numpy() << 16 | top.column("b").to_numpy()
-    order = np.argsort(hot)
-    losses = np.zeros((2, len(hot)))
-    size = total[2] + 1
-    for row, name in enumerate(("n", "n_target")):
-        share = np.minimum(top.column(name).to_numpy() / np.maximum(single[row][hot >> 16], 1), 1)
-        losses[row] = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (single[row][hot & 0xFFFF] + ADDED) / (total[row] + ADDED * size))
-    del top
-
-    rest = pairs.where(~is_hot)
-    second = near.select(F.col("id").alias("b"), F.col("w").alias("vb"), F.col("w_target").alias("vb_target"))
-    rest = rest.join(second, "b", "left").select("a", "b", "n", "n_target", F.coalesce("wb", "vb").alias("wb"), F.coalesce("wb_target", "vb_target").alias("wb_target"))
-    first = [t.select(F.col("id").alias("a"), F.col("w").alias("wa"), F.col("w_target").alias("wa_target")) for t in (near, far)]
-    rest = rest.where(F.col("a") < FAR).join(F.broadcast(first[0]), "a").unionByName(rest.where(F.col("a") >= FAR).join(first[1], "a"))
-
-    def loss(row: int, end: str) -> F.Column:
-        share = F.least(F.col(f"n{end}") / F.greatest(f"wa{end}", F.lit(1)), F.lit(1.0))
-        return -F.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (F.col(f"wb{end}") + ADDED) / (total[row] + ADDED * size))
-
-    rest = rest.select("a", "b", loss(0, "").alias("l0"), loss(1, "_target").alias("l1"))
     kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_pair_losses(words, seed, hot[order], losses[:, order], "_id", "_text"), f"row long, a long, b long, k long, x double, y double, _id {kind}")
-    met = found.join(rest, ["a", "b"], "left")
-    value = lambda own, pair: F.sum(F.coalesce(own, F.col("k") * F.col(pair)))
-    sums = met.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.sum(F.when(F.col("a") < 0, F.col("k")).otherwise(0)).alias("n_words"), value("x", "l0").alias("s0"), value("y", "l1").alias("s1"))
-    ce = [F.when(F.col("n_words") > 0, F.col(s) / F.col("n_words")) for s in ("s1", "s0")]
-    return sums.select(id_col, "n_words", ce[0].alias("ce_target"), ce[1].alias("ce_background"), (ce[0] - ce[1]).alias("score"))
+    ids = materialise(target.select(F.col(id_col).alias("_id"), F.lit(True).alias("target")).where("_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    v = learn_vocabulary(marked.select("text", "target"), vocabulary, top)
+    rows = marked.mapInArrow(_texts_and_pairs(v, "_id"), f"group long, key long, row long, k long, n long, x double, y double, _id {kind}")
+    rows = rows.select("group", "key", "row", F.expr("k div 2").alias("k"), (F.col("k") % 2).alias("own"), "n", "x", "y", "_id")
+
+    by_group = Window.partitionBy("group").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_pair = Window.partitionBy("group", "key")
+    mine = [F.col("k") * (1 - F.col("own")), F.col("k") * F.col("own")]
+    met = rows.withColumns({f"g{r}": F.sum(mine[r]).over(by_group) for r in (0, 1)})
+    met = met.withColumns({f"p{r}": F.sum(mine[r]).over(by_pair) for r in (0, 1)}).where((F.col("k") == 0) | (F.col("p0") + F.col("p1") > F.col("k")))
+    digits = F.shiftright(F.col("key").bitwiseAND(F.lit(SECOND_RARE - 1)), DIGEST_BITS)
+    rare_a, rare_b = F.col("group") < 0, (F.col("key") >= SECOND_RARE) | (F.col("key") < 0) & (F.col("key") >= -SECOND_RARE)
+    a = F.when(rare_a | (F.col("k") == 0), F.lit(-1)).when(rare_b, digits).otherwise(F.shiftright("key", 20))
+    b = F.when(rare_b | (F.col("k") == 0), F.lit(-1)).when(rare_a, digits).otherwise(F.col("key").bitwiseAND(F.lit((1 << 20) - 1)))
+    table = pa.table({"place": np.arange(v.single.shape[1]), **{f"s{r}": v.single[r] for r in (0, 1)}, **{f"c{r}": v.chance[r][:-1] for r in (0, 1)}})
+    words = spark.createDataFrame(table)  # of `vocabulary` rows: small enough to send to every task
+    met = met.withColumns({"a": a, "b": b})
+    met = met.join(F.broadcast(words.select(F.col("place").alias("a"), "s0", "s1")), "a", "left").join(F.broadcast(words.select(F.col("place").alias("b"), "c0", "c1")), "b", "left")
+
+    def loss(r: int, own: str) -> F.Column:
+        before = F.greatest(F.coalesce(f"s{r}", f"g{r}") - mine[r], F.lit(1))
+        gain = F.log1p(PAIR_WEIGHT / (1 - PAIR_WEIGHT) * (F.col(f"p{r}") - mine[r]) / before / F.coalesce(f"c{r}", F.lit(float(v.chance[r][-1]))))
+        return F.sum(F.when(F.col("k") == 0, F.col(own)).otherwise(-F.col("k") * gain)).alias(f"l{r}")
+
+    sums = met.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.max("n").alias("n_words"), loss(0, "x"), loss(1, "y"))
+    ce = [F.when(F.col("n_words") > 0, F.col(f"l{r}") / F.col("n_words")) for r in (0, 1)]
+    return sums.select(id_col, "n_words", ce[1].alias("ce_target"), ce[0].alias("ce_background"), (ce[1] - ce[0]).alias("score"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good and not toxic, without every fifth (held out)."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
     target = labels(spark, sf_dir).where((F.col("quality") == 1) & (F.col("toxic") == 0) & ~held_out())
-    return score_corpus(docs, target, (docs.count(), target.count()))
+    return score_corpus(documents(spark, sf_dir).select("doc_id", "text"), target)
