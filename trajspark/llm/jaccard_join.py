@@ -7,17 +7,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
 #: First-level parts by differences allowed, and second-level parts of each, of which signatures leave out one.
-FIRST, PARTS = 0.6, 2
+FIRST, PARTS = 0.75, 2
 #: Rounds of pivots before all pairs that are still open are compared.
 PIVOT_ROUNDS = 2
-#: Bits of a parity sketch: each element of a set flips one.
-SKETCH = 1024
+#: Least and most bits of a parity sketch, of which each element of a set flips one.
+SKETCH = 256, 4096
 #: Nodes of one signature that meet in one group; larger signatures are dealt to pairs of such blocks.
 BLOCK = 256
 #: Rows without an id are told apart by a digest of their text from here on.
@@ -131,6 +131,13 @@ def signatures(items: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parity sketch with a power of two of bits, about as many as elements, as 64-bit integers."""
+    bits = min(max(SKETCH[0], 1 << max(len(items) - 1, 0).bit_length()), SKETCH[1])
+    flips = np.bincount((items % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
     """Size, two sums of hashes, which tell sets apart, and the parity sketch."""
 
@@ -140,22 +147,29 @@ def _sets(n: int):
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
                 rows.append((len(s), *(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mix(s, 2)))))
-                flips = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-                sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+                sketches.append(sketch(s))
             columns = zip(*rows, strict=True) if rows else [()] * 3
             flat = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (SKETCH // 64)), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])], pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), lists], ["doc_id", "n_shingles", "x", "y", "sketch"])
 
     return emit
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link: sets that differ in h elements have sketches that
-    differ in at most h bits."""
-    x, y = (nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab")
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return pairs.join(x, "a").join(y, "b").where((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
+    """Whether sizes n_ and sketches s_ of two nodes allow a link: sets that differ in h elements have
+    sketches that differ in at most h bits. A sketch folds to one of half its bits."""
+    one, two, n_one, n_two = F.col(f"s_{a}"), F.col(f"s_{b}"), F.col(f"n_{a}"), F.col(f"n_{b}")
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, F.size(s)), lambda p, q: p.bitwiseXOR(q))
+    x = F.when(F.size(one) > F.size(two), half(one)).otherwise(one)
+    y = F.when(F.size(two) > F.size(one), half(two)).otherwise(two)
+    bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (100 * F.least(n_one, n_two) >= percent * F.greatest(n_one, n_two)) & ((100 + percent) * bits <= (100 - percent) * (n_one + n_two))
+
+
+def _described(df: DataFrame, nodes: DataFrame, key: str, name: str) -> DataFrame:
+    """df with size n_ and sketch s_ of the node in column key."""
+    return df.join(nodes.select(F.col("node").alias(key), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}")), key)
 
 
 def _signed(n: int, percent: int, rows: int = 1_000_000):
@@ -239,28 +253,34 @@ def _kept_signatures(signed: DataFrame) -> DataFrame:
     return materialise(kept.withColumn("c", F.count(F.lit(1)).over(by_sig)).where("c > 1").select("sig", "node"))
 
 
-def _star_pairs(named: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each signature's pivot with the nodes of other components: as many as there are rows."""
+def _star_pairs(named: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each signature's pivot with the nodes of other components: no more than there are rows."""
     if turn == 0:
         # the node that shares most signatures is likely the middle of its group; later rounds turn to others
         named = named.join(named.groupBy("node").agg((-F.count(F.lit(1))).alias("r")), "node")
     else:
         named = named.withColumn("r", F.xxhash64("node", F.lit(turn)))
     starred = named.withColumn("p", F.min(F.struct("r", "node", "comp")).over(Window.partitionBy("sig"))).where(F.col("p.comp") != F.col("comp"))
-    return starred.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"))
+    pairs = starred.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
+    return _described(_described(pairs, nodes, "a", "a"), nodes, "b", "b").where(_may_link(percent)).select("a", "b")
 
 
-def _open_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of a signature that lie in different components. Nodes of a large signature are dealt
-    to blocks, and each pair of blocks meets in a group of its own."""
+def _open_pairs(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a signature that lie in different components and whose sketches allow a link. Nodes
+    of a large signature are dealt to blocks, and each pair of blocks meets in a group of its own."""
     blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / BLOCK).cast("int")
-    dealt = named.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = _described(named.withColumn("n", blocks), nodes, "node", "a").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = materialise(dealt.select("sig", "node", "comp", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    dealt = materialise(dealt.select("sig", "node", "comp", "n_a", "s_a", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    # few rows make many comparisons: they are dealt to more tasks than their bytes ask for
+    tasks = max(named.sparkSession.sparkContext.defaultParallelism, dealt.count() // BLOCK // 4)
+    dealt = dealt.repartition(tasks, "sig", "low", "high")
     one = dealt.where("own = low")
-    two = dealt.where("own = high").select("sig", "low", "high", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"))
-    met = one.join(two, ["sig", "low", "high"]).where((F.col("comp") != F.col("o_comp")) & ((F.col("low") < F.col("high")) | (F.col("node") < F.col("o_node"))))
-    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+    two = dealt.where("own = high").select("sig", "low", "high", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"), F.col("n_a").alias("n_b"), F.col("s_a").alias("s_b"))
+    same_group = (one["sig"] == two["sig"]) & (one["low"] == two["low"]) & (one["high"] == two["high"])
+    apart = (one["comp"] != two["o_comp"]) & ((one["low"] < one["high"]) | (one["node"] < two["o_node"]))
+    met = one.join(two, same_group & apart & _may_link(percent))
+    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,14 +319,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
             # signatures whose nodes are all of one component have nothing left to say
             named = materialise(of.withColumn("l", F.min("comp").over(by_sig)).withColumn("h", F.max("comp").over(by_sig)).where("l <> h").select("sig", "node", "comp"))
             kept = named.select("sig", "node")
-        pairs = (_star_pairs(named, turn) if turn < PIVOT_ROUNDS else _open_pairs(named)).distinct()
+        pairs = _star_pairs(named, nodes, turn, percent) if turn < PIVOT_ROUNDS else _open_pairs(named, nodes, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialise(_near(pairs, nodes, percent))
+        pairs = materialise(pairs)
         if not pairs.count():
             continue
         found = materialise(jaccard_links(texts, pairs, n, percent))
         seen = pairs if seen is None else seen.union(pairs)
+        if not found.count():
+            continue
         links = found if links is None else links.union(found)
         comps = connected_components(links)
     named = full.select("doc_id", "n_shingles", "x", "y").join(nodes.select("n_shingles", "x", "y", "node"), ["n_shingles", "x", "y"])
