@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import DATA, same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trajspark.llm import jaccard_join, licences, lm_scoring, mixing, packing, quality, search, token_counts, token_files, toxicity
@@ -113,6 +114,24 @@ def check_packing(rows, capacity, want):
     for _, s in rows.sort_values("offset").groupby("sequence_id"):
         assert (s["offset"].to_numpy() == np.r_[0, s["length"].cumsum()[:-1]]).all() and s["length"].sum() <= capacity
     assert rows["length"].sum() == sum(map(len, want))
+    # pieces of a document: the first is what is over, each has the CRC of its ids
+    pieces = Counter(zip(rows["piece"], rows["start"], rows["length"], rows["ids_crc32"], strict=True))
+    for x in want:
+        x = np.asarray(x, "<u4")
+        edges = [0, *range(len(x) % capacity or min(len(x), capacity), len(x) + 1, capacity)]
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            pieces[i, a, b - a, zlib.crc32(x[a:b].tobytes())] -= 1
+    assert not any(pieces.values())
+
+
+def test_packing_all(spark, docs):
+    """The whole contract on all documents, and little waste."""
+    got = packing.pack_documents(documents(spark, DATA), BPE).toPandas()
+    each = {r.doc_id: np.r_[ids(r.text), 2] for r in docs.itertuples()}
+    check_packing(got, 1024, list(each.values()))
+    for d, s in got.sort_values("piece").groupby("doc_id"):
+        assert s["piece"].tolist() == list(range(len(s))) and s["length"].sum() == len(each[d])
+    assert got["sequence_id"].nunique() <= 1.05 * got["length"].sum() / 1024 + 4
 
 
 def test_packing(spark, odd, empty):
@@ -304,7 +323,8 @@ def test_toxicity(spark, odd, empty):
     model = toxicity.fit(rows, np.array(y))
     z, _ = toxicity._margin(model, np.searchsorted(model.places, np.concatenate(rows)), np.cumsum([len(r) for r in rows]))
     assert ((z > 0) == np.array(y)).mean() > 0.99  # no weights of single words can do that
-    scored = toxicity.score_toxicity(odd.drop("score"), model).toPandas()
+    scored = toxicity.score_toxicity(odd, model).toPandas()
+    assert sorted(scored.columns) == sorted(odd.columns) and toxicity.score_toxicity(odd, model, score_col="Label").toPandas()["score"].eq(9).all()
     assert len(scored) == len(ODD) and scored["score"].between(0, 1).all()
     assert toxicity.score_toxicity(empty.drop("score"), model).count() == 0
     assert len(toxicity.train_toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).places) == 0
@@ -433,6 +453,38 @@ def test_wrapped_licences(spark):
     assert got["families"][99] == ""
 
 
+def test_factorization_machine_is_explicit_pairs():
+    """The margin is bias, single terms and all pairs of terms, written out."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
+    rows = [[0, 2, 5], [], [1], [0, 1, 2, 3, 4, 5]]
+    got = toxicity._margin(model, np.array(sum(rows, []), np.int64), np.cumsum([len(r) for r in rows]))[0]
+    want = [model.bias + sum(model.linear[i] for i in r) + sum(model.factors[i] @ model.factors[j] for i in r for j in r if i < j) for r in rows]
+    assert np.allclose(got, want)
+
+
+def test_columns_with_clashing_names(spark, docs):
+    """Columns named like anything that operators and stages add come through untouched."""
+    import corpus_pipeline as cp
+
+    names = ["n_words", "_words", "_lines", "_row", "row", "row_key", "copies", "_copy", "score", "kept", "_id", "node", "component_id", "size", "key", "target"]
+    table = documents(spark, DATA).limit(60)
+    for i, c in enumerate(names):
+        table = table.withColumn(c, F.col("doc_id") * 100 + i)
+    nulls = spark.createDataFrame([(None,) * len(table.columns), (None, "", *(None,) * (len(table.columns) - 2))], table.schema)
+    table = table.union(table.limit(2)).union(nulls)
+    judged = quality.quality_rules(table).toPandas()
+    assert {"_words", "_lines", "_row"} <= set(judged.columns) and (judged["_lines"].dropna() == judged["doc_id"].dropna() * 100 + 2).all()
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, table, DATA)
+        rows = out.toPandas()
+        assert out.columns == table.columns and len(rows)
+        for i, c in enumerate(names):
+            assert (rows[c].dropna() == rows["doc_id"].dropna() * 100 + i).all()
+        assert stage(spark, table.limit(0), DATA).columns == table.columns
+    assert cp.STAGES[-1][1](spark, table, DATA).count() >= 64
+
+
 def test_pipeline(spark):
     """Every stage against its operator's plain meaning on the documents that came before."""
     import corpus_pipeline as cp

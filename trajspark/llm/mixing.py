@@ -58,6 +58,12 @@ def sainte_lague(parties: DataFrame, votes: str, seats: str, order: str, group:
     return known.join(won, [*group, order], "left").withColumn("quota", F.col("_sure") + F.coalesce("_more", F.lit(0))).drop("_votes", "_parties", "_sure", "_most", "_left", "_more")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Column:
+    """Seeded digest of a row, by which it is dealt and ordered: of its id and its text, so that rows
+    without an id, or with the same one, spread too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, passes: int = PASSES, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """How many words of each document a mix of sources takes.
 
@@ -67,13 +73,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: floa
     their sizes. A shard gives its quota from the start of its order, once or up to `passes` times
     round; only where the quota ends is a document taken in part.
 
-    Returns id_col, size, source_size, target (of its source), taken, and source, all words long but
-    target (double). Null, empty or blank text: size and taken 0. A null source is a source of its
-    own, the last. Rows with one id are each dealt as documents. The same rows and seed always give
+    Returns id_col, size, source_size, target (of its source), taken, and source and the row's key;
+    sizes in words (long), target double. Null, empty or blank text: size and taken 0. A null source is a source of its
+    own, the last. Rows with one id, and repeated rows, are each dealt as documents. Texts may be of any length. The same rows and seed always give
     the same mix. Other columns are ignored. An empty table gives none.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), digest.alias("key")))
+    sized = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), row_key(id_col, text_col, seed).alias("key")))
     targets = source_targets(sized, weights, total, passes)
     seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long")
     quotas = sainte_lague(targets.withColumn("seats", seats), "target", "seats", "no")
@@ -88,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: floa
     joined = _join_sources(placed, g, (F.col("no") == F.col("_no")) & (F.col("shard") == F.col("_shard")))
     rounds = F.when(F.col("shard_size") > 0, F.expr("take div shard_size")).otherwise(F.lit(0))
     partly = F.greatest(F.lit(0), F.least(F.col("size"), F.col("take") - rounds * F.col("shard_size") - F.col("_before")))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + partly).cast("long").alias("taken"), F.col("source").alias(source_col))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + partly).cast("long").alias("taken"), F.col("source").alias(source_col), F.col("key").alias("row_key"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +103,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = f"""
 WITH z AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
-    md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+    md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM z GROUP BY source),
 w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 v AS (SELECT *, 2 * source_size / weight AS stop FROM w),

@@ -110,11 +110,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     `capacity` tokens of which the first may be shorter. Texts are encoded where they are read; only
     the pieces' numbers are shuffled, dealt by a hash of document and piece, so a hot document or
     source spreads over all tasks. Each task packs what arrives by bounded-space best fit with at
-    most `open_bins` open bins, taking each window of arrivals longest first.
+    most `open_bins` open bins. It is online but for this: each window of arrivals is taken longest first.
 
     Returns per piece: doc_id, piece int, start long, length long, ids_crc32 long (unsigned, of its
     ids as little-endian 32-bit), sequence_id long, offset long. Null or empty text: one piece, the
-    end id alone. Repeated rows are packed each; a null id stays null. An empty table gives none.
+    end id alone; a text may be of any length. Repeated rows are packed each; a null id stays null; other
+    columns are ignored. Bins of equal room are taken last opened first. An empty table gives none.
     """
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, capacity), PIECES)
     dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "ids_crc32")

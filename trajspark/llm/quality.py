@@ -39,17 +39,27 @@ RULES = (
 )
 
 
+#: Columns that a text is measured by.
+MEASURES = "n_words word_chars n_symbols n_dup_lines n_repeat_words mean_word_chars symbols_per_word capital_word_ratio stop_word_ratio dup_line_ratio".split()
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and the measures of its whole texts; each array is a column of its own before it is used
-    again, so that no projection computes it twice."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """docs and the measures of its whole texts, which take the place of columns of their names; each
+    array is a column of its own before it is used again, so that no projection computes it twice."""
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
+    names = [c for c in docs.columns if c.lower() not in MEASURES]
+    return _measures(kept).select(*(F.col("_row").getField(c).alias(c) for c in names), *MEASURES)
+
+
+def _measures(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("_text"), F.lit(""))
     parts = docs.withColumns(
         {
-            "_words": words(F.col(text_col)),
+            "_words": words(F.col("_text")),
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
@@ -111,7 +121,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     One narrow pass, no shuffle and no user function. base_failed: under 10 words, or over 20% of
     the words in 5-word windows that occur twice or more in the text. kept: not base_failed, and
     within every rule. Null, empty or blank text: all measures 0, base_failed. Repeated rows are
-    judged alike; other columns pass through (names of measures are replaced). An empty table gives none.
+    judged alike, and a text of any length as a whole; other columns pass through, but those named like a
+    measure, base_failed or kept are replaced. An empty table gives none.
     """
     # always true, and it keeps a filter on kept above the measures: pushed down, its expression would
     # hold all of theirs many times over

@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     so normalisation is null to empty and nothing else.
 
     Returns id_col, n_bytes long (UTF-8), n_tokens long, over_limit boolean, one row for each input
-    row. Null or empty text: 0 bytes, 0 tokens. Repeated rows and null ids stay as they are; other
+    row. Null or empty text: 0 bytes, 0 tokens; a text may be of any length. Repeated rows and null ids stay as they are; other
     columns are ignored. An empty table gives an empty result.
     """
     spark, tokenizer = docs.sparkSession, tokenizer_digest(tokenizer_path)

@@ -123,9 +123,9 @@ def _write_shards(folder: str, path: str, end: int):
         shard = name = out = None
         first = None
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if shard is None:
-                    enc, first = encoder(path), doc_id
+                    enc, first = encoder(path), (doc_id, digest)
                     store.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.ids"  # of this attempt: a task that runs again writes another file
                     out = store.open_output_stream(posixpath.join(base, name))
@@ -134,7 +134,7 @@ def _write_shards(folder: str, path: str, end: int):
         if shard is not None:
             shard.close()
             out.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first, "n_docs": len(shard.doc_ids), "n_ids": shard.n}])
+            yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first[0], "first_digest": first[1], "n_docs": len(shard.doc_ids), "n_ids": shard.n}])
 
     return write
 
@@ -143,14 +143,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     """Encode every whole text, append end_id, and write the ids in ascending id order.
 
     Each task writes one file of a range of ids, so the files hold the order without one task ever
-    seeing all of it. Returns the manifest (file, first_doc, n_docs, n_ids, start), already written:
+    seeing all of it. Returns the manifest (file, first_doc, first_digest, n_docs, n_ids, start), already written:
     start is the number of ids in all files before. Only files of the manifest count; what a lost
     task left behind has another name. Null ids come first; null or empty texts are the end id
-    alone; rows with the same id stand side by side, ordered by text. An empty table writes none.
+    alone, and a text may be of any length; rows with the same id stand side by side, ordered by a digest
+    of their text and then by text, so that very many of them spread too; other columns are ignored. An
+    empty table writes none.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = materialise(ordered.mapInArrow(_write_shards(folder, tokenizer_path, end_id), "file string, first_doc long, n_docs long, n_ids long"))
-    before = Window.orderBy(F.col("first_doc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text")).repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text")
+    shards = materialise(ordered.mapInArrow(_write_shards(folder, tokenizer_path, end_id), "file string, first_doc long, first_digest long, n_docs long, n_ids long"))
+    before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "first_digest").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 

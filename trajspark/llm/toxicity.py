@@ -132,9 +132,11 @@ def train_toxicity(docs: DataFrame, marks: DataFrame, train: Column | None = Non
 
     At most about TRAIN_ROWS of them, thinned evenly by a digest of the id, so the model, its
     fitting and what reaches the driver (hashed terms of these rows) are bounded at every size.
-    Rows without text or label are left out; null ids have no label.
+    Rows without text or label are left out; null ids have no label; repeated labels count once, and
+    rows of one id are each learned from. Texts may be of any length; other columns are ignored. One
+    class only, or an empty table, gives a model without terms.
     """
-    kept = marks.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    kept = marks.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).dropDuplicates([id_col, label_col])
     kept = (kept if train is None else kept.where(train)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("toxic"))
     share = TRAIN_ROWS / max(1, kept.count())
     # about TRAIN_ROWS ids of 16 bytes: small enough to send to every executor
@@ -144,10 +146,16 @@ def train_toxicity(docs: DataFrame, marks: DataFrame, train: Column | None = Non
     return fit(rows, np.array(got.column("toxic").to_pylist(), float))
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1). Every whole text is read once, without a shuffle; the model has at
-    most ASSOCIATED + FREQUENT terms. Null or empty text: the score of no terms."""
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with score_col (0 to 1), which takes the place of a column of that name.
+
+    Every whole text, however long, is read once, without a shuffle; the model has at most
+    ASSOCIATED + FREQUENT terms. Null or empty text: the score of no terms. Repeated rows and null ids
+    are scored like others, equal texts (also texts of equal terms) alike; other columns pass through.
+    An empty table gives none.
+    """
+    kept = [c for c in docs.columns if c.lower() != score_col.lower()]
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias(score_col)).schema
 
     def score(batches):
         places = _Places(model.places)
@@ -159,7 +167,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
                 at += found
                 count.append(len(found))
             z, _ = _margin(model, np.array(at, np.int64), np.cumsum(count))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z.clip(-500, 500))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(1 / (1 + np.exp(-z.clip(-500, 500))))], [*kept, score_col])
 
     return docs.mapInArrow(score, schema)
 
