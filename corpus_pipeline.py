@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.llm.common import documents, labels, materialise
+from trajspark.llm.common import documents, fresh, labels, materialise
 from trajspark.llm.jaccard_join import jaccard_components
-from trajspark.llm.mixing import mix_sources
+from trajspark.llm.mixing import mix_sources, row_key
 from trajspark.llm.packing import pack_documents
 from trajspark.llm.quality import quality_rules
 from trajspark.llm.toxicity import held_out, score_toxicity, train_toxicity
 
 #: Near copies: shingles of five words that are shared to 80% or more.
 SHINGLE, PERCENT = 5, 80
-#: Rows of ids that a stage broadcasts at most (some 16 bytes each); more are joined by a shuffle.
+#: Rows of ids or digests that a stage broadcasts at most (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
@@ -24,20 +24,34 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that none can clash with what a stage adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Null, empty or short texts go; repeated rows are judged alike."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    """Documents that the rules keep. Null, empty or short texts go; texts of any length are judged as a
+    whole, repeated rows alike. Other columns pass through, whatever their names. An empty table stays
+    empty."""
+    return quality_rules(docs.select(_row(docs), "text")).where("kept").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5. The model learns from labelled documents that came this far."""
+    """Documents that score below 0.5. The model learns from labelled documents that came this far; if
+    there are none, no document is known to be toxic and all stay. Null or empty texts have the score
+    of no terms; repeated rows are judged alike. Other columns pass through, whatever their names. An
+    empty table stays empty."""
     model = train_toxicity(docs, labels(spark, sf_dir), ~held_out())
-    return score_toxicity(docs, model).where("score < 0.5").select(docs.columns)
+    if not len(model.places):
+        return docs
+    score = fresh(docs, "score")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group. Rows that share one id stay together, rows
-    without an id stay."""
+    """The document with the smallest id of each group. Rows that share one id stay together; rows
+    without an id can't be told apart, and stay. Null or empty texts are copies of nothing; texts of any
+    length are compared as a whole. Other columns pass through. An empty table stays empty."""
     groups = jaccard_components(docs, SHINGLE, PERCENT)
     first = _small(groups.where("doc_id = component_id").select("doc_id").distinct())
     named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
@@ -46,15 +60,18 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 2 times. Documents stay whole: one that is
-    taken in part counts from half of its words on."""
+    taken in part counts from half of its words on. Null, empty or blank texts are never taken. Rows of
+    one id and text each get the most copies that one of them gets. A null source is a source. Other
+    columns pass through, whatever their names. An empty table stays empty."""
     taken = mix_sources(docs).where("size > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
-    copies = _small(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies > 0"))
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    copies = _small(taken.groupBy("row_key").agg(F.max("copies").alias("copies")).where("copies > 0"))
+    mixed = docs.select(row_key().alias("row_key"), _row(docs)).join(copies, "row_key")
+    return mixed.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the mixed documents in sequences of 1024 tokens."""
+    """Places of all pieces of the mixed documents in sequences of 1024 tokens. Null or empty texts are
+    one piece, repeated rows are packed each, other columns are ignored; an empty table gives none."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
