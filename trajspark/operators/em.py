@@ -16,27 +16,25 @@ from .transitions import visible_stats
 TRACE = "model_id int, init int, iter int, ll double, change double, a array<double>, c array<double>, force array<double>"
 
 
-def _random_positive(n: int, rng: np.random.Generator, largest: float, least: float) -> np.ndarray:
-    """Random matrix whose eigenvalues, and those of its symmetric part, are above `least`."""
-    for _ in range(10_000):
-        values, vectors = np.linalg.eig(largest * rng.standard_normal((n, n)) / n)
-        a = (vectors * (0.5 * np.abs(values.real) + 1j * values.imag)) @ np.linalg.inv(vectors)
-        a = a.real
-        if (np.linalg.eigvals(a).real > least).all() and (np.linalg.eigvalsh(a + a.T) > least).all():
-            return a
-    return np.eye(n) * (largest + least)
-
-
 def random_model(d: int, m: int, k: int, dt: float, length: float, seed: int, model_id: int = 0, sig0=None) -> StateModel:
-    """Start with time scales between a step and a trajectory, hidden variable i coupled to visible i."""
+    """A stable start, whatever the draw.
+
+    Each block of the friction is turned @ diag(rates) @ turned', with a random rotation and rates drawn
+    evenly by logarithm between once a trajectory and once in 50 steps; the hidden block also has a random
+    antisymmetric part and couples to the visible one antisymmetrically. The symmetric part is positive
+    by construction, and so is the noise, friction + friction'.
+    """
     rng = np.random.default_rng(seed)
-    largest, least = 1 / 50 / dt, 0.5 / length / dt
-    a = np.zeros((d + m, d + m))
-    a[d:, d:] = _random_positive(m, rng, largest, least)
-    a[:d, :d] = _random_positive(d, rng, largest / 100, least / 100)
-    both = min(d, m)
-    a[d : d + both, :both], a[:both, d : d + both] = -np.eye(both), np.eye(both)
-    friction = a * dt
+
+    def block(n: int, scale: float) -> np.ndarray:
+        turned = np.linalg.qr(rng.standard_normal((n, n)))[0]
+        rates = np.exp(rng.uniform(np.log(1 / max(length, 51)), np.log(1 / 50), n))
+        return scale * (turned * rates) @ turned.T
+
+    skew = rng.standard_normal((m, m)) / 100 / max(m, 1)
+    coupling = np.zeros((d, m))
+    np.fill_diagonal(coupling, rng.uniform(0.5, 1.5, min(d, m)) * dt)
+    friction = np.block([[block(d, 0.01), coupling], [-coupling.T, block(m, 1.0) + skew - skew.T]])
     return StateModel(friction, -rng.random((d, k)), friction + friction.T, np.zeros(m), np.eye(m) if sig0 is None else sig0, dt, model_id)
 
 
@@ -70,7 +68,8 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
             first = warm_start or start
             if first is None:
                 raise ValueError("init='user' needs start")
-            models = [StateModel(first.friction, first.force, first.noise, first.mu0, first.sig0, dt, i) for i in range(n_init)]
+            # equal starts would give equal fits
+            models = [StateModel(first.friction, first.force, first.noise, first.mu0, first.sig0, dt, 0)]
         elif init in ("random", "markov"):
             length = kept.groupBy("traj_id").count().agg(F.avg("count")).first()[0]
             models = [random_model(dim_x, dim_h, n_basis, dt, length, seed + i, i, sig0) for i in range(n_init)]
