@@ -22,7 +22,7 @@ PAIR_WEIGHT, ADDED = 0.6, 0.5
 #: Target ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words that a task holds at once, and words that it remembers.
-AT_ONCE, REMEMBERED = 500_000, 1_500_000
+AT_ONCE, REMEMBERED = 200_000, 250_000
 #: Keys of pairs: bits of a frequent word beside the digest of a rare one, and the first key with a rare
 #: second word. A rare first word's pairs have the sign bit.
 DIGEST_BITS, SECOND_RARE = 45, 1 << 62
@@ -64,7 +64,7 @@ def _slices(batch: pa.RecordBatch, column: str = "text"):
     for i, text in enumerate(batch.column(column).to_pylist(), 1):
         found.append(_words(text))
         size += len(found[-1])
-        if size > AT_ONCE or len(found) == 1 << 13 or i == batch.num_rows:
+        if size > AT_ONCE or len(found) == 1 << 12 or i == batch.num_rows:
             yield start, i, found
             found, start, size = [], i, 0
 
@@ -96,7 +96,7 @@ def _count_words(batches):
             every.update(found)
             if wanted:
                 target.update(found)
-        if len(every) > 400_000:
+        if len(every) > 200_000:
             yield rows()
     if every:
         yield rows()
