@@ -28,9 +28,14 @@ def shuffle_split(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, see
     """split_id, traj_id, role ('train' or 'test'): random subsets of trajectories in each split."""
     ids = df.select("traj_id").distinct()
     n = ids.count()
-    each = ids.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    order = Window.partitionBy("split_id").orderBy(_draw(F.lit(str(seed)), F.col("split_id").cast("string"), F.col("traj_id").cast("string")), "traj_id")
-    return each.withColumn("_r", F.row_number().over(order)).select("split_id", "traj_id", F.when(F.col("_r") <= math.floor(train_size * n), "train").otherwise("test").alias("role"))
+    draw = _draw(F.lit(str(seed)), F.col("split_id").cast("string"), F.col("traj_id").cast("string"))
+    each = ids.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))).withColumn("_d", draw).withColumn("_b", F.substring("_d", 1, 3))
+    # ranks by parts of the draws' range, so that no task ranks all ids; there are 4,096 parts a split
+    earlier = Window.partitionBy("split_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("split_id", "_b").agg(F.count(F.lit(1)).alias("_c")).select("split_id", "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("split_id", "_b").orderBy("_d", "traj_id"))
+    ranked = each.withColumn("_r", within).join(F.broadcast(parts), ["split_id", "_b"])
+    return ranked.select("split_id", "traj_id", F.when(F.col("_r") + F.col("_before") <= math.floor(train_size * n), "train").otherwise("test").alias("role"))
 
 
 def bootstrap_weights(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, seed: int = 0) -> DataFrame:
