@@ -142,6 +142,50 @@ def test_smoother_in_chunks(spark):
         np.testing.assert_allclose(a, b, atol=1e-12)
 
 
+def test_statistics_in_chunks(spark):
+    """Filter, statistics, likelihood and EM by chunks of 13 transitions, two hidden variables too."""
+    trans = pairs(spark, DATA).where("traj_id < 12")
+    f = np.array([[0.4, 0.3, 0.1], [-0.3, 0.5, 0.1], [-0.1, -0.2, 0.6]])
+    for model in (m1(), statespace.StateModel(f, [[-0.2]], f + f.T, [0.3, -0.1], np.eye(2))):
+        key = ["traj_id", "step"]
+        one, two = (statespace.kalman_filter(trans, model, n).toPandas().sort_values(key).reset_index(drop=True) for n in (None, 13))
+        assert one[key].equals(two[key])
+        np.testing.assert_allclose(*(np.stack(x["mean"]) for x in (one, two)), atol=1e-10)
+        np.testing.assert_allclose(*(np.stack(x["cov"]) for x in (one, two)), atol=1e-10)
+        one, two = (statespace.hidden_stats(trans, [model], n).toPandas().sort_values("traj_id").reset_index(drop=True) for n in (None, 13))
+        assert one[["traj_id", "n"]].equals(two[["traj_id", "n"]])
+        for c in statespace.hidden_sizes(model.d, model.m, 1):
+            np.testing.assert_allclose(*(np.stack(x[c]) for x in (one, two)), atol=1e-10)
+    # 50 transitions: some trajectories are whole, some are in two chunks
+    lls = [[r.ll for r in em.fit_em(statespace.grouped(trans, 3, n), 1, 1, 1, init="user", start=m1(), max_iter=2, tol=0.0).trace.orderBy("iter").collect()] for n in (None, 50)]
+    np.testing.assert_allclose(*lls, atol=1e-10)
+
+
+def test_em_of_replicates(spark):
+    """Every split is fitted as if its trajectories were repeated by weight; a stored row is a model."""
+    trans = pairs(spark, DATA).where("traj_id < 12")
+    weights = spark.createDataFrame([(0, i, 1) for i in range(12)] + [(1, 2, 3), (1, 5, 1)], "split_id int, traj_id long, weight long")
+    options = {"init": "user", "start": m1(), "max_iter": 3, "tol": 0.0}
+    fit = em.fit_em(trans, 1, 1, 1, weights=weights, **options)
+    alone = em.fit_em(trans, 1, 1, 1, **options)
+    repeated = trans.where("traj_id in (2, 5)").withColumn("copy", F.explode(F.expr("sequence(0, if(traj_id = 2, 2, 0))"))).withColumn("traj_id", F.expr("traj_id * 10 + copy"))
+    for split, other in ((0, alone), (1, em.fit_em(repeated, 1, 1, 1, **options))):
+        np.testing.assert_allclose(fit.every[split].friction, other.best.friction, atol=1e-10)
+        np.testing.assert_allclose(fit.every[split].noise, other.best.noise, atol=1e-10)
+    for row in fit.models.collect():
+        back = statespace.StateModel.from_row(row)
+        for c in ("friction", "force", "noise", "mu0", "sig0"):
+            np.testing.assert_allclose(getattr(back, c), getattr(fit.every[row["model_id"]], c), atol=1e-12)
+
+
+def test_part_of_a_start_is_given(spark):
+    trans = pairs(spark, DATA).where("traj_id < 12")
+    fit = em.fit_em(trans, 1, 1, 1, init="user", start={"friction": m1().friction}, n_init=2, max_iter=1)
+    first = fit.trace.orderBy("init").collect()
+    assert len(first) == 2 and all(np.allclose(r.a, m1().friction.ravel()) for r in first)
+    assert first[0].force != first[1].force
+
+
 def test_em_goldens(spark):
     """Likelihoods of three iterations rise, the force is the memoryless one, partitions don't matter."""
     trans = pairs(spark, DATA)

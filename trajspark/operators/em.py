@@ -40,11 +40,13 @@ def random_model(d: int, m: int, k: int, dt: float, length: float, seed: int, mo
 
 @dataclass
 class Fit:
-    """models: one row a model_id, the best start; trace: a row an iteration."""
+    """models: one row a model_id, the best start; trace: a row an iteration; best: the model of
+    model_id 0; every: the best models by model_id."""
 
     models: DataFrame
     trace: DataFrame
     best: StateModel
+    every: dict[int, StateModel]
 
 
 def next_model(row: dict, model: StateModel, variant: str = "force_visible", optimize_force: bool = True, optimize_diffusion: bool = True) -> StateModel:
@@ -54,45 +56,67 @@ def next_model(row: dict, model: StateModel, variant: str = "force_visible", opt
     return StateModel(friction, force, noise, row["mu0"], model.sig0, model.dt, model.model_id)
 
 
-def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1.0, init: str = "random", start: StateModel | None = None, tol: float = 1e-5, max_iter: int = 100, n_init: int = 1, warm_start: StateModel | None = None, no_stop: bool = False, variant: str = "force_visible", optimize_force: bool = True, optimize_diffusion: bool = True, seed: int = 0, sig0=None) -> Fit:
+def _starts(kept: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float, init: str, given: StateModel | dict | None, n_init: int, seed: int, sig0) -> list[StateModel]:
+    if init not in ("random", "markov", "user"):
+        raise ValueError(f"unknown init {init}")
+    if init == "user" and given is None:
+        raise ValueError("init='user' needs start")
+    if isinstance(given, StateModel):  # equal starts would give equal fits
+        return [StateModel(given.friction, given.force, given.noise, given.mu0, given.sig0, dt, 0)]
+    length = kept.groupBy("traj_id").count().agg(F.avg("count")).first()[0]
+    models = [random_model(dim_x, dim_h, n_basis, dt, length, seed + i, i, sig0) for i in range(n_init)]
+    known = dict(given or {})
+    if init == "markov":
+        row = visible_stats(kept, dim_x, n_basis).first()
+        friction, force, noise = m_step(as_matrices(row, dim_x, 0, n_basis), dim_x, dt, np.zeros((dim_x, n_basis)), None)
+        for x in models:
+            f, s = x.friction.copy(), x.noise.copy()
+            f[:dim_x, :dim_x], s[:dim_x, :dim_x] = friction, noise
+            x.__init__(f, force, s, x.mu0, x.sig0, dt, x.model_id)
+    for x in models if known else []:
+        parts = {k: np.asarray(known.get(k, getattr(x, k)), float) for k in ("friction", "force", "noise", "mu0", "sig0")}
+        if "friction" in known and "noise" not in known:
+            parts["noise"] = parts["friction"] + parts["friction"].T
+        x.__init__(**parts, dt=dt, model_id=x.model_id)
+    return models
+
+
+def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1.0, init: str = "random", start: StateModel | dict | None = None, tol: float = 1e-5, max_iter: int = 100, n_init: int = 1, warm_start: StateModel | None = None, no_stop: bool = False, variant: str = "force_visible", optimize_force: bool = True, optimize_diffusion: bool = True, seed: int = 0, sig0=None, weights: DataFrame | None = None) -> Fit:
     """Iterate E-step, likelihood, M-step until |change| < tol. All starts run in the same job.
 
     Transitions are dealt and kept once; an iteration is one job without a shuffle of them, which
     brings one row of means a start to the driver, so plans do not grow. A start whose likelihood is
     no number stops. The best start is that of the highest likelihood, with its coefficients after
     the M-step; the trace holds likelihood and coefficients before it.
+
+    start is a model, or with init='user' a dict of some of friction, force, noise, mu0 and sig0; the
+    rest is drawn. With the weights of a bootstrap (split_id, traj_id, weight) every split is fitted,
+    all in the same jobs, and model_id is its split_id.
     """
     spark, kept = trans.sparkSession, trans if "grp" in trans.columns else grouped(trans)
+    if warm_start is not None:
+        init, start = "user", warm_start
+    splits = [0] if weights is None else sorted(r[0] for r in weights.select("split_id").distinct().collect())  # a number a replicate
     try:
-        if warm_start is not None or init == "user":
-            first = warm_start or start
-            if first is None:
-                raise ValueError("init='user' needs start")
-            # equal starts would give equal fits
-            models = [StateModel(first.friction, first.force, first.noise, first.mu0, first.sig0, dt, 0)]
-        elif init in ("random", "markov"):
-            length = kept.groupBy("traj_id").count().agg(F.avg("count")).first()[0]
-            models = [random_model(dim_x, dim_h, n_basis, dt, length, seed + i, i, sig0) for i in range(n_init)]
-            if init == "markov":
-                row = visible_stats(kept, dim_x, n_basis).first()
-                friction, force, noise = m_step(as_matrices(row, dim_x, 0, n_basis), dim_x, dt, np.zeros((dim_x, n_basis)), None)
-                for x in models:
-                    f, s = x.friction.copy(), x.noise.copy()
-                    f[:dim_x, :dim_x], s[:dim_x, :dim_x] = friction, noise
-                    x.__init__(f, force, s, x.mu0, x.sig0, dt, x.model_id)
-        else:
-            raise ValueError(f"unknown init {init}")
-        live, last, trace, best, done = {x.model_id: x for x in models}, {}, [], {}, {}
+        starts = _starts(kept, dim_x, dim_h, n_basis, dt, init, start if init == "user" else None, n_init, seed, sig0)
+        place = {j: (split, x.model_id) for j, (split, x) in enumerate((split, x) for split in splits for x in starts)}
+        live = {j: StateModel(x.friction, x.force, x.noise, x.mu0, x.sig0, dt, j) for j, x in enumerate(starts * len(splits))}
+        split_of = F.element_at(F.array(*[F.lit(place[j][0]) for j in sorted(place)]), F.col("model_id") + 1)
+        last, trace, best, done = {}, [], {}, {}
         for i in range(max_iter):
-            rows = average_hidden(hidden_stats(kept, list(live.values())), dim_x, dim_h, n_basis).collect()  # a row a start
+            stats = hidden_stats(kept, list(live.values()))
+            if weights is not None:
+                stats = stats.withColumn("split_id", split_of)
+            rows = average_hidden(stats, dim_x, dim_h, n_basis, weights).collect()  # a row a start
             for row in rows:
                 key, model = row["model_id"], live[row["model_id"]]
+                split, number = place[key]
                 ll = log_likelihood(as_matrices(row, dim_x, dim_h, n_basis), model.friction, model.force, model.noise, dt, row["hs"][0])
                 if not np.isfinite(ll):
                     del live[key]
                     continue
                 change = ll - last.get(key, -np.inf)
-                trace.append({"model_id": 0, "init": key, "iter": i, "ll": ll, "change": None if np.isinf(change) else change, "a": (model.friction / dt).ravel().tolist(), "c": lyapunov(model.friction, model.noise).ravel().tolist(), "force": model.force.ravel().tolist()})
+                trace.append({"model_id": split, "init": number, "iter": i, "ll": ll, "change": None if np.isinf(change) else change, "a": (model.friction / dt).ravel().tolist(), "c": lyapunov(model.friction, model.noise).ravel().tolist(), "force": model.force.ravel().tolist()})
                 last[key] = ll
                 after = next_model(row, model, variant, optimize_force, optimize_diffusion)
                 if key not in best or ll >= best[key][0]:
@@ -107,12 +131,16 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
     finally:
         if kept is not trans:
             kept.unpersist()
-    if not best:
-        raise ValueError("no start has a finite likelihood")
-    key = max(best, key=lambda b: best[b][0])
-    ll, model = best[key]
-    row = {"model_id": 0} | model_row(dim_x, dim_h, dt, model.friction, model.force, model.noise, model.mu0, model.sig0, ll, *done[key])
-    return Fit(spark.createDataFrame([row], f"model_id int, {MODEL}"), spark.createDataFrame(trace, TRACE), model)
+    rows, every = [], {}
+    for split in splits:
+        keys = [j for j in best if place[j][0] == split]
+        if not keys:
+            raise ValueError("no start has a finite likelihood")
+        key = max(keys, key=lambda j: best[j][0])
+        ll, x = best[key]
+        every[split] = StateModel(x.friction, x.force, x.noise, x.mu0, x.sig0, dt, split)
+        rows.append({"model_id": split} | model_row(dim_x, dim_h, dt, x.friction, x.force, x.noise, x.mu0, x.sig0, ll, *done[key]))
+    return Fit(spark.createDataFrame(rows, f"model_id int, {MODEL}"), spark.createDataFrame(trace, TRACE), every[splits[0]], every)
 
 
 def best_start(trace: DataFrame) -> DataFrame:

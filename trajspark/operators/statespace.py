@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.linear import STATS, as_matrices, log_likelihood
 from .transitions import BLOCKS, average_stats
 
-#: Rows that a group of whole trajectories has, about.
-GROUP_ROWS = 50_000
+#: Rows that a group has, about; longer trajectories than CHUNK_ROWS transitions lie in several groups.
+GROUP_ROWS, CHUNK_ROWS = 50_000, 10_000
+
+
+@dataclass
+class Part:
+    """Transitions from `first` on of trajectories of `length`; filtered means at the start and smoothed
+    ones at the end, if they are not the model's start and the last filtered mean."""
+
+    first: int
+    length: int
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
 
 
 @dataclass
@@ -41,6 +52,13 @@ class StateModel:
         self.mu0, self.sig0 = np.asarray(self.mu0, float).ravel(), np.asarray(self.sig0, float).reshape(self.m, self.m)
         self.r = np.eye(self.d + self.m)[:, self.d :] - self.friction[:, self.d :]
 
+    @classmethod
+    def from_row(cls, row, model_id: int = 0) -> StateModel:
+        """The model of a row of a stored table of models, to score with or to start from."""
+        d, m, dt = row["dim_x"], row["dim_h"], row["dt"]
+        square = lambda c: np.reshape(np.asarray(row[c], float), (d + m, d + m))
+        return cls(square("a") * dt, np.reshape(np.asarray(row["force"], float), (d, -1)), square("sst"), row["mu0"], row["sig0"], dt, model_id)
+
     def filter_cov(self, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Covariance of the filtered state t, and the gain that leads to state t + 1. From where they
         no longer change on, they are kept once."""
@@ -93,24 +111,44 @@ class StateModel:
 
     def means(self, v: np.ndarray, v_plus: np.ndarray, bk: np.ndarray, smooth: bool = True) -> np.ndarray:
         """Means of the T + 1 hidden states of n trajectories of T transitions, (n, T + 1, m)."""
-        n, length, d = v.shape[0], v.shape[1], self.d
-        c, mu = self.drift(v, bk), np.zeros((n, length + 1, self.m))
-        mu[:, 0] = self.mu0
+        return self.part_means(self.drift(v, bk), v_plus, Part(0, v.shape[1]), smooth)[0]
+
+    def part_means(self, c: np.ndarray, v_plus: np.ndarray, part: Part, smooth: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Means of the n + 1 hidden states of each of some parts of n transitions with drift c, and the
+        filtered mean of the last."""
+        length, d = c.shape[1], self.d
+        mu = np.zeros((len(c), length + 1, self.m))
+        mu[:, 0] = self.mu0 if part.start is None else part.start
         for t in range(length):
             u = c[:, t] + mu[:, t] @ self.r.T
-            mu[:, t + 1] = u[:, d:] + (v_plus[:, t] - u[:, :d]) @ self.filter_cov(t)[1].T
+            mu[:, t + 1] = u[:, d:] + (v_plus[:, t] - u[:, :d]) @ self.filter_cov(part.first + t)[1].T
+        last = mu[:, length].copy()
         if smooth:
-            g = self.smooth_cov(length)[0]
+            if part.end is not None:
+                mu[:, length] = part.end
+            g = self.smooth_part(part.length, part.first, part.first + length)[0]
             for t in range(length - 1, -1, -1):
                 known = np.concatenate([v_plus[:, t], mu[:, t + 1]], axis=1) - c[:, t] - mu[:, t] @ self.r.T
                 mu[:, t] = mu[:, t] + known @ g[t].T
-        return mu
-
-    def statistics(self, v, v_plus, bk) -> dict[str, np.ndarray]:
-        """Second moments over the hidden states, for each of n trajectories."""
-        length, m = v.shape[1], self.m
-        mu = self.means(v, v_plus, bk)
-        _, cov, cross = self.smooth_cov(length)
+        return mu, last
+
+    def maps(self, c: np.ndarray, v_plus: np.ndarray, part: Part) -> dict[str, np.ndarray]:
+        """Parts as affine maps of the filtered mean x at their start and the smoothed mean y at their
+        end: the filtered mean at the end is a x + b, the smoothed one at the start p x + q y + s."""
+        n, m = len(c), self.m
+        still = lambda a: np.concatenate([a, np.zeros((2 * m, *a.shape[1:]))])
+        unit = np.zeros((2, n + 2 * m, m))
+        unit[0, n : n + m] = unit[1, n + m :] = np.eye(m)
+        mu, last = self.part_means(still(c), still(v_plus), Part(part.first, part.length, *unit))
+        each = lambda x: np.broadcast_to(x.T.ravel(), (n, m * m))
+        return {"a": each(last[n : n + m]), "b": last[:n], "p": each(mu[n : n + m, 0]), "q": each(mu[n + m :, 0]), "s": mu[:n, 0]}
+
+    def statistics(self, v, v_plus, bk, part: Part) -> dict[str, np.ndarray]:
+        """Second moments over the hidden states of each of some parts, by their share in the trajectory:
+        what the parts of a trajectory give adds up to its means."""
+        length, m, share = v.shape[1], self.m, v.shape[1] / part.length
+        mu, _ = self.part_means(self.drift(v, bk), v_plus, part)
+        _, cov, cross = self.smooth_part(part.length, part.first, part.first + length)
         now, after = mu[:, :-1], mu[:, 1:]
         mean = lambda a, b: np.einsum("nti,ntj->nij", a, b) / length
         tt, pp, tp = cov[:-1].mean(axis=0) + mean(now, now), cov[1:].mean(axis=0) + mean(after, after), cross.mean(axis=0) + mean(now, after)
@@ -119,17 +157,17 @@ class StateModel:
         hv, ddhv = mean(now, v), mean(dh, dv)
         pair = np.concatenate([np.concatenate([cov[1:], cross.transpose(0, 2, 1)], axis=2), np.concatenate([cross, cov[:-1]], axis=2)], axis=1)
         entropy = 0.5 * m * (1 + math.log(2 * math.pi)) + 0.5 * _mean_log(np.linalg.det(pair)) - 0.5 * _mean_log(np.linalg.det(cov[:-1]))
-        return {
+        moments = {
             "xx": join(mean(v, v), hv.transpose(0, 2, 1), hv, tt),
             "xdx": join(mean(v, dv), mean(v, dh), mean(now, dv), tp - tt),
             "dxdx": join(mean(dv, dv), ddhv.transpose(0, 2, 1), ddhv, pp - tp - tp.transpose(0, 2, 1) + tt),
             "bkx": np.concatenate([mean(bk, v), mean(bk, now)], axis=2),
             "bkdx": np.concatenate([mean(bk, dv), mean(bk, dh)], axis=2),
             "bkbk": mean(bk, bk),
-            "mu0": mu[:, 0],
-            "sig0": np.broadcast_to(cov[0], (len(v), m, m)),
             "hs": np.full((len(v), 1), entropy),
         }
+        begins = float(part.first == 0)
+        return {k: share * x for k, x in moments.items()} | {"mu0": begins * mu[:, 0], "sig0": begins * np.broadcast_to(cov[0], (len(v), m, m))}
 
 
 def _mean_log(dets: np.ndarray) -> float:
@@ -142,175 +180,172 @@ def hidden_sizes(d: int, m: int, k: int) -> dict[str, int]:
     return {"xx": n * n, "xdx": n * n, "dxdx": n * n, "bkx": k * n, "bkdx": k * n, "bkbk": k * k, "mu0": m, "sig0": m * m, "hs": 1}
 
 
-def grouped(trans: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Transitions dealt once by trajectory and kept: what iterates over them shuffles nothing again.
+def grouped(trans: DataFrame, partitions: int | None = None, chunk_rows: int | None = None, keep: bool = True) -> DataFrame:
+    """Transitions dealt once and kept: what iterates over them shuffles nothing again.
 
-    A task holds whole trajectories, in groups of some GROUP_ROWS rows.
+    A group has some GROUP_ROWS rows. Trajectories of up to chunk_rows transitions are whole in one; if
+    there are longer ones, rows have their trajectory's length and their chunk too.
     """
-    n = partitions or max(trans.sparkSession.sparkContext.defaultParallelism, trans.count() // GROUP_ROWS)
-    return trans.withColumn("grp", F.pmod(F.xxhash64("traj_id"), F.lit(n)).cast("int")).repartition(n, "grp").sortWithinPartitions("grp", "traj_id", "step").persist()
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    lengths = trans.groupBy("traj_id").agg(F.count(F.lit(1)).alias("length"))
+    rows, longest = lengths.agg(F.sum("length"), F.max("length")).first()
+    n = partitions or max(trans.sparkSession.sparkContext.defaultParallelism, (rows or 0) // GROUP_ROWS)
+    key = ["traj_id"]
+    if (longest or 0) > chunk_rows:
+        chunk = F.when(F.col("length") > chunk_rows, F.expr(f"step div {chunk_rows}")).otherwise(F.lit(0))
+        trans, key = trans.join(lengths, "traj_id").withColumns({"chunk": chunk.cast("long"), "cut": F.col("length") > chunk_rows}), ["traj_id", "chunk"]
+    dealt = trans.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).repartition(n, "grp").sortWithinPartitions("grp", "traj_id", "step")
+    return dealt.persist() if keep else dealt
 
 
 def _by_length(frame):
-    """Arrays of the trajectories in a group, those of one length at a time."""
-    frame = frame.sort_values(["traj_id", "step"], kind="stable")
-    ids, start = np.unique(frame["traj_id"].to_numpy(), return_index=True)
-    order = np.argsort(start)
-    ids, start = ids[order], start[order]
-    length = np.diff(np.r_[start, len(frame)])
-    columns = [np.stack(frame[c].to_numpy()) for c in ("v", "v_plus", "bk")]
-    for n in np.unique(length):
-        which = np.flatnonzero(length == n)
+    """Ids, steps, rows' places and arrays of the trajectories (or chunks) in a group, those of one
+    length (and place in it) at a time, with the part that they are."""
+    keys = ["traj_id", "chunk"] if "chunk" in frame else ["traj_id"]
+    frame = frame.sort_values([*keys, "step"], kind="stable")
+    begins = np.r_[True, (frame[keys].to_numpy()[1:] != frame[keys].to_numpy()[:-1]).any(axis=1)][: len(frame)]
+    start = np.flatnonzero(begins)
+    size = np.diff(np.r_[start, len(frame)])
+    first = frame["step"].to_numpy()[start] if "chunk" in frame else np.zeros(len(start), int)
+    length = frame["length"].to_numpy()[start] if "chunk" in frame else size
+    columns = [np.stack(frame[c].to_numpy()) for c in ("v", "v_plus", "bk")] if len(frame) else []
+    for f, total, n in sorted(set(zip(first.tolist(), length.tolist(), size.tolist(), strict=True))):
+        which = np.flatnonzero((first == f) & (length == total) & (size == n))
         rows = start[which][:, None] + np.arange(n)
-        yield ids[which], frame["step"].to_numpy()[rows], *[c[rows] for c in columns]
+        named = {k: frame[k].to_numpy()[start[which]] for k in keys}
+        yield named, frame["step"].to_numpy()[rows], *[c[rows] for c in columns], Part(f, total)
+
+
+def _listed(a: np.ndarray, n: int) -> list:
+    return list(np.asarray(a, float).reshape(n, -1))
 
 
-def _states(trans: DataFrame, model: StateModel, smooth: bool) -> DataFrame:
+def _chunk_ends(chunks: DataFrame, models: list[StateModel]) -> DataFrame:
+    """grp, model_id, traj_id, chunk, start, end: filtered mean at the start of each chunk, smoothed mean
+    at its end.
+
+    Means of filter and smoother are affine in the mean before (or after), with matrices that don't
+    depend on data. So a chunk is one row of affine maps; the rows of a trajectory, one a chunk, are
+    followed forwards and back.
+    """
     import pandas as pd
 
-    def run(frame):
+    known = {x.model_id: x for x in models}
+
+    def mapped(frame):
         out = []
-        for ids, steps, v, v_plus, bk in _by_length(frame):
-            n, length = steps.shape
-            mean = model.means(v, v_plus, bk, smooth)
-            cov = model.smooth_cov(length)[1] if smooth else np.array([model.filter_cov(t)[0] for t in range(length + 1)])
-            lag = np.concatenate([model.smooth_cov(length)[2], np.full((1, model.m, model.m), np.nan)]) if smooth else np.full((length + 1, model.m, model.m), np.nan)
-            each = lambda a: [x.ravel() for x in np.broadcast_to(a, (n, *a.shape)).reshape(n * (length + 1), -1)]
-            step = np.concatenate([steps, steps[:, -1:] + 1], axis=1)
-            last = np.zeros((n, length + 1), bool)
-            last[:, -1] = True
-            out.append(pd.DataFrame({"traj_id": np.repeat(ids, length + 1), "step": step.ravel(), "mean": list(mean.reshape(n * (length + 1), -1)), "cov": each(cov), "cov_lag": each(lag), "is_last": last.ravel()}))
+        for named, _, v, v_plus, bk, part in _by_length(frame):
+            for model in models:
+                maps = model.maps(model.drift(v, bk), v_plus, part)
+                out.append(pd.DataFrame(named | {"grp": frame["grp"].iloc[0], "model_id": model.model_id} | {k: _listed(x, len(v)) for k, x in maps.items()}))
         return pd.concat(out) if out else None
 
-    kind = dict(trans.dtypes)["traj_id"]
-    dealt = trans if "grp" in trans.columns else grouped(trans)
-    return dealt.groupBy("grp").applyInPandas(run, f"traj_id {kind}, step long, mean array<double>, cov array<double>, cov_lag array<double>, is_last boolean")
+    def chained(frame):
+        frame = frame.sort_values("chunk")
+        model = known[frame["model_id"].iloc[0]]
+        square = {k: [np.reshape(x, (model.m, model.m)) for x in frame[k]] for k in "apq"}
+        starts, ends = [model.mu0], []
+        for a, b in zip(square["a"], frame["b"], strict=True):
+            starts.append(a @ starts[-1] + b)
+        y = starts.pop()
+        for p, q, s, x in reversed(list(zip(square["p"], square["q"], frame["s"], starts, strict=True))):
+            ends.append(y)
+            y = p @ x + q @ y + s
+        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends[::-1])
+
+    key = f"grp int, model_id int, traj_id {dict(chunks.dtypes)['traj_id']}, chunk long, "
+    maps = chunks.groupBy("grp").applyInPandas(mapped, key + ", ".join(f"{k} array<double>" for k in "abpqs"))
+    return maps.groupBy("model_id", "traj_id").applyInPandas(chained, key + "start array<double>, end array<double>")
+
+
+def _each_part(dealt: DataFrame, models: list[StateModel], run, schema: str) -> DataFrame:
+    """run(model, named, steps, v, v_plus, bk, part), a pandas frame, of all trajectories that are whole in
+    a group and of all chunks of the longer ones."""
+    import pandas as pd
+
+    def whole(frame):
+        out = [run(model, *args) for args in _by_length(frame) for model in models]
+        return pd.concat(out) if out else None
 
+    if "chunk" not in dealt.columns:
+        return dealt.groupBy("grp").applyInPandas(whole, schema)
+    chunks = dealt.where("cut")
 
-def kalman_filter(trans: DataFrame, model: StateModel) -> DataFrame:
-    """traj_id, step, mean, cov of h_t given v_0 .. v_t; cov_lag is not a number here."""
-    return _states(trans, model, False)
+    def cut(frame, ends):
+        at = ends.set_index(["model_id", "traj_id", "chunk"])
+        out = []
+        for named, steps, v, v_plus, bk, part in _by_length(frame):
+            for model in models:
+                found = at.loc[list(zip([model.model_id] * len(v), named["traj_id"], named["chunk"], strict=True))]
+                known = Part(part.first, part.length, np.stack(found["start"].to_numpy()), np.stack(found["end"].to_numpy()))
+                out.append(run(model, named, steps, v, v_plus, bk, known))
+        return pd.concat(out) if out else pd.DataFrame()
 
+    parts = chunks.groupBy("grp").cogroup(_chunk_ends(chunks, models).groupBy("grp")).applyInPandas(cut, schema)
+    return dealt.where("not cut").groupBy("grp").applyInPandas(whole, schema).union(parts)
 
-def smooth_hidden(trans: DataFrame, model: StateModel) -> DataFrame:
-    """traj_id, step, mean, cov given the whole trajectory, cov_lag = Cov(h_t, h_t+1), is_last (the
-    filtered estimate)."""
-    return _states(trans, model, True)
 
+def _states(trans: DataFrame, model: StateModel, smooth: bool, chunk_rows: int | None = None) -> DataFrame:
+    import pandas as pd
 
-def _affine(parts) -> tuple[np.ndarray, np.ndarray]:
-    """One map x -> a x + b out of maps that are applied one after the other."""
-    a = b = None
-    for p, q in parts:
-        a, b = (p, q) if a is None else (p @ a, p @ b + q)
-    return a, b
+    def run(model, named, steps, v, v_plus, bk, part):
+        n, length = steps.shape
+        mean, last = model.part_means(model.drift(v, bk), v_plus, part, smooth)
+        at = range(part.first, part.first + length + 1)
+        none = np.full((length + 1, model.m, model.m), np.nan)
+        _, cov, lag = model.smooth_part(part.length, part.first, part.first + length) if smooth else (None, np.array([model.filter_cov(t)[0] for t in at]), none)
+        ends = part.first + length == part.length
+        count = length + ends  # the state after a chunk is the next one's first; the very last is filtered
+        if ends:
+            mean[:, -1], lag = last, np.concatenate([lag[:length], none[:1]])
+        each = lambda a: [x.ravel() for x in np.broadcast_to(a[:count], (n, count, *a.shape[1:])).reshape(n * count, -1)]
+        step = np.concatenate([steps, steps[:, -1:] + 1], axis=1)[:, :count]
+        is_last = np.broadcast_to(np.arange(count) == length, (n, count))
+        return pd.DataFrame({"traj_id": np.repeat(named["traj_id"], count), "step": step.ravel(), "mean": list(mean[:, :count].reshape(n * count, -1)), "cov": each(cov), "cov_lag": each(lag), "is_last": is_last.ravel()})
+
+    dealt = trans if "grp" in trans.columns else grouped(trans, chunk_rows=chunk_rows, keep=False)
+    return _each_part(dealt, [model], run, f"traj_id {dict(trans.dtypes)['traj_id']}, step long, mean array<double>, cov array<double>, cov_lag array<double>, is_last boolean")
+
+
+def kalman_filter(trans: DataFrame, model: StateModel, chunk_rows: int | None = None) -> DataFrame:
+    """traj_id, step, mean, cov of h_t given v_0 .. v_t; cov_lag is not a number here."""
+    return _states(trans, model, False, chunk_rows)
 
 
-def smooth_long(trans: DataFrame, model: StateModel, chunk_rows: int = 10_000) -> DataFrame:
-    """smooth_hidden for trajectories that outgrow a task, by chunks of chunk_rows transitions.
+def smooth_hidden(trans: DataFrame, model: StateModel, chunk_rows: int | None = None) -> DataFrame:
+    """traj_id, step, mean, cov given the whole trajectory, cov_lag = Cov(h_t, h_t+1), is_last (the
+    filtered estimate). Trajectories of more than chunk_rows transitions go by chunks."""
+    return _states(trans, model, True, chunk_rows)
 
-    Means of filter and smoother are affine in the mean before (or after), with matrices that don't
-    depend on data. So each chunk is one affine map; the maps of a trajectory, one row a chunk, give
-    the mean at every chunk's start; chunks then run by themselves. Backwards likewise. The result is
-    that of smooth_hidden, and no task sees more than a chunk of rows.
-    """
-    import pandas as pd
 
-    m, d = model.m, model.d
-    kind = dict(trans.dtypes)["traj_id"]
-    sized = trans.join(trans.groupBy("traj_id").agg(F.count(F.lit(1)).alias("length")), "traj_id")
-    rows = sized.select("traj_id", "step", "v", "v_plus", "bk", "length", F.expr(f"step div {chunk_rows}").alias("chunk"))
-
-    def arrays(frame):
-        frame = frame.sort_values("step")
-        v, v_plus, bk = (np.stack(frame[c].to_numpy()) for c in ("v", "v_plus", "bk"))
-        return frame, v_plus, model.drift(v, bk), int(frame["step"].iloc[0]), int(frame["length"].iloc[0])
-
-    def ahead(v_plus, c, first):
-        """Maps from the filtered mean t to t + 1."""
-        for t in range(len(c)):
-            k = model.filter_cov(first + t)[1]
-            yield model.r[d:] - k @ model.r[:d], c[t, d:] + k @ (v_plus[t] - c[t, :d])
-
-    def back(v_plus, c, first, length, mean):
-        """Maps from the smoothed mean t + 1 to t, last first; mean: filtered, of each t."""
-        g = model.smooth_part(length, first, first + len(c))[0]
-        for t in range(len(c) - 1, -1, -1):
-            yield g[t][:, d:], mean[t] + g[t][:, :d] @ v_plus[t] - g[t] @ (c[t] + model.r @ mean[t])
-
-    def filtered(v_plus, c, first, start):
-        mean = [start]
-        for a, b in ahead(v_plus, c, first):
-            mean.append(a @ mean[-1] + b)
-        return np.array(mean)
-
-    def one(frame, a, b, last=()):
-        return pd.DataFrame([{"traj_id": frame["traj_id"].iloc[0], "chunk": frame["chunk"].iloc[0], "a": a.ravel(), "b": b, "last": np.asarray(last, float)}])
-
-    def forward_maps(frame):
-        frame, v_plus, c, first, _ = arrays(frame)
-        return one(frame, *_affine(ahead(v_plus, c, first)))
-
-    def backward_maps(frame):
-        frame, v_plus, c, first, length = arrays(frame)
-        mean = filtered(v_plus, c, first, np.asarray(frame["start"].iloc[0]))
-        return one(frame, *_affine(back(v_plus, c, first, length, mean)), mean[-1])
-
-    def chained(name: str, forward: bool):
-        def run(frame):
-            frame = frame.sort_values("chunk", ascending=forward)
-            x, out = (model.mu0 if forward else np.asarray(frame["last"].iloc[0])), []
-            for r in frame.itertuples():
-                out.append({"traj_id": r.traj_id, "chunk": r.chunk, name: x})
-                x = np.asarray(r.a).reshape(m, m) @ x + np.asarray(r.b)
-            return pd.DataFrame(out)
-
-        return run
-
-    def states(frame):
-        frame, v_plus, c, first, length = arrays(frame)
-        mean = filtered(v_plus, c, first, np.asarray(frame["start"].iloc[0]))
-        _, cov, cross = model.smooth_part(length, first, first + len(c))
-        x, out = np.asarray(frame["end"].iloc[0]), []
-        for a, b in back(v_plus, c, first, length, mean):
-            x = a @ x + b
-            out.append(x)
-        step, n = np.arange(first, first + len(c)), len(c)
-        out, covs, lags = out[::-1], [a.ravel() for a in cov[:n]], [a.ravel() for a in cross]
-        if first + n == length:  # the last state is the filtered one
-            step, out, covs, lags = np.r_[step, length], [*out, mean[-1]], [*covs, cov[n].ravel()], [*lags, np.full(m * m, np.nan)]
-        return pd.DataFrame({"traj_id": frame["traj_id"].iloc[0], "step": step, "mean": out, "cov": covs, "cov_lag": lags, "is_last": step == length})
-
-    maps = f"traj_id {kind}, chunk long, a array<double>, b array<double>, last array<double>"
-    starts = rows.groupBy("traj_id", "chunk").applyInPandas(forward_maps, maps).groupBy("traj_id").applyInPandas(chained("start", True), f"traj_id {kind}, chunk long, start array<double>")
-    known = rows.join(starts, ["traj_id", "chunk"])
-    ends = known.groupBy("traj_id", "chunk").applyInPandas(backward_maps, maps).groupBy("traj_id").applyInPandas(chained("end", False), f"traj_id {kind}, chunk long, end array<double>")
-    return known.join(ends, ["traj_id", "chunk"]).groupBy("traj_id", "chunk").applyInPandas(states, f"traj_id {kind}, step long, mean array<double>, cov array<double>, cov_lag array<double>, is_last boolean")
+def smooth_long(trans: DataFrame, model: StateModel, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """smooth_hidden with chunks of a given size."""
+    return smooth_hidden(trans, model, chunk_rows)
 
 
 def predict_hidden(trans: DataFrame, model: StateModel) -> DataFrame:
     return smooth_hidden(trans, model).select("traj_id", "step", "mean", "is_last")
 
 
-def hidden_stats(trans: DataFrame, models: list[StateModel]) -> DataFrame:
+def hidden_stats(trans: DataFrame, models: list[StateModel], chunk_rows: int | None = None) -> DataFrame:
     """model_id, traj_id, n and the statistics over hidden states: one row a trajectory and model.
 
-    All models run over each group in one job; smoothed states are never rows.
+    All models run over each group in one job; smoothed states are never rows. Chunks of long
+    trajectories give sums that Spark adds up.
     """
     import pandas as pd
 
-    def run(frame):
-        out = []
-        for ids, _, v, v_plus, bk in _by_length(frame):
-            for model in models:
-                s = model.statistics(v, v_plus, bk)
-                out.append(pd.DataFrame({"model_id": model.model_id, "traj_id": ids, "n": v.shape[1]} | {name: list(a.reshape(len(ids), -1)) for name, a in s.items()}))
-        return pd.concat(out) if out else None
-
-    kind = dict(trans.dtypes)["traj_id"]
-    names = ", ".join(f"{s} array<double>" for s in (*STATS, "mu0", "sig0", "hs"))
-    dealt = trans if "grp" in trans.columns else grouped(trans)
-    return dealt.groupBy("grp").applyInPandas(run, f"model_id int, traj_id {kind}, n long, {names}")
+    def run(model, named, steps, v, v_plus, bk, part):
+        moments = model.statistics(v, v_plus, bk, part)
+        return pd.DataFrame({"model_id": model.model_id, "traj_id": named["traj_id"], "n": v.shape[1]} | {name: _listed(a, len(v)) for name, a in moments.items()})
+
+    dealt = trans if "grp" in trans.columns else grouped(trans, chunk_rows=chunk_rows, keep=False)
+    of = hidden_sizes(models[0].d, models[0].m, models[0].force.shape[1])
+    parts = _each_part(dealt, models, run, f"model_id int, traj_id {dict(trans.dtypes)['traj_id']}, n long, " + ", ".join(f"{s} array<double>" for s in of))
+    if "chunk" not in dealt.columns:
+        return parts
+    total = lambda s: F.array(*[F.sum(F.get(s, F.lit(i))) for i in range(of[s])]).alias(s)
+    return parts.groupBy("model_id", "traj_id").agg(F.sum("n").alias("n"), *[total(s) for s in of])
 
 
 def average_hidden(per_traj: DataFrame, d: int, m: int, k: int, weights: DataFrame | None = None) -> DataFrame:

@@ -36,10 +36,12 @@ def trajectory_stats(trans: DataFrame, dim_x: int, n_basis: int) -> DataFrame:
 
 def average_stats(per_traj: DataFrame, names: list[str], sizes: dict[str, int], by: list[str], weights: DataFrame | None = None, weight: str = "trajectory") -> DataFrame:
     """Means of array statistics over trajectories, each the same weight, or its number of
-    transitions; times the weights of a bootstrap (split_id, traj_id, weight) if given."""
+    transitions; times the weights of a bootstrap (split_id, traj_id, weight) if given. Statistics that have a
+    split_id themselves meet the weights of that split only."""
     keys = list(by)
     if weights is not None:
-        per_traj, keys = per_traj.join(weights, "traj_id"), [*keys, "split_id"]
+        own = ["traj_id", "split_id"] if "split_id" in per_traj.columns else ["traj_id"]
+        per_traj, keys = per_traj.join(weights, own), [*keys, "split_id"]
     w = (F.col("weight") if weights is not None else F.lit(1)) * (F.col("n") if weight == "transition" else F.lit(1))
     marked = per_traj.withColumn("_w", w.cast("double"))
     mean = lambda c: F.sum(c * F.col("_w")) / F.sum("_w")
