@@ -6,9 +6,10 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from trajspark.functions import basis as B
+from trajspark.functions import quantiles
 from trajspark.functions.freeenergy import MeanForceBasis, fit_free_energy
 from trajspark.functions.linear import as_matrices, expm, lyapunov, m_step
-from trajspark.operators import correlation, em, model, statespace
+from trajspark.operators import correlation, em, model, resample, statespace
 from trajspark.operators.transitions import transitions
 from trajspark.plans.queries import S1, F1, e1, e2, m1, pairs
 from trajspark.sources import read_trajectories, trajectory_summary, validate
@@ -73,6 +74,27 @@ def test_basis_round_trip(spark, tmp_path):
         assert again.n_basis == basis.n_basis and both.count() == 0
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    """Equal to percentile, whatever the number of values kept at last; nulls, ties and a far outlier."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), 7.0, None) for a, b in zip(rng.normal(size=5000), rng.integers(0, 3, 5000), strict=True)] + [(None, 1e300, 7.0, None), (-1e300, None, 7.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.777, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, at))) for c in "abc"]).first()
+    for few in (1, 100, 1_000_000):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        got = quantiles.exact_quantiles(df, [F.col(c) for c in "abcd"], at)
+        np.testing.assert_allclose(got[:3], [list(w) for w in want], rtol=1e-14)
+        assert all(np.isnan(got[3]))
+
+
+def test_numbered(spark):
+    rows, n = resample.numbered(spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5), "k")
+    assert n == 1000 and rows.where("k <> _no").count() == 0 and rows.select("_no").distinct().count() == 1000
+    assert resample.numbered(spark.range(0).toDF("k"), "k")[1] == 0
+    assert resample.bootstrap_weights(spark.createDataFrame([], "traj_id long")).count() == 0
+
+
 def test_free_energy_spline_meets_points(spark):
     free = fit_free_energy(e1(spark, DATA))
     points = spark.createDataFrame([(float(c),) for c in free.axes[0]], "c double").select(F.array("c").alias("x"))

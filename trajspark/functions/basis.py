@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 KINDS: dict[str, type[Basis]] = {}
 
 
@@ -89,10 +91,12 @@ class PolynomialBasis(Basis):
 
 def auto_bins(df: DataFrame, dim_x: int = 1) -> int:
     """Bins by the larger of 1 + log2 n and the Freedman-Diaconis rule; the most over the axes."""
-    stats = df.agg(F.count(F.lit(1)), *[f for i in range(dim_x) for f in (F.min(_x("x", i)), F.max(_x("x", i)), F.percentile(_x("x", i), F.array(F.lit(0.25), F.lit(0.75))))]).first()
+    stats = df.agg(F.count(F.lit(1)), *[f for i in range(dim_x) for f in (F.min(_x("x", i)), F.max(_x("x", i)))]).first()
+    quartiles = exact_quantiles(df, [_x("x", i) for i in range(dim_x)], [0.25, 0.75])
     n, most = stats[0], 1.0
     for i in range(dim_x):
-        low, high, (q1, q3) = stats[1 + 3 * i : 4 + 3 * i]
+        low, high = stats[1 + 2 * i : 3 + 2 * i]
+        q1, q3 = quartiles[i]
         width = 2 * (q3 - q1) * n ** (-1 / 3)
         most = max(most, 1 + math.log2(n), int((high - low) / width + 1) if width > 0 else 1)
     return int(most)
@@ -115,7 +119,7 @@ class BinsBasis(Basis):
             if self.strategy == "uniform":
                 inner = np.linspace(low, high, n + 1)[1:-1]
             elif self.strategy == "quantile":
-                inner = df.agg(F.percentile(_x("x", i), F.array(*[F.lit(k / n) for k in range(1, n)]))).first()[0]
+                inner = exact_quantiles(df, [_x("x", i)], [k / n for k in range(1, n)])[0]
             elif self.strategy == "kmeans":
                 from pyspark.ml.clustering import KMeans
                 from pyspark.ml.functions import array_to_vector

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .basis import Basis, _x, design, interval, piecewise, spline_knots, spline_polynomials
+from .quantiles import exact_quantiles
 
 
 def _cubic(x: np.ndarray, y: np.ndarray, periodic: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +42,15 @@ def histogram_edges(low: float, high: float, n: int, q1: float, q3: float) -> in
     return max(1, math.ceil((high - low) / width)) if width > 0 else 1
 
 
+#: Places of a grid at most: it is a table on the driver and in every task.
+GRID = 4_000_000
+
+
+def _bounded(places: int) -> None:
+    if places > GRID:
+        raise ValueError(f"a grid of {places} places is too large; give bins or a bandwidth, or cut outliers")
+
+
 class FreeEnergy:
     """axes: grid points of each axis; values: V on the grid (1-D: only where something was counted)."""
 
@@ -52,16 +62,18 @@ class FreeEnergy:
 def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram", bins: int | str = "auto", bandwidth: float | str = "scott", periodic: bool = False) -> FreeEnergy:
     """V = -ln(count) by histogram, or -ln p by Gaussian kernels on a grid; d = 1 or 2.
 
-    What reaches the driver is the grid, whose size depends on the range and the rules for bins. The
+    What reaches the driver is the grid, whose size depends on the range and the rules for bins; one of
+    more than GRID places is an error, for which bins or bandwidth can be given. The
     table of a histogram is (bin, center, count, v) by axis order, that of kernels (bin, center, v).
     """
     if dim_x > 2:
         raise NotImplementedError("free energies have one or two dimensions")
-    quartiles = [F.percentile(_x("x", i), F.array(F.lit(0.25), F.lit(0.75))) for i in range(dim_x)]
-    row = df.agg(F.count(F.lit(1)), *[f for i in range(dim_x) for f in (F.min(_x("x", i)), F.max(_x("x", i)), F.stddev_pop(_x("x", i)), quartiles[i])]).first()
-    n, axis = row[0], [row[1 + 4 * i : 5 + 4 * i] for i in range(dim_x)]
+    quartiles = exact_quantiles(df, [_x("x", i) for i in range(dim_x)], [0.25, 0.75])
+    row = df.agg(F.count(F.lit(1)), *[f for i in range(dim_x) for f in (F.min(_x("x", i)), F.max(_x("x", i)), F.stddev_pop(_x("x", i)))]).first()
+    n, axis = row[0], [(*row[1 + 3 * i : 4 + 3 * i], quartiles[i]) for i in range(dim_x)]
     if estimator == "histogram":
         count = [histogram_edges(a[0], a[1], n, *a[3]) if bins == "auto" and dim_x == 1 else 10 if bins == "auto" else int(bins) for a in axis]
+        _bounded(math.prod(count))
         width = [(a[1] - a[0]) / c for a, c in zip(axis, count, strict=True)]
         cells = [F.least(F.floor((_x("x", i) - axis[i][0]) / width[i]), F.lit(count[i] - 1)).cast("long").alias(f"b{i}") for i in range(dim_x)]
         got = df.select(*cells).groupBy(*[f"b{i}" for i in range(dim_x)]).agg(F.count(F.lit(1)).alias("count"))
@@ -79,6 +91,7 @@ def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram",
     spread = min(min(a[2], (a[3][1] - a[3][0]) / 1.34) for a in axis)
     h = spread * {"scott": n, "silverman": n * (dim_x + 2) / 4}[bandwidth] ** (-1 / (dim_x + 4)) if isinstance(bandwidth, str) else float(bandwidth)
     points = [int((a[1] - a[0]) / (0.25 * h)) for a in axis]
+    _bounded(math.prod(points))
     axes = [np.linspace(a[0] - 2 * h, a[1] + 2 * h, m) for a, m in zip(axis, points, strict=True)]
     sums = kernel_sums(df, axes, h)
     scale = n * (h * math.sqrt(2 * math.pi)) ** dim_x

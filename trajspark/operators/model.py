@@ -161,9 +161,18 @@ def prony_fit(series: DataFrame, n_modes: int) -> DataFrame:
     return series.groupBy("series_id").applyInPandas(one, f"series_id {dict(series.dtypes)['series_id']}, {MODES}")
 
 
+#: Rows of a side that is broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def _with_each(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Every row of df with every row of other, which is what a table of functions at points is."""
+    return df.crossJoin(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other)
+
+
 def prony_eval(modes: DataFrame, times: DataFrame, key: str = "model_id") -> DataFrame:
     """key, t, value: real part of the sum of the modes at each t of times (a short table of its own)."""
-    each = modes.crossJoin(F.broadcast(times.select("t")))
+    each = _with_each(modes, times.select("t"))
     term = F.col("amp") * F.exp(F.col("rate_re") * F.col("t")) * F.cos(F.col("rate_im") * F.col("t") + F.col("phase"))
     return each.groupBy(key, "t").agg(F.sum(term).alias("value"))
 
@@ -192,7 +201,7 @@ def force_field(limits: list[tuple[float, float, int]], basis, models: DataFrame
     """model_id, i_1 .., x_1 .., f_1 ..: force * basis on the grid, for every model."""
     d = len(limits)
     points = grid(models.sparkSession, limits).withColumn("bk", basis.column("x"))
-    each = points.crossJoin(F.broadcast(models.select("model_id", "force")))
+    each = _with_each(points, models.select("model_id", "force"))
     k = basis.n_basis
     dot = lambda i: F.aggregate(F.zip_with(F.slice("force", i * k + 1, k), "bk", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return each.select("model_id", *[f"i_{a + 1}" for a in range(d)], *[F.get("x", F.lit(a)).alias(f"x_{a + 1}") for a in range(d)], *[dot(a).alias(f"f_{a + 1}") for a in range(d)])

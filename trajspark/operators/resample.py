@@ -38,10 +38,21 @@ def shuffle_split(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, see
     return ranked.select("split_id", "traj_id", F.when(F.col("_r") + F.col("_before") <= math.floor(train_size * n), "train").otherwise("test").alias("role"))
 
 
+def numbered(df: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """df with _no, its rows' places (from 0) in the order of a column without repeated values, and the
+    number of rows. Each task numbers a range of values; the ranges stay as they were counted."""
+    ranges = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).persist()
+    before, n = {}, 0
+    for row in ranges.groupBy("_p").count().orderBy("_p").collect():  # a row a partition
+        before[row["_p"]], n = n, n + row["count"]
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(by)).cast("long") - 1
+    starts = F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))) if before else F.create_map(F.lit(0), F.lit(0))
+    return ranges.withColumn("_no", place + F.element_at(starts, F.col("_p"))).drop("_p"), n
+
+
 def bootstrap_weights(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, seed: int = 0) -> DataFrame:
     """split_id, traj_id, weight: how often draws with replacement took the trajectory."""
-    ids = df.select("traj_id").distinct().withColumn("_no", F.row_number().over(Window.orderBy("traj_id")).cast("long") - 1)
-    n = df.select("traj_id").distinct().count()
+    ids, n = numbered(df.select("traj_id").distinct(), "traj_id")
     draws = df.sparkSession.range(n_splits * math.floor(train_size * n)).select(F.expr(f"cast(id div {math.floor(train_size * n) or 1} as int)").alias("split_id"), (F.col("id") % (math.floor(train_size * n) or 1)).alias("draw"))
     no = F.conv(F.substring(_draw(F.lit(str(seed)), F.col("split_id").cast("string"), F.col("draw").cast("string")), 1, 8), 16, 10).cast("long") % max(n, 1)
     return draws.withColumn("_no", no).join(ids, "_no").groupBy("split_id", "traj_id").agg(F.count(F.lit(1)).alias("weight"))

@@ -364,6 +364,28 @@ def _(spark, sf_dir):
     return _model_columns(spark, fit.models, fit.best)
 
 
+#: The M-step again, from means that are weighted by the draws of each split.
+BOOT_STEP = MSTEP.replace(f"g AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in HIDDEN_NAMES)} FROM hs)", f"""{DRAWS.replace("m AS (", "mm AS (").replace(", m, LATERAL", ", mm, LATERAL")},
+g AS (SELECT split_id, {', '.join(f'sum({c} * weight) / sum(weight) AS {c}' for c in HIDDEN_NAMES)} FROM hs JOIN w USING (traj_id) GROUP BY split_id)""")
+
+
+@query("em_bootstrap", f"WITH RECURSIVE {BOOT_STEP} SELECT split_id::INTEGER AS split_id, {MSTEP_OUT} FROM ns")
+def _(spark, sf_dir):
+    """One iteration of every bootstrap replicate, in one job."""
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    fit = em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="user", start=m1(), max_iter=1, weights=weights)
+    at = {"fo": ("force", 0), **{f"f{i}{j}": ("a", 2 * i + j) for i in range(2) for j in range(2)}, "s00": ("sst", 0), "s01": ("sst", 1), "s11": ("sst", 3), "mu0": ("mu0", 0)}
+    return fit.models.select(F.col("model_id").alias("split_id"), *[r6(x0(c, i)).alias(k) for k, (c, i) in at.items()])
+
+
+@query("bootstrap_bands", f"""WITH {BOOT}, e AS (SELECT unnest(['a', 'c', 'force', 'sst']) AS coefficient, unnest([a, sst / (2 * a), force, sst]) AS value FROM k)
+SELECT coefficient, 0 AS i, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM e GROUP BY coefficient""")
+def _(spark, sf_dir):
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    bands = markov.fit_bootstrap(pairs(spark, sf_dir), weights, 1, 1)
+    return bands.select("coefficient", "i", *[r6(c).alias(c) for c in ("mean", "p05", "p95")])
+
+
 def _fit(spark: SparkSession, sf_dir: str, n: int = 10) -> em.Fit:
     return em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="user", start=m1(), max_iter=n, tol=0.0)
 
