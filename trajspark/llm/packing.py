@@ -20,12 +20,12 @@ class OpenBins:
 
     At most `limit` bins are open. A bitset has bit f set while some open bin has f free places;
     the best fit for n is its lowest bit from n on. If a new bin would exceed the limit, the fullest
-    open bin, the lowest bit of all, closes first.
+    open bin, the lowest bit of all, closes first; `closed` counts those.
     """
 
     def __init__(self, capacity: int, limit: int):
         self.capacity, self.limit = capacity, limit
-        self.bits, self.open, self.bins = 0, 0, 0
+        self.bits, self.open, self.bins, self.closed = 0, 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def _take(self, free: int) -> int:
@@ -45,6 +45,7 @@ class OpenBins:
         else:
             if n < self.capacity and self.open == self.limit:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             number, free = self.bins, self.capacity
             self.bins += 1
         left = free - n
@@ -103,7 +104,7 @@ def _pack(capacity: int, limit: int, window: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 16_384, window: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 16_384, window: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack the tokens of all documents into sequences of at most `capacity` tokens.
 
     A document is its whole text's ids and end_id. Only longer ones are cut, into pieces of
@@ -111,6 +112,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, e
     the pieces' numbers are shuffled, dealt by a hash of document and piece, so a hot document or
     source spreads over all tasks. Each task packs what arrives by bounded-space best fit with at
     most `open_bins` open bins. It is online but for this: each window of arrivals is taken longest first.
+    A window of no more pieces than open bins does not fill them with long pieces that nothing fits.
 
     Returns per piece: doc_id, piece int, start long, length long, ids_crc32 long (unsigned, of its
     ids as little-endian 32-bit), sequence_id long, offset long. Null or empty text: one piece, the
