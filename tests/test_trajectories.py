@@ -283,7 +283,7 @@ def test_transitions_shuffle_once(spark):
 def test_correlation_all_lags(spark):
     """Every lag below half the length, over several blocks, for two columns and without the mean."""
     rng = np.random.default_rng(3)
-    series = {1: rng.normal(size=(2 * correlation.BLOCK + 601, 2)), 2: rng.normal(size=(correlation.BLOCK, 2)), 3: rng.normal(size=(5, 2)), 4: rng.normal(size=(1, 2))}
+    series = {1: rng.normal(size=(2649, 2)), 2: rng.normal(size=(1024, 2)), 3: rng.normal(size=(5, 2)), 4: rng.normal(size=(1, 2))}
     df = spark.createDataFrame([(i, k, float(x), float(y)) for i, s in series.items() for k, (x, y) in enumerate(s)], "traj_id int, step long, p double, q double")
     got = correlation.correlation(df, "p", "q", subtract_mean=True).toPandas()
     for i, s in series.items():

@@ -32,6 +32,15 @@ class Basis:
     def column(self, x: str | Column) -> Column:
         raise NotImplementedError
 
+    def sparse(self, x: str | Column) -> Column:
+        """The elements that are not zero, as an array of (i, value)."""
+        each = F.transform(self.column(x), lambda v, i: F.struct(i.cast("int").alias("i"), v.alias("value")))
+        return F.filter(each, lambda e: e["value"] != 0)
+
+    def attach(self, df: DataFrame, name: str = "bk", sparse: bool = False) -> DataFrame:
+        """df with the basis values at x as the array column name."""
+        return df.withColumn(name, self.sparse("x") if sparse else self.column("x"))
+
     def to_row(self, spark: SparkSession) -> DataFrame:
         """kind, dim_x, n_basis, params (JSON): a row to write as Parquet."""
         params = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items() if k not in ("dim_x", "n_basis")}
@@ -137,10 +146,17 @@ class BinsBasis(Basis):
 
     def index(self, x: str | Column, axis: int = 0) -> Column:
         """Bin of a value: the number of inner edges that it reaches."""
-        edges = F.array(*[F.lit(e) for e in self.edges[axis]]) if self.edges[axis] else F.array().cast("array<double>")
-        return F.size(F.filter(edges, lambda e: e <= _x(x, axis)))
+        return F.size(F.filter(numbers(self.edges[axis]), lambda e: e <= _x(x, axis)))
+
+    def sparse(self, x: str | Column) -> Column:
+        """One live bin an axis, and their products."""
+        before = [sum(len(e) + 1 for e in self.edges[:a]) for a in range(self.dim_x)]
+        live = [[(self.index(x, a) + before[a], F.lit(1.0))] for a in range(self.dim_x)]
+        return _entries(live, sum(len(e) + 1 for e in self.edges), self.dim_x if self.combine else 1) if self.dim_x <= 2 or not self.combine else super().sparse(x)
 
     def column(self, x: str | Column) -> Column:
+        if self.n_basis > INLINE and (self.dim_x <= 2 or not self.combine):
+            return _filled(self.sparse(x), self.n_basis)
         terms = []
         for axis, edges in enumerate(self.edges):
             v, cuts = _x(x, axis), [None, *edges, None]
@@ -165,16 +181,34 @@ def spline_knots(points: np.ndarray, degree: int) -> np.ndarray:
     return np.r_[[points[0]] * (degree + 1), inner, [points[-1]] * (degree + 1)]
 
 
+def live_splines(knots: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each interval between different knots: its start (and the last one's end), its first live
+    B-spline, and the coefficients (interval, live, degree + 1), lowest first in x - start, of the
+    degree + 1 splines that are not zero there. Each spline comes from the two of a lower degree below it."""
+    place = np.flatnonzero(np.diff(knots) > 0)
+    place = place[(place >= degree) & (place < len(knots) - degree - 1)]
+    start, width = knots[place], knots[place + 1] - knots[place]
+    live = np.zeros((len(place), degree + 1, degree + 1))
+    live[:, 0, 0] = 1
+    for k in range(1, degree + 1):
+        below, live = live, np.zeros_like(live)
+        for j in range(k):  # the j-th live spline of degree k - 1 gives parts of the j-th and the next one
+            low, high = knots[place - k + 1 + j], knots[place + 1 + j]
+            share = below[:, j] / (high - low)[:, None]
+            rising = (start - low)[:, None] * share
+            falling = (high - start)[:, None] * share
+            rising[:, 1:] += share[:, :-1]
+            falling[:, 1:] -= share[:, :-1]
+            live[:, j] += falling
+            live[:, j + 1] += rising
+    return np.r_[start, start[-1] + width[-1]], place - degree, live
+
+
 def spline_polynomials(knots: np.ndarray, coefs: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
     """Break points, and for each interval between them the coefficients (lowest first) of each
     column's polynomial in x - start."""
-    breaks = np.unique(knots)
-    at = np.linspace(0, 1, degree + 1)
-    out = []
-    for a, b in zip(breaks, breaks[1:], strict=False):
-        values = design(knots, a + (b - a) * at, degree, (a + b) / 2) @ coefs
-        out.append(np.linalg.solve(np.vander(at, increasing=True), values) / ((b - a) ** np.arange(degree + 1))[:, None])
-    return breaks, np.array(out)
+    breaks, first, live = live_splines(knots, degree)
+    return breaks, np.einsum("ilp,ilc->ipc", live, coefs[first[:, None] + np.arange(degree + 1)])
 
 
 def design(knots: np.ndarray, x: np.ndarray, degree: int, inside: float | None = None) -> np.ndarray:
@@ -202,8 +236,7 @@ def interval(v: Column, breaks) -> Column:
     n, step = len(breaks) - 1, (breaks[-1] - breaks[0]) / (len(breaks) - 1)
     if n > 64 and np.allclose(np.diff(breaks), step, rtol=1e-9):
         return F.least(F.greatest(F.floor((v - float(breaks[0])) / float(step)), F.lit(0)), F.lit(n - 1)).cast("int")
-    inner = [F.lit(float(b)) for b in breaks[1:-1]]
-    return F.size(F.filter(F.array(*inner), lambda e: e <= v)) if inner else F.lit(0)
+    return F.size(F.filter(numbers(breaks[1:-1]), lambda e: e <= v)) if n > 1 else F.lit(0)
 
 
 def piecewise(v: Column, breaks: np.ndarray, polynomials: np.ndarray, derivative: int = 0) -> list[Column]:
@@ -221,6 +254,36 @@ def piecewise(v: Column, breaks: np.ndarray, polynomials: np.ndarray, derivative
     return out
 
 
+#: Elements of a basis up to which each has an expression of its own.
+INLINE = 64
+
+
+def numbers(values) -> Column:
+    """A constant array, as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(np.asarray(values, float).ravel().tolist())), "array<double>")
+
+
+def _rank(i: Column, j: Column, n: int) -> Column:
+    """Place of the product of terms i and j of n, as _products has it."""
+    low, high = F.least(i, j), F.greatest(i, j)
+    return F.lit(n) + low * n - F.shiftright(low * (low - 1), 1) + high - low
+
+
+def _entries(live: list[list[tuple[Column, Column]]], n: int, degree: int) -> Column:
+    """(i, value) of live terms, a list of (term, value) an axis, and with degree 2 of their products."""
+    terms = [t for axis in live for t in axis]
+    out = list(terms)
+    if degree == 2:
+        out += [(_rank(i, j, n), v * w) for a, (i, v) in enumerate(terms) for j, w in terms[a:]]
+    return F.array(*[F.struct(i.cast("int").alias("i"), v.alias("value")) for i, v in out])
+
+
+def _filled(entries: Column, n: int) -> Column:
+    """The dense array of (i, value), each i once."""
+    found = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(found, i), F.lit(0.0)))
+
+
 class BSplineBasis(Basis):
     """n_knots B-splines for each axis on equally spaced points between the least and greatest value of
     all axes; goes on outside. periodic: splines that wrap round, on n_knots - 1 equal intervals."""
@@ -246,10 +309,44 @@ class BSplineBasis(Basis):
         fold = np.zeros((m + k, m))
         fold[np.arange(m + k), np.arange(m + k) % m] = 1
         breaks, polynomials = spline_polynomials(knots, fold, k)
-        inside = slice(k, k + m)
-        return np.r_[breaks[inside], self.high], polynomials[inside]
+        return np.r_[breaks[:-1], self.high], polynomials
+
+    def sparse(self, x: str | Column) -> Column:
+        """The degree + 1 live splines of each axis, and with combine their products."""
+        k, each = self.degree, self.n_knots - 1 if self.periodic else self.n_knots
+        if each <= k or self.combine and self.dim_x > 2:
+            return super().sparse(x)
+        points = np.linspace(self.low, self.high, self.n_knots)
+        if self.periodic:
+            step = points[1] - points[0]
+            breaks, first, live = live_splines(self.low + step * np.arange(-k, each + k + 1), k)
+        else:
+            knots = spline_knots(points, k)
+            if len(knots) - k - 1 != each:
+                return super().sparse(x)
+            breaks, first, live = live_splines(knots, k)
+        axes = []
+        starts, firsts, known = numbers(breaks[:-1]), numbers(first), numbers(live)
+        for axis in range(self.dim_x):
+            v = _x(x, axis)
+            if self.periodic:
+                v = F.pmod(v - self.low, F.lit(self.high - self.low)) + self.low
+            at = interval(v, breaks)
+            d = v - F.get(starts, at)
+            terms = []
+            for j in range(k + 1):
+                value = F.lit(0.0)
+                for p in range(k, -1, -1):
+                    value = value * d + F.get(known, (at * (k + 1) + j) * (k + 1) + p)
+                spline = F.get(firsts, at).cast("int") + j
+                terms.append(((F.pmod(spline, F.lit(each)) if self.periodic else spline) * self.dim_x + axis, value))
+            axes.append(terms)
+        return _entries(axes, each * self.dim_x, self.dim_x if self.combine else 1)
 
     def column(self, x: str | Column) -> Column:
+        each = self.n_knots - 1 if self.periodic else self.n_knots
+        if self.n_basis > INLINE and each > self.degree and (not self.combine or self.dim_x <= 2):
+            return _filled(self.sparse(x), self.n_basis)
         breaks, polynomials = self._polynomials()
         axes = []
         for axis in range(self.dim_x):
@@ -285,11 +382,12 @@ def digitize(df: DataFrame, edges: list[list[float]], x: str = "x") -> DataFrame
     return df.withColumn("cells", F.array(*cells))
 
 
-def project_on_basis(df: DataFrame, basis: Basis, y: str = "x", dim_y: int = 1) -> np.ndarray:
-    """Least-squares coefficients (dim_y, n_basis) of y on the basis, without intercept, from one
-    aggregate of mean products."""
-    k, rows = basis.n_basis, df.withColumn("_b", basis.column("x"))
-    gram = [F.avg(_x("_b", i) * _x("_b", j)) for i in range(k) for j in range(k)]
-    cross = [F.avg(_x(y, j) * _x("_b", i)) for j in range(dim_y) for i in range(k)]
-    got = np.array(rows.agg(*gram, *cross).first(), float)
-    return np.linalg.lstsq(got[: k * k].reshape(k, k), got[k * k :].reshape(dim_y, k).T, rcond=None)[0].T
+def project_on_basis(df: DataFrame, basis: Basis, y: str = "x", dim_y: int = 1, sparse: bool = False) -> np.ndarray:
+    """Least-squares coefficients (dim_y, n_basis) of y on the basis, without intercept, from one Gram
+    matrix of (y, basis), which tasks sum over their batches. sparse: only of live elements."""
+    from ..operators.gram import gram_matrix
+
+    rows = basis.attach(df.withColumn("_y", F.transform(F.slice(y, 1, dim_y), lambda v: v.cast("double"))), "_b", sparse)
+    gram, n = gram_matrix(rows, "_y", dim_y, "_b", basis.n_basis)
+    gram = gram / max(n, 1)
+    return np.linalg.lstsq(gram[dim_y:, dim_y:], gram[dim_y:, :dim_y], rcond=None)[0].T

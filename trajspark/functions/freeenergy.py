@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
@@ -10,29 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .basis import Basis, _x, design, interval, piecewise, spline_knots, spline_polynomials
+from .basis import Basis, _x
 from .quantiles import exact_quantiles
-
-
-def _cubic(x: np.ndarray, y: np.ndarray, periodic: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Interpolating cubic spline as polynomials of its intervals."""
-    if periodic:
-        n, h = len(x) - 1, np.diff(x)
-        y = np.r_[y[:-1], y[0]]
-        a, r = np.zeros((n, n)), np.zeros(n)
-        for i in range(n):  # second derivatives of a spline that wraps round
-            p, q = h[i - 1], h[i]
-            a[i, i - 1] += p / 6
-            a[i, i] += (p + q) / 3
-            a[i, (i + 1) % n] += q / 6
-            r[i] = (y[i + 1] - y[i]) / q - (y[i] - y[i - 1 if i else n - 1]) / p
-        m = np.linalg.solve(a, r)
-        m = np.r_[m, m[0]]
-        c = np.stack([y[:-1], np.diff(y) / h - h * (2 * m[:-1] + m[1:]) / 6, m[:-1] / 2, np.diff(m) / (6 * h)], axis=1)
-        return x, c[:, :, None]
-    k = min(3, len(x) - 1)
-    knots = spline_knots(x, k)
-    return spline_polynomials(knots, np.linalg.solve(design(knots, x, k), y)[:, None], k)
+from .splines import PiecewisePolynomials
 
 
 def histogram_edges(low: float, high: float, n: int, q1: float, q3: float) -> int:
@@ -42,13 +21,17 @@ def histogram_edges(low: float, high: float, n: int, q1: float, q3: float) -> in
     return max(1, math.ceil((high - low) / width)) if width > 0 else 1
 
 
-#: Places of a grid at most: it is a table on the driver and in every task.
-GRID = 4_000_000
+#: Places of a grid at most, by its dimensions: it is a table on the driver and in every task.
+GRID = {1: 1_000_000, 2: 250_000}
+#: Distance, in bandwidths, from which a Gaussian is below the least double.
+REACH = 38.7
+#: Places of an axis of a block, whose rows are summed together.
+BLOCK = 64
 
 
-def _bounded(places: int) -> None:
-    if places > GRID:
-        raise ValueError(f"a grid of {places} places is too large; give bins or a bandwidth, or cut outliers")
+def _bounded(places: list[int]) -> None:
+    if math.prod(places) > GRID[len(places)]:
+        raise ValueError(f"a grid of {math.prod(places)} places is too large; give bins or a bandwidth, or cut outliers")
 
 
 class FreeEnergy:
@@ -63,7 +46,7 @@ def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram",
     """V = -ln(count) by histogram, or -ln p by Gaussian kernels on a grid; d = 1 or 2.
 
     What reaches the driver is the grid, whose size depends on the range and the rules for bins; one of
-    more than GRID places is an error, for which bins or bandwidth can be given. The
+    more places than GRID has for its dimensions is an error, for which bins or bandwidth can be given. The
     table of a histogram is (bin, center, count, v) by axis order, that of kernels (bin, center, v).
     """
     if dim_x > 2:
@@ -73,7 +56,7 @@ def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram",
     n, axis = row[0], [(*row[1 + 3 * i : 4 + 3 * i], quartiles[i]) for i in range(dim_x)]
     if estimator == "histogram":
         count = [histogram_edges(a[0], a[1], n, *a[3]) if bins == "auto" and dim_x == 1 else 10 if bins == "auto" else int(bins) for a in axis]
-        _bounded(math.prod(count))
+        _bounded(count)
         width = [(a[1] - a[0]) / c for a, c in zip(axis, count, strict=True)]
         cells = [F.least(F.floor((_x("x", i) - axis[i][0]) / width[i]), F.lit(count[i] - 1)).cast("long").alias(f"b{i}") for i in range(dim_x)]
         got = df.select(*cells).groupBy(*[f"b{i}" for i in range(dim_x)]).agg(F.count(F.lit(1)).alias("count"))
@@ -91,7 +74,7 @@ def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram",
     spread = min(min(a[2], (a[3][1] - a[3][0]) / 1.34) for a in axis)
     h = spread * {"scott": n, "silverman": n * (dim_x + 2) / 4}[bandwidth] ** (-1 / (dim_x + 4)) if isinstance(bandwidth, str) else float(bandwidth)
     points = [int((a[1] - a[0]) / (0.25 * h)) for a in axis]
-    _bounded(math.prod(points))
+    _bounded(points)
     axes = [np.linspace(a[0] - 2 * h, a[1] + 2 * h, m) for a, m in zip(axis, points, strict=True)]
     sums = kernel_sums(df, axes, h)
     scale = n * (h * math.sqrt(2 * math.pi)) ** dim_x
@@ -105,65 +88,77 @@ def fit_free_energy(df: DataFrame, dim_x: int = 1, estimator: str = "histogram",
 
 
 def kernel_sums(df: DataFrame, axes: list[np.ndarray], h: float) -> DataFrame:
-    """bin (row-major grid place), s: sum over rows of exp(-|x - grid|^2 / 2h^2). Each task sums what it
-    reads over the grid; the sums meet by place."""
+    """bin (row-major grid place), s: sum over rows of exp(-|x - grid|^2 / 2h^2).
+
+    Rows of a batch are ordered by blocks of the grid, and each block's rows are summed over the places
+    within REACH bandwidths of it, outside of which nothing is left of a kernel. Each task gives the
+    places that its rows reach; the sums meet by place.
+    """
     dim = len(axes)
+    gaps = [float(a[1] - a[0]) if len(a) > 1 else 1.0 for a in axes]
+    reach = [math.ceil(REACH * h / g) for g in gaps]
 
     def partial(batches):
         total = np.zeros([len(a) for a in axes])
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(dim)])
-            for at in range(0, x.shape[1], 4096):
-                k = [np.exp(-0.5 * ((a[:, None] - v[None, at : at + 4096]) / h) ** 2) for a, v in zip(axes, x, strict=True)]
-                total += k[0].sum(axis=1) if dim == 1 else k[0] @ k[1].T
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["bin", "s"])
+            x = x[:, np.isfinite(x).all(axis=0)]
+            block = np.stack([np.clip((v - a[0]) / g, 0, len(a) - 1).astype(int) // BLOCK for v, a, g in zip(x, axes, gaps, strict=True)])
+            order = np.lexsort(block)
+            x, block = x[:, order], block[:, order]
+            cuts = np.flatnonzero((np.diff(block, axis=1) != 0).any(axis=0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, x.shape[1]], strict=True):
+                if start < end:
+                    near = tuple(slice(max(0, b * BLOCK - r), (b + 1) * BLOCK + r) for b, r in zip(block[:, start], reach, strict=True))
+                    for at in range(start, end, 4096):
+                        k = [np.exp(-0.5 * ((a[n][:, None] - v[None, at : min(at + 4096, end)]) / h) ** 2) for a, v, n in zip(axes, x, near, strict=True)]
+                        total[near] += k[0].sum(axis=1) if dim == 1 else k[0] @ k[1].T
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total.ravel()[found])], ["bin", "s"])
 
     return df.select(*[_x("x", i).alias(f"x{i}") for i in range(dim)]).mapInArrow(partial, "bin long, s double").groupBy("bin").agg(F.sum("s").alias("s"))
 
 
 class MeanForceBasis(Basis):
-    """-dV/dx of a fitted free energy."""
+    """-dV/dx of a fitted free energy: the derivatives of the cubic spline through its grid.
+
+    attach() looks the spline's polynomials up by a join, for grids of any size; column() has them in
+    the expression, for small grids. Where V is infinite (no kernel reaches a place) the grid is one
+    without that place, in one dimension.
+    """
 
     def __init__(self, free: FreeEnergy):
         self.dim_x = self.n_basis = len(free.axes)
         self.axes, self.values, self.periodic = [a.tolist() for a in free.axes], free.values.tolist(), free.periodic
 
-    def _one(self):
-        return _cubic(np.array(self.axes[0]), np.array(self.values), self.periodic)
-
-    def _two(self):
-        """Knots of both axes and the coefficients of the bicubic spline."""
-        axes = [np.array(a) for a in self.axes]
-        knots = [spline_knots(a, 3) for a in axes]
-        left, right = (design(k, a, 3) for k, a in zip(knots, axes, strict=True))
-        return knots, np.linalg.solve(right, np.linalg.solve(left, np.array(self.values)).T).T
-
-    def _surface(self, x: str | Column, derivative: tuple[int, int]) -> Column:
-        """In each cell four splines of each axis count: their values times a 4 x 4 part of the
-        coefficients."""
-        knots, coefs = self._two()
-        values, places = [], []
-        for i in range(2):
-            breaks, p = spline_polynomials(knots[i], np.eye(coefs.shape[i]), 3)
-            near = np.stack([p[a][:, a : a + 4] for a in range(len(p))])
-            values.append(piecewise(_x(x, i), breaks, near, derivative[i]))
-            places.append(interval(_x(x, i), breaks))
-        table = F.from_json(F.lit(json.dumps(coefs.ravel().tolist())), "array<double>")
-        total = F.lit(0.0)
-        for a in range(4):
-            for b in range(4):
-                total = total + values[0][a] * values[1][b] * F.get(table, (places[0] + a) * coefs.shape[1] + places[1] + b)
-        return total
+    def _spline(self) -> PiecewisePolynomials:
+        axes, values = [np.array(a) for a in self.axes], np.array(self.values)
+        if self.dim_x == 1:
+            axes, values = [axes[0][np.isfinite(values)]], values[np.isfinite(values)]
+        return PiecewisePolynomials(axes, values, self.periodic and self.dim_x == 1, GRID[self.dim_x])
+
+    def _forces(self) -> list[tuple[int, ...]]:
+        return [(1,)] if self.dim_x == 1 else [(1, 0), (0, 1)]
+
+    def _positions(self, x: str | Column) -> list[Column]:
+        return [_x(x, i) for i in range(self.dim_x)]
 
     def column(self, x: str | Column) -> Column:
-        if self.dim_x == 1:
-            return F.array(-piecewise(_x(x, 0), *self._one(), derivative=1)[0])
-        return F.array(-self._surface(x, (1, 0)), -self._surface(x, (0, 1)))
+        return F.array(*[-v for v in self._spline().columns(self._positions(x), self._forces())])
+
+    def attach(self, df: DataFrame, name: str = "bk", sparse: bool = False) -> DataFrame:
+        if sparse:
+            raise ValueError("every element of a mean force is live")
+        found = [f"_f{i}" for i in range(self.dim_x)]
+        return self._spline().attach(df, self._positions("x"), self._forces(), found).withColumn(name, F.array(*[-F.col(f) for f in found])).drop(*found)
 
     def potential(self, x: str | Column) -> Column:
-        return piecewise(_x(x, 0), *self._one())[0] if self.dim_x == 1 else self._surface(x, (0, 0))
+        return self._spline().columns(self._positions(x), [(0,) * self.dim_x])[0]
+
+    def with_potential(self, df: DataFrame, name: str = "v") -> DataFrame:
+        return self._spline().attach(df, self._positions("x"), [(0,) * self.dim_x], [name])
 
 
 def potential(df: DataFrame, free: FreeEnergy) -> DataFrame:
     """df with v, the free energy at x."""
-    return df.withColumn("v", MeanForceBasis(free).potential("x"))
+    return MeanForceBasis(free).with_potential(df)

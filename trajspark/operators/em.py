@@ -81,7 +81,7 @@ def _starts(kept: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float, in
     return models
 
 
-def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1.0, init: str = "random", start: StateModel | dict | None = None, tol: float = 1e-5, max_iter: int = 100, n_init: int = 1, warm_start: StateModel | None = None, no_stop: bool = False, variant: str = "force_visible", optimize_force: bool = True, optimize_diffusion: bool = True, seed: int = 0, sig0=None, weights: DataFrame | None = None) -> Fit:
+def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1.0, init: str = "random", start: StateModel | dict | None = None, tol: float = 1e-5, max_iter: int = 100, n_init: int = 1, warm_start: StateModel | None = None, no_stop: bool = False, variant: str = "force_visible", optimize_force: bool = True, optimize_diffusion: bool = True, seed: int = 0, sig0=None, weights: DataFrame | None = None, resume: str | None = None, save_every: int = 5) -> Fit:
     """Iterate E-step, likelihood, M-step until |change| < tol. All starts run in the same job.
 
     Transitions are dealt and kept once; an iteration is one job without a shuffle of them, which
@@ -92,6 +92,10 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
     start is a model, or with init='user' a dict of some of friction, force, noise, mu0 and sig0; the
     rest is drawn. With the weights of a bootstrap (split_id, traj_id, weight) every split is fitted,
     all in the same jobs, and model_id is its split_id.
+
+    With resume, a folder that outlives the driver, models and trace are written there after every
+    save_every iterations; a fit that finds some goes on from the last that are whole, with the same
+    result as one that never stopped. The folder belongs to one fit, with its data and options; max_iter may be raised.
     """
     spark, kept = trans.sparkSession, trans if "grp" in trans.columns else grouped(trans)
     if warm_start is not None:
@@ -103,7 +107,10 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
         live = {j: StateModel(x.friction, x.force, x.noise, x.mu0, x.sig0, dt, j) for j, x in enumerate(starts * len(splits))}
         split_of = F.element_at(F.array(*[F.lit(place[j][0]) for j in sorted(place)]), F.col("model_id") + 1)
         last, trace, best, done = {}, [], {}, {}
-        for i in range(max_iter):
+        begun = 0
+        if resume is not None and (saved := _saved(spark, resume)):
+            begun, live, best, last, done, trace = saved[0], *_restored(saved[1:], dim_x, dim_h, dt)
+        for i in range(begun, max_iter if live else 0):
             stats = hidden_stats(kept, list(live.values()))
             if weights is not None:
                 stats = stats.withColumn("split_id", split_of)
@@ -126,6 +133,8 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
                     done[key] = (i + 1, True)
                     if not no_stop:
                         del live[key]
+            if resume is not None and ((i + 1) % save_every == 0 or not live or i + 1 == max_iter):
+                _save(spark, resume, i + 1, live, best, last, done, trace)
             if not live:
                 break
     finally:
@@ -143,6 +152,52 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
     return Fit(spark.createDataFrame(rows, f"model_id int, {MODEL}"), spark.createDataFrame(trace, TRACE), every[splits[0]], every)
 
 
+STATE = "key int, live boolean, friction array<double>, force array<double>, noise array<double>, mu0 array<double>, sig0 array<double>, best_ll double, last double, iterations int, converged boolean"
+
+
+def _save(spark, folder: str, i: int, live: dict, best: dict, last: dict, done: dict, trace: list) -> None:
+    """Two tables of a fit after iteration i: a row a model that goes on or is the best of its start, and the trace."""
+    flat = lambda a: np.asarray(a, float).ravel().tolist()
+    parts = lambda x: {k: flat(getattr(x, k)) for k in ("friction", "force", "noise", "mu0", "sig0")}
+    rows = [{"key": k, "live": True, "best_ll": None} | parts(x) for k, x in live.items()] + [{"key": k, "live": False, "best_ll": ll} | parts(x) for k, (ll, x) in best.items()]
+    for r in rows:
+        r |= {"last": last.get(r["key"]), "iterations": done.get(r["key"], (0, False))[0], "converged": done.get(r["key"], (0, False))[1]}
+    spark.createDataFrame(trace, TRACE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/trace/saved={i}")
+    # written last: a state is whole if its trace is
+    spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state/saved={i}")
+
+
+def _saved(spark, folder: str):
+    """The last iteration that was written, its state and its trace; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        state = spark.read.parquet(f"{folder}/state")
+    except AnalysisException:
+        return None
+    i = state.agg(F.max("saved")).first()[0]
+    if i is None:
+        return None
+    rows = state.where(F.col("saved") == i).collect()  # two rows a start
+    return i, rows, spark.read.parquet(f"{folder}/trace").where(F.col("saved") == i).drop("saved").collect()
+
+
+def _restored(saved: tuple, d: int, m: int, dt: float) -> tuple:
+    rows, trace = saved
+    n = d + m
+    live, best, last, done = {}, {}, {}, {}
+    for r in rows:
+        x = StateModel(np.reshape(r["friction"], (n, n)), np.reshape(r["force"], (d, -1)), np.reshape(r["noise"], (n, n)), r["mu0"], r["sig0"], dt, r["key"])
+        if r["live"]:
+            live[r["key"]] = x
+        else:
+            best[r["key"]] = (r["best_ll"], x)
+        if r["last"] is not None:
+            last[r["key"]] = r["last"]
+        done[r["key"]] = (r["iterations"], r["converged"])
+    return live, best, last, done, [t.asDict() for t in trace]
+
+
 def best_start(trace: DataFrame) -> DataFrame:
     """The iteration of the highest likelihood of each model, the first of equals."""
     order = Window.partitionBy("model_id").orderBy(F.col("ll").desc(), "init", "iter")

@@ -54,5 +54,5 @@ def bootstrap_weights(df: DataFrame, n_splits: int = 5, train_size: float = 0.9,
     """split_id, traj_id, weight: how often draws with replacement took the trajectory."""
     ids, n = numbered(df.select("traj_id").distinct(), "traj_id")
     draws = df.sparkSession.range(n_splits * math.floor(train_size * n)).select(F.expr(f"cast(id div {math.floor(train_size * n) or 1} as int)").alias("split_id"), (F.col("id") % (math.floor(train_size * n) or 1)).alias("draw"))
-    no = F.conv(F.substring(_draw(F.lit(str(seed)), F.col("split_id").cast("string"), F.col("draw").cast("string")), 1, 8), 16, 10).cast("long") % max(n, 1)
+    no = F.conv(F.substring(_draw(F.lit(str(seed)), F.col("split_id").cast("string"), F.col("draw").cast("string")), 1, 15), 16, 10).cast("long") % max(n, 1)
     return draws.withColumn("_no", no).join(ids, "_no").groupBy("split_id", "traj_id").agg(F.count(F.lit(1)).alias("weight"))

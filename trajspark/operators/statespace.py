@@ -8,27 +8,39 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import STATS, as_matrices, log_likelihood
+from ..sources.ranges import Shifted
 from .transitions import BLOCKS, average_stats
 
 #: Rows that a group has, about; longer trajectories than CHUNK_ROWS transitions lie in several groups.
 GROUP_ROWS, CHUNK_ROWS = 50_000, 10_000
+#: Models that one task runs over a group; more are dealt to as many tasks as needed.
+TASK_MODELS = 16
+#: Times the rows of a batch of trajectories that padding may make of it.
+PADDING = 4
 
 
 @dataclass
 class Part:
     """Transitions from `first` on of trajectories of `length`; filtered means at the start and smoothed
-    ones at the end, if they are not the model's start and the last filtered mean."""
+    ones at the end, if they are not the model's start and the last filtered mean. Or whole trajectories
+    of several lengths, longest first and padded with zeros."""
 
     first: int
     length: int
     start: np.ndarray | None = None
     end: np.ndarray | None = None
+    lengths: np.ndarray | None = None
+
+    def alive(self, t: int, n: int) -> int:
+        """How many of n rows, from the first on, have transition t."""
+        return n if self.lengths is None else int(np.searchsorted(-self.lengths, -t))
 
 
 @dataclass
@@ -44,6 +56,7 @@ class StateModel:
     model_id: int = 0
     _filter: list = field(default_factory=list, repr=False)
     _smooth: dict = field(default_factory=dict, repr=False)
+    _gains: dict = field(default_factory=dict, repr=False)
     _steady: bool = field(default=False, repr=False)
 
     def __post_init__(self):
@@ -73,6 +86,29 @@ class StateModel:
             self._filter.append((s, gain, after))
         return self._filter[min(t, len(self._filter) - 1)][:2]
 
+    def smooth_gain(self, t: int) -> np.ndarray:
+        """What leads from the smoothed state t + 1 back to state t, whatever the trajectory's length."""
+        s = self.filter_cov(t)[0]
+        at = min(t, len(self._filter) - 1)
+        if at not in self._gains:
+            self._gains[at] = np.linalg.solve((self.noise + self.r @ s @ self.r.T).T, self.r @ s.T).T
+        return self._gains[at]
+
+    def covariances(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For different falling lengths: smoothed covariances of the states and Cov(h_t, h_t+1), in one
+        pass back over all of them; zero past a length."""
+        top = int(lengths[0])
+        cov, cross = np.zeros((len(lengths), top + 1, self.m, self.m)), np.zeros((len(lengths), top, self.m, self.m))
+        for i, length in enumerate(lengths):
+            cov[i, length] = self.filter_cov(int(length))[0]
+        for t in range(top - 1, -1, -1):
+            k = int(np.searchsorted(-lengths, -t))
+            s, g = self.filter_cov(t)[0], self.smooth_gain(t)
+            h = g[:, self.d :]
+            cross[:k, t] = h @ cov[:k, t + 1]
+            cov[:k, t] = cross[:k, t] @ h.T + s - g @ self.r @ s
+        return cov, cross
+
     def smooth_cov(self, length: int):
         """For each of `length` transitions: gain G, smoothed covariance, and Cov(h_t, h_t+1)."""
         if length not in self._smooth:
@@ -120,16 +156,17 @@ class StateModel:
         mu = np.zeros((len(c), length + 1, self.m))
         mu[:, 0] = self.mu0 if part.start is None else part.start
         for t in range(length):
-            u = c[:, t] + mu[:, t] @ self.r.T
-            mu[:, t + 1] = u[:, d:] + (v_plus[:, t] - u[:, :d]) @ self.filter_cov(part.first + t)[1].T
-        last = mu[:, length].copy()
+            k = part.alive(t, len(c))
+            u = c[:k, t] + mu[:k, t] @ self.r.T
+            mu[:k, t + 1] = u[:, d:] + (v_plus[:k, t] - u[:, :d]) @ self.filter_cov(part.first + t)[1].T
+        last = mu[:, length].copy() if part.lengths is None else mu[np.arange(len(c)), part.lengths]
         if smooth:
             if part.end is not None:
                 mu[:, length] = part.end
-            g = self.smooth_part(part.length, part.first, part.first + length)[0]
             for t in range(length - 1, -1, -1):
-                known = np.concatenate([v_plus[:, t], mu[:, t + 1]], axis=1) - c[:, t] - mu[:, t] @ self.r.T
-                mu[:, t] = mu[:, t] + known @ g[t].T
+                k = part.alive(t, len(c))
+                known = np.concatenate([v_plus[:k, t], mu[:k, t + 1]], axis=1) - c[:k, t] - mu[:k, t] @ self.r.T
+                mu[:k, t] += known @ self.smooth_gain(part.first + t).T
         return mu, last
 
     def maps(self, c: np.ndarray, v_plus: np.ndarray, part: Part) -> dict[str, np.ndarray]:
@@ -146,17 +183,27 @@ class StateModel:
     def statistics(self, v, v_plus, bk, part: Part) -> dict[str, np.ndarray]:
         """Second moments over the hidden states of each of some parts, by their share in the trajectory:
         what the parts of a trajectory give adds up to its means."""
-        length, m, share = v.shape[1], self.m, v.shape[1] / part.length
+        length, m = v.shape[1], self.m
         mu, _ = self.part_means(self.drift(v, bk), v_plus, part)
-        _, cov, cross = self.smooth_part(part.length, part.first, part.first + length)
         now, after = mu[:, :-1], mu[:, 1:]
-        mean = lambda a, b: np.einsum("nti,ntj->nij", a, b) / length
-        tt, pp, tp = cov[:-1].mean(axis=0) + mean(now, now), cov[1:].mean(axis=0) + mean(after, after), cross.mean(axis=0) + mean(now, after)
+        if part.lengths is None:
+            _, cov, cross = self.smooth_part(part.length, part.first, part.first + length)
+            cov, cross, of, count, share = cov[None], cross[None], np.zeros(len(v), int), np.full(len(v), length), length / part.length
+            there = np.ones((1, length), bool)
+        else:
+            lengths, of = np.unique(-part.lengths, return_inverse=True)
+            cov, cross = self.covariances(-lengths)
+            count, share, there = part.lengths, 1.0, np.arange(length) < -lengths[:, None]
+            now, after = now * there[of][:, :, None], after * there[of][:, :, None]
+        steps = there.sum(axis=1)
+        mean = lambda a, b: np.einsum("nti,ntj->nij", a, b) / count[:, None, None]
+        spread = lambda x: ((x * there[:, :, None, None]).sum(axis=1) / steps[:, None, None])[of]
+        tt, pp, tp = spread(cov[:, :-1]) + mean(now, now), spread(cov[:, 1:]) + mean(after, after), spread(cross) + mean(now, after)
         dv, dh = v_plus - v, after - now
         join = lambda vv, vh, hv, hh: np.concatenate([np.concatenate([vv, vh], axis=2), np.concatenate([hv, hh], axis=2)], axis=1)
         hv, ddhv = mean(now, v), mean(dh, dv)
-        pair = np.concatenate([np.concatenate([cov[1:], cross.transpose(0, 2, 1)], axis=2), np.concatenate([cross, cov[:-1]], axis=2)], axis=1)
-        entropy = 0.5 * m * (1 + math.log(2 * math.pi)) + 0.5 * _mean_log(np.linalg.det(pair)) - 0.5 * _mean_log(np.linalg.det(cov[:-1]))
+        pair = np.concatenate([np.concatenate([cov[:, 1:], cross.swapaxes(2, 3)], axis=3), np.concatenate([cross, cov[:, :-1]], axis=3)], axis=2)
+        entropy = 0.5 * m * (1 + math.log(2 * math.pi)) + 0.5 * _mean_log(np.linalg.det(pair), there) - 0.5 * _mean_log(np.linalg.det(cov[:, :-1]), there)
         moments = {
             "xx": join(mean(v, v), hv.transpose(0, 2, 1), hv, tt),
             "xdx": join(mean(v, dv), mean(v, dh), mean(now, dv), tp - tt),
@@ -164,15 +211,17 @@ class StateModel:
             "bkx": np.concatenate([mean(bk, v), mean(bk, now)], axis=2),
             "bkdx": np.concatenate([mean(bk, dv), mean(bk, dh)], axis=2),
             "bkbk": mean(bk, bk),
-            "hs": np.full((len(v), 1), entropy),
+            "hs": entropy[of][:, None],
         }
         begins = float(part.first == 0)
-        return {k: share * x for k, x in moments.items()} | {"mu0": begins * mu[:, 0], "sig0": begins * np.broadcast_to(cov[0], (len(v), m, m))}
+        return {k: share * x for k, x in moments.items()} | {"mu0": begins * mu[:, 0], "sig0": begins * cov[of, 0]}
 
 
-def _mean_log(dets: np.ndarray) -> float:
-    good = dets[dets > 0]
-    return float(np.log(good).mean()) if len(good) else float("nan")
+def _mean_log(dets: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Of each row, the mean logarithm of what is positive."""
+    good = there & (dets > 0)
+    logs = np.log(np.where(good, dets, 1.0)).sum(axis=1)
+    return np.where(good.any(axis=1), logs / np.maximum(good.sum(axis=1), 1), np.nan)
 
 
 def hidden_sizes(d: int, m: int, k: int) -> dict[str, int]:
@@ -194,7 +243,7 @@ def grouped(trans: DataFrame, partitions: int | None = None, chunk_rows: int | N
     if (longest or 0) > chunk_rows:
         chunk = F.when(F.col("length") > chunk_rows, F.expr(f"step div {chunk_rows}")).otherwise(F.lit(0))
         trans, key = trans.join(lengths, "traj_id").withColumns({"chunk": chunk.cast("long"), "cut": F.col("length") > chunk_rows}), ["traj_id", "chunk"]
-    dealt = trans.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).repartition(n, "grp").sortWithinPartitions("grp", "traj_id", "step")
+    dealt = trans.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).repartitionById(n, "grp").sortWithinPartitions("grp", "traj_id", "step")
     return dealt.persist() if keep else dealt
 
 
@@ -216,6 +265,27 @@ def _by_length(frame):
         yield named, frame["step"].to_numpy()[rows], *[c[rows] for c in columns], Part(f, total)
 
 
+def _padded(frame):
+    """The whole trajectories of a group as few batches: longest first, filled up with zeros to the
+    longest; a batch ends where that would make more than PADDING times its rows."""
+    frame = frame.sort_values(["traj_id", "step"], kind="stable")
+    ids = frame["traj_id"].to_numpy()
+    start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(frame)])
+    size = np.diff(np.r_[start, len(frame)])
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    columns = [np.stack(frame[c].to_numpy()) for c in ("v", "v_plus", "bk")] if len(frame) else []
+    step, low = frame["step"].to_numpy(), 0
+    while low < len(size):
+        cells = size[low] * np.arange(1, len(size) - low + 1)
+        batch = slice(low, low + max(1, int(np.searchsorted(-(PADDING * np.cumsum(size[low:]) - cells), 1e-9))))
+        at, lengths = start[batch][:, None] + np.arange(size[low]), size[batch]
+        there = np.arange(size[low]) < lengths[:, None]
+        at = np.where(there, at, 0)
+        yield {"traj_id": ids[start[batch]]}, step[at], *[c[at] * there[:, :, None] for c in columns], Part(0, int(size[low]), lengths=lengths)
+        low = batch.stop
+
+
 def _listed(a: np.ndarray, n: int) -> list:
     return list(np.asarray(a, float).reshape(n, -1))
 
@@ -260,11 +330,14 @@ def _chunk_ends(chunks: DataFrame, models: list[StateModel]) -> DataFrame:
 
 def _each_part(dealt: DataFrame, models: list[StateModel], run, schema: str) -> DataFrame:
     """run(model, named, steps, v, v_plus, bk, part), a pandas frame, of all trajectories that are whole in
-    a group and of all chunks of the longer ones."""
+    a group and of all chunks of the longer ones. A task has a group and TASK_MODELS models at most."""
     import pandas as pd
 
+    if len(models) > TASK_MODELS:
+        return reduce(DataFrame.union, [_each_part(dealt, models[i : i + TASK_MODELS], run, schema) for i in range(0, len(models), TASK_MODELS)])
+
     def whole(frame):
-        out = [run(model, *args) for args in _by_length(frame) for model in models]
+        out = [run(model, *args) for args in _padded(frame) for model in models]
         return pd.concat(out) if out else None
 
     if "chunk" not in dealt.columns:
@@ -291,17 +364,29 @@ def _states(trans: DataFrame, model: StateModel, smooth: bool, chunk_rows: int |
     def run(model, named, steps, v, v_plus, bk, part):
         n, length = steps.shape
         mean, last = model.part_means(model.drift(v, bk), v_plus, part, smooth)
-        at = range(part.first, part.first + length + 1)
-        none = np.full((length + 1, model.m, model.m), np.nan)
-        _, cov, lag = model.smooth_part(part.length, part.first, part.first + length) if smooth else (None, np.array([model.filter_cov(t)[0] for t in at]), none)
-        ends = part.first + length == part.length
-        count = length + ends  # the state after a chunk is the next one's first; the very last is filtered
-        if ends:
-            mean[:, -1], lag = last, np.concatenate([lag[:length], none[:1]])
-        each = lambda a: [x.ravel() for x in np.broadcast_to(a[:count], (n, count, *a.shape[1:])).reshape(n * count, -1)]
-        step = np.concatenate([steps, steps[:, -1:] + 1], axis=1)[:, :count]
-        is_last = np.broadcast_to(np.arange(count) == length, (n, count))
-        return pd.DataFrame({"traj_id": np.repeat(named["traj_id"], count), "step": step.ravel(), "mean": list(mean[:, :count].reshape(n * count, -1)), "cov": each(cov), "cov_lag": each(lag), "is_last": is_last.ravel()})
+        none = np.full((1, length + 1, model.m, model.m), np.nan)
+        filtered = lambda: np.array([[model.filter_cov(part.first + t)[0] for t in range(length + 1)]])
+        ends = np.full(n, length) if part.lengths is None else part.lengths
+        if part.lengths is not None and smooth:
+            lengths, of = np.unique(-ends, return_inverse=True)
+            cov, lag = model.covariances(-lengths)
+        else:
+            of = np.zeros(n, int)
+            cov, lag = (x[None] for x in model.smooth_part(part.length, part.first, part.first + length)[1:]) if smooth else (filtered(), none)
+        if part.lengths is not None or part.first + length == part.length:
+            # the state after a chunk is the next one's first; the very last is filtered
+            mean[np.arange(n), ends] = last
+            count = ends + 1
+        else:
+            count = ends
+        place = np.arange(length + 1)
+        lag = np.concatenate([lag[:, :length], none[:, :1].repeat(len(lag), axis=0)], axis=1)[of]
+        lag = np.where((place < ends[:, None])[:, :, None, None], lag, np.nan)
+        kept = place < count[:, None]
+        step = np.concatenate([steps, steps[:, -1:] + 1], axis=1)
+        step = np.where(place == ends[:, None], step[np.arange(n), np.maximum(ends - 1, 0)][:, None] + 1, step)
+        flat = lambda a: list(a[kept].reshape(int(kept.sum()), -1))
+        return pd.DataFrame({"traj_id": np.repeat(named["traj_id"], count), "step": step[kept], "mean": flat(mean), "cov": flat(np.broadcast_to(cov[of], (n, *cov.shape[1:]))), "cov_lag": flat(lag), "is_last": (place == ends[:, None])[kept]})
 
     dealt = trans if "grp" in trans.columns else grouped(trans, chunk_rows=chunk_rows, keep=False)
     return _each_part(dealt, [model], run, f"traj_id {dict(trans.dtypes)['traj_id']}, step long, mean array<double>, cov array<double>, cov_lag array<double>, is_last boolean")
@@ -337,7 +422,7 @@ def hidden_stats(trans: DataFrame, models: list[StateModel], chunk_rows: int | N
 
     def run(model, named, steps, v, v_plus, bk, part):
         moments = model.statistics(v, v_plus, bk, part)
-        return pd.DataFrame({"model_id": model.model_id, "traj_id": named["traj_id"], "n": v.shape[1]} | {name: _listed(a, len(v)) for name, a in moments.items()})
+        return pd.DataFrame({"model_id": model.model_id, "traj_id": named["traj_id"], "n": v.shape[1] if part.lengths is None else part.lengths} | {name: _listed(a, len(v)) for name, a in moments.items()})
 
     dealt = trans if "grp" in trans.columns else grouped(trans, chunk_rows=chunk_rows, keep=False)
     of = hidden_sizes(models[0].d, models[0].m, models[0].force.shape[1])
@@ -363,9 +448,8 @@ def score(trans: DataFrame, models: list[StateModel]) -> list[float]:
 
 def complete_stats(trans: DataFrame, hidden: DataFrame, d: int, m: int, k: int) -> DataFrame:
     """Statistics with known hidden values (traj_id, step, h array), joined by trajectory and step."""
-    from pyspark.sql import Window
-
-    ahead = hidden.select("traj_id", "step", "h", F.lead("h").over(Window.partitionBy("traj_id").orderBy("step")).alias("h_plus"))
+    near = Shifted(hidden.select("traj_id", "step", "h"), ahead=1)
+    ahead = near.own(near.rows.withColumn("h_plus", near.next("h")))
     both = trans.join(ahead, ["traj_id", "step"]).where("h_plus is not null")
     z = [F.get("v", F.lit(i)) for i in range(d)] + [F.get("h", F.lit(i)) for i in range(m)]
     dz = [F.get("v_plus", F.lit(i)) - F.get("v", F.lit(i)) for i in range(d)] + [F.get("h_plus", F.lit(i)) - F.get("h", F.lit(i)) for i in range(m)]

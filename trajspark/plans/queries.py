@@ -18,11 +18,12 @@ from ..operators import em, markov, model, resample, statespace
 from ..operators.correlation import correlation, vacf
 from ..operators.statespace import StateModel
 from ..operators.transitions import transitions, visible_stats
-from ..sources.trajectories import as_trajectories, trajectory_summary, with_gradient_velocity
+from ..sources.ranges import Shifted, scratch, written
+from ..sources.trajectories import as_trajectories, read_trajectories, trajectory_summary, with_gradient_velocity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
-SPLITS, SEED, KNOWN_LAG = 5, 3, 12
+SPLITS, SEED = 5, 3
 
 
 def query(name: str, sql: str | None = None):
@@ -82,7 +83,7 @@ k AS (SELECT *, dxdx + 2*a*xdx - 2*force*bkdx + a*a*xx - 2*a*force*bkx + force*f
 #: Random choices are made by digests, the same in both engines.
 DRAWS = f"""ids AS (SELECT traj_id, row_number() OVER (ORDER BY traj_id) - 1 AS no FROM (SELECT DISTINCT traj_id FROM tr)),
 m AS (SELECT count(*) AS n, floor(0.9 * count(*))::BIGINT AS d FROM ids),
-w AS (SELECT split_id, traj_id, count(*) AS weight FROM (SELECT split_id, ('0x' || substr(md5('{SEED}:' || split_id || ':' || draw), 1, 8))::BIGINT % n AS no
+w AS (SELECT split_id, traj_id, count(*) AS weight FROM (SELECT split_id, ('0x' || substr(md5('{SEED}:' || split_id || ':' || draw), 1, 15))::BIGINT % n AS no
   FROM range({SPLITS}) a(split_id), m, LATERAL (SELECT unnest(range(d)) AS draw) b) JOIN ids USING (no) GROUP BY ALL)"""
 BOOT = f"""{PER}, {DRAWS},
 g AS (SELECT split_id, {", ".join(f"sum({c} * weight) / sum(weight) AS {c}" for c in STATS)} FROM s JOIN w USING (traj_id) GROUP BY split_id), {SOLVE}"""
@@ -131,7 +132,7 @@ def _(spark, sf_dir):
 
 def _values(df: DataFrame, basis: B.Basis) -> DataFrame:
     """traj_id, step, i, value of every basis element."""
-    return df.select("traj_id", "step", F.posexplode(basis.column("x")).alias("i", "value")).select("traj_id", "step", "i", r6("value").alias("value"))
+    return basis.attach(df, "b").select("traj_id", "step", F.posexplode("b").alias("i", "value")).select("traj_id", "step", "i", r6("value").alias("value"))
 
 
 @query("basis_linear", f"WITH {TR} SELECT traj_id, step::BIGINT AS step, 0 AS i, round(x - avg(x) OVER (), 6) + 0.0 AS value FROM tr")
@@ -182,6 +183,60 @@ def _(spark, sf_dir):
     return df.select(F.posexplode(hot).alias("i", "value")).groupBy("i").agg(F.sum("value").alias("total"))
 
 
+@query("basis_splines_combined", f"""WITH {TR}, e AS (SELECT least(min(x), min(y)) AS a, (greatest(max(x), max(y)) - least(min(x), min(y))) / 5 AS h FROM tr),
+t AS (SELECT list_transform(range(12), lambda k: greatest(0, 1 - abs((CASE WHEN k % 2 = 0 THEN x ELSE y END - a) / h - k // 2))) AS t FROM tr, e),
+v AS (SELECT t || flatten(list_transform(range(1, 13), lambda i: list_transform(range(i, 13), lambda j: t[i] * t[j]))) AS t FROM t),
+u AS (SELECT unnest(range(90)) AS i, unnest(t) AS value FROM v)
+SELECT i::INTEGER AS i, count(*) FILTER (value > 1e-9) AS n, round(sum(value), 6) + 0.0 AS total FROM u GROUP BY i HAVING sum(value) > 1e-6""")
+def _(spark, sf_dir):
+    """Sums of the live splines of two axes and of their products."""
+    df = e2(spark, sf_dir)
+    basis = B.BSplineBasis(2, 6, 1, combine=True).fit(df)
+    live = df.select(F.explode(basis.sparse("x")).alias("e")).select("e.*")
+    return live.groupBy("i").agg(F.count_if(F.col("value") > 1e-9).alias("n"), F.sum("value").alias("total")).where("total > 1e-6").select("i", "n", r6("total").alias("total"))
+
+
+#: Mean products of 60 bins with velocities and with each other: one live bin a row.
+LARGE = f"""{TRANS}, e AS (SELECT min(x) AS a, max(x) AS b FROM tr),
+c AS (SELECT p.*, len(list_filter(range(1, 60), lambda k: a + (b - a) / 60 * k <= x)) AS i FROM p, e),
+n AS (SELECT traj_id, count(*) AS n FROM p GROUP BY traj_id), m AS (SELECT count(*) AS m FROM n),
+g AS (SELECT i, sum(1.0 / n.n) / any_value(m) AS bkbk, sum(v / n.n) / any_value(m) AS bkx, sum(dx / n.n) / any_value(m) AS bkdx FROM c JOIN n USING (traj_id), m GROUP BY i)"""
+
+
+@query("visible_stats_large", f"WITH {LARGE} SELECT i::INTEGER AS i, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('bkbk', 'bkx', 'bkdx'))} FROM g")
+def _(spark, sf_dir):
+    """By partial Gram matrices of the live bins."""
+    df = e1(spark, sf_dir)
+    basis = B.BinsBasis(1, 60).fit(df)
+    stats = visible_stats(transitions(df, basis, sparse=True), 1, 60)
+    rows = stats.select(F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i"), *["bkbk", "bkx", "bkdx"])
+    rows = rows.select("i", F.get("bkbk", F.col("i") * 61).alias("bkbk"), *[F.get(c, F.col("i")).alias(c) for c in ("bkx", "bkdx")])
+    return rows.where("bkbk > 0").select("i", *[r6(c).alias(c) for c in ("bkbk", "bkx", "bkdx")])
+
+
+@query("basis_saved", f"""WITH {TR}, e AS (SELECT min(x) AS a, (max(x) - min(x)) / 4 AS h FROM tr), v AS (SELECT unnest(range(5)) AS i, x, a, h FROM tr, e)
+SELECT i::INTEGER AS i, round(sum(greatest(0, 1 - abs((x - a) / h - i))), 6) + 0.0 AS total FROM v GROUP BY i""")
+def _(spark, sf_dir):
+    """A fitted basis, written as a row and read again."""
+    df = e1(spark, sf_dir)
+    saved = written(B.BSplineBasis(1, 5, 1).fit(df).to_row(spark))
+    again = B.Basis.from_row(saved.first())
+    return df.select(F.posexplode(again.column("x")).alias("i", "value")).groupBy("i").agg(F.sum("value").alias("total")).select("i", r6("total").alias("total"))
+
+
+@query("read_text", f"WITH {TR} SELECT traj_id, step::BIGINT AS step, round(epoch(ts) - first_value(epoch(ts)) OVER (PARTITION BY traj_id ORDER BY step), 5) + 0.0 AS t, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y FROM tr")
+def _(spark, sf_dir):
+    """The events as text files of one trajectory each, read again; a row is bad if a value is missing."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k").cast("double") / 100.0
+    line = F.concat_ws(" ", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("value") / 50.0, k)
+    folder = scratch(spark)
+    events.select("user_id", "ts", "event_id", line.alias("line")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "line").write.partitionBy("user_id").text(folder)
+    # the folders tell trajectories apart, so that parts of one file are one
+    rows = read_trajectories(spark, folder, 2)
+    return rows.select(F.regexp_extract("traj_id", r"user_id=(\d+)", 1).cast("long").alias("traj_id"), "step", (F.round("t", 5) + F.lit(0.0)).alias("t"), *[(F.round(x0("x", i), 9) + F.lit(0.0)).alias(c) for i, c in enumerate("xy")])
+
+
 @query("free_energy_hist", f"""WITH {TR}, q AS (SELECT min(x) AS a, max(x) AS b, count(*) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS i FROM tr),
 c AS (SELECT a, b, ceil((b - a) / least((b - a) / (log2(n) + 1), 2 * i / n ** (1.0/3)))::BIGINT AS c FROM q),
 w AS (SELECT a, c, (b - a) / c AS w FROM c),
@@ -199,13 +254,33 @@ def _(spark, sf_dir):
     return fit_free_energy(e1(spark, sf_dir), estimator="kde").table.select("bin", r6("v").alias("v"))
 
 
-@query("mean_force")
+#: The cubic spline through the histogram's places, by elimination forwards and back, as pieces pc.
+SPLINE = f"""{TR}, q AS (SELECT min(x) AS a, max(x) AS b, count(*) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS i FROM tr),
+c AS (SELECT a, b, ceil((b - a) / least((b - a) / (log2(n) + 1), 2 * i / n ** (1.0/3)))::BIGINT AS c FROM q),
+w AS (SELECT a, c, (b - a) / c AS w FROM c),
+hi AS (SELECT least(floor((x - a) / w), c - 1)::BIGINT AS bin, any_value(a) AS a, any_value(w) AS w, count(*) AS n FROM tr, w GROUP BY bin),
+iv AS (SELECT row_number() OVER o - 1 AS i, a + (bin + 0.5) * w AS x, -ln(n) AS y, (lead(bin) OVER o - bin) * w AS h, (ln(n) - lead(ln(n)) OVER o) / ((lead(bin) OVER o - bin) * w) AS d FROM hi WINDOW o AS (ORDER BY bin)),
+sy AS (SELECT i, lag(h) OVER o AS hp, h, 6 * (d - lag(d) OVER o) AS r, count(*) OVER () AS n FROM iv WINDOW o AS (ORDER BY i)),
+eq AS (SELECT i, n, r, hp, h, CASE WHEN i = n - 2 THEN hp - h*h/hp ELSE hp END AS lo, CASE WHEN i = 1 THEN h - hp*hp/h ELSE h END AS up,
+  2 * (hp + h) + CASE WHEN i = 1 THEN hp*(hp+h)/h ELSE 0 END + CASE WHEN i = n - 2 THEN h*(hp+h)/hp ELSE 0 END AS mi FROM sy WHERE i BETWEEN 1 AND n - 2),
+fw AS (SELECT i, mi AS b, r FROM eq WHERE i = 1
+  UNION ALL SELECT e.i, e.mi - e.lo / fw.b * p.up, e.r - e.lo / fw.b * fw.r FROM fw JOIN eq e ON e.i = fw.i + 1 JOIN eq p ON p.i = fw.i),
+bw AS (SELECT fw.i, fw.r / fw.b AS m FROM fw JOIN eq USING (i) WHERE i = n - 2
+  UNION ALL SELECT f.i, (f.r - e.up * bw.m) / f.b FROM bw JOIN fw f ON f.i = bw.i - 1 JOIN eq e ON e.i = f.i),
+mm AS (SELECT i, m FROM bw UNION ALL SELECT 0, ((hp + h) * a.m - hp * b.m) / h FROM eq e JOIN bw a ON a.i = 1 JOIN bw b ON b.i = 2 WHERE e.i = 1
+  UNION ALL SELECT n - 1, ((hp + h) * a.m - h * b.m) / hp FROM eq e JOIN bw a ON a.i = n - 2 JOIN bw b ON b.i = n - 3 WHERE e.i = n - 2),
+pc AS (SELECT iv.x AS x, y, d - h * (2 * a.m + b.m) / 6 AS c1, a.m / 2 AS c2, (b.m - a.m) / (6 * h) AS c3 FROM iv JOIN mm a ON a.i = iv.i JOIN mm b ON b.i = iv.i + 1),
+lo AS (SELECT *, greatest(x, (SELECT min(x) FROM pc)) AS at FROM tr),
+ev AS (SELECT traj_id, step, lo.x - pc.x AS u, pc.y AS y, c1, c2, c3 FROM lo ASOF JOIN pc ON lo.at >= pc.x)"""
+
+
+@query("mean_force", f"WITH RECURSIVE {SPLINE} SELECT traj_id, step::BIGINT AS step, 0 AS i, round(-(c1 + u * (2 * c2 + u * 3 * c3)), 6) + 0.0 AS value FROM ev")
 def _(spark, sf_dir):
     df = e1(spark, sf_dir)
     return _values(df, MeanForceBasis(fit_free_energy(df)))
 
 
-@query("potential")
+@query("potential", f"WITH RECURSIVE {SPLINE} SELECT traj_id, step::BIGINT AS step, round(y + u * (c1 + u * (c2 + u * c3)), 6) + 0.0 AS v FROM ev")
 def _(spark, sf_dir):
     df = e1(spark, sf_dir)
     return at_potential(df, fit_free_energy(df)).select("traj_id", "step", r6("v").alias("v"))
@@ -500,28 +575,34 @@ def _(spark, sf_dir):
 
 
 V1 = f"{TR}, v1 AS (SELECT traj_id, step, x, lead(x) OVER (PARTITION BY traj_id ORDER BY step) - x AS v FROM tr), v AS (SELECT traj_id, step, x, v, count(*) OVER (PARTITION BY traj_id) AS n FROM v1 WHERE v IS NOT NULL)"
-LAGS = f"""{V1}, c AS (SELECT traj_id, lag, sum(w) / (any_value(n) - lag) AS value FROM (SELECT a.traj_id, b.step - a.step AS lag, a.v * b.v AS w, a.n
-  FROM v a JOIN v b ON a.traj_id = b.traj_id AND b.step - a.step BETWEEN 0 AND {KNOWN_LAG} WHERE b.step - a.step < a.n // 2) GROUP BY traj_id, lag)"""
+#: Positions and velocities less their means: velocities that fast rows don't have are missing pairs.
+CROSS = f"""{V1}, z AS (SELECT traj_id, step, n, x - avg(x) OVER (PARTITION BY traj_id) AS x, CASE WHEN abs(v) <= 1 THEN v END AS w FROM v),
+u AS (SELECT traj_id, step, n, x, w - avg(w) OVER (PARTITION BY traj_id) AS w FROM z),
+c AS (SELECT a.traj_id, b.step - a.step AS lag, avg(a.x * b.w) AS value FROM u a JOIN u b ON a.traj_id = b.traj_id AND b.step >= a.step WHERE b.step - a.step < a.n // 2 GROUP BY ALL)"""
 
 
 def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    v = F.lead(x0()).over(Window.partitionBy("traj_id").orderBy("step")) - x0()
-    return e1(spark, sf_dir).select("traj_id", "step", v.alias("v")).where("v is not null")
+    near = Shifted(e1(spark, sf_dir), ahead=1)
+    moved = near.rows.select("traj_id", "step", "_own", "_range", x0().alias("x"), (x0(near.next("x")) - x0()).alias("v"))
+    return near.own(moved).where("v is not null")
 
 
-@query("correlation", f"WITH {LAGS} SELECT traj_id, lag::BIGINT AS lag, round(value, 6) + 0.0 AS value FROM c")
+@query("correlation", f"WITH {CROSS} SELECT traj_id, lag::BIGINT AS lag, round(value, 6) + 0.0 AS value FROM c")
 def _(spark, sf_dir):
-    return correlation(_velocity(spark, sf_dir), "v", max_lag=KNOWN_LAG).select("traj_id", "lag", r6("value").alias("value"))
+    """Of positions with later velocities, of which those above 1 are missing."""
+    df = _velocity(spark, sf_dir).withColumn("v", F.when(F.abs("v") <= 1, F.col("v")))
+    return correlation(df, "x", "v", subtract_mean=True).select("traj_id", "lag", r6("value").alias("value"))
 
 
-@query("vacf", f"WITH {LAGS}, s AS (SELECT lag, sum(value) AS s FROM c GROUP BY lag) SELECT lag::BIGINT AS lag, round(s / (SELECT s FROM s WHERE lag = 0), 6) + 0.0 AS value FROM s")
+@query("vacf", f"WITH {CROSS.replace('avg(a.x * b.w)', 'avg(a.x * b.x)')}, s AS (SELECT lag, sum(value) AS s FROM c GROUP BY lag) SELECT lag::BIGINT AS lag, round(s / (SELECT s FROM s WHERE lag = 0), 6) + 0.0 AS value FROM s")
 def _(spark, sf_dir):
-    return vacf(_velocity(spark, sf_dir), "v", KNOWN_LAG).select("lag", r6("value").alias("value"))
+    """Normalised correlations of positions less their trajectory's mean."""
+    df = _velocity(spark, sf_dir)
+    means = df.groupBy("traj_id").agg(F.avg("x").alias("mean"))
+    return vacf(df.join(means, "traj_id").withColumn("x", F.col("x") - F.col("mean")), "x").select("lag", r6("value").alias("value"))
 
 
-#: The same without a limit: lags from 0 to below half a trajectory.
+#: Velocities with themselves, at lags from 0 to below half a trajectory.
 ALL_LAGS = f"""{V1}, c AS (SELECT traj_id, lag, sum(w) / (any_value(n) - lag) AS value FROM (SELECT a.traj_id, b.step - a.step AS lag, a.v * b.v AS w, a.n
   FROM v a JOIN v b ON a.traj_id = b.traj_id AND b.step >= a.step WHERE b.step - a.step < a.n // 2) GROUP BY traj_id, lag)"""
 

@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import Shifted, with_steps
 
-def steps():
-    """Rows of a trajectory in order."""
-    return Window.partitionBy("traj_id").orderBy("step")
 
-
-def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, max_length: int | None = None) -> DataFrame:
+def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, max_length: int | None = None, bad_rows: str = "raise") -> DataFrame:
     """Text files of one trajectory each: white-space columns t x_1 .. x_d, # comments. Time starts
-    at the first row's; only the first max_length rows count."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("traj_id"), F.trim(F.regexp_replace("value", r"#.*|\t", " ")).alias("line"))
-    cells = lines.where("line <> ''").select("traj_id", F.transform(F.split("line", r"\s+"), lambda c: c.try_cast("double")).alias("c"))
-    rows = cells.select("traj_id", F.get("c", F.lit(0)).alias("t"), F.slice("c", 2, dim_x).alias("x"))
-    by_time = Window.partitionBy("traj_id").orderBy("t")
-    out = rows.select("traj_id", (F.row_number().over(by_time) - 1).cast("long").alias("step"), (F.col("t") - F.first("t").over(by_time)).alias("t"), "x")
+    at the first row's; only the first max_length rows count.
+
+    Rows are in order of time, and those of one time in order of their text. A row with fewer columns,
+    or with a time or value that is no number (nan and infinities are numbers; a nan time is bad), is
+    bad: by "raise" reading it is an error that shows the row, by "drop" it is left out and the other
+    rows count. Further columns are ignored. See count_bad_rows.
+    """
+    if bad_rows not in ("raise", "drop"):
+        raise ValueError(f"bad_rows is raise or drop, not {bad_rows}")
+    rows = _cells(spark, paths, dim_x)
+    if bad_rows == "raise":
+        told = F.raise_error(F.concat(F.lit("bad row in "), "traj_id", F.lit(": "), "line"))
+        rows = rows.withColumn("t", F.when(F.col("bad"), told.cast("double")).otherwise(F.col("t")))
+    else:
+        rows = rows.where(~F.col("bad"))
+    out = with_steps(rows.select("traj_id", "t", "x", "line"), ["t", "line"], "t").select("traj_id", "step", (F.col("t") - F.col("_first")).alias("t"), "x")
     return out if max_length is None else out.where(F.col("step") < max_length)
 
 
+def _cells(spark: SparkSession, paths: str | list[str], dim_x: int) -> DataFrame:
+    """traj_id, line, t, x, bad of the rows of text files."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("traj_id"), F.trim(F.regexp_replace("value", r"#.*|\s", " ")).alias("line"))
+    cells = lines.where("line <> ''").withColumn("c", F.slice(F.transform(F.split("line", r"\s+"), lambda c: c.try_cast("double")), 1, dim_x + 1))
+    bad = (F.size("c") <= dim_x) | F.exists("c", lambda c: c.isNull()) | F.isnan(F.get("c", F.lit(0)))
+    return cells.select("traj_id", "line", F.get("c", F.lit(0)).alias("t"), F.slice("c", 2, dim_x).alias("x"), bad.alias("bad"))
+
+
+def count_bad_rows(spark: SparkSession, paths: str | list[str], dim_x: int) -> DataFrame:
+    """traj_id, n_rows, n_bad, example (a bad row) of text files, as read_trajectories would read them."""
+    rows = _cells(spark, paths, dim_x)
+    return rows.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("n_bad"), F.min(F.when(F.col("bad"), F.col("line"))).alias("example"))
+
+
 def as_trajectories(df: DataFrame, id: str, order_by: list[str], values: list[Column], dt: float | None = None, time: Column | None = None) -> DataFrame:
     """Any table as trajectories: its id, order and value columns. The time is the given one, less the
-    trajectory's first, or else step * dt."""
+    trajectory's first, or else step * dt. Rows of a null id are one trajectory; nulls come first."""
     named = df.select(F.col(id).alias("traj_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], F.array(*[v.cast("double") for v in values]).alias("x"), *([time.cast("double").alias("_t")] if time is not None else []))
-    order = Window.partitionBy("traj_id").orderBy(*[f"_o{i}" for i in range(len(order_by))])
-    step = (F.row_number().over(order) - 1).cast("long")
-    t = F.col("_t") - F.first("_t").over(order) if time is not None else F.col("step") * F.lit(float(dt or 1.0))
-    return named.withColumn("step", step).select("traj_id", "step", t.cast("double").alias("t"), "x")
+    rows = with_steps(named, [f"_o{i}" for i in range(len(order_by))], "_t" if time is not None else None)
+    t = F.col("_t") - F.col("_first") if time is not None else F.col("step") * F.lit(float(dt or 1.0))
+    return rows.select("traj_id", "step", t.cast("double").alias("t"), "x")
 
 
 def trajectory_summary(df: DataFrame) -> DataFrame:
     """traj_id, n, dt (first step), min_dt, max_dt, n_bad (values that are null, NaN or infinite)."""
-    gap = F.lead("t").over(steps()) - F.col("t")
+    near = Shifted(df, ahead=1)
     bad = F.size(F.filter("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     return (
-        df.withColumns({"_gap": gap, "_bad": bad})
+        near.own(near.rows.withColumns({"_gap": near.next("t") - F.col("t"), "_bad": bad}))
         .groupBy("traj_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min_by("_gap", "step").alias("dt"), F.min("_gap").alias("min_dt"), F.max("_gap").alias("max_dt"), F.sum("_bad").alias("n_bad"))
     )
@@ -57,9 +77,9 @@ def validate(df: DataFrame, tolerance: float = 1e-6) -> float:
 
 
 def with_gradient_velocity(df: DataFrame) -> DataFrame:
-    """v: second-order differences on irregular times, one-sided at both ends."""
-    before, after = F.lag("t").over(steps()), F.lead("t").over(steps())
-    parts = df.withColumns({"_hs": F.col("t") - before, "_hd": after - F.col("t"), "_xs": F.lag("x").over(steps()), "_xd": F.lead("x").over(steps())})
+    """v: second-order differences on irregular times, one-sided at both ends and beside missing steps."""
+    near = Shifted(df, ahead=1, behind=1)
+    parts = near.own(near.rows.withColumns({"_hs": F.col("t") - near.previous("t"), "_hd": near.next("t") - F.col("t"), "_xs": near.previous("x"), "_xd": near.next("x")}))
     hs, hd = F.col("_hs"), F.col("_hd")
     rise = F.zip_with("x", "_xs", lambda a, b: (a - b) / hs)
     fall = F.zip_with("_xd", "x", lambda a, b: (a - b) / hd)
