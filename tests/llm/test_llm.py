@@ -334,10 +334,11 @@ def brute_losses(rows, target, vocabulary):
     """Mean losses (background, target) of each text, with a text's own pairs left out."""
     each = [x.lower().split() if x else [] for _, x in rows]
     own = [i in target for i, _ in rows]
-    single, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    single, pairs, begun = ([Counter(), Counter()] for _ in range(3))
     for w, t in zip(each, own, strict=True):
         single[t].update([None, *w] if w else [])
         pairs[t].update(zip([None, *w], w, strict=False))
+        begun[t].update([None, *w][:-1])
     size = len({x for w in each for x in w})
     whole = single[0] + single[1]
     often = sorted((x for x in whole if x), key=lambda x: (-whole[x], x.encode()))[:vocabulary]
@@ -351,7 +352,7 @@ def brute_losses(rows, target, vocabulary):
             for a, b in zip([None, *w], w, strict=False):
                 less = mine[a, b] if row == t else 0
                 alone = ((single[row][b] if b in often else mean) + lm_scoring.ADDED) / (total + lm_scoring.ADDED * size)
-                loss -= math.log(lm_scoring.PAIR_WEIGHT * (pairs[row][a, b] - less) / max(single[row][a] - less, 1) + (1 - lm_scoring.PAIR_WEIGHT) * alone)
+                loss -= math.log(lm_scoring.PAIR_WEIGHT * (pairs[row][a, b] - less) / max(begun[row][a] - less, 1) + (1 - lm_scoring.PAIR_WEIGHT) * alone)
             losses.append(loss / len(w) if w else None)
         out.append(losses)
     return out
@@ -364,16 +365,25 @@ def test_lm_scoring(spark, docs, vocabulary, top):
     got = lm_scoring.score_corpus(d, d.where("doc_id % 3 = 0").select("doc_id"), vocabulary=vocabulary, top=top).toPandas().set_index("doc_id")
     rows = list(zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True))
     assert len(got) == len(docs)
-    # contexts of rare words are counted as they stand before a word, not where they end a text
-    ends = Counter((x or "").lower().split()[-1] for _, x in rows if x and x.strip())
     for (i, x), (background, target) in zip(rows, brute_losses(rows, {i for i, _ in rows if i % 3 == 0}, vocabulary), strict=True):
         if background is None:
             assert np.isnan(got["score"][i])
-        elif not any(w in ends for w in x.lower().split()[:-1]) or vocabulary == 100_000:
+        else:
             assert got["n_words"][i] == len(x.split()) and abs(got["ce_background"][i] - background) < 1e-9 and abs(got["ce_target"][i] - target) < 1e-9
             assert abs(got["score"][i] - (target - background)) < 1e-9
 
 
+def test_distinct_rows():
+    """Packed to one number, or as rows where that would not fit."""
+    rnd = np.random.default_rng(0)
+    small = [rnd.integers(0, 5, 200) for _ in range(3)]
+    wide = [c * (1 << 24) + (1 << 40) for c in small]
+    (one, k), (two, m) = lm_scoring._distinct(*small), lm_scoring._distinct(*wide)
+    want = Counter(zip(*(c.tolist() for c in small), strict=True))
+    assert Counter(dict(zip(zip(*(c.tolist() for c in one), strict=True), k.tolist(), strict=True))) == want
+    assert [(c * (1 << 24) + (1 << 40)).tolist() for c in one] == [c.tolist() for c in two] and k.tolist() == m.tolist()
+
+
 def test_lm_scoring_edges(spark, odd, empty):
     rows = lm_scoring.score_corpus(odd, odd.where("doc_id = 5")).toPandas()
     assert len(rows) == len(ODD) and rows["score"].isna().sum() == 3 and sorted(rows.columns) == sorted(["doc_id", "n_words", "ce_target", "ce_background", "score"])

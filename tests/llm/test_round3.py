@@ -12,7 +12,7 @@ import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from trajspark.llm import hard_negatives, merkle, packing, simhash
+from trajspark.llm import hard_negatives, licences, merkle, packing, simhash
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, fp string, digest string, idx long, tree string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -308,3 +308,56 @@ def test_packing_of_more_pieces_than_open_bins(kind):
     assert bins.open <= 16_384 and bins.closed <= bins.bins
     few = packing.OpenBins(10, 1)
     assert [few.place(n)[0] for n in (6, 7, 3)] == [0, 1, 1] and few.closed == 1
+
+
+# -- licences
+
+
+#: Not among what the classifier learns from: statements with their family, and texts that state none.
+STATED = [
+    ("Apache", "This module is licensed under the Apache License, Version 2.0, as its other parts are."), ("Apache", "Code of the tests: licensed under the Apache License, version 2.0"), ("MIT", "The library is released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person who obtains a copy of this software and its associated documentation files."), ("BSD", "The scripts are released under the BSD License"), ("GPL", "These tools are licensed under the GNU General Public License, version 3."),
+    ("LGPL", "This small library is licensed under the GNU Lesser General Public License, version 2.1 or later."), ("AGPL", "The server program is licensed under the GNU Affero General Public License, version 3."), ("MPL", "All of it is released under the Mozilla Public License, version 2.0."),
+    ("ISC", "This package is released under the ISC License."), ("EPL", "The program and accompanying materials are made available under the Eclipse Public License 2.0"), ("CC-BY", "These photos are licensed under CC BY 4.0."), ("CC-BY-SA", "The text is licensed under CC BY-SA 4.0."), ("public domain", "This map is dedicated to the public domain."),
+]
+UNSTATED = [
+    "This program is not licensed under the Apache License, Version 2.0.", "The software is not released under the MIT License.", "He moved to public domain works; dedicated to the public domain of art.", "The author released under the BSD License a driver in 1992, says the historian.",
+    "The code was never released under the MIT License.", "These files are no longer licensed under the GNU General Public License, version 3.", "The court asked whether the work is dedicated to the public domain.", "The historian says that the driver was released under the BSD License in 1992.",
+]
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licences.train_licences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+
+
+def test_licences_held_out(spark, licence_model):
+    """Precision and recall of paraphrases, denials and reports; without the classifier, templates pass all of these."""
+    rows = [(i, f"the cat sat on the mat\n\n{t}\n\nand slept until noon") for i, t in enumerate([t for _, t in STATED] + UNSTATED)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licences.licences_of_documents(table, licence_model).toPandas().set_index("doc_id")["families"]
+    right = sum(got[i] == f for i, (f, _) in enumerate(STATED))
+    wrong = sum(bool(got[i]) and got[i] != f for i, (f, _) in enumerate(STATED)) + sum(bool(got[len(STATED) + i]) for i in range(len(UNSTATED)))
+    assert [got[len(STATED) + i] for i in range(4)] == [""] * 4
+    assert right >= 0.85 * len(STATED) and right / (right + wrong) >= 0.85, got.tolist()
+    off = licence_model._replace(bias=[-100.0, *licence_model.bias[1:]], threshold=0.0)
+    unchecked = licences.licences_of_documents(table, off).toPandas().set_index("doc_id")["families"]
+    assert sum(bool(unchecked[len(STATED) + i]) for i in range(len(UNSTATED))) > len(UNSTATED) / 2
+
+
+def test_licences_in_documents(spark, licence_model):
+    """The lines of notices in the documents are found as before denials and reports were learned."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = licences.licences_of_documents(docs, licence_model).toPandas()
+    assert (got["n_licences"] > 0).sum() >= 35 and len(got) == docs.count()
+
+
+@pytest.mark.parametrize("name", ["version", "place", "run", "family", "probability"])
+def test_licences_with_any_id_column(spark, licence_model, name):
+    """Ids of any name; repeated rows, one id with two texts, null ids and ties."""
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "Licensed under CC BY 4.0."), (2, "SPDX-License-Identifier: MIT"), (None, "Released under the MIT License."), (3, None), (4, "")]
+    table = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], f"{name} long, text string, block long, words string")
+    got = {r[name]: (r["families"], r["n_licences"]) for r in licences.licences_of_documents(table, licence_model, name).collect()}
+    assert got == {1: ("MIT", 1), 2: ("CC-BY,MIT", 2), 3: ("", 0), 4: ("", 0)}
+    hits = licences.scan_licences(table, licence_model, name)
+    assert len(hits.columns) == len(set(hits.columns)) and hits.select(name).distinct().count() == 2

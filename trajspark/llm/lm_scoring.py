@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from typing import NamedTuple
 
@@ -32,7 +33,7 @@ class Vocabulary(NamedTuple):
     """Counts in the background (row 0) and the target (row 1)."""
 
     places: dict[bytes, int]  # 1 .. of frequent words; 0 is the start of a text
-    single: np.ndarray  # counts by place
+    context: np.ndarray  # how often a word stands before another, by place
     pairs: np.ndarray  # counts of pairs of the first `top` places, row by row
     chance: np.ndarray  # probability of a single word by place; the last is that of any rarer word
     top: int
@@ -79,19 +80,25 @@ def _placed(places: _Places, found: list[list[bytes]]):
     return of, before, at, n
 
 
+#: Counts of a word: everywhere and in the target, and of those the ones at the end of a text.
+COUNTS = ("n", "n_target", "last", "last_target")
+
+
 def _count_words(batches):
     """Counts of words in a task; the empty word counts texts with words."""
-    every, target = Counter(), Counter()
+    every, target, last, last_target = counters = [Counter() for _ in COUNTS]
 
     def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(list(every.values()), pa.int64()), pa.array([target[w] for w in every], pa.int64())], ["word", "n", "n_target"])
-        every.clear()
-        target.clear()
+        out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), *(pa.array([c[w] for w in every], pa.int64()) for c in counters)], ["word", *COUNTS])
+        for c in counters:
+            c.clear()
         return out
 
     for batch in batches:
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
             if found := _words(text):
+                last[found[-1]] += 1
+                last_target[found[-1]] += bool(wanted)
                 found.append(b"")
             every.update(found)
             if wanted:
@@ -121,6 +128,17 @@ def _count_pairs(words: dict[bytes, int], top: int):
     return count
 
 
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of columns of whole numbers from 0 on, and how often each stands."""
+    sizes = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(sizes) < 1 << 63:
+        key = np.ravel_multi_index(columns, sizes)
+        found, k = np.unique(key, return_counts=True)
+        return list(np.unravel_index(found, sizes)), k
+    found, k = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    return list(found.T), k
+
+
 def _gain(n, before, chance):
     """By how much a pair that other documents have n times after n `before` lowers a word's loss."""
     return np.log1p(PAIR_WEIGHT / (1 - PAIR_WEIGHT) * n / np.maximum(before, 1) / chance)
@@ -139,14 +157,13 @@ def _texts_and_pairs(v: Vocabulary, id_col: str):
                 of, before, at, n = _placed(places, found)
                 single = np.minimum(at, frequent)
                 losses = [np.bincount(of, -np.log((1 - PAIR_WEIGHT) * v.chance[r][single]), len(n)) for r in (0, 1)]
-                key, k = np.unique(of << 48 | before << 24 | at, return_counts=True)
-                of, a, b = key >> 48, key >> 24 & 0xFFFFFF, key & 0xFFFFFF
+                (of, a, b), k = _distinct(of, before, at)
                 own = wanted[i:j][of]
                 often = (a < v.top) & (b < v.top)
                 o, f, s, t = of[often], a[often], b[often], k[often]
                 for r in (0, 1):
                     mine = t * (own[often] == bool(r))
-                    losses[r] -= np.bincount(o, t * _gain(v.pairs[r][f * v.top + s] - mine, v.single[r][f] - mine, v.chance[r][s]), len(n))
+                    losses[r] -= np.bincount(o, t * _gain(v.pairs[r][f * v.top + s] - mine, v.context[r][f] - mine, v.chance[r][s]), len(n))
                 of, a, b, k, own = of[~often], a[~often], b[~often], k[~often], own[~often]
                 digests = np.array(places.digests, np.int64)
                 rare_a, rare_b = a >= frequent, b >= frequent
@@ -175,14 +192,15 @@ def _texts_and_pairs(v: Vocabulary, id_col: str):
 
 def learn_vocabulary(marked: DataFrame, vocabulary: int = VOCABULARY, top: int = TOP) -> Vocabulary:
     """Counts of all words, of which the most frequent are kept, and of the pairs of the `top` ones."""
-    counted = materialise(marked.mapInArrow(_count_words, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    counted = materialise(marked.mapInArrow(_count_words, "word binary, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
     own = counted.where(F.octet_length("word") > 0)
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
     first = own.orderBy(F.col("n").desc(), "word").limit(vocabulary).toArrow()
-    starts = counted.where(F.octet_length("word") == 0).select("n", "n_target").first() or (0, 0)
+    starts = counted.where(F.octet_length("word") == 0).select(*COUNTS).first() or (0, 0, 0, 0)
     places = {w: i for i, w in enumerate(first.column("word").to_pylist(), 1)}
-    n, n_target = (np.r_[s, first.column(c).to_numpy()] for s, c in zip(starts, ("n", "n_target"), strict=True))
+    n, n_target, last, last_target = (np.r_[s, first.column(c).to_numpy()] for s, c in zip(starts, COUNTS, strict=True))
     single = np.array([n - n_target, n_target])
+    context = single - [last - last_target, last_target]
     whole = np.array([total[0] - total[1], total[1]])
     rare = total[2] - len(places)
     mean = (whole - single[:, 1:].sum(axis=1)) / max(rare, 1)
@@ -192,7 +210,7 @@ def learn_vocabulary(marked: DataFrame, vocabulary: int = VOCABULARY, top: int =
     pairs = np.zeros((2, top * top), np.int64)
     for r, c in enumerate(("n_background", "n_target")):
         pairs[r, sums.column("pair").to_numpy()] = sums.column(c).to_numpy()
-    return Vocabulary(places, single, pairs, chance, top)
+    return Vocabulary(places, context, pairs, chance, top)
 
 
 def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, top: int = TOP) -> DataFrame:
@@ -204,8 +222,10 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     that score it. The lower the score, the more a text is like the target.
 
     Pair counts are exact and grow with the documents: every text's distinct pairs meet by pair, once,
-    and only those that another text has too go back to their texts. Pairs of the `top` words, which
-    could be hot, are counted apart; any other pair holds a rarer word, so no group is large. Single
+    and only those that another text has too go back to their texts. A pair's probability is its share
+    of the pairs that its first word begins, whatever the word's frequency. Pairs of the `top` words,
+    which are the hottest, are counted apart; a group is one other pair, or all pairs of one rare first
+    word, and is a window in one task: it has as many rows as texts have such a pair. Single
     counts are exact for the `vocabulary` most frequent words; rarer ones share their mean.
 
     Null, empty or blank text: 0 words, the rest null; texts may be of any length. Repeated rows are
@@ -230,7 +250,7 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     rare_a, rare_b = F.col("group") < 0, (F.col("key") >= SECOND_RARE) | (F.col("key") < 0) & (F.col("key") >= -SECOND_RARE)
     a = F.when(rare_a | (F.col("k") == 0), F.lit(-1)).when(rare_b, digits).otherwise(F.shiftright("key", 20))
     b = F.when(rare_b | (F.col("k") == 0), F.lit(-1)).when(rare_a, digits).otherwise(F.col("key").bitwiseAND(F.lit((1 << 20) - 1)))
-    table = pa.table({"place": np.arange(v.single.shape[1]), **{f"s{r}": v.single[r] for r in (0, 1)}, **{f"c{r}": v.chance[r][:-1] for r in (0, 1)}})
+    table = pa.table({"place": np.arange(v.context.shape[1]), **{f"s{r}": v.context[r] for r in (0, 1)}, **{f"c{r}": v.chance[r][:-1] for r in (0, 1)}})
     words = spark.createDataFrame(table)  # of `vocabulary` rows: small enough to send to every task
     met = met.withColumns({"a": a, "b": b})
     met = met.join(F.broadcast(words.select(F.col("place").alias("a"), "s0", "s1")), "a", "left").join(F.broadcast(words.select(F.col("place").alias("b"), "c0", "c1")), "b", "left")
