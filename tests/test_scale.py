@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajspark.functions import basis as B
-from trajspark.functions import freeenergy, splines
+from trajspark.functions import freeenergy, quantiles, splines
 from trajspark.functions.freeenergy import FreeEnergy, MeanForceBasis, fit_free_energy
-from trajspark.operators import correlation, em, gram, resample, statespace
+from trajspark.functions.linear import expm
+from trajspark.operators import correlation, em, gram, model, resample, statespace
 from trajspark.operators import transitions as T
 from trajspark.operators.markov import fit_markov
 from trajspark.plans.queries import e1, e2, m1, pairs
@@ -333,6 +334,50 @@ def test_many_lengths_are_one_batch():
     assert 1 < len(list(statespace._padded(short))) < 4
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_chunks_by_a_tree(spark, monkeypatch, fan):
+    """Means at the ends of chunks, over several levels of a tree, equal those of whole trajectories."""
+    trans = pairs(spark, DATA).where("traj_id < 4")
+    want = rows_of(statespace.smooth_hidden(trans, m1()).select("traj_id", "step", F.round(F.get("mean", F.lit(0)), 9).alias("m"), "is_last"))
+    monkeypatch.setattr(statespace, "FAN", fan)
+    got = rows_of(statespace.smooth_long(trans, m1(), 6).select("traj_id", "step", F.round(F.get("mean", F.lit(0)), 9).alias("m"), "is_last"))
+    assert got == want
+    whole = statespace.hidden_stats(trans, [m1(), _other()])
+    for columns in (200, 0):  # chunks add up by a column each, or by a row an element
+        monkeypatch.setattr(statespace, "COLUMNS", columns)
+        stats = statespace.hidden_stats(trans, [m1(), _other()], chunk_rows=6)
+        for a, b in zip(*(sorted(x.collect(), key=lambda r: (r.model_id, r.traj_id)) for x in (stats, whole)), strict=True):
+            assert a.n == b.n
+            for s in ("xx", "xdx", "dxdx", "bkx", "bkdx", "hs", "mu0"):
+                np.testing.assert_allclose(a[s], b[s], atol=1e-9)
+
+
+def _other():
+    x = m1(1)
+    return statespace.StateModel(x.friction * 0.7, x.force, x.noise * 1.3, [0.4], x.sig0, 1.0, 1)
+
+
+def test_composed_maps():
+    """A map of several chunks is what following them one by one gives."""
+    rng, m = np.random.default_rng(0), 2
+    for n in (1, 2, 5, 8):
+        frame = pd.DataFrame([{k: rng.normal(size=m * m) for k in "apq"} | {k: rng.normal(size=m) for k in "bs"} for _ in range(n)])
+        whole = statespace._composed(frame, m)
+        x, y = rng.normal(size=m), rng.normal(size=m)
+        starts, ends = statespace._followed(frame, m, x, y)
+        last, first = frame.iloc[-1], frame.iloc[0]
+        square = lambda v: np.reshape(v, (m, m))
+        np.testing.assert_allclose(square(whole["a"]) @ x + whole["b"], square(last["a"]) @ starts[-1] + last["b"], atol=1e-9)
+        np.testing.assert_allclose(square(whole["p"]) @ x + square(whole["q"]) @ y + whole["s"], square(first["p"]) @ x + square(first["q"]) @ ends[0] + first["s"], atol=1e-9)
+
+
+def test_plan_by_chunks_reads_once(spark):
+    """Chunks are read from one written table, not made again by windows over the source."""
+    states = statespace.smooth_hidden(pairs(spark, DATA), m1(), chunk_rows=20)
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "events.parquet" not in plan
+
+
 def test_groups_are_placed_by_their_number(spark):
     kept = statespace.grouped(pairs(spark, DATA), 8, keep=False)
     rows = kept.select("grp", F.spark_partition_id().alias("at")).distinct().collect()
@@ -389,3 +434,43 @@ def test_bootstrap_draws_reach_every_trajectory(spark):
     df = spark.range(40).select(F.col("id").alias("traj_id"))
     drawn = resample.bootstrap_weights(df, 200, 1.0, 1).groupBy("traj_id").agg(F.sum("weight").alias("w")).collect()
     assert len(drawn) == 40 and all(120 < r.w < 290 for r in drawn) and sum(r.w for r in drawn) == 8000
+
+
+# -- tables of models
+
+
+def test_grouped_quantiles(spark, monkeypatch):
+    """As percentile has them, also where a group is numbered by ranges; nulls, ties and groups of one."""
+    rng = np.random.default_rng(9)
+    rows = [("hot", None, float(v)) for v in np.round(rng.normal(size=300), 1)] + [("few", k, float(k)) for k in range(4)] + [("none", 1, None), ("few", 2, float("nan")), ("few", 2, 5.5), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "a string, b long, v double").repartition(5)
+    at = {"low": 0.05, "mid": 0.5, "top": 1.0}
+    want = rows_of(df.where("not isnan(v) or v is null").groupBy("a", "b").agg(F.avg("v"), *[F.percentile("v", F.lit(p)) for p in at.values()]))
+    for long in (1 << 20, 50):
+        monkeypatch.setattr(ranges, "LONG", long)
+        got = rows_of(quantiles.grouped_quantiles(df, ["a", "b"], "v", at))
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        for g, w in zip(got, want, strict=True):
+            assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for x, y in zip(g[2:], w[2:], strict=True))
+
+
+def test_kernels_as_expression_and_in_batches(spark):
+    """One hidden variable: a Column, equal to the exponentials; several: a batch a model, equal to each by itself."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k, (d, m) in enumerate([(1, 1), (1, 1), (2, 1), (1, 3), (2, 2)]):
+        a = 0.2 * rng.normal(size=(d + m, d + m)) + np.eye(d + m)
+        rows.append({"model_id": k, "dim_x": d, "dim_h": m, "a": a.ravel().tolist()})
+    models = spark.createDataFrame(rows, "model_id int, dim_x int, dim_h int, a array<double>")
+    for got, times in ((model.memory_kernel(models, 7, 0.3), lambda hh: 0.3 * np.arange(7)), (model.memory_kernel_logspace(models, 0.1, n_times=9), lambda hh: np.geomspace(0.1, 25 / np.abs(np.linalg.eigvals(hh).real).min(), 9))):
+        found = {(r.model_id, r.n, r.i, r.j): (r.t, r.value) for r in got.collect()}
+        for r in rows:
+            d = r["dim_x"]
+            a = np.reshape(r["a"], (d + r["dim_h"], -1))
+            for n, t in enumerate(times(a[d:, d:])):
+                k = -a[:d, d:] @ expm(-t * a[d:, d:]) @ a[d:, :d] + (a[:d, :d] if n == 0 else 0)
+                for i in range(d):
+                    for j in range(d):
+                        np.testing.assert_allclose(found.pop((r["model_id"], n, i, j)), (t, k[i, j]), atol=1e-10)
+        assert not found
+    assert model.memory_kernel(models, 0, 0.3).count() == 0

@@ -12,7 +12,7 @@ from trajspark.functions.linear import as_matrices, expm, lyapunov, m_step
 from trajspark.operators import correlation, em, model, resample, statespace
 from trajspark.operators.transitions import transitions
 from trajspark.plans.queries import S1, F1, e1, e2, m1, pairs
-from trajspark.sources import read_trajectories, trajectory_summary, validate
+from trajspark.sources import ranges, read_trajectories, trajectory_summary, validate
 
 
 def test_read_text(spark, tmp_path):
@@ -88,9 +88,11 @@ def test_exact_quantiles(spark, monkeypatch):
         assert all(np.isnan(got[3]))
 
 
-def test_numbered(spark):
-    rows, n = resample.numbered(spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5), "k")
-    assert n == 1000 and rows.where("k <> _no").count() == 0 and rows.select("_no").distinct().count() == 1000
+def test_numbered(spark, monkeypatch):
+    for long in (1 << 20, 100):
+        monkeypatch.setattr(ranges, "LONG", long)
+        rows, n = resample.numbered(spark.range(1000).selectExpr("id * 7 % 1000 as k").repartition(5), "k")
+        assert n == 1000 and rows.where("k <> _no").count() == 0 and rows.select("_no").distinct().count() == 1000
     assert resample.numbered(spark.range(0).toDF("k"), "k")[1] == 0
     assert resample.bootstrap_weights(spark.createDataFrame([], "traj_id long")).count() == 0
 

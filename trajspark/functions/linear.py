@@ -68,11 +68,11 @@ def lyapunov(friction: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 
 def expm(a: np.ndarray) -> np.ndarray:
-    """Matrix exponential by scaling, Taylor series and squaring."""
-    norm = np.abs(a).sum(axis=1).max() if a.size else 0.0
+    """Matrix exponential by scaling, Taylor series and squaring; of one matrix, or of each of a stack."""
+    norm = np.abs(a).sum(axis=-1).max() if a.size else 0.0
     s = max(0, int(np.ceil(np.log2(norm))) + 2) if norm > 0 else 0
     b = a / 2.0**s
-    out = term = np.eye(len(a), dtype=a.dtype)
+    out = term = np.broadcast_to(np.eye(a.shape[-1], dtype=a.dtype), a.shape)
     for i in range(1, 20):
         term = term @ b / i
         out = out + term

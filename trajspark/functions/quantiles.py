@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ranges import with_steps
+
 #: Bins of a counting pass, over all open intervals; values of an interval that reach the driver at last.
 BINS, FEW = 8192, 4096
 
@@ -67,3 +69,22 @@ def _between(found: dict[tuple[int, int], float], i: int, rank: float) -> float:
     if low == high:
         return found[i, low]
     return (high - rank) * found[i, low] + (rank - low) * found[i, high]
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by, mean, and a column for each wanted quantile of a group, linear between neighbours.
+
+    Values are numbered in each group by sorts that spill, a large group over many tasks, and only
+    those of the wanted ranks go on: no task holds a group in memory. What is null or not a number
+    doesn't count; a group without values has nulls.
+    """
+    rows = df.select(F.struct(*by).alias("traj_id"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
+    sums = rows.groupBy("traj_id").agg(F.avg("_v").alias("mean"), F.count("_v").alias("_n"))
+    places = {name: p * (F.col("_n") - 1) for name, p in wanted.items()}
+    share = lambda at: F.greatest(F.lit(0.0), 1 - F.abs(F.col("step") - at))
+    needed = F.lit(False)
+    for at in places.values():
+        needed |= share(at) > 0
+    ranked = with_steps(rows.where("_v is not null"), ["_v"]).select("traj_id", "step", "_v").join(sums.select("traj_id", "_n"), "traj_id").where(needed)
+    found = ranked.groupBy("traj_id").agg(*[F.sum(F.when(share(at) > 0, F.col("_v") * share(at))).alias(name) for name, at in places.items()])
+    return sums.join(found, "traj_id", "left").select("traj_id.*", "mean", *wanted)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import STATS, as_matrices, log_likelihood, lyapunov, m_step
+from ..functions.quantiles import grouped_quantiles
 from .transitions import visible_stats
 
 MODEL = "dim_x int, dim_h int, dt double, a array<double>, c array<double>, force array<double>, mu0 array<double>, sig0 array<double>, sst array<double>, ll double, n_iter int, converged boolean"
@@ -52,4 +53,4 @@ def fit_bootstrap(trans: DataFrame, weights: DataFrame, dim_x: int, n_basis: int
     """coefficient ('a', 'c', 'force', 'sst'), i, mean, p05, p95 over the replicates of a bootstrap."""
     models = fit_markov(trans, dim_x, n_basis, dt, weights)
     long = models.select(F.explode(F.array(*[F.struct(F.lit(c).alias("coefficient"), F.col(c).alias("values")) for c in ("a", "c", "force", "sst")])).alias("s")).select("s.coefficient", F.posexplode("s.values").alias("i", "value"))
-    return long.groupBy("coefficient", "i").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("p05"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    return grouped_quantiles(long, ["coefficient", "i"], "value", {"p05": 0.05, "p95": 0.95})

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import expm, lyapunov
+from ..functions.quantiles import grouped_quantiles
 
 
 def information_criteria(models: DataFrame, n: int, count_force: bool = False) -> DataFrame:
@@ -66,26 +67,52 @@ def _blocks(r) -> tuple[np.ndarray, ...]:
     return a[:d, :d], a[:d, d:], a[d:, :d], a[d:, d:]
 
 
+KERNEL = "model_id int, n long, t double, i int, j int, value double"
+
+
 def _kernel(models: DataFrame, times) -> DataFrame:
-    def one(r):
-        vv, vh, hv, hh = _blocks(r)
-        for n, t in enumerate(times(r, hh)):
-            k = -vh @ expm(-t * hh) @ hv + (vv if n == 0 and r["dirac"] else 0)
-            for i in range(len(vv)):
-                for j in range(len(vv)):
-                    yield {"model_id": r["model_id"], "n": n, "t": float(t), "i": i, "j": j, "value": float(k[i, j])}
+    """Rows of kernels at times(r, hh) of each model, all times of a model by one batch of exponentials."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                vv, vh, hv, hh = _blocks(r)
+                t = np.asarray(times(r, hh), float)
+                k = -vh @ expm(-t[:, None, None] * hh) @ hv
+                if r["dirac"] and len(t):
+                    k[0] += vv
+                d = len(vv)
+                n, i, j = (x.ravel().astype(kind) for x, kind in zip(np.indices(k.shape), (np.int64, np.int32, np.int32), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k.size, r["model_id"], np.int32)), pa.array(n), pa.array(np.repeat(t, d * d)), pa.array(i), pa.array(j), pa.array(k.ravel())], ["model_id", "n", "t", "i", "j", "value"])
+
+    return models.mapInArrow(run, KERNEL)
+
+
+def _kernel_column(models: DataFrame, times: Column) -> DataFrame:
+    """Kernels of models with one visible and one hidden variable, as an expression; times is an array."""
+    a = [F.get("a", F.lit(i)) for i in range(4)]
+    each = models.select("model_id", "a", "dirac", F.posexplode(times).alias("n", "t"))
+    value = -a[1] * a[2] * F.exp(-F.col("t") * a[3]) + F.when(F.col("dirac") & (F.col("n") == 0), a[0]).otherwise(0.0)
+    return each.select(F.col("model_id").cast("int").alias("model_id"), F.col("n").cast("long").alias("n"), "t", F.lit(0).alias("i"), F.lit(0).alias("j"), value.alias("value"))
+
 
-    return _per_model(models, one, "model_id int, n long, t double, i int, j int, value double")
+def _by_size(models: DataFrame, times, column: Column) -> DataFrame:
+    one = (F.col("dim_x") == 1) & (F.col("dim_h") == 1)
+    return _kernel_column(models.where(one), column).unionByName(_kernel(models.where(~one), times))
 
 
 def memory_kernel(models: DataFrame, n_times: int, dt: float, no_dirac: bool = False) -> DataFrame:
     """K(t) = -A_vh exp(-t A_hh) A_hv at t = n dt, plus A_vv at 0 unless no_dirac."""
-    return _kernel(models.withColumn("dirac", F.lit(not no_dirac)), lambda r, hh: dt * np.arange(n_times))
+    column = F.transform(F.sequence(F.lit(0), F.lit(n_times - 1)), lambda n: n * F.lit(float(dt))) if n_times else F.array().cast("array<double>")
+    return _by_size(models.withColumn("dirac", F.lit(not no_dirac)), lambda r, hh: dt * np.arange(n_times), column)
 
 
 def memory_kernel_logspace(models: DataFrame, dt: float, no_dirac: bool = False, n_times: int = 150) -> DataFrame:
-    """The kernel from dt to 25 of its longest times, evenly by logarithm."""
-    return _kernel(models.withColumn("dirac", F.lit(not no_dirac)), lambda r, hh: np.geomspace(dt, 25 / np.abs(np.linalg.eigvals(hh).real).min(), n_times))
+    """The kernel from dt to 25 of its longest times, evenly by logarithm; n_times is two at least."""
+    end = F.lit(25.0) / F.abs(F.get("a", F.lit(3)))
+    gap = (F.log(end) - float(np.log(dt))) / float(n_times - 1)
+    column = F.transform(F.sequence(F.lit(0), F.lit(n_times - 1)), lambda n: F.exp(F.lit(float(np.log(dt))) + n * gap))
+    return _by_size(models.withColumn("dirac", F.lit(not no_dirac)), lambda r, hh: np.geomspace(dt, 25 / np.abs(np.linalg.eigvals(hh).real).min(), n_times), column)
 
 
 def memory_timescales(models: DataFrame) -> DataFrame:
@@ -178,8 +205,8 @@ def prony_eval(modes: DataFrame, times: DataFrame, key: str = "model_id") -> Dat
 
 
 def bands(df: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """mean, p05 and p95 of the value over replicates."""
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.05)).alias("p05"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """mean, p05 and p95 of the value over replicates; exact, however many there are."""
+    return grouped_quantiles(df, by, value, {"p05": 0.05, "p95": 0.95})
 
 
 def grid(spark, limits: list[tuple[float, float, int]]) -> DataFrame:

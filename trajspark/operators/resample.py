@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import ranges
+
 
 def cut_trajectories(df: DataFrame, n_cut: int) -> DataFrame:
     """traj_id, piece, step (within the piece), t, x: n_cut pieces, the first T mod n_cut of which
@@ -39,15 +41,13 @@ def shuffle_split(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, see
 
 
 def numbered(df: DataFrame, by: str) -> tuple[DataFrame, int]:
-    """df with _no, its rows' places (from 0) in the order of a column without repeated values, and the
-    number of rows. Each task numbers a range of values; the ranges stay as they were counted."""
-    ranges = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).persist()
-    before, n = {}, 0
-    for row in ranges.groupBy("_p").count().orderBy("_p").collect():  # a row a partition
-        before[row["_p"]], n = n, n + row["count"]
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(by)).cast("long") - 1
-    starts = F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))) if before else F.create_map(F.lit(0), F.lit(0))
-    return ranges.withColumn("_no", place + F.element_at(starts, F.col("_p"))).drop("_p"), n
+    """by and _no, its place (from 0) in the order of a column without repeated values, and the number
+    of rows. Up to LONG rows are numbered in one task, more by ranges that are written."""
+    n = df.count()
+    if n <= ranges.LONG:
+        return df.select(by, (F.row_number().over(Window.orderBy(by)) - 1).cast("long").alias("_no")), n
+    keyed = df.select(F.lit(0).alias("traj_id"), F.col(by).alias("_by"))
+    return ranges.by_ranges(keyed, ["_by"], F.lit(None)).select(F.col("_by").alias(by), F.col("step").alias("_no")), n
 
 
 def bootstrap_weights(df: DataFrame, n_splits: int = 5, train_size: float = 0.9, seed: int = 0) -> DataFrame:

@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import STATS, as_matrices, log_likelihood
-from ..sources.ranges import Shifted
-from .transitions import BLOCKS, average_stats
+from ..sources.ranges import Shifted, written
+from .transitions import BLOCKS, COLUMNS, average_stats, sums_by_place
 
 #: Rows that a group has, about; longer trajectories than CHUNK_ROWS transitions lie in several groups.
 GROUP_ROWS, CHUNK_ROWS = 50_000, 10_000
+#: Affine maps of a trajectory's chunks that are followed in one group.
+FAN = 1_000
 #: Models that one task runs over a group; more are dealt to as many tasks as needed.
 TASK_MODELS = 16
 #: Times the rows of a batch of trajectories that padding may make of it.
@@ -232,8 +234,9 @@ def hidden_sizes(d: int, m: int, k: int) -> dict[str, int]:
 def grouped(trans: DataFrame, partitions: int | None = None, chunk_rows: int | None = None, keep: bool = True) -> DataFrame:
     """Transitions dealt once and kept: what iterates over them shuffles nothing again.
 
-    A group has some GROUP_ROWS rows. Trajectories of up to chunk_rows transitions are whole in one; if
-    there are longer ones, rows have their trajectory's length and their chunk too.
+    A group has some GROUP_ROWS rows, and a partition of its own number. Trajectories of up to
+    chunk_rows transitions are whole in one; if there are longer ones, rows have their trajectory's
+    length and their chunk too. What is not kept is written once then, as chunks are read several times.
     """
     chunk_rows = chunk_rows or CHUNK_ROWS
     lengths = trans.groupBy("traj_id").agg(F.count(F.lit(1)).alias("length"))
@@ -244,7 +247,7 @@ def grouped(trans: DataFrame, partitions: int | None = None, chunk_rows: int | N
         chunk = F.when(F.col("length") > chunk_rows, F.expr(f"step div {chunk_rows}")).otherwise(F.lit(0))
         trans, key = trans.join(lengths, "traj_id").withColumns({"chunk": chunk.cast("long"), "cut": F.col("length") > chunk_rows}), ["traj_id", "chunk"]
     dealt = trans.withColumn("grp", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")).repartitionById(n, "grp").sortWithinPartitions("grp", "traj_id", "step")
-    return dealt.persist() if keep else dealt
+    return dealt.persist() if keep else written(dealt) if "chunk" in dealt.columns else dealt
 
 
 def _by_length(frame):
@@ -290,17 +293,55 @@ def _listed(a: np.ndarray, n: int) -> list:
     return list(np.asarray(a, float).reshape(n, -1))
 
 
-def _chunk_ends(chunks: DataFrame, models: list[StateModel]) -> DataFrame:
+def _composed(frame, m: int) -> dict[str, np.ndarray]:
+    """The maps of chunks that follow each other, as one map. Neighbours are joined pairwise, so that
+    all pairs of a level are one product."""
+    a, p, q = (np.stack([np.reshape(x, (m, m)) for x in frame[k]]) for k in "apq")
+    b, s = (np.stack(frame[k].to_numpy())[:, :, None] for k in "bs")
+    while len(a) > 1:
+        n = len(a) // 2 * 2
+        one, two = slice(0, n, 2), slice(1, n, 2)
+        rest = slice(n, len(a))
+        joined = (
+            a[two] @ a[one],
+            a[two] @ b[one] + b[two],
+            p[one] + q[one] @ p[two] @ a[one],
+            q[one] @ q[two],
+            s[one] + q[one] @ (p[two] @ b[one] + s[two]),
+        )
+        a, b, p, q, s = (np.concatenate([x, y[rest]]) for x, y in zip(joined, (a, b, p, q, s), strict=True))
+    return {"a": a[0].ravel(), "b": b[0].ravel(), "p": p[0].ravel(), "q": q[0].ravel(), "s": s[0].ravel()}
+
+
+def _followed(frame, m: int, start: np.ndarray, end: np.ndarray | None) -> tuple[list, list]:
+    """Filtered means at the starts and smoothed ones at the ends of chunks that follow each other,
+    from the filtered mean at the first start and the smoothed one at the last end (None: the last
+    filtered mean)."""
+    square = {k: [np.reshape(x, (m, m)) for x in frame[k]] for k in "apq"}
+    starts, ends = [start], []
+    for a, b in zip(square["a"], frame["b"], strict=True):
+        starts.append(a @ starts[-1] + b)
+    last = starts.pop()
+    y = last if end is None else end
+    for p, q, s, x in reversed(list(zip(square["p"], square["q"], frame["s"], starts, strict=True))):
+        ends.append(y)
+        y = p @ x + q @ y + s
+    return starts, ends[::-1]
+
+
+def _chunk_ends(chunks: DataFrame, models: list[StateModel], fan: int | None = None) -> DataFrame:
     """grp, model_id, traj_id, chunk, start, end: filtered mean at the start of each chunk, smoothed mean
     at its end.
 
     Means of filter and smoother are affine in the mean before (or after), with matrices that don't
-    depend on data. So a chunk is one row of affine maps; the rows of a trajectory, one a chunk, are
-    followed forwards and back.
+    depend on data. So a chunk is one row of affine maps. Up to `fan` maps of a trajectory are followed
+    forwards and back in one group. Of more, each `fan` are composed to one map, and so on up a tree
+    until a trajectory has few; then the means at their ends go down the tree again.
     """
     import pandas as pd
 
-    known = {x.model_id: x for x in models}
+    known, fan = {x.model_id: x for x in models}, fan or FAN
+    m, kind = models[0].m, dict(chunks.dtypes)["traj_id"]
 
     def mapped(frame):
         out = []
@@ -312,20 +353,34 @@ def _chunk_ends(chunks: DataFrame, models: list[StateModel]) -> DataFrame:
 
     def chained(frame):
         frame = frame.sort_values("chunk")
-        model = known[frame["model_id"].iloc[0]]
-        square = {k: [np.reshape(x, (model.m, model.m)) for x in frame[k]] for k in "apq"}
-        starts, ends = [model.mu0], []
-        for a, b in zip(square["a"], frame["b"], strict=True):
-            starts.append(a @ starts[-1] + b)
-        y = starts.pop()
-        for p, q, s, x in reversed(list(zip(square["p"], square["q"], frame["s"], starts, strict=True))):
-            ends.append(y)
-            y = p @ x + q @ y + s
-        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends[::-1])
-
-    key = f"grp int, model_id int, traj_id {dict(chunks.dtypes)['traj_id']}, chunk long, "
-    maps = chunks.groupBy("grp").applyInPandas(mapped, key + ", ".join(f"{k} array<double>" for k in "abpqs"))
-    return maps.groupBy("model_id", "traj_id").applyInPandas(chained, key + "start array<double>, end array<double>")
+        starts, ends = _followed(frame, m, known[frame["model_id"].iloc[0]].mu0, None)
+        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends)
+
+    def composed(frame):
+        frame = frame.sort_values("chunk")
+        row = {"grp": 0, "model_id": frame["model_id"].iloc[0], "traj_id": frame["traj_id"].iloc[0], "chunk": frame["chunk"].iloc[0] // fan}
+        return pd.DataFrame([row | _composed(frame, m)])
+
+    def below(frame, above):
+        if not len(frame):
+            return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=[], end=[])
+        frame = frame.sort_values("chunk")
+        starts, ends = _followed(frame, m, above["start"].iloc[0], above["end"].iloc[0])
+        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends)
+
+    key = f"grp int, model_id int, traj_id {kind}, chunk long, "
+    shape, ends = key + ", ".join(f"{k} array<double>" for k in "abpqs"), key + "start array<double>, end array<double>"
+    levels = [chunks.groupBy("grp").applyInPandas(mapped, shape)]
+    most = (chunks.agg(F.max("chunk")).first()[0] or 0) + 1
+    while most > fan:
+        levels[-1] = written(levels[-1])  # read on the way up and on the way down
+        levels.append(levels[-1].withColumn("_up", F.expr(f"chunk div {fan}")).groupBy("model_id", "traj_id", "_up").applyInPandas(composed, shape))
+        most = -(-most // fan)
+    found = levels.pop().groupBy("model_id", "traj_id").applyInPandas(chained, ends)
+    while levels:
+        up = levels.pop().withColumn("_up", F.expr(f"chunk div {fan}")).groupBy("model_id", "traj_id", "_up")
+        found = up.cogroup(found.withColumn("_up", F.col("chunk")).groupBy("model_id", "traj_id", "_up")).applyInPandas(below, ends)
+    return found
 
 
 def _each_part(dealt: DataFrame, models: list[StateModel], run, schema: str) -> DataFrame:
@@ -429,6 +484,8 @@ def hidden_stats(trans: DataFrame, models: list[StateModel], chunk_rows: int | N
     parts = _each_part(dealt, models, run, f"model_id int, traj_id {dict(trans.dtypes)['traj_id']}, n long, " + ", ".join(f"{s} array<double>" for s in of))
     if "chunk" not in dealt.columns:
         return parts
+    if sum(of.values()) > COLUMNS:
+        return sums_by_place(parts.withColumn("_w", F.lit(1.0)), list(of), of, ["model_id", "traj_id"], F.col("n"))
     total = lambda s: F.array(*[F.sum(F.get(s, F.lit(i))) for i in range(of[s])]).alias(s)
     return parts.groupBy("model_id", "traj_id").agg(F.sum("n").alias("n"), *[total(s) for s in of])
 

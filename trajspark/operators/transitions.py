@@ -57,20 +57,21 @@ def average_stats(per_traj: DataFrame, names: list[str], sizes: dict[str, int],
     w = (F.col("weight") if weights is not None else F.lit(1)) * (F.col("n") if weight == "transition" else F.lit(1))
     marked = per_traj.withColumn("_w", w.cast("double"))
     if sum(sizes[s] for s in names) > COLUMNS:
-        return _average_by_place(marked, names, sizes, keys, F.col("n") * (F.col("weight") if weights is not None else F.lit(1)))
+        return sums_by_place(marked, names, sizes, keys, F.col("n") * (F.col("weight") if weights is not None else F.lit(1)), mean=True)
     mean = lambda c: F.sum(c * F.col("_w")) / F.sum("_w")
     return marked.groupBy(*keys).agg(F.sum(F.col("n") * (F.col("weight") if weights is not None else F.lit(1))).cast("long").alias("n"), *[F.array(*[mean(F.get(s, F.lit(i))) for i in range(sizes[s])]).alias(s) for s in names])
 
 
-def _average_by_place(marked: DataFrame, names: list[str], sizes: dict[str, int], keys: list[str], n) -> DataFrame:
-    """Weighted means of long arrays, a row an element, put together as arrays again."""
+def sums_by_place(marked: DataFrame, names: list[str], sizes: dict[str, int], keys: list[str], n: Column, mean: bool = False) -> DataFrame:
+    """keys, n and the sums (or means) of long arrays weighted by _w, a row an element, put together as arrays again."""
     totals = marked.groupBy(*keys).agg(F.sum(n).cast("long").alias("n"), F.sum("_w").alias("_total"))
     places = marked.select(*keys, "_w", F.posexplode(F.concat(*names)).alias("_at", "_s")).groupBy(*keys, "_at").agg(F.sum(F.col("_s") * F.col("_w")).alias("_s"))
     whole = places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_s"))), lambda r: r["_s"]).alias("_all"))
     met = whole.join(totals, keys) if keys else whole.join(F.broadcast(totals))
     start, cut = 1, {}
     for s in names:
-        cut[s], start = F.transform(F.slice("_all", start, sizes[s]), lambda v: v / F.col("_total")), start + sizes[s]
+        part = F.slice("_all", start, sizes[s])
+        cut[s], start = F.transform(part, lambda v: v / F.col("_total")) if mean else part, start + sizes[s]
     return met.select(*keys, "n", *[c.alias(s) for s, c in cut.items()])
 
 

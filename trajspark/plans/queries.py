@@ -6,6 +6,8 @@ times; with_gradient_velocity uses the real ones).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -465,7 +467,26 @@ def _fit(spark: SparkSession, sf_dir: str, n: int = 10) -> em.Fit:
     return em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="user", start=m1(), max_iter=n, tol=0.0)
 
 
-@query("em_ten_iterations")
+def em_sql(model: str, rows: str) -> str:
+    """One iteration from the row of a model, on rows with transitions: the next model, and the likelihood
+    of this one. Recursions are those of MSTEP, from the model's own start."""
+    body = MSTEP[len(f"{TRANS}, c AS ({CONST}),"):].replace("0.0::DOUBLE AS mu, 1.0", "mu0 AS mu, 1.0")
+    f = {"f00": "c.f00", "f01": "(-c.rv)", "f10": "c.f10", "f11": "(1 - c.rh)", "fo": "c.fo"}
+    residual = re.sub(r"\b(f00|f01|f10|f11|fo)\b", lambda m: f[m[1]], MSTEP[MSTEP.index("ns AS (SELECT *,") + 16 : MSTEP.rindex(" FROM fr)")])
+    for i in ("00", "01", "11"):
+        residual = residual.replace(f" AS s{i}", f" AS m{i}")
+    return f"""(WITH RECURSIVE p AS (SELECT * FROM {rows}), c AS (SELECT f00, rv, f10, rh, fo, s00, s01, s11, mu0 FROM {model}), {body},
+  rs AS (SELECT hs, {residual} FROM g, c),
+  lk AS (SELECT -0.5 * (m00*c.s11 - 2*m01*c.s01 + m11*c.s00) / (c.s00*c.s11 - c.s01*c.s01) - 0.5 * (2*ln(2*pi()) + ln(c.s00*c.s11 - c.s01*c.s01)) + hs AS ll FROM rs, c)
+  SELECT f00, -f01 AS rv, f10, 1 - f11 AS rh, fo, s00, s01, s11, mu0, ll FROM ns, lk)"""
+
+
+#: The fixed model, and ten iterations from it.
+TEN = f"{TRANS}, pp AS MATERIALIZED (SELECT * FROM p), m0 AS (SELECT *, 0.0::DOUBLE AS mu0 FROM ({CONST})), " + ", ".join(f"m{i + 1} AS MATERIALIZED {em_sql(f'm{i}', 'pp')}" for i in range(10))
+
+
+@query("em_ten_iterations", f"""WITH RECURSIVE {TEN}, l AS ({" UNION ALL ".join(f"SELECT {i} AS iter, ll FROM m{i + 1}" for i in range(10))})
+SELECT 0 AS init, iter, round(ll, 6) + 0.0 AS ll, round(ll - lag(ll) OVER (ORDER BY iter), 6) + 0.0 AS change FROM l""")
 def _(spark, sf_dir):
     return _fit(spark, sf_dir).trace.select("init", "iter", r6("ll").alias("ll"), r6("change").alias("change"))
 
@@ -515,7 +536,15 @@ def _(spark, sf_dir):
     return user.join(back, "model_id").select("model_id", r6(x0("a")).alias("a"), r6(x0("c")).alias("c"), r6(x0("sst")).alias("sst"))
 
 
-@query("likelihood_curve")
+#: Iterations on the trajectories of the training part, and the likelihoods of each model on both parts.
+CURVE = f"""{TRANS}, ids AS (SELECT DISTINCT traj_id FROM tr), k AS (SELECT floor(0.8 * count(*)) AS k FROM ids),
+sp AS (SELECT traj_id, row_number() OVER (ORDER BY md5('{SEED}:0:' || traj_id), traj_id) <= k AS train FROM ids, k),
+p1 AS MATERIALIZED (SELECT p.* FROM p JOIN sp USING (traj_id) WHERE train), p2 AS MATERIALIZED (SELECT p.* FROM p JOIN sp USING (traj_id) WHERE NOT train),
+m0 AS (SELECT *, 0.0::DOUBLE AS mu0 FROM ({CONST})), """ + ", ".join(f"m{i + 1} AS MATERIALIZED {em_sql(f'm{i}', 'p1')}, val{i + 1} AS MATERIALIZED {em_sql(f'm{i}', 'p2')}" for i in range(4))
+
+
+@query("likelihood_curve", f"""WITH RECURSIVE {CURVE}, l AS ({" UNION ALL ".join(f"SELECT {i} AS iter, '{n}' AS split, ll FROM {c}{i + 1}" for i in range(4) for c, n in (("m", "train"), ("val", "valid")))})
+SELECT iter, split, round(ll, 6) + 0.0 AS ll FROM l""")
 def _(spark, sf_dir):
     df = pairs(spark, sf_dir)
     split = resample.shuffle_split(e1(spark, sf_dir), 1, 0.8, SEED)
@@ -528,7 +557,7 @@ def _(spark, sf_dir):
         trace.append(StateModel(after.friction, after.force, after.noise, after.mu0, after.sig0, 1.0, i))
     out = em.likelihood_curve(train, part("test"), trace)
     train.unpersist()
-    return out
+    return out.select("iter", "split", r6("ll").alias("ll"))
 
 
 @query("memory_kernel", f"WITH {MODELS} SELECT model_id, n::BIGINT AS n, (n * 0.5)::DOUBLE AS t, round(-vh*hv*exp(-n*0.5*hh) + CASE WHEN n = 0 THEN a ELSE 0 END, 6) + 0.0 AS value FROM z, range(40) r(n)")
@@ -552,9 +581,25 @@ def _(spark, sf_dir):
     return model.friction_matrix(models(spark, sf_dir)).select("model_id", "i", "j", r6("value").alias("value"))
 
 
-@query("diagonal_gauge")
+#: Models with two hidden variables: a first one beside that of each model, in noise that has both.
+TWO = f"{MODELS}, w2 AS (SELECT *, 0.7::DOUBLE AS p, 0.2::DOUBLE AS q, -0.1::DOUBLE AS r, 1.5::DOUBLE AS c1, 0.4::DOUBLE AS c12, 1.0::DOUBLE AS c2 FROM z), o AS (SELECT *, 0.5 * atan2(2 * c12, c1 - c2) AS th FROM w2)"
+
+
+@query("diagonal_gauge", f"""WITH {TWO}, e AS (SELECT model_id, a, c, cos(th) AS k, sin(th) AS s, vh, hv, hh, p, q, r, c1, c12, c2 FROM o)
+SELECT model_id, round(a, 6) + 0.0 AS vv, round(c, 6) + 0.0 AS c_vv,
+  round(k*k*c1 + 2*k*s*c12 + s*s*c2, 6) + 0.0 AS high, round(s*s*c1 - 2*k*s*c12 + k*k*c2, 6) + 0.0 AS low,
+  round((k*vh + s*0.5) * (k*hv + s*0.1), 6) + 0.0 AS coupling_high, round((-s*vh + k*0.5) * (-s*hv + k*0.1), 6) + 0.0 AS coupling_low,
+  round(k*k*hh + k*s*(q + r) + s*s*p, 6) + 0.0 AS rate_high, round(s*s*hh - k*s*(q + r) + k*k*p, 6) + 0.0 AS rate_low FROM e""")
 def _(spark, sf_dir):
-    return model.diagonal_gauge(models(spark, sf_dir))
+    """Of two hidden variables whose noise is not diagonal: what doesn't depend on signs and order of the new axes."""
+    one = models(spark, sf_dir)
+    a = F.array(x0("a"), F.lit(0.3), F.lit(0.5), F.lit(-0.3), x0("a", 3), F.lit(0.2), F.lit(0.1), F.lit(-0.1), F.lit(0.7))
+    c = F.array(x0("c"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.5), F.lit(0.4), F.lit(0.0), F.lit(0.4), F.lit(1.0))
+    turned = model.diagonal_gauge(one.withColumns({"dim_h": F.lit(2), "a": a, "c": c}))
+    axes = F.array_sort(F.array(*[F.struct(x0("c", 4 * i).alias("c"), (x0("a", i) * x0("a", 3 * i)).alias("coupling"), x0("a", 4 * i).alias("rate")) for i in (1, 2)]))
+    low, high = F.get(axes, F.lit(0)), F.get(axes, F.lit(1))
+    named = {"high": high["c"], "low": low["c"], "coupling_high": high["coupling"], "coupling_low": low["coupling"], "rate_high": high["rate"], "rate_low": low["rate"]}
+    return turned.select("model_id", r6(x0("a")).alias("vv"), r6(x0("c")).alias("c_vv"), *[r6(v).alias(k) for k, v in named.items()])
 
 
 @query("prony_split", f"WITH {MODELS} SELECT model_id, 0 AS mode, round(abs(vh*hv), 6) + 0.0 AS amp, round(-hh, 6) + 0.0 AS rate_re, round(CASE WHEN -vh*hv < 0 THEN pi() ELSE 0 END, 6) + 0.0 AS phase FROM z")

@@ -86,10 +86,11 @@ def with_steps(df: DataFrame, order: list[str], time: str | None = None) -> Data
         return by_window(df)
     lengths = small(written(lengths))
     is_long = df["traj_id"].eqNullSafe(lengths["_long"])
-    return by_window(df.join(lengths, is_long, "left_anti")).unionByName(_by_ranges(df.join(lengths, is_long, "left_semi"), order, start))
+    return by_window(df.join(lengths, is_long, "left_anti")).unionByName(by_ranges(df.join(lengths, is_long, "left_semi"), order, start))
 
 
-def _by_ranges(df: DataFrame, order: list[str], start: Column) -> DataFrame:
+def by_ranges(df: DataFrame, order: list[str], start: Column) -> DataFrame:
+    """with_steps for trajectories of any length, all of them by ranges; start is the time's column."""
     columns, keys = df.columns, ["traj_id", *order]
     # equal rows may lie in several ranges
     dealt = df.withColumn("_tie", F.monotonically_increasing_id())
