@@ -3,6 +3,7 @@
 import hashlib
 import inspect
 import random
+import re
 import zlib
 
 import numpy as np
@@ -12,7 +13,9 @@ import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from trajspark.llm import hard_negatives, licences, merkle, packing, simhash
+from trajspark.llm import hard_negatives, licences, merkle, packing, simhash, toxicity
+from trajspark.llm.mixing import OP3_SQL
+from trajspark.llm.quality import OP9_SQL
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, fp string, digest string, idx long, tree string"
 LONG = "alpha beta gamma delta " * 30_000
@@ -361,3 +364,49 @@ def test_licences_with_any_id_column(spark, licence_model, name):
     assert got == {1: ("MIT", 1), 2: ("CC-BY,MIT", 2), 3: ("", 0), 4: ("", 0)}
     hits = licences.scan_licences(table, licence_model, name)
     assert len(hits.columns) == len(set(hits.columns)) and hits.select(name).distinct().count() == 2
+
+
+# -- pipeline
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """What every stage keeps, by SQL of its operator or by explicit sums, on its own input."""
+    import corpus_pipeline as cp
+    import duckdb
+
+    def sql(frame, text):
+        con = duckdb.connect()
+        con.register("documents", frame)
+        return con.sql(text).df()
+
+    frames = [spark.read.parquet(f"{DATA}/documents.parquet")]
+    for _, stage in cp.STAGES[:4]:
+        frames.append(spark.createDataFrame(stage(spark, frames[-1], DATA).toPandas(), frames[0].schema))
+    docs, first, clean, near, mixed = (f.toPandas() for f in frames)
+    kept = sql(docs, OP9_SQL)
+    assert sorted(first["doc_id"]) == sorted(kept[kept["kept"]]["doc_id"]) and len(first) < len(docs)
+    # the factorization machine, every pair of a text's terms by itself
+    model = toxicity.train_toxicity(frames[1], spark.read.parquet(f"{DATA}/labels.parquet"), ~toxicity.held_out())
+    place = {int(p): i for i, p in enumerate(model.places)}
+    want = []
+    for i, text in zip(first["doc_id"], first["text"], strict=True):
+        at = [place[h] for h in map(toxicity.hashed, toxicity.terms(text)) if h in place]
+        pairs = sum(float(model.factors[a] @ model.factors[b]) for k, a in enumerate(at) for b in at[k + 1 :])
+        if model.bias + sum(model.linear[a] for a in at) + pairs < 0:
+            want.append(i)
+    assert sorted(clean["doc_id"]) == sorted(want)
+    groups = brute_shingle_groups(clean, 5, 0.8)
+    assert sorted(near["doc_id"]) == sorted(set(groups.values()))
+    taken = sql(near, OP3_SQL)
+    copies = {r.doc_id: int(r.taken / r.size + 0.5) for r in taken.itertuples() if r.size}
+    assert sorted(mixed["doc_id"]) == sorted(i for i, n in copies.items() for _ in range(n))
+
+
+def brute_shingle_groups(docs, n, least):
+    sets = {}
+    for i, text in zip(docs["doc_id"], docs["text"], strict=True):
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.split(r"[ \t\n\x0b\f\r]+", text or "") if x]
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return brute_groups_of(sorted(sets), a, b)
