@@ -429,6 +429,18 @@ def test_stopped_fit_goes_on(spark, tmp_path):
         assert (a.n_iter, a.converged) == (b.n_iter, b.converged)
 
 
+def test_equal_models_share_an_e_step(spark, monkeypatch):
+    """All replicates start from one model, which is smoothed once; later each has its own."""
+    trans = pairs(spark, DATA).where("traj_id < 12")
+    weights = resample.bootstrap_weights(e1(spark, DATA).where("traj_id < 12"), 4, 0.9, 2)
+    seen, counted = [], em.hidden_stats
+    monkeypatch.setattr(em, "hidden_stats", lambda kept, models, *a: seen.append(len(models)) or counted(kept, models, *a))
+    fit = em.fit_em(trans, 1, 1, 1, init="user", start=m1(), max_iter=2, tol=0.0, weights=weights)
+    assert seen == [1, 4] and fit.models.count() == 4
+    alone = em.fit_em(trans, 1, 1, 1, init="user", start=m1(), max_iter=2, tol=0.0, weights=weights.where("split_id = 2"))
+    np.testing.assert_allclose(fit.every[2].friction, alone.every[2].friction, rtol=1e-10)
+
+
 def test_bootstrap_draws_reach_every_trajectory(spark):
     """Draws by 60 bits: each id is as likely as any other."""
     df = spark.range(40).select(F.col("id").alias("traj_id"))

@@ -105,15 +105,15 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
         starts = _starts(kept, dim_x, dim_h, n_basis, dt, init, start if init == "user" else None, n_init, seed, sig0)
         place = {j: (split, x.model_id) for j, (split, x) in enumerate((split, x) for split in splits for x in starts)}
         live = {j: StateModel(x.friction, x.force, x.noise, x.mu0, x.sig0, dt, j) for j, x in enumerate(starts * len(splits))}
-        split_of = F.element_at(F.array(*[F.lit(place[j][0]) for j in sorted(place)]), F.col("model_id") + 1)
         last, trace, best, done = {}, [], {}, {}
         begun = 0
         if resume is not None and (saved := _saved(spark, resume)):
             begun, live, best, last, done, trace = saved[0], *_restored(saved[1:], dim_x, dim_h, dt)
         for i in range(begun, max_iter if live else 0):
-            stats = hidden_stats(kept, list(live.values()))
-            if weights is not None:
-                stats = stats.withColumn("split_id", split_of)
+            if weights is None:
+                stats = hidden_stats(kept, list(live.values()))
+            else:
+                stats = _of_replicates(kept, live, {j: place[j][0] for j in live})
             rows = average_hidden(stats, dim_x, dim_h, n_basis, weights).collect()  # a row a start
             for row in rows:
                 key, model = row["model_id"], live[row["model_id"]]
@@ -152,6 +152,19 @@ def fit_em(trans: DataFrame, dim_x: int, dim_h: int, n_basis: int, dt: float = 1
     return Fit(spark.createDataFrame(rows, f"model_id int, {MODEL}"), spark.createDataFrame(trace, TRACE), every[splits[0]], every)
 
 
+def _of_replicates(kept: DataFrame, live: dict[int, StateModel], split_of: dict[int, int]) -> DataFrame:
+    """Statistics of every replicate's model, with its split. Replicates whose models are equal, as all
+    are at the start, share one E-step."""
+    first: dict[tuple, int] = {}
+    rows = []
+    for j, x in live.items():
+        content = tuple(np.asarray(getattr(x, k), float).tobytes() for k in ("friction", "force", "noise", "mu0", "sig0"))
+        rows.append((first.setdefault(content, j), j, split_of[j]))
+    stats = hidden_stats(kept, [live[j] for j in first.values()]).withColumnRenamed("model_id", "_first")
+    known = kept.sparkSession.createDataFrame(rows, "_first int, model_id int, split_id int")  # a row a replicate
+    return stats.join(F.broadcast(known), "_first").drop("_first")
+
+
 STATE = "key int, live boolean, friction array<double>, force array<double>, noise array<double>, mu0 array<double>, sig0 array<double>, best_ll double, last double, iterations int, converged boolean"
 
 
