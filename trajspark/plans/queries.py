@@ -678,3 +678,26 @@ def _(spark, sf_dir):
 SELECT t::DOUBLE AS t, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM e GROUP BY t""")
 def _(spark, sf_dir):
     return model.bands(model.memory_kernel(models(spark, sf_dir), 40, 0.5), ["t"]).select("t", r6("mean").alias("mean"), r6("p05").alias("p05"), r6("p95").alias("p95"))
+
+
+THREE = f"{TRANS}, pp AS MATERIALIZED (SELECT * FROM p), m0 AS (SELECT *, 0.0::DOUBLE AS mu0 FROM ({CONST})), " + ", ".join(f"m{i + 1} AS MATERIALIZED {em_sql(f'm{i}', 'pp')}" for i in range(3))
+
+
+@query("fitted_kernel", f"""WITH RECURSIVE {THREE} SELECT n::BIGINT AS n, (n * 0.5)::DOUBLE AS t, round(rv*f10*exp(-n*0.5*(1 - rh)) + CASE WHEN n = 0 THEN f00 ELSE 0 END, 6) + 0.0 AS value,
+  round(1 - rh, 6) + 0.0 AS rate, round(f00 + rv*f10/(1 - rh), 6) + 0.0 AS friction FROM m3, range(30) r(n)""")
+def _(spark, sf_dir):
+    """Kernel, time scale and friction of a model that three EM iterations have fitted."""
+    fitted = _fit(spark, sf_dir, 3).models
+    rates = model.memory_timescales(fitted).select("model_id", r6("re").alias("rate"))
+    friction = model.friction_matrix(fitted).select("model_id", r6("value").alias("friction"))
+    # one row a model
+    return model.memory_kernel(fitted, 30, 0.5).join(F.broadcast(rates), "model_id").join(F.broadcast(friction), "model_id").select("n", "t", r6("value").alias("value"), "rate", "friction")
+
+
+@query("fitted_kernel_bands", f"""WITH RECURSIVE {BOOT_STEP}, e AS (SELECT n * 0.5 AS t, -f01*f10*exp(-n*0.5*f11) + CASE WHEN n = 0 THEN f00 ELSE 0 END AS value FROM ns, range(30) r(n))
+SELECT t::DOUBLE AS t, round(avg(value), 6) + 0.0 AS mean, round(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95 FROM e GROUP BY t""")
+def _(spark, sf_dir):
+    """Bands of the kernels of bootstrap replicates with memory, each fitted by EM."""
+    weights = resample.bootstrap_weights(e1(spark, sf_dir), SPLITS, 0.9, SEED)
+    fit = em.fit_em(pairs(spark, sf_dir), 1, 1, 1, init="user", start=m1(), max_iter=1, weights=weights)
+    return model.bands(model.memory_kernel(fit.models, 30, 0.5), ["t"]).select("t", *[r6(c).alias(c) for c in ("mean", "p05", "p95")])
