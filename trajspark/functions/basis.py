@@ -151,8 +151,8 @@ class BinsBasis(Basis):
     def sparse(self, x: str | Column) -> Column:
         """One live bin an axis, and their products."""
         before = [sum(len(e) + 1 for e in self.edges[:a]) for a in range(self.dim_x)]
-        live = [[(self.index(x, a) + before[a], F.lit(1.0))] for a in range(self.dim_x)]
-        return _entries(live, sum(len(e) + 1 for e in self.edges), self.dim_x if self.combine else 1) if self.dim_x <= 2 or not self.combine else super().sparse(x)
+        live = F.array(*[_entry(self.index(x, a) + before[a], F.lit(1.0)) for a in range(self.dim_x)])
+        return _entries(live, self.dim_x, sum(len(e) + 1 for e in self.edges), self.dim_x if self.combine else 1) if self.dim_x <= 2 or not self.combine else super().sparse(x)
 
     def column(self, x: str | Column) -> Column:
         if self.n_basis > INLINE and (self.dim_x <= 2 or not self.combine):
@@ -269,19 +269,31 @@ def _rank(i: Column, j: Column, n: int) -> Column:
     return F.lit(n) + low * n - F.shiftright(low * (low - 1), 1) + high - low
 
 
-def _entries(live: list[list[tuple[Column, Column]]], n: int, degree: int) -> Column:
-    """(i, value) of live terms, a list of (term, value) an axis, and with degree 2 of their products."""
-    terms = [t for axis in live for t in axis]
-    out = list(terms)
-    if degree == 2:
-        out += [(_rank(i, j, n), v * w) for a, (i, v) in enumerate(terms) for j, w in terms[a:]]
-    return F.array(*[F.struct(i.cast("int").alias("i"), v.alias("value")) for i, v in out])
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is made once, however often fn has it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _entry(i: Column, value: Column) -> Column:
+    return F.struct(i.cast("int").alias("i"), value.alias("value"))
+
+
+def _entries(live: Column, count: int, n: int, degree: int) -> Column:
+    """(i, value) of `count` live terms of n, and with degree 2 of their products."""
+    if degree == 1:
+        return live
+
+    def products(terms: Column) -> Column:
+        at = [F.get(terms, F.lit(a)) for a in range(count)]
+        return F.concat(terms, F.array(*[_entry(_rank(p["i"], q["i"], n), p["value"] * q["value"]) for a, p in enumerate(at) for q in at[a:]]))
+
+    return let(live, products)
 
 
 def _filled(entries: Column, n: int) -> Column:
     """The dense array of (i, value), each i once."""
-    found = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(found, i), F.lit(0.0)))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    return let(F.map_from_entries(entries), lambda found: F.transform(every, lambda i: F.coalesce(F.element_at(found, i), F.lit(0.0))))
 
 
 class BSplineBasis(Basis):
@@ -325,23 +337,28 @@ class BSplineBasis(Basis):
             if len(knots) - k - 1 != each:
                 return super().sparse(x)
             breaks, first, live = live_splines(knots, k)
-        axes = []
         starts, firsts, known = numbers(breaks[:-1]), numbers(first), numbers(live)
-        for axis in range(self.dim_x):
+
+        def of_axis(axis: int) -> Column:
             v = _x(x, axis)
             if self.periodic:
                 v = F.pmod(v - self.low, F.lit(self.high - self.low)) + self.low
-            at = interval(v, breaks)
-            d = v - F.get(starts, at)
-            terms = []
-            for j in range(k + 1):
-                value = F.lit(0.0)
-                for p in range(k, -1, -1):
-                    value = value * d + F.get(known, (at * (k + 1) + j) * (k + 1) + p)
-                spline = F.get(firsts, at).cast("int") + j
-                terms.append(((F.pmod(spline, F.lit(each)) if self.periodic else spline) * self.dim_x + axis, value))
-            axes.append(terms)
-        return _entries(axes, each * self.dim_x, self.dim_x if self.combine else 1)
+
+            def terms(place: Column) -> Column:
+                out, at = [], place["at"]
+                d = place["v"] - F.get(starts, at)
+                for j in range(k + 1):
+                    value = F.lit(0.0)
+                    for p in range(k, -1, -1):
+                        value = value * d + F.get(known, (at * (k + 1) + j) * (k + 1) + p)
+                    spline = F.get(firsts, at).cast("int") + j
+                    out.append(_entry((F.pmod(spline, F.lit(each)) if self.periodic else spline) * self.dim_x + axis, value))
+                return F.array(*out)
+
+            return let(F.struct(v.alias("v"), interval(v, breaks).alias("at")), terms)
+
+        found = F.concat(*[of_axis(a) for a in range(self.dim_x)])
+        return _entries(found, (k + 1) * self.dim_x, each * self.dim_x, self.dim_x if self.combine else 1)
 
     def column(self, x: str | Column) -> Column:
         each = self.n_knots - 1 if self.periodic else self.n_knots
