@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from typing import NamedTuple
 
@@ -130,13 +129,19 @@ def _count_pairs(words: dict[bytes, int], top: int):
 
 def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Different rows of columns of whole numbers from 0 on, and how often each stands."""
-    sizes = [int(c.max(initial=0)) + 1 for c in columns]
-    if math.prod(sizes) < 1 << 63:
-        key = np.ravel_multi_index(columns, sizes)
-        found, k = np.unique(key, return_counts=True)
-        return list(np.unravel_index(found, sizes)), k
-    found, k = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
-    return list(found.T), k
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 63:
+        found, k = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+        return list(found.T), k
+    key = columns[0]
+    for c, b in zip(columns[1:], bits[1:], strict=True):
+        key = key << b | c
+    key, k = np.unique(key, return_counts=True)
+    out = []
+    for b in bits[:0:-1]:
+        out.append(key & (1 << b) - 1)
+        key = key >> b
+    return [key, *out[::-1]], k
 
 
 def _gain(n, before, chance):
