@@ -222,8 +222,7 @@ def test_sparse_is_dense(spark, monkeypatch, at):
     np.testing.assert_allclose(again, dense, atol=1e-12)
 
 
-@pytest.mark.parametrize("sparse", [False, True])
-@pytest.mark.parametrize("weight", ["trajectory", "transition"])
+@pytest.mark.parametrize(("sparse", "weight"), [(False, "trajectory"), (True, "transition")])
 def test_gram_partials(spark, monkeypatch, sparse, weight):
     """Statistics by partial matrices equal those by a column for each product, with and without weights."""
     df = e2(spark, DATA)
@@ -334,12 +333,11 @@ def test_many_lengths_are_one_batch():
     assert 1 < len(list(statespace._padded(short))) < 4
 
 
-@pytest.mark.parametrize("fan", [2, 3])
-def test_chunks_by_a_tree(spark, monkeypatch, fan):
+def test_chunks_by_a_tree(spark, monkeypatch):
     """Means at the ends of chunks, over several levels of a tree, equal those of whole trajectories."""
     trans = pairs(spark, DATA).where("traj_id < 4")
     want = rows_of(statespace.smooth_hidden(trans, m1()).select("traj_id", "step", F.round(F.get("mean", F.lit(0)), 9).alias("m"), "is_last"))
-    monkeypatch.setattr(statespace, "FAN", fan)
+    monkeypatch.setattr(statespace, "FAN", 3)
     got = rows_of(statespace.smooth_long(trans, m1(), 6).select("traj_id", "step", F.round(F.get("mean", F.lit(0)), 9).alias("m"), "is_last"))
     assert got == want
     whole = statespace.hidden_stats(trans, [m1(), _other()])
