@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ranges import with_steps
+from ..sources.ranges import with_steps, written
 
 #: Bins of a counting pass, over all open intervals; values of an interval that reach the driver at last.
 BINS, FEW = 8192, 4096
@@ -78,7 +78,8 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str
     those of the wanted ranks go on: no task holds a group in memory. What is null or not a number
     doesn't count; a group without values has nulls.
     """
-    rows = df.select(F.struct(*by).alias("traj_id"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v"))
+    # written, as it is read for counts, lengths and ranks
+    rows = written(df.select(F.struct(*by).alias("traj_id"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("_v")))
     sums = rows.groupBy("traj_id").agg(F.avg("_v").alias("mean"), F.count("_v").alias("_n"))
     places = {name: p * (F.col("_n") - 1) for name, p in wanted.items()}
     share = lambda at: F.greatest(F.lit(0.0), 1 - F.abs(F.col("step") - at))
