@@ -277,6 +277,15 @@ def test_merkle_edges(spark, odd, empty, fan):
     assert r.leaf == r.subroot == r.root == r.changed and r.path == []
 
 
+def test_merkle_plan(spark):
+    """The plan of the proofs does not grow with the height of the trees."""
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"), F.lit("x").alias("text"))
+    for few in (4, 300):
+        made = merkle.merkle_manifest(df.where(F.col("doc_id") < few))
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+        assert made.count() == few
+
+
 def test_merkle_numbers(spark):
     """Numbers of rows in a hot tree, among many trees and repeated rows."""
     rows = [("hot", i // 3) for i in range(3000)] + [(None, 1), (None, None)] + [(f"t{i}", 0) for i in range(40)]

@@ -83,13 +83,14 @@ def proofs(levels: list[DataFrame], above: DataFrame, fan: int) -> DataFrame:
     the root, then those of `above` (tree, path and what else belongs to a tree), which the root gets.
 
     From the top down, every node's path is its own siblings and its parent's path: one join a level,
-    of as many rows as the level has.
+    of as many rows as the level has. All levels but the leaves are written, so that no plan has more
+    joins than two, whatever the tree's height: one plan of all levels took the driver's memory.
     """
     found, more = None, [c for c in above.columns if c not in ("tree", "path")]
     for level in reversed(levels):
         at_root = level.where("n = 1").join(above, "tree")
         if found is not None:
-            up = found.select("tree", F.col("idx").alias("_up"), F.col("path").alias("_path"), *more)
+            up = materialise(found).select("tree", F.col("idx").alias("_up"), F.col("path").alias("_path"), *more)
             path = F.concat(F.array(F.struct("before", "after")), "_path").cast(PATH)
             below = level.where("n > 1").withColumn("_up", F.expr(f"idx div {fan}")).join(up, ["tree", "_up"]).withColumn("path", path).drop("_up", "_path")
             at_root = at_root.unionByName(below)
