@@ -364,6 +364,19 @@ def test_licences_in_documents(spark, licence_model):
     assert (got["n_licences"] > 0).sum() >= 35 and len(got) == docs.count()
 
 
+def test_licences_learn_from_all_documents(spark):
+    """The model and its threshold are of all documents, also of those that a sample by their ids' digests leaves out."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("5:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**32
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"))
+    plain, other = "the cat sat on the mat", "the license of a public moon and of other stars"
+    one, two = (licences.train_licences(df.withColumn("text", F.when(u >= 0.5, F.lit(t)).otherwise(F.lit(plain)))) for t in (plain, other))
+    assert abs(one.bias[0] - two.bias[0]) > 1e-3 and one.weights != two.weights
+    few = spark.createDataFrame([(x / 10,) for x in range(9)], "p double")
+    whole = few.union(spark.range(91).select(F.lit(1.0)))
+    assert licences._low_quantile(few, 100) == pytest.approx(whole.agg(F.percentile("p", F.lit(licences.FALSE_RATE))).first()[0])
+    assert licences._low_quantile(few.where("p < 0"), 50) == 1.0 and licences._low_quantile(few, 0) is None
+
+
 @pytest.mark.parametrize("name", ["version", "place", "run", "family", "probability"])
 def test_licences_with_any_id_column(spark, licence_model, name):
     """Ids of any name; repeated rows, one id with two texts, null ids and ties."""

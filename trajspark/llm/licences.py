@@ -105,9 +105,9 @@ REPORTS = (
     ("Unlike what was", "these files are closed and all rights are reserved."),
 )
 FAMILIES = (UNKNOWN, *sorted(TEMPLATES))
-#: Variants of each template; paragraphs of documents to learn "unknown" from, at most about.
+#: Variants of each template; as how many lines, at most, the lines of all documents weigh together.
 VARIANTS, PARAGRAPHS = 32, 4_000
-#: Share of held-out paragraphs without a licence that the threshold may let through.
+#: Share of held-out lines of documents that the threshold may let through.
 FALSE_RATE = 0.0005
 #: Share of held-out denials and reports that it may let through.
 HARD_RATE = 0.05
@@ -192,21 +192,27 @@ def reported(template: str) -> list[str]:
     return [f"{before} {inner[:1].lower()}{inner[1:]} {after}" for before, after in REPORTS]
 
 
-def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5) -> Model:
+def _own_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """k (a digest of its place), line of every line of the documents that holds a letter or digit."""
+    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "line"))
+    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select(F.xxhash64("id", "place").alias("k"), "line")
+
+
+def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Sparse multinomial logistic regression on words and word pairs.
 
     Licence paragraphs are variants of TEMPLATES: some words left out, some with a neighbouring
     sentence; "unknown" is variants of OTHERS, which have a licence's words, denials and reports of
-    templates, which a template would confirm, and about PARAGRAPHS lines of documents that no template
-    confirms, so the number of lines to learn from is bounded at every size. A fifth is held out to set
-    the threshold, by lines of documents and by denials and reports.
+    templates, which a template would confirm, and all lines of all documents that pass the scan's gate
+    and that no template confirms. Lines that fail the gate are never scored, so the classifier has
+    nothing to learn of them, and the scan lets none through: that is how they count for the threshold.
+    The lines of documents weigh together as PARAGRAPHS lines at most, so that the licences' share does
+    not fall with the documents' number. A fifth is held out to set the threshold, by lines of documents
+    and by denials and reports.
     """
     spark = docs.sparkSession
-    per = max(1, docs.count())
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2.0**32
-    few = docs.where(u < PARAGRAPHS / 4 / per)
-    lines = few.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("place", "line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    own = lines.select(tokens(F.col("line")).alias("w"), F.xxhash64("id", "place").alias("k")).where(F.pmod("k", F.lit(8)) < 4)
+    fits = lambda c: F.lower(c).rlike(_gate())
+    own = _own_lines(docs.where(fits(F.col(text_col))), id_col, text_col).where(fits(F.col("line"))).select(tokens(F.col("line")).alias("w"), "k")
     own = own.where(F.array_max(_template_shares(F.col("w"))) < CONFIRM)
     named = [{"label": FAMILIES.index(f), "text": t} for f in TEMPLATES for t in TEMPLATES[f]] + [{"label": 0, "text": t} for t in OTHERS]
     hard = [{"label": 0, "text": x} for ts in TEMPLATES.values() for t in ts if not t.startswith("SPDX") for x in denied(t) + reported(t)]
@@ -217,20 +223,40 @@ def train_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = base.withColumn("w", F.when(F.pmod("variant", F.lit(3)) == 2, F.concat("w", F.slice(spare, F.pmod("variant", F.lit(9)) + 1, F.lit(8)))).otherwise(F.col("w")))
     # words of denials and reports all stay, as without them they state a licence
     told = _table(spark, hard, "label double, text string").select("label", tokens(F.col("text")).alias("w"), F.xxhash64("text").alias("k"))
-    rows = base.select("label", "w", F.xxhash64("text", "variant").alias("k"), F.lit("made").alias("kind")).union(told.withColumn("kind", F.lit("hard"))).union(own.select(F.lit(0.0), "w", "k", F.lit("own")))
-    rows = materialise(rows.select("label", "kind", ngrams(F.col("w")).alias("grams"), (F.pmod("k", F.lit(5)) == 4).alias("held")))
-    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 13, minDF=3.0).fit(rows.where("kind <> 'own' and not held"))
-    learned = counts.transform(rows)
-    lr = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.3, maxIter=60, standardization=False).fit(learned.where("not held"))
-    held = lr.transform(learned.where("held and label = 0"))
-    # probability of "unknown" at the quantiles of held-out paragraphs
+    made = base.select("label", "w", F.xxhash64("text", "variant").alias("k"), F.lit("made").alias("kind")).union(told.withColumn("kind", F.lit("hard")))
+    apart = lambda rows: rows.select("label", "kind", ngrams(F.col("w")).alias("grams"), _held().alias("held"))
+    made = materialise(apart(made))
+    counts = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 13, minDF=3.0).fit(made.where("not held"))
+    own = apart(own.select(F.lit(0.0).alias("label"), "w", "k", F.lit("own").alias("kind")))
+    learned = materialise(counts.transform(made.union(own)).drop("grams"))
+    n_own = learned.where("kind = 'own' and not held").count()
+    weight = F.when(F.col("kind") == "own", F.lit(min(1.0, PARAGRAPHS / max(n_own, 1)))).otherwise(F.lit(1.0))
+    lr = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.3, maxIter=60, standardization=False, weightCol="weight").fit(learned.where("not held").withColumn("weight", weight))
+    # probability of "unknown" at the quantiles of held-out lines
     p = F.get(F.expr("from_json(to_json(struct(probability)), 'probability struct<values array<double>>').probability.values"), F.lit(0))
-    cuts = held.withColumn("p", p).agg(F.percentile(F.when(F.col("kind") == "own", F.col("p")), F.lit(FALSE_RATE)), F.percentile(F.when(F.col("kind") == "hard", F.col("p")), F.lit(HARD_RATE))).first()
+    held = lr.transform(learned.where("held and label = 0")).select("kind", p.alias("p"))
+    n_held = _own_lines(docs, id_col, text_col).where(_held()).count()
+    cuts = [_low_quantile(held.where("kind = 'own'"), n_held), held.where("kind = 'hard'").agg(F.percentile("p", F.lit(HARD_RATE))).first()[0]]
     matrix = lr.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(counts.vocabulary) if abs(matrix[:, i]).max() > 1e-9}
     return Model(weights, [float(x) for x in lr.interceptVector], max(0.5, *(1 - c for c in cuts if c is not None)))
 
 
+def _held() -> Column:
+    """Whether a line, by its digest k, is of the fifth that is held out."""
+    return F.pmod("k", F.lit(5)) == 4
+
+
+def _low_quantile(held: DataFrame, n: int) -> float | None:
+    """The quantile FALSE_RATE of p in held and as many ones as make n rows of it; none of no rows."""
+    if not n:
+        return None
+    low, part = divmod(FALSE_RATE * (n - 1), 1)
+    found = [r[0] for r in held.select("p").orderBy("p").offset(int(low)).limit(2).collect()]
+    a, b = (found + [1.0, 1.0])[:2]
+    return a + part * (b - a)
+
+
 def _template_shares(words: Column) -> Column:
     """For each family the largest share of a template's words that the words hold."""
     shares = []
