@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .ranges import Shifted, with_steps
 
 
-def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, max_length: int | None = None, bad_rows: str = "raise") -> DataFrame:
+def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, max_length: int | None = None, bad_rows: str = "raise", named: bool = False) -> DataFrame:
     """Text files of one trajectory each: white-space columns t x_1 .. x_d, # comments. Time starts
     at the first row's; only the first max_length rows count.
 
+    With named, a column before these has the trajectory's name, which is its traj_id: files hold rows
+    of any trajectories then, so that many short ones need no file each.
+
     Rows are in order of time, and those of one time in order of their text. A row with fewer columns,
     or with a time or value that is no number (nan and infinities are numbers; a nan time is bad), is
     bad: by "raise" reading it is an error that shows the row, by "drop" it is left out and the other
@@ -19,7 +22,7 @@ def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, m
     """
     if bad_rows not in ("raise", "drop"):
         raise ValueError(f"bad_rows is raise or drop, not {bad_rows}")
-    rows = _cells(spark, paths, dim_x)
+    rows = _cells(spark, paths, dim_x, named)
     if bad_rows == "raise":
         told = F.raise_error(F.concat(F.lit("bad row in "), "traj_id", F.lit(": "), "line"))
         rows = rows.withColumn("t", F.when(F.col("bad"), told.cast("double")).otherwise(F.col("t")))
@@ -29,17 +32,20 @@ def read_trajectories(spark: SparkSession, paths: str | list[str], dim_x: int, m
     return out if max_length is None else out.where(F.col("step") < max_length)
 
 
-def _cells(spark: SparkSession, paths: str | list[str], dim_x: int) -> DataFrame:
+def _cells(spark: SparkSession, paths: str | list[str], dim_x: int, named: bool) -> DataFrame:
     """traj_id, line, t, x, bad of the rows of text files."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("traj_id"), F.trim(F.regexp_replace("value", r"#.*|\s", " ")).alias("line"))
-    cells = lines.where("line <> ''").withColumn("c", F.slice(F.transform(F.split("line", r"\s+"), lambda c: c.try_cast("double")), 1, dim_x + 1))
+    lines = lines.where("line <> ''").withColumn("_parts", F.split("line", r"\s+"))
+    if named:
+        lines = lines.withColumns({"traj_id": F.get("_parts", F.lit(0)), "_parts": F.slice("_parts", 2, dim_x + 1)})
+    cells = lines.withColumn("c", F.slice(F.transform("_parts", lambda c: c.try_cast("double")), 1, dim_x + 1))
     bad = (F.size("c") <= dim_x) | F.exists("c", lambda c: c.isNull()) | F.isnan(F.get("c", F.lit(0)))
     return cells.select("traj_id", "line", F.get("c", F.lit(0)).alias("t"), F.slice("c", 2, dim_x).alias("x"), bad.alias("bad"))
 
 
-def count_bad_rows(spark: SparkSession, paths: str | list[str], dim_x: int) -> DataFrame:
+def count_bad_rows(spark: SparkSession, paths: str | list[str], dim_x: int, named: bool = False) -> DataFrame:
     """traj_id, n_rows, n_bad, example (a bad row) of text files, as read_trajectories would read them."""
-    rows = _cells(spark, paths, dim_x)
+    rows = _cells(spark, paths, dim_x, named)
     return rows.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("n_bad"), F.min(F.when(F.col("bad"), F.col("line"))).alias("example"))
 
 
