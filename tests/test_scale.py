@@ -333,6 +333,34 @@ def test_many_lengths_are_one_batch():
     assert 1 < len(list(statespace._padded(short))) < 4
 
 
+def test_chunks_of_many_trajectories(spark):
+    """No group of Python is a trajectory's: of many short ones a group has many. Series in one frame give what each gives."""
+    trans = pairs(spark, DATA)
+    dealt = statespace.grouped(trans, chunk_rows=6, keep=False)
+    plan = statespace._chunk_ends(dealt.where("cut"), [m1()])._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "FlatMapGroupsInPandas" in line]
+    assert len(keys) == 2 and not any("traj_id" in k for k in keys)
+    rng = np.random.default_rng(4)
+    sizes = [1, 7, 2, 4]
+    frame = pd.DataFrame({"model_id": 0, "traj_id": np.repeat([None, 2, 5, 9], sizes)} | {k: list(rng.normal(size=(sum(sizes), n))) for k, n in (("a", 4), ("b", 2), ("p", 4), ("q", 4), ("s", 2))})
+    at = statespace._series(frame, ["model_id", "traj_id"])
+    assert at.tolist() == [0, 1, 8, 10]
+    one, end = rng.normal(size=(2, 4, 2))
+    starts, ends = statespace._followed(frame, 2, at, one, end)
+    whole = statespace._composed(frame, 2, at)
+    square = {k: np.stack(frame[k]).reshape(-1, 2, 2) for k in "apq"}
+    for i, (low, n) in enumerate(zip(at, sizes, strict=True)):
+        x, y = [one[i]], [end[i]]
+        for j in range(low, low + n):
+            x.append(square["a"][j] @ x[-1] + frame["b"][j])
+        for j in range(low + n - 1, low - 1, -1):
+            y.append(square["p"][j] @ x[j - low] + square["q"][j] @ y[-1] + frame["s"][j])
+        np.testing.assert_allclose(starts[low : low + n], x[:-1], atol=1e-9)
+        np.testing.assert_allclose(ends[low : low + n], y[:-1][::-1], atol=1e-9)
+        np.testing.assert_allclose(whole["a"][i].reshape(2, 2) @ one[i] + whole["b"][i], x[-1], atol=1e-9)
+        np.testing.assert_allclose(whole["p"][i].reshape(2, 2) @ one[i] + whole["q"][i].reshape(2, 2) @ end[i] + whole["s"][i], y[-1], atol=1e-9)
+
+
 def test_chunks_by_a_tree(spark, monkeypatch):
     """Means at the ends of chunks, over several levels of a tree, equal those of whole trajectories."""
     trans = pairs(spark, DATA).where("traj_id < 4")

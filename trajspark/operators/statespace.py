@@ -293,40 +293,58 @@ def _listed(a: np.ndarray, n: int) -> list:
     return list(np.asarray(a, float).reshape(n, -1))
 
 
-def _composed(frame, m: int) -> dict[str, np.ndarray]:
-    """The maps of chunks that follow each other, as one map. Neighbours are joined pairwise, so that
-    all pairs of a level are one product."""
-    a, p, q = (np.stack([np.reshape(x, (m, m)) for x in frame[k]]) for k in "apq")
-    b, s = (np.stack(frame[k].to_numpy())[:, :, None] for k in "bs")
-    while len(a) > 1:
-        n = len(a) // 2 * 2
-        one, two = slice(0, n, 2), slice(1, n, 2)
-        rest = slice(n, len(a))
-        joined = (
-            a[two] @ a[one],
-            a[two] @ b[one] + b[two],
-            p[one] + q[one] @ p[two] @ a[one],
-            q[one] @ q[two],
-            s[one] + q[one] @ (p[two] @ b[one] + s[two]),
-        )
-        a, b, p, q, s = (np.concatenate([x, y[rest]]) for x, y in zip(joined, (a, b, p, q, s), strict=True))
-    return {"a": a[0].ravel(), "b": b[0].ravel(), "p": p[0].ravel(), "q": q[0].ravel(), "s": s[0].ravel()}
-
-
-def _followed(frame, m: int, start: np.ndarray, end: np.ndarray | None) -> tuple[list, list]:
-    """Filtered means at the starts and smoothed ones at the ends of chunks that follow each other,
-    from the filtered mean at the first start and the smoothed one at the last end (None: the last
-    filtered mean)."""
-    square = {k: [np.reshape(x, (m, m)) for x in frame[k]] for k in "apq"}
-    starts, ends = [start], []
-    for a, b in zip(square["a"], frame["b"], strict=True):
-        starts.append(a @ starts[-1] + b)
-    last = starts.pop()
-    y = last if end is None else end
-    for p, q, s, x in reversed(list(zip(square["p"], square["q"], frame["s"], starts, strict=True))):
-        ends.append(y)
-        y = p @ x + q @ y + s
-    return starts, ends[::-1]
+def _series(frame, keys: list[str]) -> np.ndarray:
+    """Where the rows of each different keys begin in a frame that is sorted by them."""
+    begins = np.zeros(len(frame), bool)
+    begins[:1] = True
+    for c in keys:
+        x = frame[c].to_numpy()
+        null = x != x  # pandas has nulls of numbers as NaN, which are one series
+        begins[1:] |= (x[1:] != x[:-1]) & ~(null[1:] & null[:-1])
+    return np.flatnonzero(begins)
+
+
+def _maps_of(frame, m: int) -> list[np.ndarray]:
+    shapes = {"a": (m, m), "b": (m, 1), "p": (m, m), "q": (m, m), "s": (m, 1)}
+    return [np.reshape(np.stack(frame[k].to_numpy()), (-1, *shape)) for k, shape in shapes.items()]
+
+
+def _composed(frame, m: int, start: np.ndarray) -> dict[str, list]:
+    """The maps of chunks that follow each other, as one map for each series of them, which begin at
+    start. Neighbours are joined pairwise, so that all pairs of a level are one product."""
+    maps = _maps_of(frame, m)
+    of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(frame)]))
+    place = np.arange(len(frame)) - start[of]
+    while len(of) > len(start):
+        kept = np.flatnonzero(place % 2 == 0)
+        paired = np.r_[of, -1][kept + 1] == of[kept]
+        one = kept[paired]
+        (a, b, p, q, s), (a2, b2, p2, q2, s2) = ([x[at] for x in maps] for at in (one, one + 1))
+        maps = [x[kept] for x in maps]
+        for x, joined in zip(maps, (a2 @ a, a2 @ b + b2, p + q @ p2 @ a, q @ q2, s + q @ (p2 @ b + s2)), strict=True):
+            x[paired] = joined
+        of, place = of[kept], place[kept] // 2
+    return {k: _listed(x, len(start)) for k, x in zip("abpqs", maps, strict=True)}
+
+
+def _followed(frame, m: int, start: np.ndarray, first: np.ndarray, end: np.ndarray | None) -> tuple[list, list]:
+    """Filtered means at the starts and smoothed ones at the ends of chunks that follow each other, in
+    series that begin at start; from the filtered mean `first` at the start of each series and the
+    smoothed one at its end (None: the last filtered mean). All series take a step at a time."""
+    a, b, p, q, s = _maps_of(frame, m)
+    size = np.diff(np.r_[start, len(frame)])
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    at = [start[: int(np.searchsorted(-size, -t))] + t for t in range(size[0])]
+    x, starts, ends = first[order][:, :, None], np.empty_like(b), np.empty_like(b)
+    for rows in at:
+        starts[rows] = x[: len(rows)]
+        x[: len(rows)] = a[rows] @ x[: len(rows)] + b[rows]
+    y = x if end is None else end[order][:, :, None]
+    for rows in at[::-1]:
+        ends[rows] = y[: len(rows)]
+        y[: len(rows)] = p[rows] @ starts[rows] + q[rows] @ y[: len(rows)] + s[rows]
+    return _listed(starts, len(b)), _listed(ends, len(b))
 
 
 def _chunk_ends(chunks: DataFrame, models: list[StateModel], fan: int | None = None) -> DataFrame:
@@ -335,7 +353,7 @@ def _chunk_ends(chunks: DataFrame, models: list[StateModel], fan: int | None = N
 
     Means of filter and smoother are affine in the mean before (or after), with matrices that don't
     depend on data. So a chunk is one row of affine maps. Up to `fan` maps of a trajectory are followed
-    forwards and back in one group. Of more, each `fan` are composed to one map, and so on up a tree
+    forwards and back in one group, which has many trajectories. Of more, each `fan` are composed to one map, and so on up a tree
     until a trajectory has few; then the means at their ends go down the tree again.
     """
     import pandas as pd
@@ -352,34 +370,43 @@ def _chunk_ends(chunks: DataFrame, models: list[StateModel], fan: int | None = N
         return pd.concat(out) if out else None
 
     def chained(frame):
-        frame = frame.sort_values("chunk")
-        starts, ends = _followed(frame, m, known[frame["model_id"].iloc[0]].mu0, None)
-        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends)
+        if not len(frame):
+            return frame[named].assign(start=[], end=[])
+        frame = frame.sort_values(["model_id", "traj_id", "chunk"])
+        at = _series(frame, ["model_id", "traj_id"])
+        begins = np.stack([known[i].mu0 for i in frame["model_id"].to_numpy()[at]])
+        starts, ends = _followed(frame, m, at, begins, None)
+        return frame[named].assign(start=starts, end=ends)
 
     def composed(frame):
-        frame = frame.sort_values("chunk")
-        row = {"grp": 0, "model_id": frame["model_id"].iloc[0], "traj_id": frame["traj_id"].iloc[0], "chunk": frame["chunk"].iloc[0] // fan}
-        return pd.DataFrame([row | _composed(frame, m)])
+        frame = frame.sort_values(["model_id", "traj_id", "chunk"])
+        at = _series(frame, ["model_id", "traj_id", "_up"])
+        of = frame.iloc[at]
+        return pd.DataFrame({"grp": 0, "model_id": of["model_id"], "traj_id": of["traj_id"], "chunk": of["_up"]}).assign(**_composed(frame, m, at))
 
     def below(frame, above):
         if not len(frame):
-            return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=[], end=[])
-        frame = frame.sort_values("chunk")
-        starts, ends = _followed(frame, m, above["start"].iloc[0], above["end"].iloc[0])
-        return frame[["grp", "model_id", "traj_id", "chunk"]].assign(start=starts, end=ends)
+            return frame[named].assign(start=[], end=[])
+        frame, above = frame.sort_values(["model_id", "traj_id", "chunk"]), above.sort_values(["model_id", "traj_id", "chunk"])
+        at = _series(frame, ["model_id", "traj_id", "_up"])
+        starts, ends = _followed(frame, m, at, *(np.stack(above[c].to_numpy()) for c in ("start", "end")))
+        return frame[named].assign(start=starts, end=ends)
 
+    named = ["grp", "model_id", "traj_id", "chunk"]
     key = f"grp int, model_id int, traj_id {kind}, chunk long, "
     shape, ends = key + ", ".join(f"{k} array<double>" for k in "abpqs"), key + "start array<double>, end array<double>"
     levels = [chunks.groupBy("grp").applyInPandas(mapped, shape)]
-    most = (chunks.agg(F.max("chunk")).first()[0] or 0) + 1
+    most, groups = chunks.agg(F.max("chunk"), F.max("grp")).first()
+    most = (most or 0) + 1
+    # a task takes many trajectories at once: of many short ones, a group each costs more than its rows
+    dealt = lambda df, up: df.withColumns({"_up": up, "_deal": F.pmod(F.xxhash64("model_id", "traj_id", up), F.lit((groups or 0) + 1))}).groupBy("_deal")
     while most > fan:
         levels[-1] = written(levels[-1])  # read on the way up and on the way down
-        levels.append(levels[-1].withColumn("_up", F.expr(f"chunk div {fan}")).groupBy("model_id", "traj_id", "_up").applyInPandas(composed, shape))
+        levels.append(dealt(levels[-1], F.expr(f"chunk div {fan}")).applyInPandas(composed, shape))
         most = -(-most // fan)
-    found = levels.pop().groupBy("model_id", "traj_id").applyInPandas(chained, ends)
+    found = dealt(levels.pop(), F.lit(0).cast("long")).applyInPandas(chained, ends)
     while levels:
-        up = levels.pop().withColumn("_up", F.expr(f"chunk div {fan}")).groupBy("model_id", "traj_id", "_up")
-        found = up.cogroup(found.withColumn("_up", F.col("chunk")).groupBy("model_id", "traj_id", "_up")).applyInPandas(below, ends)
+        found = dealt(levels.pop(), F.expr(f"chunk div {fan}")).cogroup(dealt(found, F.col("chunk"))).applyInPandas(below, ends)
     return found
 
 
