@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, labels, materialise
@@ -151,7 +151,8 @@ def _gain(n, before, chance):
 
 def _texts_and_pairs(v: Vocabulary, id_col: str):
     """A row a text (k 0; its words and losses x, y by single words and pairs of the top places), and a
-    row each other pair in it: group, key, row of the text, k times, whether the text is of the target."""
+    row each other pair in it: group, key, row of the text, k: twice how often it stands there, and one
+    more if the text is of the target."""
     frequent = len(v.places) + 1
 
     def rows(batches):
@@ -184,10 +185,10 @@ def _texts_and_pairs(v: Vocabulary, id_col: str):
                 ids = row + np.arange(texts)
                 own_ids = batch.column(id_col).slice(i, j - i)
                 columns = [np.r_[ids, group], np.r_[ids, key], np.r_[ids, ids[of]], np.r_[np.zeros(texts, np.int64), k * 2 + own]]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, columns), pa.concat_arrays([pa.array(n), pa.nulls(pairs, pa.int64())]), *(pa.concat_arrays([pa.array(x), none]) for x in losses), pa.concat_arrays([own_ids, pa.nulls(pairs, own_ids.type)])],
-                    ["group", "key", "row", "k", "n", "x", "y", id_col],
-                )
+                # one column for what only texts have, so that the rows of pairs are short
+                values = [pa.concat_arrays([pa.array(n), pa.nulls(pairs, pa.int64())]), *(pa.concat_arrays([pa.array(x), none]) for x in losses), pa.concat_arrays([own_ids, pa.nulls(pairs, own_ids.type)])]
+                of_text = pa.StructArray.from_arrays(values, ["n", "x", "y", id_col], mask=pa.array(np.arange(texts + pairs) >= texts))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), of_text], ["group", "key", "row", "k", "of_text"])
                 row += texts
                 if len(places.digests) > REMEMBERED:
                     places = _Places(v.places)
@@ -195,6 +196,68 @@ def _texts_and_pairs(v: Vocabulary, id_col: str):
     return rows
 
 
+def _losses_of_pairs(context: np.ndarray, chance: np.ndarray, id_col: str):
+    """Rows of _texts_and_pairs, in order of their group, as row, n, l0, l1, id_col: what a text starts
+    from, and by how much each pair that another text has too lowers its losses. A task holds a batch
+    and the rows of one group."""
+
+    def lowered(group, key, row, k):
+        n_rare = int(np.searchsorted(group, 0))  # only groups of a rare first word have several keys
+        order = np.r_[np.lexsort((key[:n_rare], group[:n_rare])), np.arange(n_rare, len(group))]
+        key, row, own, k = key[order], row[order], k[order] & 1, k[order] >> 1
+        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
+        start = np.flatnonzero(new)
+        size = np.diff(np.r_[start, len(group)])
+        shared = np.flatnonzero(np.repeat(size > 1, size))
+        mine = [k * (1 - own), k * own]
+        pair = (np.cumsum(new) - 1)[shared]
+        of_pair = [np.add.reduceat(x, start)[pair] for x in mine]
+        a_rare = shared[shared < n_rare]
+        firsts = group[:n_rare]
+        begins = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]][:n_rare])
+        of_group = [np.add.reduceat(x[:n_rare], begins)[np.searchsorted(begins, a_rare, "right") - 1] if n_rare else x[:0] for x in mine]
+        key, k, rare_a = key[shared], k[shared], shared < n_rare
+        rare_b = (key >= SECOND_RARE) | (key < 0) & (key >= -SECOND_RARE)
+        digits = (key & SECOND_RARE - 1) >> DIGEST_BITS
+        a = np.where(rare_b, digits, key >> 20)[~rare_a]
+        b = np.where(rare_b, -1, np.where(rare_a, digits, key & (1 << 20) - 1))  # the last is any rare word's
+        losses = []
+        for r in (0, 1):
+            before = np.r_[of_group[r], context[r][a]]
+            losses.append(-k * _gain(of_pair[r] - mine[r][shared], before - mine[r][shared], chance[r][b]))
+        return row[shared], losses
+
+    def rows(batches):
+        held, kind = [], None
+
+        def out():
+            row, losses = lowered(*map(np.concatenate, zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), *map(pa.array, losses), pa.nulls(len(row), kind)], ["row", "n", "l0", "l1", id_col])
+
+        for batch in batches:
+            group, key, row, k = (batch.column(c).to_numpy() for c in ("group", "key", "row", "k"))
+            texts = np.flatnonzero(k == 0)
+            n, x, y, ids = batch.column("of_text").take(pa.array(texts)).flatten()
+            kind = ids.type
+            if len(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(row[texts]), n, x, y, ids], ["row", "n", "l0", "l1", id_col])
+            pairs = np.flatnonzero(k)
+            if not len(pairs):
+                continue
+            columns = [c[pairs] for c in (group, key, row, k)]
+            # the last group may go on in the next batch
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut or held and held[-1][0][-1] != columns[0][0]:
+                held.append([c[:cut] for c in columns])
+                yield out()
+                held.clear()
+            held.append([c[cut:] for c in columns])
+        if held:
+            yield out()
+
+    return rows
+
+
 def learn_vocabulary(marked: DataFrame, vocabulary: int = VOCABULARY, top: int = TOP) -> Vocabulary:
     """Counts of all words, of which the most frequent are kept, and of the pairs of the `top` ones."""
     counted = materialise(marked.mapInArrow(_count_words, "word binary, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
@@ -230,42 +293,22 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     and only those that another text has too go back to their texts. A pair's probability is its share
     of the pairs that its first word begins, whatever the word's frequency. Pairs of the `top` words,
     which are the hottest, are counted apart; a group is one other pair, or all pairs of one rare first
-    word, and is a window in one task: it has as many rows as texts have such a pair. Single
+    word, and lies in one task: it has as many rows as texts have such a pair. Single
     counts are exact for the `vocabulary` most frequent words; rarer ones share their mean.
 
     Null, empty or blank text: 0 words, the rest null; texts may be of any length. Repeated rows are
     scored each, and count as other documents to each other. Null ids are never of the target; rows
     without target count only for the background. Other columns are ignored. An empty table gives none.
     """
-    spark = docs.sparkSession
     kind = docs.select(F.col(id_col).alias("_id")).schema["_id"].dataType.simpleString()
     ids = materialise(target.select(F.col(id_col).alias("_id"), F.lit(True).alias("target")).where("_id is not null").distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     v = learn_vocabulary(marked.select("text", "target"), vocabulary, top)
-    rows = marked.mapInArrow(_texts_and_pairs(v, "_id"), f"group long, key long, row long, k long, n long, x double, y double, _id {kind}")
-    rows = rows.select("group", "key", "row", F.expr("k div 2").alias("k"), (F.col("k") % 2).alias("own"), "n", "x", "y", "_id")
-
-    by_group = Window.partitionBy("group").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_pair = Window.partitionBy("group", "key")
-    mine = [F.col("k") * (1 - F.col("own")), F.col("k") * F.col("own")]
-    met = rows.withColumns({f"g{r}": F.sum(mine[r]).over(by_group) for r in (0, 1)})
-    met = met.withColumns({f"p{r}": F.sum(mine[r]).over(by_pair) for r in (0, 1)}).where((F.col("k") == 0) | (F.col("p0") + F.col("p1") > F.col("k")))
-    digits = F.shiftright(F.col("key").bitwiseAND(F.lit(SECOND_RARE - 1)), DIGEST_BITS)
-    rare_a, rare_b = F.col("group") < 0, (F.col("key") >= SECOND_RARE) | (F.col("key") < 0) & (F.col("key") >= -SECOND_RARE)
-    a = F.when(rare_a | (F.col("k") == 0), F.lit(-1)).when(rare_b, digits).otherwise(F.shiftright("key", 20))
-    b = F.when(rare_b | (F.col("k") == 0), F.lit(-1)).when(rare_a, digits).otherwise(F.col("key").bitwiseAND(F.lit((1 << 20) - 1)))
-    table = pa.table({"place": np.arange(v.context.shape[1]), **{f"s{r}": v.context[r] for r in (0, 1)}, **{f"c{r}": v.chance[r][:-1] for r in (0, 1)}})
-    words = spark.createDataFrame(table)  # of `vocabulary` rows: small enough to send to every task
-    met = met.withColumns({"a": a, "b": b})
-    met = met.join(F.broadcast(words.select(F.col("place").alias("a"), "s0", "s1")), "a", "left").join(F.broadcast(words.select(F.col("place").alias("b"), "c0", "c1")), "b", "left")
-
-    def loss(r: int, own: str) -> F.Column:
-        before = F.greatest(F.coalesce(f"s{r}", f"g{r}") - mine[r], F.lit(1))
-        gain = F.log1p(PAIR_WEIGHT / (1 - PAIR_WEIGHT) * (F.col(f"p{r}") - mine[r]) / before / F.coalesce(f"c{r}", F.lit(float(v.chance[r][-1]))))
-        return F.sum(F.when(F.col("k") == 0, F.col(own)).otherwise(-F.col("k") * gain)).alias(f"l{r}")
-
-    sums = met.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.max("n").alias("n_words"), loss(0, "x"), loss(1, "y"))
+    rows = marked.mapInArrow(_texts_and_pairs(v, "_id"), f"group long, key long, row long, k long, of_text struct<n: long, x: double, y: double, _id: {kind}>")
+    dealt = rows.repartition("group").sortWithinPartitions("group")
+    lowered = dealt.mapInArrow(_losses_of_pairs(v.context, v.chance, "_id"), f"row long, n long, l0 double, l1 double, _id {kind}")
+    sums = lowered.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.max("n").alias("n_words"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
     ce = [F.when(F.col("n_words") > 0, F.col(f"l{r}") / F.col("n_words")) for r in (0, 1)]
     return sums.select(id_col, "n_words", ce[1].alias("ce_target"), ce[0].alias("ce_background"), (ce[1] - ce[0]).alias("score"))
 
