@@ -402,6 +402,22 @@ def test_lm_scoring_tells_apart(spark):
     assert got["ce_background"][range(1, 41, 2)].max() < got["ce_background"][range(41, 200, 2)].min()
 
 
+@pytest.mark.parametrize(("buckets", "most"), [(1, 1_000_000), (7, 1_000_000), (100_000, 500)])
+def test_lm_pairs_travel_by_bucket(spark, docs, buckets, most):
+    """A row a text and one a bucket of many texts' pairs, not one a pair; losses don't depend on buckets."""
+    d = documents(spark, DATA).select(F.col("doc_id").alias("_id"), "text", (F.col("doc_id") % 3 == 0).alias("target")).coalesce(2)
+    v = lm_scoring.learn_vocabulary(d, 300, 20)
+    packed = "bucket long, first long, groups binary, keys binary, rows binary, ks binary, of_text struct<row: long, n: long, x: double, y: double, _id: long>"
+    rows = d.mapInArrow(lm_scoring._texts_and_pairs(v, "_id", buckets, most), packed)
+    dealt = rows.agg(F.count("of_text"), F.count("keys"), F.sum(F.octet_length("keys")) / 8).first()
+    assert dealt[0] == len(docs) and dealt[2] > 20_000 and (most == 500 or dealt[1] <= 2 * buckets)
+    sums = rows.groupBy("bucket").applyInArrow(lm_scoring._losses_of_pairs(v.context, v.chance, "_id"), "row long, n long, l0 double, l1 double, _id long").groupBy("row").agg(F.max("_id").alias("_id"), F.max("n").alias("n"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1")).toPandas().set_index("_id")
+    texts = list(zip(docs["doc_id"].tolist(), docs["text"].tolist(), strict=True))
+    for (i, _), (background, target) in zip(texts, brute_losses(texts, {i for i, _ in texts if i % 3 == 0}, 300), strict=True):
+        if background is not None:
+            assert abs(sums["l0"][i] / sums["n"][i] - background) < 1e-9 and abs(sums["l1"][i] / sums["n"][i] - target) < 1e-9
+
+
 def test_search_repeated_queries_and_ties(spark):
     """A query that stands twice is one query; among equal scores smaller ids win, also at the last rank."""
     rows = [(i, "tie one two") for i in range(30)] + [(40 + i, f"tie {i} other words") for i in range(30)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from typing import NamedTuple
 
@@ -23,6 +24,9 @@ PAIR_WEIGHT, ADDED = 0.6, 0.5
 BROADCAST_IDS = 1_000_000
 #: Words that a task holds at once, and words that it remembers.
 AT_ONCE, REMEMBERED = 200_000, 250_000
+#: Pairs of a bucket on the average, pairs that a task holds before it deals them to buckets, and buckets
+#: of a shuffle partition at least.
+BUCKET, HELD, SPREAD = 500_000, 1_000_000, 4
 #: Keys of pairs: bits of a frequent word beside the digest of a rare one, and the first key with a rare
 #: second word. A rare first word's pairs have the sign bit.
 DIGEST_BITS, SECOND_RARE = 45, 1 << 62
@@ -36,6 +40,7 @@ class Vocabulary(NamedTuple):
     pairs: np.ndarray  # counts of pairs of the first `top` places, row by row
     chance: np.ndarray  # probability of a single word by place; the last is that of any rarer word
     top: int
+    words: int  # of all texts
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -149,14 +154,42 @@ def _gain(n, before, chance):
     return np.log1p(PAIR_WEIGHT / (1 - PAIR_WEIGHT) * n / np.maximum(before, 1) / chance)
 
 
-def _texts_and_pairs(v: Vocabulary, id_col: str):
-    """A row a text (k 0; its words and losses x, y by single words and pairs of the top places), and a
-    row each other pair in it: group, key, row of the text, k: twice how often it stands there, and one
-    more if the text is of the target."""
+def _dealt(buckets: int, first: int, held: list[list[np.ndarray]]):
+    """Columns of a row a bucket: bucket, first, and its pairs' arrays as bytes. `held` has parts of the
+    groups, keys, rows above `first` and k of pairs. Only a group of a rare first word differs from the key."""
+    group, key, row, k = map(np.concatenate, zip(*held, strict=True))
+    bucket = ((group.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+    # sorts of 16 bits take a pass a byte
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    bucket, group, key = bucket[order].astype(np.int64), group[order], key[order]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[start, len(key)]
+    rare = np.r_[0, np.cumsum(key < 0)][ends]
+    packed = [(group[key < 0], rare), (key, ends), ((row[order] - first).astype(np.uint32), ends), (k[order].astype(np.uint32), ends)]
+    # bytes of a flush are far below the 2 GB that offsets of 32 bits reach
+    blobs = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x, at in packed]
+    return [pa.array(bucket[start]), pa.array(np.full(len(start), first)), *blobs]
+
+
+#: Columns of pairs that were dealt to buckets.
+PACKED = ("groups", "keys", "rows", "ks")
+
+
+def _texts_and_pairs(v: Vocabulary, id_col: str, buckets: int, most: int = HELD):
+    """A row a text (of_text: its row, words and losses x, y by single words and pairs of the top places),
+    and the other pairs of many texts as a row a bucket, which their groups choose: group, key, row of the
+    text, and k: twice how often the pair stands there, and one more if the text is of the target."""
     frequent = len(v.places) + 1
 
     def rows(batches):
         places, row = _Places(v.places), TaskContext.get().partitionId() << 40
+        held, n_held, first, kind = [], 0, row, None
+
+        def out():
+            columns = _dealt(buckets, first, held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), kind)], ["bucket", "first", *PACKED, "of_text"])
+
         for batch in batches:
             wanted = np.array(batch.column("target").to_pylist(), bool)
             for i, j, found in _slices(batch):
@@ -181,79 +214,71 @@ def _texts_and_pairs(v: Vocabulary, id_col: str):
                     # a rare first word's pairs meet in one group, which counts it; the sign bit marks them
                     key = np.where(rare_a, np.where(rare_b, -SECOND_RARE + (da * 31 + db & SECOND_RARE - 1), np.iinfo(np.int64).min + (b << DIGEST_BITS | da & low)), key)
                 group = np.where(rare_a, -SECOND_RARE + da, key)
-                texts, pairs, none = len(n), len(key), pa.nulls(len(key), pa.float64())
-                ids = row + np.arange(texts)
+                ids = row + np.arange(len(n))
                 own_ids = batch.column(id_col).slice(i, j - i)
-                columns = [np.r_[ids, group], np.r_[ids, key], np.r_[ids, ids[of]], np.r_[np.zeros(texts, np.int64), k * 2 + own]]
-                # one column for what only texts have, so that the rows of pairs are short
-                values = [pa.concat_arrays([pa.array(n), pa.nulls(pairs, pa.int64())]), *(pa.concat_arrays([pa.array(x), none]) for x in losses), pa.concat_arrays([own_ids, pa.nulls(pairs, own_ids.type)])]
-                of_text = pa.StructArray.from_arrays(values, ["n", "x", "y", id_col], mask=pa.array(np.arange(texts + pairs) >= texts))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), of_text], ["group", "key", "row", "k", "of_text"])
-                row += texts
+                of_text = pa.StructArray.from_arrays([pa.array(ids), pa.array(n), *map(pa.array, losses), own_ids], ["row", "n", "x", "y", id_col])
+                kind, none = of_text.type, pa.nulls(len(n), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids % buckets), pa.array(ids), *[none] * len(PACKED), of_text], ["bucket", "first", *PACKED, "of_text"])
+                held.append([group, key, ids[of], k * 2 + own])
+                row, n_held = row + len(n), n_held + len(key)
+                if n_held > most:
+                    yield out()
+                    n_held, first = 0, row
                 if len(places.digests) > REMEMBERED:
                     places = _Places(v.places)
+        if n_held:
+            yield out()
 
     return rows
 
 
 def _losses_of_pairs(context: np.ndarray, chance: np.ndarray, id_col: str):
-    """Rows of _texts_and_pairs, in order of their group, as row, n, l0, l1, id_col: what a text starts
-    from, and by how much each pair that another text has too lowers its losses. A task holds a batch
-    and the rows of one group."""
+    """Rows of _texts_and_pairs of a bucket, as row, n, l0, l1, id_col: what a text starts from, and by
+    how much each pair that another text has too lowers its losses."""
 
     def lowered(group, key, row, k):
-        n_rare = int(np.searchsorted(group, 0))  # only groups of a rare first word have several keys
-        order = np.r_[np.lexsort((key[:n_rare], group[:n_rare])), np.arange(n_rare, len(group))]
-        key, row, own, k = key[order], row[order], k[order] & 1, k[order] >> 1
-        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(group)])
-        shared = np.flatnonzero(np.repeat(size > 1, size))
+        """`group` has the groups of keys below 0, those of a rare first word, only."""
+        is_rare = key < 0
+        rare, rest = np.flatnonzero(is_rare), np.flatnonzero(~is_rare)
+        by_group = np.lexsort((key[rare], group))
+        group, rest = group[by_group], rest[np.argsort(key[rest], kind="stable")]
+        order, n_rare = np.r_[rare[by_group], rest], len(rare)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        if n_rare:
+            begin = np.r_[True, group[1:] != group[:-1]]
+            new[:n_rare] |= begin
+            whole = [np.bincount(np.cumsum(begin) - 1, k[order[:n_rare]] // 2 * (k[order[:n_rare]] % 2 == r)) for r in (0, 1)]
+        # pairs that one row has only change nothing
+        shared = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        pair, key, row, k = np.cumsum(new[shared]) - 1, key[shared], row[order[shared]], k[order[shared]]
+        own, k = k & 1, k >> 1
         mine = [k * (1 - own), k * own]
-        pair = (np.cumsum(new) - 1)[shared]
-        of_pair = [np.add.reduceat(x, start)[pair] for x in mine]
-        a_rare = shared[shared < n_rare]
-        firsts = group[:n_rare]
-        begins = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]][:n_rare])
-        of_group = [np.add.reduceat(x[:n_rare], begins)[np.searchsorted(begins, a_rare, "right") - 1] if n_rare else x[:0] for x in mine]
-        key, k, rare_a = key[shared], k[shared], shared < n_rare
+        rare_a = shared < n_rare
         rare_b = (key >= SECOND_RARE) | (key < 0) & (key >= -SECOND_RARE)
         digits = (key & SECOND_RARE - 1) >> DIGEST_BITS
         a = np.where(rare_b, digits, key >> 20)[~rare_a]
         b = np.where(rare_b, -1, np.where(rare_a, digits, key & (1 << 20) - 1))  # the last is any rare word's
         losses = []
         for r in (0, 1):
-            before = np.r_[of_group[r], context[r][a]]
-            losses.append(-k * _gain(of_pair[r] - mine[r][shared], before - mine[r][shared], chance[r][b]))
-        return row[shared], losses
-
-    def rows(batches):
-        held, kind = [], None
-
-        def out():
-            row, losses = lowered(*map(np.concatenate, zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), *map(pa.array, losses), pa.nulls(len(row), kind)], ["row", "n", "l0", "l1", id_col])
-
-        for batch in batches:
-            group, key, row, k = (batch.column(c).to_numpy() for c in ("group", "key", "row", "k"))
-            texts = np.flatnonzero(k == 0)
-            n, x, y, ids = batch.column("of_text").take(pa.array(texts)).flatten()
-            kind = ids.type
-            if len(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(row[texts]), n, x, y, ids], ["row", "n", "l0", "l1", id_col])
-            pairs = np.flatnonzero(k)
-            if not len(pairs):
-                continue
-            columns = [c[pairs] for c in (group, key, row, k)]
-            # the last group may go on in the next batch
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if cut or held and held[-1][0][-1] != columns[0][0]:
-                held.append([c[:cut] for c in columns])
-                yield out()
-                held.clear()
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield out()
+            of_group = whole[r][(np.cumsum(begin) - 1)[shared[rare_a]]] if n_rare else np.empty(0)
+            before = np.r_[of_group, context[r][a]]
+            losses.append(-k * _gain(np.bincount(pair, mine[r])[pair] - mine[r], before - mine[r], chance[r][b]))
+        return row, losses
+
+    def rows(bucket: pa.Table) -> pa.Table:
+        names, parts = ["row", "n", "l0", "l1", id_col], []
+        texts = bucket.filter(bucket.column("of_text").is_valid()).column("of_text").combine_chunks()
+        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+        parts.append(pa.Table.from_arrays(texts.flatten(), names))
+        dealt = bucket.filter(bucket.column("keys").is_valid())
+        if len(dealt):
+            blobs = [dealt.column(c).to_pylist() for c in PACKED]
+            group, key, row, k = (np.frombuffer(b"".join(x), t) for x, t in zip(blobs, (np.int64, np.int64, np.uint32, np.uint32), strict=True))
+            first = np.repeat(dealt.column("first").to_numpy(), [len(x) // 8 for x in blobs[1]])
+            row, losses = lowered(group, key, first + row, k.astype(np.int64))
+            parts.append(pa.Table.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), *map(pa.array, losses), pa.nulls(len(row), texts.type.field(4).type)], names))
+        return pa.concat_tables(parts)
 
     return rows
 
@@ -278,7 +303,7 @@ def learn_vocabulary(marked: DataFrame, vocabulary: int = VOCABULARY, top: int =
     pairs = np.zeros((2, top * top), np.int64)
     for r, c in enumerate(("n_background", "n_target")):
         pairs[r, sums.column("pair").to_numpy()] = sums.column(c).to_numpy()
-    return Vocabulary(places, context, pairs, chance, top)
+    return Vocabulary(places, context, pairs, chance, top, total[0])
 
 
 def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, top: int = TOP) -> DataFrame:
@@ -293,7 +318,9 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     and only those that another text has too go back to their texts. A pair's probability is its share
     of the pairs that its first word begins, whatever the word's frequency. Pairs of the `top` words,
     which are the hottest, are counted apart; a group is one other pair, or all pairs of one rare first
-    word, and lies in one task: it has as many rows as texts have such a pair. Single
+    word. Groups are dealt to buckets, whose number grows with the words, and travel as a row for each
+    bucket of many texts' pairs; a task holds a bucket, in which a group has as many pairs as texts have
+    such a pair. Single
     counts are exact for the `vocabulary` most frequent words; rarer ones share their mean.
 
     Null, empty or blank text: 0 words, the rest null; texts may be of any length. Repeated rows are
@@ -305,9 +332,11 @@ def score_corpus(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id", "left").select("_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     v = learn_vocabulary(marked.select("text", "target"), vocabulary, top)
-    rows = marked.mapInArrow(_texts_and_pairs(v, "_id"), f"group long, key long, row long, k long, of_text struct<n: long, x: double, y: double, _id: {kind}>")
-    dealt = rows.repartition("group").sortWithinPartitions("group")
-    lowered = dealt.mapInArrow(_losses_of_pairs(v.context, v.chance, "_id"), f"row long, n long, l0 double, l1 double, _id {kind}")
+    spark = docs.sparkSession
+    buckets = max(math.ceil(v.words / BUCKET), SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = "bucket long, first long, " + "".join(f"{c} binary, " for c in PACKED)
+    rows = marked.mapInArrow(_texts_and_pairs(v, "_id", buckets), f"{packed}of_text struct<row: long, n: long, x: double, y: double, _id: {kind}>")
+    lowered = rows.groupBy("bucket").applyInArrow(_losses_of_pairs(v.context, v.chance, "_id"), f"row long, n long, l0 double, l1 double, _id {kind}")
     sums = lowered.groupBy("row").agg(F.first("_id", ignorenulls=True).alias(id_col), F.max("n").alias("n_words"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
     ce = [F.when(F.col("n_words") > 0, F.col(f"l{r}") / F.col("n_words")) for r in (0, 1)]
     return sums.select(id_col, "n_words", ce[1].alias("ce_target"), ce[0].alias("ce_background"), (ce[1] - ce[0]).alias("score"))
