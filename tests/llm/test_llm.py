@@ -453,6 +453,27 @@ def test_search_prunes_exactly():
         np.testing.assert_allclose(sorted(scores, reverse=True), want[best], atol=1e-9)
 
 
+def test_search_scores_few_in_full():
+    """Whole texts as queries: sums of lists bound scores so well that few documents are scored in full."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    rows = [np.unique(rng.zipf(1.3, size).clip(max=20_000), return_counts=True) for size in rng.integers(10, 400, n)]
+    lens = np.array([r[1].sum() for r in rows])
+    shard = search.Shard(np.arange(n), lens, np.r_[0, np.cumsum([len(r[0]) for r in rows])], np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[1] for r in rows]), lens.mean())
+    df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=20_001)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = [rows[i][0].astype(np.int64) for i in range(0, n, 100)]
+    alone = [shard.top(t, idf[t], 10) for t in asked]
+    assert shard.scored <= 35 * len(asked)  # the first ones for a threshold, and the best
+    for t, (found, scores), (same, again) in zip(asked, alone, shard.tops([(t, idf[t], -np.inf) for t in asked], 10), strict=True):
+        own = set(t.tolist())
+        want = np.array([sum(idf[w] * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * m / lens.mean())) for w, tf in zip(*r, strict=True) if w in own) for r, m in zip(rows, lens, strict=True)])
+        best = sorted(range(n), key=lambda d: (-round(want[d], 9), d))[:10]
+        assert sorted(found) == sorted(same) == sorted(best)
+        np.testing.assert_allclose(sorted(scores, reverse=True), want[best], atol=1e-8)
+        np.testing.assert_allclose(np.sort(again), np.sort(scores), atol=1e-9)
+
+
 def test_licences(spark, odd, empty, docs):
     model = licences.train_licences(documents(spark, "/root/testdata/sf0.01").select("doc_id", "text"))
     lines = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "Die Katze kommt mit dem Hund in die Stadt", "The new version of this work is under review."]
