@@ -432,3 +432,38 @@ def brute_shingle_groups(docs, n, least):
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
     a, b = zip(*links, strict=True) if links else ((), ())
     return brute_groups_of(sorted(sets), a, b)
+
+
+def test_search_answers_a_shard_once(tmp_path, monkeypatch):
+    """What a shard gave a query in the first pass, it doesn't look up or send again in the second."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from trajspark.llm import search
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(search, "TaskContext", Task)
+    rows = next(iter(search._term_rows([pa.record_batch({"doc_id": [7, 3, 5], "text": ["one two three", "two", "four one one"]})])))
+    rows = rows.append_column("row", pa.array([10, 11, 12]))
+    asked = {"query_id": [7, 3], "digest": [0, 1], "terms": [rows.column("terms")[i].as_py() for i in (0, 1)], "idfs": [[1.0] * 3, [1.0]]}
+    pq.write_table(pa.table(asked), tmp_path / "a.parquet")
+    first = pa.Table.from_batches(search._search(f"file://{tmp_path}", 2, 7 / 3, 1)(iter([rows]))).to_pylist()
+    assert [(r["query_id"], r["row"], r["doc_id"]) for r in first] == [(7, 10, 7), (7, 11, 3), (3, 11, 3), (3, 10, 7)]
+    lists = pa.array([[first[0]["shard"]], []], pa.list_(pa.int64()))
+    pq.write_table(pa.table(asked | {"least": [-np.inf] * 2, "shards": lists}), tmp_path / "a.parquet")
+    second = pa.Table.from_batches(search._search(f"file://{tmp_path}", 2, 7 / 3, None)(iter([rows]))).to_pylist()
+    assert second == first[2:]
+
+
+def test_search_small_row_groups(spark):
+    """Rows are written in groups of few bytes, so that pieces of files have like shares of them."""
+    import pyarrow.parquet as pq
+
+    from trajspark.llm.common import materialise
+
+    wide = spark.range(20_000).select("id", F.sequence(F.col("id"), F.col("id") + 30).alias("a")).coalesce(1)
+    files = materialise(wide, options={"parquet.block.size": 100_000, "parquet.enable.dictionary": "false"}).inputFiles()
+    assert sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in files) > 5
