@@ -309,9 +309,12 @@ def _maps_of(frame, m: int) -> list[np.ndarray]:
     return [np.reshape(np.stack(frame[k].to_numpy()), (-1, *shape)) for k, shape in shapes.items()]
 
 
-def _composed(frame, m: int, start: np.ndarray) -> dict[str, list]:
+def _composed(frame, m: int, start: np.ndarray | None = None) -> dict[str, list] | dict[str, np.ndarray]:
     """The maps of chunks that follow each other, as one map for each series of them, which begin at
-    start. Neighbours are joined pairwise, so that all pairs of a level are one product."""
+    start; without it all rows are one series, of which the map itself is returned. Neighbours are joined
+    pairwise, so that all pairs of a level are one product."""
+    if start is None:
+        return {k: x[0] for k, x in _composed(frame, m, np.zeros(1, np.int64)).items()}
     maps = _maps_of(frame, m)
     of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(frame)]))
     place = np.arange(len(frame)) - start[of]
@@ -327,10 +330,14 @@ def _composed(frame, m: int, start: np.ndarray) -> dict[str, list]:
     return {k: _listed(x, len(start)) for k, x in zip("abpqs", maps, strict=True)}
 
 
-def _followed(frame, m: int, start: np.ndarray, first: np.ndarray, end: np.ndarray | None) -> tuple[list, list]:
-    """Filtered means at the starts and smoothed ones at the ends of chunks that follow each other, in
-    series that begin at start; from the filtered mean `first` at the start of each series and the
-    smoothed one at its end (None: the last filtered mean). All series take a step at a time."""
+def _followed(frame, m: int, *of: np.ndarray | None) -> tuple[list, list]:
+    """Filtered means at the starts and smoothed ones at the ends of chunks that follow each other. Of:
+    where series of them begin, the filtered mean at the start of each series and the smoothed one at its
+    end (None: the last filtered mean); or only the two means, if all rows are one series. All series take
+    a step at a time."""
+    if len(of) == 2:
+        of = (np.zeros(1, np.int64), *(x if x is None else np.reshape(x, (1, m)) for x in of))
+    start, first, end = of
     a, b, p, q, s = _maps_of(frame, m)
     size = np.diff(np.r_[start, len(frame)])
     order = np.argsort(-size, kind="stable")
