@@ -467,3 +467,35 @@ def test_search_small_row_groups(spark):
     wide = spark.range(20_000).select("id", F.sequence(F.col("id"), F.col("id") + 30).alias("a")).coalesce(1)
     files = materialise(wide, options={"parquet.block.size": 100_000, "parquet.enable.dictionary": "false"}).inputFiles()
     assert sum(pq.ParquetFile(f.removeprefix("file://")).num_row_groups for f in files) > 5
+
+
+def test_search_of_like_documents(monkeypatch):
+    """In two languages in one shard, what is frequent in one of them is a product of matrices for its queries;
+    few postings of lists are added. Results are those of whole scores, with and without a threshold."""
+    from trajspark.llm import search
+
+    rng = np.random.default_rng(6)
+    n = 2400
+    rows = [np.unique(rng.zipf(1.3, rng.integers(20, 300)).clip(max=3000) * 7919 + (i % 3 == 0) * (1 << 40), return_counts=True) for i in range(n)]
+    lens = np.array([r[1].sum() for r in rows])
+    terms, tfs = (np.concatenate([r[i] for r in rows]).astype(np.int64) for i in (0, 1))
+    doc = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    places, of = np.unique(terms, return_inverse=True)
+    df = np.bincount(of)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    whole = idf[of] * tfs * (search.K1 + 1) / (tfs + search.K1 * (1 - search.B + search.B * lens[doc] / lens.mean()))
+    shard = search.Shard(np.arange(n), lens, np.r_[0, np.cumsum([len(r[0]) for r in rows])], terms, tfs, lens.mean())
+    added, add = [], search.Shard._add
+    monkeypatch.setattr(search.Shard, "_add", lambda self, sums, at, length, *a: added.append(int(length.sum())) or add(self, sums, at, length, *a))
+    asked, want = [], []
+    for i in range(0, n, 5):
+        mine = np.isin(of, of[doc == i])
+        scores = np.bincount(doc[mine], whole[mine], minlength=n)
+        best = sorted(range(n), key=lambda d: (-round(scores[d], 9), d))[:10]
+        asked.append((rows[i][0].astype(np.int64), idf[of[doc == i]], round(scores[best[6]], 9) if i % 2 else -np.inf))
+        want.append((best[: 7 if i % 2 else 10], scores))
+    for (_, _, least), (best, scores), (found, got) in zip(asked, want, shard.tops(asked, 10), strict=True):
+        # ties at the threshold reach it too
+        assert set(best) <= set(found.tolist()) and (scores[found] > least - 1e-8).all()
+        np.testing.assert_allclose(got, scores[found], atol=1e-8)
+    assert sum(added) < 0.6 * n * len(asked)
